@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
+from .quality_rules import quality_rules
+from .sharding import shard_by_size
+from .simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +23,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    put = shard_by_size(documents(spark, sf_dir))
+    return put.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir)).drop("host_rate")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_simhash": op4_simhash,
+        "op5_sharding": op5_sharding,
+        "op7_line_dedup": op7_line_dedup,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
@@ -36,7 +62,67 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP7_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i,
+         unnest(string_split(coalesce(text, ''), chr(10))) AS line
+  FROM documents
+), keyed AS (
+  SELECT doc_id, i, line, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), found AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.keeper AS dropped FROM keyed k LEFT JOIN found f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+OP9_SQL = f"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), worded AS (
+  SELECT *, list_filter(lines, lambda x: trim(x, {_SPACE}) <> '') AS worded_lines FROM base
+), windows AS (
+  SELECT doc_id, i, words[i : i + 2] AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM base WHERE len(words) > 2)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id
+), counted AS (
+  SELECT b.doc_id, b.source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         len(worded_lines) - len(list_distinct(worded_lines)) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM worded b LEFT JOIN covered c ON b.doc_id = c.doc_id
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines AS failed
+  FROM counted
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source
+), moments AS (
+  SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mean, var_pop(f / n) AS var FROM hosts
+), prior AS (
+  SELECT mean, least(greatest(mean * (1 - mean) / greatest(var, 1e-9) - 1, 1.0), 1e6) AS strength FROM moments
+), verdicts AS (
+  SELECT source, (f + mean * strength) / (n + strength) AS rate FROM hosts, prior
+)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept
+FROM judged j LEFT JOIN verdicts v ON j.source = v.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op7_line_dedup": OP7_SQL,
+        "op9_quality_rules": OP9_SQL,
     }
