@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
+from .license_scan import MAX_SHIFT, MIN_COVER, license_scan, templates
 from .line_dedup import line_dedup
+from .mixing import mixing_rates
+from .pieces import encode_pieces
+from .quality_model import quality_grades
 from .quality_rules import quality_rules
 from .sharding import shard_by_size
 from .simhash import simhash_components
+from .substring_dedup import substring_dedup
+
+#: The tokenizer of the production queries; it stays where it is installed.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +31,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleared = substring_dedup(documents(spark, sf_dir))
+    return cleared.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
@@ -32,22 +49,39 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir), PIECE_MODEL)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(documents(spark, sf_dir), min_rate=1.0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("host_rate")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_grades(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_license_scan": op3_license_scan,
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_line_dedup": op7_line_dedup,
+        "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
@@ -62,6 +96,37 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+_TEMPLATES = ", ".join(f"({k}, '{label}', {str(base).lower()}, {n}, {at}, '{a}', '{b}')" for k, label, base, n, at, a, b in templates())
+
+OP3_SQL = f"""
+WITH t(template, label, base, pairs, pos, t0, t1) AS (VALUES {_TEMPLATES}),
+d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(w[1 : len(w) - 1]) AS w0, unnest(w[2 :]) AS w1, unnest(range(0, len(w) - 1)) AS i FROM d WHERE len(w) > 1
+), votes AS (
+  SELECT doc_id, template, i - t.pos AS diagonal, any_value(label) AS label, any_value(base) AS base, any_value(pairs) AS pairs,
+         list(DISTINCT t.pos) AS seen, min(i) AS low, max(i) AS high
+  FROM p JOIN t ON w0 = t0 AND w1 = t1 GROUP BY doc_id, template, i - t.pos
+), marked AS (
+  SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {MAX_SHIFT} AND NOT base
+            THEN base::INT ELSE 1 END AS fresh FROM votes
+), runs AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM marked
+), spans AS (
+  SELECT doc_id, template, run, any_value(label) AS label, any_value(base) AS base, any_value(pairs) AS pairs,
+         len(list_distinct(flatten(list(seen)))) / any_value(pairs) AS cover, min(low) AS low, max(high) AS high, min(diagonal) AS start
+  FROM runs GROUP BY doc_id, template, run
+), found AS (
+  SELECT * FROM spans WHERE CASE WHEN base THEN cover = 1 ELSE cover >= {MIN_COVER} AND high - low + 1 <= 1.5 * pairs END
+)
+SELECT d.doc_id, len(w) AS n_words, count(f.doc_id) FILTER (WHERE f.base) AS n_base,
+       min(f.start) FILTER (WHERE f.base) AS first_word, max(f.start) FILTER (WHERE f.base) AS last_word,
+       coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (WHERE f.base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS labels, coalesce(max(f.cover), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id, len(w)
+"""
+
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP7_SQL = f"""
@@ -123,6 +188,7 @@ FROM judged j LEFT JOIN verdicts v ON j.source = v.source
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op3_license_scan": OP3_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_quality_rules": OP9_SQL,
     }
