@@ -11,6 +11,7 @@ driver; scoring reads every document, whole, in Arrow batches on the executors,
 from __future__ import annotations
 
 import re
+from operator import eq
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -39,8 +40,13 @@ def features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of a text; none for null."""
     seen: set[int] = set()
     get = _known.get
-    for word in set((text or "").split()):
+    words = (text or "").split()
+    for word in set(words):
         seen.update(get(word) or _buckets(word))
+    if words:  # how often a word follows itself, and how many words are new, in eighths
+        again = sum(map(eq, words, words[1:]))
+        seen.update(_buckets(f"again{8 * again // len(words)}"))
+        seen.update(_buckets(f"fresh{8 * len(set(words)) // len(words)}"))
     return np.sort(np.fromiter(seen, np.int32, len(seen)))
 
 
@@ -57,15 +63,15 @@ class OrdinalModel:
         return np.array([self.weights[features(t)].sum() for t in texts], float)
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, rounds: int = 200, l2: float = 1e-3, rate: float = 0.05) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by Adam on the whole sample; grades count by the root of their inverse share."""
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, rounds: int = 300, l2: float = 8.0, rate: float = 0.05, min_rows: int = 5) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty by Adam on the whole sample. Features of under `min_rows` rows keep weight zero."""
     if not len(rows) or len(np.unique(grades)) < 2:  # nothing to tell apart: everything has the top grade
         return OrdinalModel(np.zeros(BUCKETS), np.full(GRADES - 1, -30.0))
     sizes = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    share = np.bincount(grades, minlength=GRADES) / len(grades)
-    each = 1 / np.sqrt(np.maximum(share[grades], 1e-6))
-    each /= each.sum()
+    common = np.bincount(flat, minlength=BUCKETS)[flat] >= min_rows
+    flat, owner = flat[common], owner[common]
+    each = np.full(len(rows), 1 / len(rows))
     # thresholds: the first, then steps that are kept positive
     p = np.zeros(BUCKETS + GRADES - 1)
     p[BUCKETS] = -2.0

