@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,25 +46,37 @@ class Pieces:
         self.merges = all(s == int(s) for s in self.score[-100:].tolist())
         self.longest = max(map(len, self.normal))
         self.inner = any(SPACE in p.lstrip(SPACE) for p in self.normal)
-        keys = np.array([self._hash(np.array([list(map(ord, p))], np.uint64))[0] for p in self.normal], np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ids = keys[order], np.fromiter(self.normal.values(), np.int64, len(keys))[order]
-        chars = np.zeros((n, self.longest), np.uint64)
-        for p, i in self.normal.items():
-            chars[i, : len(p)] = list(map(ord, p))
-        self.chars, self.lengths = chars, np.array([len(t) if self.normal.get(t) == i else -1 for i, t in enumerate(self.text)])
+        self._index()
         self.raw = {i: bytes([b]) for b, i in self.bytes_at.items()}
         self.out = [self.raw.get(i, t.replace(SPACE, " ").encode() if self.normal.get(t) == i else b"") for i, t in enumerate(self.text)]
-        self.agree: dict[int, bool] = {}
+        self.agree, self.new = (np.zeros(1, np.int64), np.zeros(1, bool)), {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    def _index(self) -> None:
+        """Sorted hash keys of all pieces and their beginnings; each knows its piece, the entry it extends and its
+        last character, so that a match can be told from a collision."""
+        begun = sorted({p[:k] for p in self.normal for k in range(1, len(p) + 1)})
+        by_size: dict[int, list[str]] = {}
+        for p in begun:
+            by_size.setdefault(len(p), []).append(p)
+        hashes = {"": np.uint64(0)}
+        for size in sorted(by_size):
+            own = by_size[size]
+            h = self._extend(np.array([hashes[p[:-1]] for p in own], np.uint64), np.array([ord(p[-1]) for p in own], np.uint64))
+            hashes.update(zip(own, h, strict=True))
+        keys = np.array([hashes[p] for p in begun], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        begun = [begun[k] for k in order]
+        at = {p: k for k, p in enumerate(begun)} | {"": -1}
+        self.keys = keys[order]
+        self.piece_of = np.array([self.normal.get(p, -1) for p in begun])
+        self.extends = np.array([at[p[:-1]] for p in begun])
+        self.ends_in = np.array([ord(p[-1]) for p in begun], np.uint64)
+
     @staticmethod
-    def _hash(chars: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(chars), np.uint64)
-        for k in range(chars.shape[1]):
-            h = (h ^ chars[:, k]) * _FACTOR
-            h ^= h >> np.uint64(29)
-        return h
+    def _extend(h: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        h = (h ^ chars) * _FACTOR
+        return h ^ (h >> np.uint64(29))
 
     def name(self, k: int) -> str:
         return chr(k - UNKNOWN) if k >= UNKNOWN else self.text[k]
@@ -84,53 +97,105 @@ class Pieces:
 
     def fits(self, last: int, piece: int) -> bool:
         """Whether merging leaves these two neighbours alone; last is -1 at the start of a unit."""
-        key = (last + 1) << 32 | piece
-        found = self.agree.get(key)
-        if found is None:
-            if len(self.agree) > 2_000_000:
-                self.agree.clear()
-            want = [piece] if last < 0 else [last, piece]
-            found = self.agree[key] = self.merged("".join(map(self.name, want))) == want
-        return found
-
-    def _step(self, last: np.ndarray, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Scores of continuing prefixes, of score `before` and last piece `last`, with pieces."""
-        if not self.merges:
-            return before + np.where(piece >= UNKNOWN, self.score.min() - 10, self.score[np.minimum(piece, len(self.score) - 1)])
-        pairs, place = np.unique((last + 1) << 32 | piece, return_inverse=True)
-        good = np.fromiter((self.fits((k >> 32) - 1, k & 0xFFFFFFFF) for k in pairs.tolist()), bool, len(pairs))
-        return np.where(good[place] & (before > -np.inf), float(1), -np.inf)
+        b = self.name(piece)
+        a = "" if last < 0 else self.name(last)
+        parts, edge, get, score = list(a + b), len(a), self.normal.get, self.score
+        while len(parts) > 1:
+            best, at = -np.inf, -1
+            for k in range(len(parts) - 1):
+                i = get(parts[k] + parts[k + 1])
+                if i is not None and score[i] > best:
+                    best, at = score[i], k
+            if at < 0:
+                break
+            if at + 1 == edge:  # a merge across the two
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            edge -= at < edge
+        return parts == ([a, b] if a else [b])
+
+    def _agreed(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """`fits` for arrays: looked up among the pairs met before, found out for the others."""
+        pairs = (last + 1) << 32 | piece
+        keys, good = self.agree
+        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        out, unseen = good[at], np.flatnonzero(keys[at] != pairs)
+        if len(unseen):
+            fresh, place = np.unique(pairs[unseen], return_inverse=True)
+            new = self.new
+            for k in fresh.tolist():
+                if k not in new:
+                    new[k] = self.fits((k >> 32) - 1, k & 0xFFFFFFFF)
+            out[unseen] = np.fromiter(map(new.__getitem__, fresh.tolist()), bool, len(fresh))[place]
+            if len(new) > 100_000:
+                self._settle()
+        return out
+
+    def _settle(self) -> None:
+        """Move new pairs to the sorted ones; start over beyond four million."""
+        old, good = self.agree
+        keys = np.fromiter(self.new, np.int64, len(self.new))
+        values = np.fromiter(self.new.values(), bool, len(self.new))
+        self.new = {}
+        if len(old) + len(keys) < 4_000_000:
+            keys, values = np.concatenate([old, keys]), np.concatenate([good, values])
+        order = np.argsort(keys, kind="stable")
+        self.agree = keys[order], values[order]
+
+    def matches(self, chars: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(end, row, width, piece) of every piece found in the rows of `chars`, sorted by end."""
+        n, size = chars.shape
+        row, start = np.repeat(np.arange(n), size), np.tile(np.arange(size), n)
+        h, entry = np.zeros(n * size, np.uint64), np.full(n * size, -1)
+        found = []
+        for width in range(1, min(size, self.longest) + 1):
+            c = chars[row, start + width - 1]
+            h = self._extend(h, c)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = (self.keys[at] == h) & (self.extends[at] == entry) & (self.ends_in[at] == c)
+            piece = np.where(hit, self.piece_of[at], -1)
+            if width == 1:
+                piece = np.where(piece >= 0, piece, c.astype(np.int64) + UNKNOWN)
+            on = np.flatnonzero(piece >= 0)
+            found.append((start[on] + width, row[on], np.full(len(on), width), piece[on]))
+            go = np.flatnonzero(hit & (start + width < size))
+            row, start, h, entry = row[go], start[go], h[go], at[go]
+        end, row, width, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end.astype(np.int16), kind="stable")
+        return end[order], row[order], width[order], piece[order]
 
     def viterbi(self, units: list[str]) -> list[tuple[int, ...]]:
         """Ids of units that all have the same length."""
         n, size = len(units), len(units[0])
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
+        end, row, width, piece = self.matches(chars)
+        bounds = np.searchsorted(end, np.arange(1, size + 2))
         best, last, back = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -1, np.int64), np.zeros((size + 1, n), np.int64)
         best[0] = 0.0
-        for end in range(1, size + 1):
-            for width in range(1, min(end, self.longest) + 1):
-                part = chars[:, end - width : end]
-                at = np.minimum(np.searchsorted(self.keys, h := self._hash(part)), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == h, self.ids[at], -1)
-                hit = (piece >= 0) & (self.lengths[piece] == width) & (self.chars[piece, :width] == part).all(1)
-                if width == 1:
-                    piece, hit = np.where(hit, piece, part[:, 0].astype(np.int64) + UNKNOWN), np.ones(n, bool)
-                rows = np.flatnonzero(hit)
-                if len(rows):
-                    score = self._step(last[end - width, rows], best[end - width, rows], piece[rows])
-                    up = score > best[end, rows]
-                    rows = rows[up]
-                    best[end, rows], last[end, rows], back[end, rows] = score[up], piece[hit][up], width
-        out = []
-        for k, unit in enumerate(units):
-            if best[size, k] == -np.inf:  # no path of agreeing neighbours: merge the unit itself
-                out.append(tuple(self.merged(unit)))
-                continue
-            ids, end = [], size
-            while end:
-                ids.append(int(last[end, k]))
-                end -= int(back[end, k])
-            out.append(tuple(ids[::-1]))
+        for e in range(1, size + 1):
+            part = slice(bounds[e - 1], bounds[e])
+            r, w, p = row[part], width[part], piece[part]
+            before = best[e - w, r]
+            if self.merges:
+                score = np.where((before > -np.inf) & self._agreed(last[e - w, r], p), before + w, -np.inf)
+            else:
+                score = before + np.where(p >= UNKNOWN, self.score.min() - 10, self.score[np.minimum(p, len(self.score) - 1)])
+            # the best score of each row: rows in order of score, so that the last assignment is the maximum
+            order = np.argsort(score, kind="stable")
+            order = order[score[order] > -np.inf]
+            r, w, p = r[order], w[order], p[order]
+            best[e, r], last[e, r], back[e, r] = score[order], p, w
+        steps, at, rows = [], np.full(n, size), np.arange(n)
+        lost = best[size] == -np.inf
+        at[lost] = 0
+        while at.any():
+            steps.append(np.where(at > 0, last[at, rows], -1))
+            at = at - np.where(at > 0, back[at, rows], 0)
+        path = np.array(steps[::-1]).T if steps else np.full((n, 0), -1)
+        flat, ends = path[path >= 0].tolist(), np.cumsum((path >= 0).sum(1)).tolist()
+        out = [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in np.flatnonzero(lost).tolist():  # no path of agreeing neighbours: merge the unit itself
+            out[k] = tuple(self.merged(units[k]))
         return out
 
     def alone(self, unit: str) -> tuple[int, ...]:
@@ -138,13 +203,21 @@ class Pieces:
         size, get = len(unit), self.normal.get
         best, last, back = [0.0] + [-np.inf] * size, [-1] * (size + 1), [0] * (size + 1)
         low = float(self.score.min()) - 10
+        known = self.new
+
+        def agreed(a: int, b: int) -> bool:
+            key = (a + 1) << 32 | b
+            if key not in known:
+                known[key] = self.fits(a, b)
+            return known[key]
+
         for end in range(1, size + 1):
             for width in range(1, min(end, self.longest) + 1):
                 piece = get(unit[end - width : end], UNKNOWN + ord(unit[end - 1]) if width == 1 else -1)
                 before = best[end - width]
                 if piece < 0 or before == -np.inf:
                     continue
-                score = (1.0 if self.fits(last[end - width], piece) else -np.inf) if self.merges else before + (low if piece >= UNKNOWN else float(self.score[piece]))
+                score = (1.0 if agreed(last[end - width], piece) else -np.inf) if self.merges else before + (low if piece >= UNKNOWN else float(self.score[piece]))
                 if score > best[end]:
                     best[end], last[end], back[end] = score, piece, width
         if best[size] == -np.inf:
@@ -157,6 +230,8 @@ class Pieces:
 
     def spelled(self, ids: tuple[int, ...]) -> tuple[int, ...]:
         """Characters outside the pieces become their bytes' ids, or the unknown id if the model has no bytes."""
+        if not ids or max(ids) < UNKNOWN:
+            return ids
         out: list[int] = []
         for i in ids:
             if i < UNKNOWN:
@@ -197,7 +272,7 @@ class Pieces:
                 missing = every
             self.learn(missing)
         get = self.cache.__getitem__
-        return [np.fromiter((i for u in own for i in get(u)), np.int32) for own in cut]
+        return [np.array(list(chain.from_iterable(map(get, own))), np.int32) for own in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.out.__getitem__, ids.tolist())).decode(errors="replace")
