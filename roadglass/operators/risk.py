@@ -79,14 +79,14 @@ def split(df: DataFrame, *, label: str, key: str, held_out: float = 0.25) -> tup
 def train_risk(df: DataFrame, *, label: str, trees: int = 20, depth: int = 4) -> PipelineModel:
     """Gradient-boosted trees over the features."""
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
-    learner = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=7, predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw")
+    learner = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=7, predictionCol="_prediction")
     return PipelineModel([assembled, learner.fit(assembled.transform(df))])
 
 
 def score_risk(model: PipelineModel, df: DataFrame) -> DataFrame:
     """`df` with `score`, the model's probability of a breakdown."""
-    scored = model.transform(df).withColumn("score", vector_to_array("_probability")[1])
-    return scored.drop("_features", "_prediction", "_probability", "_raw")
+    scored = model.transform(df).withColumn("score", vector_to_array("probability")[1])
+    return scored.drop("_features", "_prediction", "probability", "rawPrediction")
 
 
 def feature_importance(model: PipelineModel, df: DataFrame, middle: dict[str, float]) -> DataFrame:

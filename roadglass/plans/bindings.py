@@ -118,7 +118,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
     nested = F.to_json(F.struct(
         F.col("vin17").alias("vehicleId"), (F.expr("unix_millis(cast(ts as timestamp))") / 1000).alias("epoch"), F.col("event_id").alias("counter"),
         F.struct(F.expr(TELEMETRY["lat"]).alias("latitude"), F.expr(TELEMETRY["lon"]).alias("longitude")).alias("position"),
-        F.struct(F.col("value").alias("speedMph"), F.expr(TELEMETRY["odo_km"]).alias("odometerMi"), F.expr("case when user_id % 3 <> 0 then 150 + value end").alias("coolantTempF"), F.expr(TELEMETRY["batt_v"]).alias("lvBatteryVolts")).alias("signals"),
+        F.struct(F.col("value").alias("speedMph"), F.expr(TELEMETRY["odo_km"]).alias("odometerMi"), F.expr("case when user_id % 3 <> 0 then 150 + value * 1.00003e0 end").alias("coolantTempF"), F.expr(TELEMETRY["batt_v"]).alias("lvBatteryVolts")).alias("signals"),
         F.expr(TELEMETRY["evt"]).alias("eventType"), F.expr(TELEMETRY["fault_string"]).alias("faultString"),
     ))
     good = F.when(F.col("event_id") % 2 == 0, flat).otherwise(nested)

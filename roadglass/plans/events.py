@@ -204,9 +204,9 @@ coded AS (
     WINDOW w AS (PARTITION BY vin ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)) WHERE n >= 2 AND m > 100
 ), pattern AS (
   SELECT vin, seq, ts, 'HARSH_BRAKE_PATTERN' AS rule, 2 AS severity, '' AS code, n FROM (
-    SELECT *, count(*) OVER (PARTITION BY vin ORDER BY epoch_ms(ts) RANGE BETWEEN 604800000 PRECEDING AND CURRENT ROW) AS n FROM telemetry WHERE evt = 'HARSH_BRAKE') WHERE n >= 3
+    SELECT *, count(*) OVER (PARTITION BY vin ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 604800000 PRECEDING AND CURRENT ROW) AS n FROM telemetry WHERE evt = 'HARSH_BRAKE') WHERE n >= 3
 )"""
-_KEY = "concat_ws(':', vin, rule, code, cast(epoch_ms(ts) // 3600000 AS varchar))"
+_KEY = "concat_ws(':', vin, rule, code, cast(epoch_us(ts) // 3600000000 AS varchar))"
 _ROLLUP = """SELECT vin, cast(ts AS date) AS day, count(*) AS events, round(min(odo_km), 4) AS min_odo, round(max(odo_km), 4) AS max_odo, round(sum(speed_kmh), 4) AS sum_speed,
  round(max(coolant_c), 4) AS max_coolant, round(min(batt_v), 4) AS min_batt_v, count(*) FILTER (WHERE evt = 'HARSH_BRAKE') AS harsh_brakes,
  count(*) FILTER (WHERE evt = 'IDLE') AS idle_samples, count(*) FILTER (WHERE fault_string IS NOT NULL) AS dtc_events FROM telemetry"""
@@ -219,10 +219,10 @@ SQL = {
     "normalise": f"""WITH {VIN_SQL}, {TELEMETRY_SQL}
         SELECT t.seq, CASE WHEN t.seq % 2 = 0 THEN 'aurora' ELSE 'borealis' END AS oem,
           CASE WHEN t.seq % 250 = 200 THEN replace(vin17, '1HGCM826', '1HGCM82I') ELSE vin17 END AS vin,
-          CASE WHEN t.seq % 2 = 0 THEN epoch_ms(t.ts) ELSE cast(trunc(epoch_ms(t.ts) / 1000e0 * 1000e0) AS bigint) END AS ts_ms,
+          CASE WHEN t.seq % 2 = 0 THEN epoch_us(t.ts) // 1000 ELSE cast(trunc(epoch_us(t.ts) // 1000 / 1000e0 * 1000e0) AS bigint) END AS ts_ms,
           CASE WHEN t.seq % 2 = 0 THEN round(t.value, 3) ELSE round(round(t.value * 1.609344e0, 2), 3) END AS speed_kmh,
           CASE WHEN t.seq % 2 = 0 THEN round(odo_km, 3) ELSE round(round(odo_km * 1.609344e0, 1), 3) END AS odo_km,
-          CASE WHEN t.seq % 2 = 1 AND t.user_id % 3 <> 0 THEN round(round((150 + t.value - 32) * 5 / 9, 1), 2) END AS coolant_c,
+          CASE WHEN t.seq % 2 = 1 AND t.user_id % 3 <> 0 THEN round(round((150 + t.value * 1.00003e0 - 32) * 5 / 9, 1), 2) END AS coolant_c,
           batt_v, CASE WHEN t.seq % 2 = 0 THEN soc_pct END AS soc_pct, evt,
           array_to_string(CASE WHEN t.seq % 2 = 0 THEN CASE WHEN t.seq % 7 = 0 THEN ['P0301', 'C0035'] END ELSE {_DTC} END, ',') AS dtcs
         FROM telemetry t JOIN vins v ON t.seq = v.event_id WHERE {_KIND} = 'ok'""",

@@ -155,7 +155,10 @@ def ingest(stream: DataFrame, tenants: DataFrame, name: str = "ingest") -> dict[
 
 
 def open_parquet(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A Parquet table as a stream, its event time ready for watermarks."""
+    """A Parquet table as a stream, its event time ready for watermarks.
+
+    A stream's path must be a folder or a pattern; the table may be a single file, so it is given as a pattern."""
     schema = spark.read.parquet(path).schema
+    path = f"{path[:-1]}[{path[-1]}]"
     stream = configured(spark).readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
