@@ -52,19 +52,19 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, *, score: str, label: str) -> DataFrame:
-    """Exact area under the ROC curve; tied pairs count half."""
+    """Exact area under the ROC curve; tied pairs count half. Null if a class is absent."""
     g = running_total(_by_score(df, score, label), "s", "neg")
     area = F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2))
-    return g.agg((area / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return g.agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, *, score: str, label: str) -> DataFrame:
-    """Sum over distinct thresholds of recall step times precision."""
+    """Sum over distinct thresholds of recall step times precision. Null without positives."""
     g = _by_score(df, score, label).withColumn("n", F.col("pos") + F.col("neg"))
     g = running_total(g, "s", "pos", descending=True).withColumnRenamed("before", "pos_before")
     g = running_total(g, "s", "n", descending=True)
     precision = (F.col("pos_before") + F.col("pos")) / (F.col("before") + F.col("n"))
-    return g.agg((F.sum(F.col("pos") * precision) / F.sum("pos")).alias("average_precision"))
+    return g.agg(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("average_precision"))
 
 
 def precision_at_k(df: DataFrame, *, score: str, label: str, tie: str, fraction: float = 0.02) -> DataFrame:
@@ -99,18 +99,18 @@ def latency_histogram(df: DataFrame, *, ts: str, seconds: Column, group: str = "
         rank, chain = F.lit(q) * F.col("n"), None
         for k, edge in enumerate(EDGES):
             low, below = (EDGES[k - 1], F.col(f"le{k - 1}")) if k else (0.0, F.lit(0))
-            value = F.lit(low) + (edge - low) * (rank - below) / (F.col(f"le{k}") - below)
+            value = F.lit(low) + F.try_divide((edge - low) * (rank - below), F.col(f"le{k}") - below)
             chain = F.when(F.col(f"le{k}") >= rank, value) if chain is None else chain.when(F.col(f"le{k}") >= rank, value)
         return chain.otherwise(EDGES[-1])
 
-    return sums.select("period", "n", (F.col("total") / F.col("n")).alias("mean"), *[quantile(q).alias(f"p{round(q * 100)}") for q in quantiles])
+    return sums.select("period", "n", F.try_divide("total", "n").alias("mean"), *[quantile(q).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
 def reconcile(sent: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame:
     """One row: distinct keys sent, written, missing and unexpected, and the missing share."""
     a, b = sent.select(*keys).distinct().withColumn("_a", F.lit(1)), written.select(*keys).distinct().withColumn("_b", F.lit(1))
     sums = a.join(b, keys, "full").agg(F.count("_a").alias("sent"), F.count("_b").alias("written"), F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("unexpected"))
-    return sums.withColumn("missing_share", F.when(F.col("sent") > 0, F.col("missing") / F.col("sent")).otherwise(0.0))
+    return sums.withColumn("missing_share", F.coalesce(F.try_divide("missing", "sent"), F.lit(0.0)))
 
 
 def soak_summary(df: DataFrame, *, order: str, value: str) -> DataFrame:

@@ -34,7 +34,7 @@ def features(rollup: DataFrame, vehicles: DataFrame, *, as_of, as_of_year: int)
     return vehicles.join(week, "vin").select(
         "vin",
         "tenant_id",
-        ((F.col("odo") - F.col("last_service_odo_km")) / F.col("service_interval_km")).alias("service_overdue_ratio"),
+        F.try_divide(F.col("odo") - F.col("last_service_odo_km"), F.col("service_interval_km").cast("double")).alias("service_overdue_ratio"),
         (F.lit(as_of_year) - F.col("model_year")).cast("double").alias("vehicle_age_yrs"),
         (F.col("odo") / 10000).alias("odo_10k_km"),
         F.coalesce("hot", F.lit(0.0)).alias("max_coolant_7d"),
