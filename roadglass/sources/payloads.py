@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,51 +21,43 @@ EVENT = (
 )
 
 
-#: Every path that a format reads, as text: one parse of the payload serves all fields, and a value that does not fit
-#: its type can be told from one that is missing.
+#: Every path that a format reads, typed: one parse serves all fields.
 PAYLOAD = (
-    "vin string, ts string, seq string, lat string, lon string, speed_kmh string, odo_km string, soc_pct string, fuel_pct string, coolant_c string, batt_v string, evt string, dtc string, "
-    "vehicleId string, epoch string, counter string, position struct<latitude:string,longitude:string>, "
-    "signals struct<speedMph:string,odometerMi:string,batteryPct:string,fuelPct:string,lvBatteryVolts:string,coolantTempF:string>, eventType string, faultString string"
+    "vin string, ts string, seq long, lat double, lon double, speed_kmh double, odo_km double, soc_pct double, fuel_pct double, coolant_c double, batt_v double, evt string, dtc string, "
+    "vehicleId string, epoch double, counter long, position struct<latitude:double,longitude:double>, "
+    "signals struct<speedMph:double,odometerMi:double,batteryPct:double,fuelPct:double,lvBatteryVolts:double,coolantTempF:double>, eventType string, faultString string"
 )
 
 
-def _at(path: str) -> Callable[[Column], Column]:
-    def field(v: Column) -> Column:
-        for name in path.split("."):
-            v = v[name]
-        return v
-
-    return field
-
-
-def _number(path: str, kind: str = "double") -> Callable[[Column], Column]:
-    return lambda v: _at(path)(v).try_cast(kind)
+#: Gives the value at a path of the payload, in the type that PAYLOAD states.
+Get = Callable[[str], Column]
 
 
 @dataclass(frozen=True)
 class Format:
-    """A maker's format: the keys whose presence marks it, an expression for each canonical field, and the raw paths
-    whose values must fit a number where they are given."""
+    """A maker's format: the keys whose presence marks it, an expression for each canonical field, where its fault
+    codes are, and the numeric paths it reads."""
 
     name: str
     keys: tuple[str, ...]
-    fields: dict[str, Callable[[Column], Column]]
-    faults: Callable[[Column], Column]
+    fields: dict[str, Callable[[Get], Column]]
+    faults: str
     numbers: tuple[str, ...]
 
 
+def _plain(path: str) -> Callable[[Get], Column]:
+    return lambda get: get(path)
+
+
 FLAT = Format(
     "aurora",
     ("vin", "ts", "speed_kmh"),
     {
-        "vin": lambda v: F.upper(_at("vin")(v)),
-        "ts_ms": lambda v: F.unix_millis(F.try_to_timestamp(_at("ts")(v))),
-        "seq": _number("seq", "long"),
-        **{c: _number(c) for c in ("lat", "lon", "speed_kmh", "odo_km", "soc_pct", "fuel_pct", "coolant_c", "batt_v")},
-        "evt": _at("evt"),
+        "vin": lambda get: F.upper(get("vin")),
+        "ts_ms": lambda get: F.unix_millis(F.try_to_timestamp(get("ts"))),
+        **{c: _plain(c) for c in ("seq", "lat", "lon", "speed_kmh", "odo_km", "soc_pct", "fuel_pct", "coolant_c", "batt_v", "evt")},
     },
-    _at("dtc"),
+    "dtc",
     ("seq", "lat", "lon", "speed_kmh", "odo_km", "soc_pct", "fuel_pct", "coolant_c", "batt_v"),
 )
 
@@ -71,20 +65,20 @@ NESTED = Format(
     "borealis",
     ("vehicleId", "position"),
     {
-        "vin": lambda v: F.upper(_at("vehicleId")(v)),
-        "ts_ms": lambda v: (_number("epoch")(v) * 1000).try_cast("long"),
-        "seq": _number("counter", "long"),
-        "lat": _number("position.latitude"),
-        "lon": _number("position.longitude"),
-        "speed_kmh": lambda v: F.round(F.coalesce(_number("signals.speedMph")(v), F.lit(0.0)) * MILE_KM, 2),
-        "odo_km": lambda v: F.round(F.coalesce(_number("signals.odometerMi")(v), F.lit(0.0)) * MILE_KM, 1),
-        "soc_pct": _number("signals.batteryPct"),
-        "fuel_pct": _number("signals.fuelPct"),
-        "coolant_c": lambda v: F.round((_number("signals.coolantTempF")(v) - 32) * 5 / 9, 1),
-        "batt_v": _number("signals.lvBatteryVolts"),
-        "evt": _at("eventType"),
+        "vin": lambda get: F.upper(get("vehicleId")),
+        "ts_ms": lambda get: (get("epoch") * 1000).try_cast("long"),
+        "seq": _plain("counter"),
+        "lat": _plain("position.latitude"),
+        "lon": _plain("position.longitude"),
+        "speed_kmh": lambda get: F.round(F.coalesce(get("signals.speedMph"), F.lit(0.0)) * MILE_KM, 2),
+        "odo_km": lambda get: F.round(F.coalesce(get("signals.odometerMi"), F.lit(0.0)) * MILE_KM, 1),
+        "soc_pct": _plain("signals.batteryPct"),
+        "fuel_pct": _plain("signals.fuelPct"),
+        "coolant_c": lambda get: F.round((get("signals.coolantTempF") - 32) * 5 / 9, 1),
+        "batt_v": _plain("signals.lvBatteryVolts"),
+        "evt": _plain("eventType"),
     },
-    _at("faultString"),
+    "faultString",
     ("epoch", "counter", "position.latitude", "position.longitude", "signals.speedMph", "signals.odometerMi", "signals.batteryPct", "signals.fuelPct", "signals.coolantTempF", "signals.lvBatteryVolts"),
 )
 
@@ -92,41 +86,60 @@ NESTED = Format(
 FORMATS = [FLAT, NESTED]
 
 
+def _at(v: Column, path: str) -> Column:
+    for name in path.split("."):
+        v = v[name]
+    return v
+
+
 def normalise(raw: DataFrame, value_col: str = "value", formats: list[Format] | None = None, payload: str = PAYLOAD) -> DataFrame:
     """`raw` with the canonical fields, `dtcs` (null if there are none), `oem` and `reject_reason` (null if it is good).
 
     A format is known by the presence of its keys, null values included; the first match wins. `payload` lists all
-    paths that the formats read."""
+    paths that the formats read. Rows that fit the types are parsed once; only those that do not are parsed again as
+    text, to take numbers written as strings and to name what is wrong with others. Parsing and building stand in
+    generators, so that no filter above is pushed below them and does the work again."""
     formats = formats or FORMATS
-    columns = raw.columns
-    # parsed in a generator, so that no filter above is pushed below it and parses the payload again for each field
-    once = F.struct(F.from_json(F.col(value_col), payload).alias("payload"), F.json_object_keys(F.col(value_col)).alias("keys"))
-    raw = raw.select("*", F.explode(F.array(once)).alias("_json"))
-    value, keys = F.col("_json.payload"), F.col("_json.keys")
-    has = lambda f: F.coalesce(F.size(F.array_intersect(keys, F.array(*map(F.lit, f.keys)))) == len(f.keys), F.lit(False))
-
-    def choose(pick: Callable[[Format], Column]) -> Column:
-        chain = None
-        for f in formats:
-            chain = F.when(F.col("oem") == f.name, pick(f)) if chain is None else chain.when(F.col("oem") == f.name, pick(f))
-        return chain
-
-    kind = None
+    columns, v, mended = [F.col(f"`{c}`") for c in raw.columns], F.col("_payload"), F.col("_mended")
+    numbers = list(dict.fromkeys(p for f in formats for p in f.numbers))
+    as_text = re.sub(r"\b(double|long)\b", "string", payload)
+    parsed = F.from_json(F.col(value_col), f"{payload}, _unfit string", {"columnNameOfCorruptRecord": "_unfit"})
+
+    def mend(t: Column) -> Column:
+        values = [_at(t, p).try_cast("double") for p in numbers]
+        misfits = [F.when(_at(t, p).isNotNull() & x.isNull(), F.lit(p)) for p, x in zip(numbers, values, strict=True)]
+        return F.struct(F.array(*values).alias("numbers"), F.array_compact(F.array(*misfits)).alias("misfits"))
+
+    raw = raw.select(*columns, F.explode(F.array(parsed)).alias("_payload"))
+    again = F.when(v["_unfit"].isNotNull(), F.transform(F.array(F.from_json(F.col(value_col), as_text)), mend)[0])
+    raw = raw.select(*columns, "_payload", F.explode(F.array(again)).alias("_mended"))
+
+    def get(path: str) -> Column:
+        return F.coalesce(_at(v, path), mended["numbers"][numbers.index(path)].try_cast("long" if path in ("seq", "counter") else "double")) if path in numbers else _at(v, path)
+
+    def has(f: Format) -> Column:
+        given = reduce(lambda a, b: a & b, [_at(v, k).isNotNull() for k in f.keys])
+        named = F.size(F.array_intersect(F.json_object_keys(F.col(value_col)), F.array(*map(F.lit, f.keys)))) == len(f.keys)
+        return F.when(given, F.lit(True)).otherwise(F.coalesce(named, F.lit(False)))
+
+    def event(f: Format) -> Column:
+        return F.struct(F.lit(f.name).alias("oem"), *[f.fields[name](get).cast(kind).alias(name) for name, kind, _ in EVENT], get(f.faults).alias("faults"))
+
+    chain = None
     for f in formats:
-        kind = F.when(has(f), f.name) if kind is None else kind.when(has(f), f.name)
-    known = raw.withColumn("oem", kind)
-    out = known.withColumns({name: choose(lambda f, n=name: f.fields[n](value)) for name, _, _ in EVENT})
-    codes = fault_codes(choose(lambda f: f.faults(value)))
-    misfit = choose(lambda f: F.filter(F.array(*[F.when(_at(p)(value).isNotNull() & _at(p)(value).try_cast("double").isNull(), F.lit(p)) for p in f.numbers]), lambda x: x.isNotNull()))
-    missing = F.filter(F.array(*[F.when(F.col(name).isNull(), F.lit(name)) for name, _, must in EVENT if must]), lambda x: x.isNotNull())
+        chain = F.when(has(f), event(f)) if chain is None else chain.when(has(f), event(f))
+    built = raw.select(*columns, mended["misfits"].alias("_misfits"), F.explode(F.array(chain)).alias("_event"))
+    e = F.col("_event")
+    misfit = F.array_join(F.col("_misfits"), ",")
+    missing = F.concat_ws(",", *[F.when(e[name].isNull(), F.lit(name)) for name, _, must in EVENT if must])
     reason = (
-        F.when(keys.isNull(), "json")
-        .when(F.col("oem").isNull(), "format")
-        .when(F.size(misfit) > 0, F.concat(F.lit("type:"), F.array_join(misfit, ",")))
-        .when(F.size(missing) > 0, F.concat(F.lit("schema:"), F.array_join(missing, ",")))
+        F.when(e.isNull() & F.json_object_keys(F.col(value_col)).isNull(), "json")
+        .when(e.isNull(), "format")
+        .when(misfit != "", F.concat(F.lit("type:"), misfit))
+        .when(missing != "", F.concat(F.lit("schema:"), missing))
     )
-    done = out.withColumn("dtcs", F.when(F.size(codes) > 0, codes)).withColumn("reject_reason", F.left(reason, F.lit(200)))
-    return done.select(*columns, "oem", *[name for name, _, _ in EVENT], "dtcs", "reject_reason")
+    codes = fault_codes(e["faults"])
+    return built.select(*columns, e["oem"].alias("oem"), *[e[name].alias(name) for name, _, _ in EVENT], F.when(F.size(codes) > 0, codes).alias("dtcs"), F.left(reason, F.lit(200)).alias("reject_reason"))
 
 
 def enrich(events: DataFrame, tenants: DataFrame, check_vin: bool = True) -> DataFrame:

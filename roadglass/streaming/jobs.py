@@ -38,12 +38,11 @@ def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int, st
 
 
 def run_latest(stream: DataFrame, name: str, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run an updating stream to the end and return the last row of each key."""
-    schema = stream.schema
-    at = run_batches(stream, name, lambda batch, k, to: batch.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{to}/rows/_k={k}".replace("_k", "k")), mode)
-    rows = stream.sparkSession.read.schema(schema.add("_batch", "long") if "_batch" not in schema.names else schema).parquet(f"{at}/rows/*")
-    rest = [c for c in rows.columns if c not in (*keys, "_batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+    """Run an updating stream to the end and return the last row of each key. A batch that runs again replaces its folder."""
+    at = run_batches(stream, name, lambda batch, k, to: batch.write.mode("overwrite").parquet(f"{to}/rows/batch={k}"), mode)
+    rows = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(f"{at}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
 def dedup(stream: DataFrame, keys: list[str], *, ts: str = "ts", delay: str = "1 day") -> DataFrame:
