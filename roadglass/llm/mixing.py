@@ -10,7 +10,6 @@ column expression over a document's posterior, so rates are never collected, sto
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -49,23 +48,26 @@ class Mixture:
         texts = docs.withColumn("_mix_words", _tokens(whole_text(text_col))).withColumn("_mix_tokens", F.size("_mix_words").cast("long"))
         if self.classifier is None:
             return texts.drop("_mix_words").withColumn("_mix_p", F.array(*[F.lit(1.0)] * len(self.domains)))
-        scored = self.classifier.transform(texts).withColumn("_mix_p", vector_to_array("_mix_prob"))
-        return scored.drop("_mix_words", "_mix_x", "_mix_raw", "_mix_prob", "_mix_best")
+        scored = self.classifier.transform(texts).drop("_mix_words", "_mix_x", "_mix_raw", "_mix_best")
+        # given out by a generator: what is computed from it above does not pull the classifier in once more
+        return scored.select("*", F.explode(F.array(vector_to_array("_mix_prob"))).alias("_mix_p")).drop("_mix_prob")
 
     def rate(self) -> Column:
-        """The rate after all steps, from _mix_p. Each step uses the one before once, so the expression grows linearly."""
-        p = [F.col("_mix_p")[k] for k in range(len(self.domains))]
+        """The rate after all steps, from _mix_p: a fold over the steps' gradients, of one size however many there are."""
+        start = F.lit(float(min(max(1.0, self.min_rate), self.max_rate)))
+        if not self.steps:
+            return start
 
-        def step(rate: Column, g: list[float]) -> Column:
-            moved = rate - reduce(lambda a, b: a + b, [p[k] * F.lit(float(g[k])) for k in range(len(p))])
-            return F.least(F.greatest(moved, F.lit(self.min_rate)), F.lit(self.max_rate))
+        def step(rate: Column, g: Column) -> Column:
+            move = F.aggregate(F.zip_with("_mix_p", g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
+            return F.least(F.greatest(rate - move, F.lit(float(self.min_rate))), F.lit(float(self.max_rate)))
 
-        return reduce(step, self.steps, F.lit(1.0))
+        return F.aggregate(F.array(*[F.lit(g) for g in self.steps]), start, step)
 
     def copies(self, id_col: str) -> Column:
         """How often a document is taken: the rate, its fraction settled by a hash of id and token count."""
         u = F.pmod(F.xxhash64(F.lit(0x3117), F.col(id_col), F.col("_mix_tokens")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        return (F.floor("_mix_rate") + (u < F.col("_mix_rate") - F.floor("_mix_rate")).cast("long")).cast("int")
+        return F.floor(F.col("_mix_rate") + u).cast("int")
 
 
 def fit_classifier(docs: DataFrame, domains: list[tuple[str, int]], *, domain_col: str, text_col: str, rows_each: int = ROWS_EACH) -> PipelineModel | None:
@@ -121,10 +123,13 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # least squares in the domains' relative errors: rows scaled to unit length, variables by the root of their tokens
     unit = 1 / np.maximum(np.diag(gram), 1e-9)
     size = np.linalg.eigvalsh(np.sqrt(unit)[:, None] * gram * np.sqrt(unit)[None, :]).max()
-    reached = totals
+    start = min(max(1.0, min_rate), max_rate)
+    reached, before = totals * start, np.inf
     for _ in range(max_steps):
-        if np.abs(reached - goal).max() <= tolerance * goal.sum():
+        gap = np.abs(reached - goal).max()
+        if gap <= tolerance * goal.sum() or gap > 0.99 * before:  # met, or as near as the bounds allow
             break
+        before = gap
         mixture.steps.append(((reached - goal) * unit / size).tolist())
         reached = np.array(known.select(mixture.rate().alias("_r"), *[x.alias(f"s{k}") for k, x in enumerate(share)]).select(*[F.sum(F.col("_r") * F.col(f"s{k}")) for k in many]).first())
     return mixture, known
@@ -147,5 +152,4 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **op
     mixture, _ = fit_mixture(docs, id_col=id_col, text_col=text_col, **options)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rated = mixture.posteriors(docs, text_col).withColumn("_mix_rate", mixture.rate()).withColumn("_mix_copies", mixture.copies(id_col))
-    taken = rated.filter("_mix_copies > 0").withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return taken.select(*columns)
+    return rated.select(*columns, F.explode(F.array_repeat(F.lit(True), F.col("_mix_copies"))).alias("_mix_nth")).drop("_mix_nth")
