@@ -32,9 +32,9 @@ GRAM = 48
 #: Grams in a window.
 SPAN = LENGTH - GRAM + 1
 #: Bytes handled at once in a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Distinct fragments of one gram that a task sorts; beyond, windows are counted.
-SORTED = 20_000
+SORTED = 4_000
 HEAVY = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
