@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadglass.llm.common import cut, keep_rows
+from roadglass.llm.common import cut, keep_rows, row_keyed
 from roadglass.llm.exact_dedup import exact_dedup
 from roadglass.llm.mixing import mix
 from roadglass.llm.pieces import encode_pieces
@@ -23,14 +23,20 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id. Rows that repeat a doc_id stay or go together."""
-    return keep_rows(docs, exact_dedup(docs).filter("kept"))
+    """Of equal texts one row: that with the largest doc_id (null the smallest), of rows that repeat it one of them."""
+    rows, key = row_keyed(docs)
+    paired = rows.withColumn("_pair", F.struct(F.col("doc_id").alias("id"), F.col(key).alias("key")))
+    kept = exact_dedup(paired, id_col="_pair").filter("kept").select(F.col("_pair.key").alias(key))
+    return keep_rows(rows, kept, key).drop(key)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id."""
-    linked = simhash_components(docs)
-    return keep_rows(docs, linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of linked fingerprints one row: that with the smallest doc_id, a null only if all are null."""
+    rows, key = row_keyed(docs)
+    paired = rows.withColumn("_pair", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key")))
+    linked = simhash_components(paired, id_col="_pair")
+    kept = linked.filter(F.col("_pair.key") == F.col("component_id.key")).select(F.col("_pair.key").alias(key))
+    return keep_rows(rows, kept, key).drop(key)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,14 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return joined.drop(h, *[f"_r_{k}" for k in [*keys, h]])
 
 
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` written with one more column that tells all rows apart, repeated and null ids too, and its name."""
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    return cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs`, all columns, whose id is in `kept`; a null id matches a null id."""
     ids = kept.select(F.col(id_col).alias("_kept_id"))

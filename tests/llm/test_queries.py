@@ -107,3 +107,15 @@ def test_stages_keep_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() > 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_choose_one_of_repeated_rows_and_null_ids(spark):
+    # repeated rows, null ids that copy one text and differ in another, and a group of nulls only
+    alone, other = "one " * 30 + "alone", "quite another text " * 9
+    rows = [(5, "same"), (5, "same"), (3, "SAME"), (None, "same"), (None, alone), (None, alone), (7, other), (7, other), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    single = corpus_pipeline.drop_copies(spark, docs, SF)
+    want = [(5, "same"), (7, other), (None, alone)]
+    assert sorted(map(tuple, single.collect()), key=str) == sorted(want, key=str)
+    near = corpus_pipeline.drop_near_copies(spark, docs.filter("text <> 'SAME'"), SF)
+    assert sorted(map(tuple, near.collect()), key=str) == sorted(want, key=str)
