@@ -16,11 +16,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, whole_text
+from .common import cut, hash128, whole_text
 
-#: Rows of each domain that the classifier is fitted on, about.
+#: Distinct texts of each domain that the classifier is fitted on, at most.
 ROWS_EACH = 2_000
 #: More domains than this are refused: the gradient's sums come back to the driver.
 MAX_DOMAINS = 256
@@ -70,16 +70,40 @@ class Mixture:
         return F.floor(F.col("_mix_rate") + u).cast("int")
 
 
+def training_sample(docs: DataFrame, *, domain_col: str, text_col: str, rows_each: int = ROWS_EACH) -> DataFrame:
+    """(domain, weight, text): at most `rows_each` distinct texts of each domain, weights adding up to its rows.
+
+    A text that makes up more than one in `rows_each` of its domain's rows is taken for certain, with its count as
+    weight; the rest of the places go to other texts by hash, which share the remaining rows by their counts."""
+    h1, h2 = hash128(F.col("text"))
+    texts = docs.select(F.col(domain_col).cast("string").alias("domain"), whole_text(text_col).alias("text")).filter(F.col("domain").isNotNull())
+    keyed = texts.select("domain", h1.alias("h1"), h2.alias("h2"), "text")
+    counts = cut(keyed.groupBy("domain", "h1", "h2").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    sizes = counts.groupBy("domain").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("texts"))
+    # at most MAX_DOMAINS rows
+    placed = counts.join(F.broadcast(sizes), "domain").withColumn("sure", (F.col("texts") <= rows_each) | (F.col("n") * rows_each > F.col("rows")))
+    sure = placed.filter("sure")
+    held = sure.groupBy("domain").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("held_rows"))
+    light = placed.filter("NOT sure").join(F.broadcast(held), "domain", "left").na.fill(0, ["held", "held_rows"])
+    places = F.lit(rows_each) - F.col("held")
+    # thinned by hash to some more than there are places for, then exactly that many, so that no task orders a whole domain
+    few = F.pmod("h1", F.lit(1 << 30)) < (places + 6 * F.sqrt(places) + 20) / (F.col("texts") - F.col("held")) * (1 << 30)
+    order = Window.partitionBy("domain").orderBy(F.pmod("h1", F.lit(1 << 30)), "h1", "h2")
+    picked = light.filter(few).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= places)
+    shared = (F.col("rows") - F.col("held_rows")) / F.sum("n").over(Window.partitionBy("domain"))
+    columns = ["domain", "h1", "h2"]
+    chosen = cut(sure.select(*columns, F.col("n").cast("double").alias("weight")).unionByName(picked.select(*columns, (F.col("n") * shared).alias("weight"))), "mix-chosen")
+    # at most MAX_DOMAINS x rows_each rows of 40 bytes; one text stands for its copies
+    found = keyed.join(F.broadcast(chosen), columns).groupBy(*columns).agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
+    return found.select("domain", "weight", "text")
+
+
 def fit_classifier(docs: DataFrame, domains: list[tuple[str, int]], *, domain_col: str, text_col: str, rows_each: int = ROWS_EACH) -> PipelineModel | None:
     """Multinomial logistic regression over hashed words; None if there is but one domain."""
     if len(domains) < 2:
         return None
     names = [d for d, _ in domains]
-    share = F.create_map(*[F.lit(x) for d, n in domains for x in (d, min(1.0, rows_each / n))])
-    domain = F.col(domain_col).cast("string")
-    texts = docs.select(domain.alias("domain"), whole_text(text_col).alias("text")).filter(F.col("domain").isNotNull())
-    picked = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("domain")] * (1 << 20))
-    sample = cut(picked.select("domain", (1 / share[F.col("domain")]).alias("weight"), _tokens(F.col("text")).alias("_mix_words")), "mix-sample")
+    sample = cut(training_sample(docs, domain_col=domain_col, text_col=text_col, rows_each=rows_each).select("domain", "weight", _tokens(F.col("text")).alias("_mix_words")), "mix-sample")
     index = StringIndexerModel.from_labels(names, inputCol="domain", outputCol="label", handleInvalid="error")
     hashing = HashingTF(inputCol="_mix_words", outputCol="_mix_x", numFeatures=FEATURES, binary=True)
     learner = LogisticRegression(featuresCol="_mix_x", weightCol="weight", regParam=1e-3, maxIter=30, family="multinomial", rawPredictionCol="_mix_raw", probabilityCol="_mix_prob", predictionCol="_mix_best")

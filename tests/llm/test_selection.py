@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from roadglass.llm.license_scan import license_scan
-from roadglass.llm.mixing import fit_mixture, mix, mixing_rates
+from roadglass.llm.mixing import fit_mixture, mix, mixing_rates, training_sample
 from roadglass.llm.pieces import Pieces, decode_pieces, encode_pieces
 from roadglass.llm.quality_model import fit_ordinal, features, keep_good, quality_grades, train
 from roadglass.llm.quality_rules import quality_rules, text_counts
@@ -163,6 +163,16 @@ def test_mixture_edges(spark):
     assert sorted((r["doc_id"] for r in mix(table(spark, rows)).collect()), key=str) == [1, 2, 3, 3, None]
 
 
+def test_training_sample_with_a_hot_text_and_a_language_of_few_texts(spark):
+    rows = [(k, f"own words {k}", "en") for k in range(2000)] + [(5000 + k, "hot", "en") for k in range(1000)] + [(9000 + k, f"kopia {k % 2}", "sv") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = training_sample(docs, domain_col="lang", text_col="text", rows_each=50).collect()
+    assert len(got) == len({(r["domain"], r["text"]) for r in got}) == 52
+    weight = {(r["domain"], r["text"]): r["weight"] for r in got}
+    assert weight["en", "hot"] == 1000 and weight["sv", "kopia 0"] == weight["sv", "kopia 1"] == 300
+    assert abs(sum(w for (d, _), w in weight.items() if d == "en") - 3000) < 1e-6
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
