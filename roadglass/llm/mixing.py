@@ -9,6 +9,7 @@ column expression over a document's posterior, so rates are never collected, sto
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +26,8 @@ ROWS_EACH = 2_000
 #: More domains than this are refused: the gradient's sums come back to the driver.
 MAX_DOMAINS = 256
 FEATURES = 1 << 12
+#: So many steps that together take less than a hundredth off the largest gap end the fit.
+STALL = 5
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -40,8 +43,17 @@ class Mixture:
     classifier: PipelineModel | None
     targets: dict[str, float]
     min_rate: float
-    max_rate: float
+    max_rate: float | None = None
     steps: list[list[float]] = field(default_factory=list)
+    reached: dict[str, float] = field(default_factory=dict)
+
+    def bounded(self, rate: Column) -> Column:
+        low = F.greatest(rate, F.lit(float(self.min_rate)))
+        return low if self.max_rate is None else F.least(low, F.lit(float(self.max_rate)))
+
+    def start(self) -> float:
+        """The rate before any step."""
+        return float(max(1.0, self.min_rate) if self.max_rate is None else min(max(1.0, self.min_rate), self.max_rate))
 
     def posteriors(self, docs: DataFrame, text_col: str) -> DataFrame:
         """`docs` with _mix_tokens and _mix_p, the posterior of each domain."""
@@ -54,13 +66,13 @@ class Mixture:
 
     def rate(self) -> Column:
         """The rate after all steps, from _mix_p: a fold over the steps' gradients, of one size however many there are."""
-        start = F.lit(float(min(max(1.0, self.min_rate), self.max_rate)))
+        start = F.lit(self.start())
         if not self.steps:
             return start
 
         def step(rate: Column, g: Column) -> Column:
             move = F.aggregate(F.zip_with("_mix_p", g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-            return F.least(F.greatest(rate - move, F.lit(float(self.min_rate))), F.lit(float(self.max_rate)))
+            return self.bounded(rate - move)
 
         return F.aggregate(F.array(*[F.lit(g) for g in self.steps]), start, step)
 
@@ -116,12 +128,16 @@ def tempered(totals: np.ndarray, power: float) -> np.ndarray:
     return w / w.sum() if w.sum() else w
 
 
-def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", targets: dict[str, float] | None = None, power: float = 0.7, min_rate: float = 0.0, max_rate: float = 8.0, scale: float | None = None, max_steps: int = 30, tolerance: float = 1e-4) -> tuple[Mixture, DataFrame]:
+def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", targets: dict[str, float] | None = None, power: float = 0.7, min_rate: float = 0.0, max_rate: float | None = None, scale: float | None = None, max_steps: int = 100, tolerance: float = 1e-3) -> tuple[Mixture, DataFrame]:
     """The mixture and the table it was fitted on: id, _mix_tokens, _mix_p for every document.
 
     `targets` are domain weights (default: the domains' expected token totals to the power `power`), scaled to sum to
     one; expected totals shall be target x scale x all tokens. The default scale is the least at which no domain has
-    to shrink, so with min_rate 1 no document is lost. Documents of null domain are not learnt from but take part."""
+    to shrink, so with min_rate 1 no document is lost. Documents of null domain are not learnt from but take part.
+
+    Steps end when every domain is within `tolerance` of its own target, or when the largest of these gaps
+    no longer shrinks; where targets are missed then, a warning names them. `reached` has the totals
+    either way. Rates have no upper bound unless `max_rate` gives one."""
     counts = docs.groupBy(F.col(domain_col).cast("string").alias("d")).count().filter("d IS NOT NULL").orderBy("d").limit(MAX_DOMAINS + 1).collect()
     if len(counts) > MAX_DOMAINS:
         raise ValueError(f"over {MAX_DOMAINS} domains")
@@ -147,27 +163,36 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # least squares in the domains' relative errors: rows scaled to unit length, variables by the root of their tokens
     unit = 1 / np.maximum(np.diag(gram), 1e-9)
     size = np.linalg.eigvalsh(np.sqrt(unit)[:, None] * gram * np.sqrt(unit)[None, :]).max()
-    start = min(max(1.0, min_rate), max_rate)
-    reached, before = totals * start, np.inf
-    for _ in range(max_steps):
-        gap = np.abs(reached - goal).max()
-        if gap <= tolerance * goal.sum() or gap > 0.99 * before:  # met, or as near as the bounds allow
+    reached, gaps = totals * mixture.start(), []
+    for _ in range(max_steps + 1):
+        off = np.abs(reached - goal)
+        if (off <= tolerance * goal).all():
+            break
+        gaps.append(float((off / np.maximum(goal, 1e-9)).max()))
+        if len(mixture.steps) == max_steps or len(gaps) > STALL and gaps[-1] > 0.99 * gaps[-1 - STALL]:
             break
-        before = gap
         mixture.steps.append(((reached - goal) * unit / size).tolist())
-        reached = np.array(known.select(mixture.rate().alias("_r"), *[x.alias(f"s{k}") for k, x in enumerate(share)]).select(*[F.sum(F.col("_r") * F.col(f"s{k}")) for k in many]).first())
+        sums = known.select(mixture.rate().alias("_r"), *[x.alias(f"s{k}") for k, x in enumerate(share)]).select(*[F.sum(F.col("_r") * F.col(f"s{k}")) for k in many]).first()
+        reached = np.array(sums)
+    mixture.reached = dict(zip(names, reached.tolist(), strict=True))
+    missed = {d: (mixture.reached[d], mixture.targets[d]) for d, o, g in zip(names, off, goal, strict=True) if o > tolerance * g}
+    if missed:
+        warnings.warn(f"targets not met after {len(mixture.steps)} steps (reached, wanted): {missed}", stacklevel=2)
     return mixture, known
 
 
 def mixing_rates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row for each input row: id, tokens, domain (the likeliest), rate, copies.
+    """One row for each input row: id, tokens, domain (the likeliest), rate, copies, and the token totals that were
+    wanted for that domain and that the rates reach in expectation.
 
     Null text has no tokens. Null ids are rows like any other; repeated rows get the same rate and copies. Without any
     token every rate is 1. An empty table gives an empty result. Options are those of fit_mixture."""
     mixture, known = fit_mixture(docs, id_col=id_col, **options)
     best = F.array_position("_mix_p", F.array_max("_mix_p")).cast("int")
     rated = known.withColumn("_mix_rate", mixture.rate())
-    return rated.select(id_col, F.col("_mix_tokens").alias("tokens"), F.element_at(F.array(*map(F.lit, mixture.domains)), best).alias("domain"), F.round("_mix_rate", 9).alias("rate"), mixture.copies(id_col).alias("copies"))
+    named = lambda values: F.element_at(F.array(*map(F.lit, values)), best)
+    totals = [named([float(t.get(d, 0.0)) for d in mixture.domains]).alias(c) for c, t in (("wanted_tokens", mixture.targets), ("reached_tokens", mixture.reached))]
+    return rated.select(id_col, F.col("_mix_tokens").alias("tokens"), named(mixture.domains).alias("domain"), F.round("_mix_rate", 9).alias("rate"), mixture.copies(id_col).alias("copies"), *totals)
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

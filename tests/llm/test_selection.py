@@ -163,6 +163,22 @@ def test_mixture_edges(spark):
     assert sorted((r["doc_id"] for r in mix(table(spark, rows)).collect()), key=str) == [1, 2, 3, 3, None]
 
 
+def _speech(rng, words, n):
+    return " ".join(rng.choice(words, n))
+
+
+def test_mixture_meets_the_target_of_a_rare_language(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, _speech(rng, ["the", "and", "of", "road"], 2000), "en") for k in range(400)] + [(1000 + k, _speech(rng, ["och", "att", "det", "en"], 20), "sv") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    mixture, _ = fit_mixture(docs, min_rate=1.0)
+    assert all(abs(mixture.reached[d] / mixture.targets[d] - 1) <= 0.001 for d in ("en", "sv"))
+    rates = {r["domain"]: r for r in mixing_rates(docs, min_rate=1.0).collect()}
+    assert rates["sv"]["rate"] > 8 and abs(rates["sv"]["reached_tokens"] / rates["sv"]["wanted_tokens"] - 1) <= 0.001
+    with pytest.warns(UserWarning, match="not met"):
+        fit_mixture(docs, min_rate=1.0, max_rate=8.0)
+
+
 def test_training_sample_with_a_hot_text_and_a_language_of_few_texts(spark):
     rows = [(k, f"own words {k}", "en") for k in range(2000)] + [(5000 + k, "hot", "en") for k in range(1000)] + [(9000 + k, f"kopia {k % 2}", "sv") for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
