@@ -6,34 +6,44 @@ from pyspark.sql import functions as F
 
 from ..functions.vehicle import fault_codes
 from ..streaming import jobs
-from .bindings import TELEMETRY, TELEMETRY_SQL, payloads, view
+from .bindings import TELEMETRY, TELEMETRY_SQL, payloads, read, view
 from .events import LIMITS, SQL as EVENT_SQL, _tenants
 
 
-def _stream(spark, sf):
-    t = view(jobs.open_parquet(spark, f"{sf}/events.parquet"), TELEMETRY)
+def _viewed(events):
+    t = view(events, TELEMETRY)
     codes = fault_codes(F.col("fault_string"))
     return t.withColumn("dtcs", F.when(F.size(codes) > 0, codes)).withColumn("ts_ms", F.unix_millis("ts"))
 
 
+def _stream(spark, sf):
+    return _viewed(jobs.open_parquet(spark, f"{sf}/events.parquet"))
+
+
+def _table(spark, sf):
+    """What _stream gives, to be fed in an order of its own."""
+    return _viewed(read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 def stream_dedup(spark, sf):
     """Every 97th event is delivered twice; each is kept once."""
     s = _stream(spark, sf).select("vin", "seq", "ts")
     twice = s.withColumn("_copy", F.explode(F.when(F.col("seq") % 97 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_copy")
-    return jobs.run_append(jobs.dedup(twice, ["vin", "seq"], delay="40 days"), "dedup").select("vin", "seq")
+    return jobs.run_append(jobs.dedup(twice, ["vin", "seq"], delay=None), "dedup").select("vin", "seq")
 
 
 def stream_late_flags(spark, sf):
-    s = _stream(spark, sf).withColumn("arrival", F.expr("seq + case when seq % 50 = 0 then 1200 else 0 end"))
-    return jobs.run_append(jobs.late_flags(s), "late").select("seq", "is_late")
+    t = _table(spark, sf).withColumn("arrival", F.expr("seq + case when seq % 50 = 0 then 1200 else 0 end"))
+    return jobs.run_in_order(t.select("vin", "seq", "arrival"), "arrival", "late", jobs.late_flags).select("seq", "is_late")
 
 
 def stream_rules(spark, sf):
-    return jobs.run_append(jobs.window_rules(_stream(spark, sf), LIMITS), "rules").select("vin", "seq", "rule", "severity")
+    t = _table(spark, sf).select("vin", "ts_ms", "seq", "coolant_c", "evt")
+    return jobs.run_in_order(t, "ts_ms", "rules", lambda s: jobs.window_rules(s, LIMITS)).select("vin", "seq", "rule", "severity")
 
 
 def stream_tumbling(spark, sf):
-    w = jobs.tumbling(_stream(spark, sf), seconds=3600, delay="15 seconds")
+    w = jobs.tumbling(_stream(spark, sf), seconds=3600, delay=None)
     return jobs.run_latest(w, "tumbling", ["second"]).select(F.col("second").cast("timestamp_ntz").alias("hour"), "n")
 
 

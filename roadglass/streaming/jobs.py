@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,6 +18,10 @@ from ..sources.payloads import enrich, normalise, split_rejects
 from ..sources.sinks import fresh_rows
 
 
+#: Rows of one range of run_in_order, about.
+ROWS_PER_RANGE = 5_000_000
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
@@ -45,14 +50,34 @@ def run_latest(stream: DataFrame, name: str, keys: list[str], mode: str = "updat
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def dedup(stream: DataFrame, keys: list[str], *, ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Exact deduplication; state is dropped once the watermark has passed."""
+def run_in_order(table: DataFrame, order: str, name: str, job: Callable[[DataFrame], DataFrame], rows_per_range: int | None = None) -> DataFrame:
+    """Feed a table to a job in ranges of the number `order` and return the appended rows.
+
+    A file source takes files as they were modified, which need not be their order of events. Each range is written and
+    run to its end, as one micro-batch, before the next is written; rows of equal `order` are in one range, nulls last."""
+    spark = configured(table.sparkSession)
+    at, parts = folder(spark, name), -(-table.count() // (rows_per_range or ROWS_PER_RANGE))
+    edges = sorted(set(table.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    by, stream = F.col(order), None
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        above = F.lit(True) if low is None else F.coalesce(by > low, F.lit(True))
+        table.filter(above if high is None else above & by.isNotNull() & (by <= high)).write.mode("append").parquet(f"{at}/in")
+        stream = job(spark.readStream.schema(table.schema).parquet(f"{at}/in")) if stream is None else stream
+        stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def dedup(stream: DataFrame, keys: list[str], *, ts: str = "ts", delay: str | None = "1 day") -> DataFrame:
+    """Exact deduplication; state is dropped once the watermark has passed. Without a delay no row is late and all keys are kept."""
+    if delay is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def tumbling(stream: DataFrame, *, ts: str = "ts", seconds: int = 1, delay: str = "15 seconds") -> DataFrame:
-    """Events per tumbling window."""
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("second"), "n")
+def tumbling(stream: DataFrame, *, ts: str = "ts", seconds: int = 1, delay: str | None = "15 seconds") -> DataFrame:
+    """Events per tumbling window. Without a delay (update mode) no event is late and all windows are kept."""
+    timed = stream if delay is None else stream.withWatermark(ts, delay)
+    return timed.groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("second"), "n")
 
 
 def live_state(stream: DataFrame, *, key: str = "vin", seq: str = "seq") -> DataFrame:
@@ -101,16 +126,17 @@ class WindowRules(StatefulProcessor):
         pdf, lim = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable"), self.limits
         held = {k: [(int(t), float(v)) for t, v in s.get()] if s.exists() else [] for k, s in self.held.items()}
         out = []
-        for r in pdf.itertuples(index=False):
-            if pd.notna(r.coolant_c):
-                w = held["coolant"] = [x for x in held["coolant"] if x[0] >= r.ts_ms - lim.overheat_window * 1000] + [(r.ts_ms, r.coolant_c)]
-                mean = sum(v for _, v in w) / len(w)
-                if len(w) >= 2 and mean > lim.overheat_c:
-                    out.append((r.vin, r.ts_ms, r.seq, "OVERHEAT_TREND", 4))
-            if r.evt == "HARSH_BRAKE":
-                w = held["brake"] = [x for x in held["brake"] if x[0] >= r.ts_ms - lim.brake_window * 1000] + [(r.ts_ms, 1.0)]
+        for ts_ms, same in groupby(pdf.itertuples(index=False), lambda r: r.ts_ms):  # rows of equal time see each other
+            same = list(same)
+            hot, brakes = [r for r in same if pd.notna(r.coolant_c)], [r for r in same if r.evt == "HARSH_BRAKE"]
+            if hot:
+                w = held["coolant"] = [x for x in held["coolant"] if x[0] >= ts_ms - lim.overheat_window * 1000] + [(ts_ms, r.coolant_c) for r in hot]
+                if len(w) >= 2 and sum(v for _, v in w) / len(w) > lim.overheat_c:
+                    out += [(r.vin, ts_ms, r.seq, "OVERHEAT_TREND", 4) for r in hot]
+            if brakes:
+                w = held["brake"] = [x for x in held["brake"] if x[0] >= ts_ms - lim.brake_window * 1000] + [(ts_ms, 1.0)] * len(brakes)
                 if len(w) >= lim.brakes:
-                    out.append((r.vin, r.ts_ms, r.seq, "HARSH_BRAKE_PATTERN", 2))
+                    out += [(r.vin, ts_ms, r.seq, "HARSH_BRAKE_PATTERN", 2) for r in brakes]
         for k, s in self.held.items():
             if held[k]:
                 s.put(held[k])

@@ -35,3 +35,27 @@ def test_query(spark, db, name):
         rows = [dict(zip(columns, r, strict=True)) for r in want.fetchall()]
         assert sorted(columns) == sorted(df.columns)
         assert sorted(got, key=str) == sorted((tuple(plain(r[c]) for c in sorted(columns)) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_dedup", "stream_rules", "stream_late_flags"])
+def test_streams_over_files_in_shuffled_order(spark, db, name, tmp_path, monkeypatch):
+    from roadglass.streaming import jobs
+
+    monkeypatch.setattr(jobs, "ROWS_PER_RANGE", 400, raising=False)
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    # the latest events come in the first file; one event a year on, beyond any delay
+    late = events.limit(1).selectExpr(*[f"{c} + interval 1 year AS {c}" if c == "ts" else f"{c} + 1000000 AS {c}" if c == "event_id" else c for c in events.columns])
+    third = events.selectExpr("max(event_id) / 3").first()[0]
+    for part in (late, events.filter(f"event_id > {2 * third}"), events.filter(f"event_id <= {third}"), events.filter(f"event_id > {third} AND event_id <= {2 * third}")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    db.execute(f"CREATE SCHEMA IF NOT EXISTS {name}")
+    db.execute(f"CREATE VIEW {name}.events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    db.execute(f"SET search_path = '{name},main'")
+    try:
+        want = db.execute(plans.SQL[name])
+        columns = sorted(c[0] for c in want.description)
+        rows = want.df()[columns]
+    finally:
+        db.execute("SET search_path = 'main'")
+    got = plans.QUERIES[name](spark, str(tmp_path)).select(*columns).toPandas()
+    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, rows.itertuples(index=False, name=None)))
