@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +71,11 @@ def trip_segments(df: DataFrame, *, key: str, day: str, order: str, speed: str)
     return marked.mapInArrow(label, out)
 
 
-def nearest_target(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, max_cost: float, max_rounds: int = 50) -> DataFrame:
+def nearest_target(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, max_cost: float, max_rounds: int | None = None) -> DataFrame:
     """For every source the nearest target within `max_cost` (equal allowed): source, target, cost, path.
 
     Edges (src, dst, cost >= 0) relax a frontier of (source, node) in rounds; a node keeps its cheapest path (ties by
-    path), and what costs more than a source's best target so far is dropped. Each round is a table in the shared
+    path), and what costs more than a source's best target so far is dropped. Rounds go on until no path grows; a bound on them raises when it is hit. Each round is a table in the shared
     checkpoint folder."""
     spark = edges.sparkSession
     root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}").rstrip("/")
@@ -86,10 +87,12 @@ def nearest_target(edges: DataFrame, sources: DataFrame, targets: DataFrame, *,
 
     goal = targets.select(F.col("node").alias("_goal")).distinct()
     best = cut(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("cost"), F.array(F.col("node")).alias("path"), F.lit(0).alias("round")))
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         frontier = best.filter(F.col("round") == k - 1)
         if frontier.isEmpty():
             break
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"paths still grow after {max_rounds} rounds")
         reached = best.join(goal, best["node"] == goal["_goal"], "left_semi").groupBy("source").agg(F.min("cost").alias("_cap"))
         step = frontier.join(edges.select(F.col("src"), F.col("dst"), F.col("cost").alias("_w")), frontier["node"] == F.col("src"))
         grown = step.select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("_w")).alias("cost"), F.concat("path", F.array("dst")).alias("path"), F.lit(k).alias("round"))

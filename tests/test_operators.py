@@ -211,3 +211,11 @@ def test_stride_sample(spark, limit):
     df = spark.createDataFrame([(f"v{k}",) for k in range(150)], "vin string")
     got = windows.stride_sample(df, key="vin", limit=limit)
     assert got.columns == ["vin"] and min(limit, 150) * 0.7 <= got.count() <= limit or got.count() == 150
+
+
+def test_nearest_target_beyond_fifty_edges(spark):
+    chain = spark.createDataFrame([(k, k + 1, 1.0) for k in range(52)], "src int, dst int, cost double")
+    node = lambda k: spark.createDataFrame([(k,)], "node int")
+    assert [tuple(r)[:3] for r in journeys.nearest_target(chain, node(0), node(52), max_cost=60.0).collect()] == [(0, 52, 52.0)]
+    with pytest.raises(RuntimeError):
+        journeys.nearest_target(chain, node(0), node(52), max_cost=60.0, max_rounds=2)
