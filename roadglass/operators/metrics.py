@@ -27,11 +27,43 @@ def freshness(ages: DataFrame, *, value: str) -> DataFrame:
     return below.join(F.broadcast(total)).filter((F.col("before") <= place) & (F.col("before") + F.col("n") > place)).select(F.col("v").alias("upper_median"))
 
 
-def running_total(counts: DataFrame, order: str, n: str, parts: int = 64, descending: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, *, value: str, at: tuple[float, ...], group: str | None = None) -> DataFrame:
+    """(group,) q: the exact quantiles of a number, interpolated between neighbours; nulls do not count.
+
+    Rows are counted per value and the counts walked in value ranges. Without a group there is always one row."""
+    slim = df.select((F.col(group) if group else F.lit(0)).alias("_g"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    counts = slim.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    totals = slim.groupBy(F.col("_g").alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
+    ranked = running_total(counts, "_v", "_n", within="_g")
+    ranked = ranked.join(totals, ranked["_g"].eqNullSafe(totals["_of"]))
+
+    def value_at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("_n") > place), F.col("_v")))
+
+    places = [q * (F.col("_all") - 1) for q in at]
+    ends = [x.alias(f"_{c}{k}") for k, p in enumerate(places) for c, x in (("low", value_at(F.floor(p))), ("high", value_at(F.ceil(p))))]
+    found = ranked.groupBy("_g", "_all").agg(*ends)
+    each = [F.when(F.col(f"_low{k}") == F.col(f"_high{k}"), F.col(f"_low{k}")).otherwise((F.ceil(p) - p) * F.col(f"_low{k}") + (p - F.floor(p)) * F.col(f"_high{k}")) for k, p in enumerate(places)]
+    out = found.select(F.col("_g"), F.array(*each).alias("q"))
+    return out.withColumnRenamed("_g", group) if group else out.agg(F.first("q").alias("q"))
+
+
+def running_total(counts: DataFrame, order: str, n: str, parts: int = 64, descending: bool = False, within: str | None = None) -> DataFrame:
     """`counts` with `before`, the sum of `n` over all rows that come earlier in `order` (unique values).
 
     Values are dealt into ranges by quantiles; each range runs its own total and a table of `parts` range sums links
-    them, so nothing is sorted in one task."""
+    them, so nothing is sorted in one task. With `within`, each of its groups has its own total and its own ranges."""
+    if within:
+        edges = counts.groupBy(F.col(within).alias("_of_g")).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("_edges"))
+        ranged = counts.join(edges, counts[within].eqNullSafe(edges["_of_g"])).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges", "_of_g")
+        by, sign = (F.desc(order), -1) if descending else (F.asc(order), 1)
+        sums = ranged.groupBy(F.col(within).alias("_of_g"), F.col("_part").alias("_of_part")).agg(F.sum(n).alias("_sum"))
+        before = Window.partitionBy("_of_g").orderBy(F.col("_of_part") * sign).rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select("_of_g", "_of_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+        own = Window.partitionBy(within, "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        run = ranged.withColumn("_run", F.coalesce(F.sum(n).over(own), F.lit(0)))
+        linked = run.join(starts, run[within].eqNullSafe(starts["_of_g"]) & (run["_part"] == starts["_of_part"]))
+        return linked.withColumn("before", F.col("_run") + F.col("_start")).drop("_part", "_run", "_start", "_of_g", "_of_part")
     edges = sorted(set(counts.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.005))) if dict(counts.dtypes)[order] in ("double", "bigint", "int") else []
     part = F.lit(0)
     for e in edges:
@@ -115,9 +147,11 @@ def reconcile(sent: DataFrame, written: DataFrame, keys: list[str]) -> DataFrame
 
 def soak_summary(df: DataFrame, *, order: str, value: str) -> DataFrame:
     """Median, p95 and maximum, and the means of the first and second half in order (split at the median of `order`)."""
-    half = df.agg(F.percentile(order, 0.5).alias("_mid"))
+    half = quantiles(df, value=order, at=(0.5,)).select(F.col("q")[0].alias("_mid"))
     cut = df.join(F.broadcast(half))
-    return cut.agg(
-        F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("max"),
+    halves = cut.agg(
+        F.max(value).alias("max"),
         F.avg(F.when(F.col(order) <= F.col("_mid"), F.col(value))).alias("first_half"), F.avg(F.when(F.col(order) > F.col("_mid"), F.col(value))).alias("second_half"),
     )
+    ends = quantiles(df, value=value, at=(0.5, 0.95)).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+    return ends.join(F.broadcast(halves)).select("median", "p95", "max", "first_half", "second_half")

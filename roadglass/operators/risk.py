@@ -8,6 +8,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .metrics import quantiles
+
 #: The features in order, with what they are called in explanations.
 LABELS = {
     "service_overdue_ratio": "overdue for service",
@@ -53,7 +55,9 @@ def baseline_score(overdue: Column) -> Column:
 
 def medians(df: DataFrame) -> DataFrame:
     """One row with the exact median of each feature."""
-    return df.agg(*[F.percentile(c, 0.5).alias(c) for c in FEATURES])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in FEATURES])).alias("x")).select("x.*")
+    middle = quantiles(long, value="value", at=(0.5,), group="feature")
+    return middle.agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(c) for c in FEATURES])
 
 
 def explain_factors(df: DataFrame, middle: dict[str, float], importance: dict[str, float], k: int = 3) -> DataFrame:

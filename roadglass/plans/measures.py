@@ -48,7 +48,10 @@ def latency_histogram(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    p = telemetry(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
+    t = telemetry(spark, sf)
+    q = metrics.quantiles(t, value="value", at=(0.5, 0.95, 0.99), group="event_type").select(F.col("event_type").alias("_type"), F.col("q").alias("p"))
+    n = t.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    p = n.join(q, n["event_type"].eqNullSafe(q["_type"]), "left")
     return p.select("event_type", "n", *[F.round(F.col("p")[k], 5).alias(c) for k, c in enumerate(("p50", "p95", "p99"))])
 
 

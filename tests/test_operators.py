@@ -219,3 +219,20 @@ def test_nearest_target_beyond_fifty_edges(spark):
     assert [tuple(r)[:3] for r in journeys.nearest_target(chain, node(0), node(52), max_cost=60.0).collect()] == [(0, 52, 52.0)]
     with pytest.raises(RuntimeError):
         journeys.nearest_target(chain, node(0), node(52), max_cost=60.0, max_rounds=2)
+
+
+def test_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(g, None if k % 9 == 0 else round(rng.gauss(0, 5), k % 3)) for g in ("a", "b", None) for k in range(400)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    at = (0.0, 0.5, 0.95, 1.0)
+    want = {g: np.quantile([v for h, v in rows if h == g and v is not None], at) for g in ("a", "b", None, "one")}
+    grouped = metrics.quantiles(df, value="v", at=at, group="g")
+    got = {r["g"]: r["q"] for r in grouped.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+    every = metrics.quantiles(df, value="v", at=at)
+    assert np.allclose(every.first()["q"], np.quantile([v for _, v in rows if v is not None], at))
+    assert metrics.quantiles(df.limit(0), value="v", at=at).collect()[0]["q"] is None
+    soak = metrics.soak_summary(df.withColumn("o", F.monotonically_increasing_id()), order="o", value="v")
+    for plan in (grouped, every, soak):  # no buffer that holds all values
+        assert " percentile(" not in plan._jdf.queryExecution().optimizedPlan().toString()
