@@ -61,10 +61,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5) -> DataFrame:
-    """One row for each input row: id, the counts, base_failed, host_rate (shrunk) and kept.
+    """One row for each input row: id, the counts, base_failed, kept, host_rate (shrunk) and host_rejected.
 
     base_failed: under 50 words, or over half the words in repeated three-word windows. Besides these, a document
-    fails at over one symbol in ten words or over 30 % repeated lines; such a failure counts against its host only.
+    fails at over one symbol in ten words or over 30 % repeated lines; such a failure counts against its host only in
+    `kept`. host_rejected judges it by how far it is over the limit times host_rate over the prior's mean: over 1 it
+    goes, and a document that fails no rule stays on any host.
     Null text counts as empty. A null host gives no verdict, so only the base rules judge such rows. Repeated rows
     count each; an empty table gives an empty result. Other columns of `docs` are not read."""
     from pyspark.sql import types as T
@@ -83,4 +85,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     verdicts = hosts.select("host", ((F.col("f") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
     out = skew_join(judged, verdicts, ["host"], "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate")
+    # how far a failing document is over a rule, 1 at the limit, against how much worse its host is than the prior
+    excess = F.greatest(F.try_divide(10.0 * F.col("n_symbols"), F.col("n_words")), F.try_divide(10.0 * F.col("n_dup_lines"), 3.0 * F.col("n_lines")), F.when(F.col("n_symbols") > 10 * F.col("n_words"), F.lit(float("inf"))))
+    rejected = (F.col("failed") == 1) & F.coalesce(F.col("base_failed") | (excess * F.col("host_rate") > mean), F.lit(False))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate", rejected.alias("host_rejected"))

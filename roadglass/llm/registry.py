@@ -63,7 +63,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).drop("host_rate")
+    return quality_rules(documents(spark, sf_dir)).drop("host_rate", "host_rejected")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

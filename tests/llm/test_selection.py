@@ -102,6 +102,14 @@ def test_rules(spark):
     assert quality_rules(table(spark, [])).count() == 0
 
 
+def test_host_rate_sets_how_strictly_failures_are_judged(spark):
+    clean, marked = " ".join(map(str, range(90))), " ".join(map(str, range(90))) + " ##########"
+    rows = [(k, marked if k < 80 else clean, "bad") for k in range(200)] + [(1000 + k, marked if k < 4 else clean, "good") for k in range(200)] + [(2000, marked, None), (2001, "short", "good")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {r["doc_id"] for r in quality_rules(docs).filter("host_rejected").collect()}
+    assert gone == {*range(80), 2001}
+
+
 def test_ordinal_regression_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     fitted = labels.filter("doc_id % 5 <> 0")
