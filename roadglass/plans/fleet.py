@@ -145,18 +145,18 @@ def train_risk(spark, sf):
     from ..operators import metrics
 
     train, test = risk.split(_labelled(spark, sf), label="label", key="vin")
-    scored = risk.score_risk(risk.train_risk(train, label="label", trees=5, depth=3), test)
+    scored = risk.score_risk(risk.train_risk(train, label="label"), test)
     return metrics.roc_auc(scored, score="score", label="label").join(scored.agg(F.count(F.lit(1)).alias("held_out"), F.avg("label").alias("positive_rate")))
 
 
 def score_risk(spark, sf):
     f = _labelled(spark, sf)
-    return risk.score_risk(risk.train_risk(f, label="label", trees=5, depth=3), f).select("vin", "tenant_id", "score", risk.baseline_score(F.col("service_overdue_ratio")).alias("baseline"))
+    return risk.score_risk(risk.train_risk(f, label="label"), f).select("vin", "tenant_id", "score", risk.baseline_score(F.col("service_overdue_ratio")).alias("baseline"))
 
 
 def feature_importance(spark, sf):
     train, test = risk.split(_labelled(spark, sf), label="label", key="vin")
-    model = risk.train_risk(train, label="label", trees=5, depth=3)
+    model = risk.train_risk(train, label="label")
     middle = {c: v or 0.0 for c, v in risk.medians(test).first().asDict().items()}
     return risk.feature_importance(model, test, middle)
 

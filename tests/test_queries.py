@@ -59,3 +59,19 @@ def test_streams_over_files_in_shuffled_order(spark, db, name, tmp_path, monkeyp
         db.execute("SET search_path = 'main'")
     got = plans.QUERIES[name](spark, str(tmp_path)).select(*columns).toPandas()
     assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, rows.itertuples(index=False, name=None)))
+
+
+@pytest.mark.parametrize("name", ["train_risk", "score_risk", "feature_importance"])
+def test_risk_queries_train_at_the_operators_scale(spark, name, monkeypatch):
+    from roadglass.operators import risk
+
+    class Asked(Exception):
+        pass
+
+    def train(df, **options):
+        raise Asked(options)
+
+    monkeypatch.setattr(risk, "train_risk", train)
+    with pytest.raises(Asked) as asked:
+        plans.QUERIES[name](spark, SF)
+    assert asked.value.args[0] == {"label": "label"}
