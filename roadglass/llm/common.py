@@ -15,10 +15,13 @@ _own_folder: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Only a session in local mode may do without that setting: its
+    executors are threads of the driver, so a folder under /tmp is shared, too; on a cluster it would not be."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder for scratch tables")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"file://{_own_folder[0]}"
@@ -63,11 +66,17 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return joined.drop(h, *[f"_r_{k}" for k in [*keys, h]])
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `docs` has it, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """`docs` written with one more column that tells all rows apart, repeated and null ids too, and its name."""
-    key = "_row_key"
-    while key in docs.columns:
-        key += "_"
+    key = free_name(docs, "_row_key")
     return cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 

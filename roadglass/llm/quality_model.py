@@ -4,8 +4,9 @@ A text is the set of its word parts (runs of letters and digits, runs of symbols
 vector is shared by all grades and ordered thresholds cut the score: P(grade <= j) = logistic(theta_j - w x). The
 expected grade and the tail probability P(grade >= wanted) follow; a document is kept if the tail is large enough.
 
-The fit reads at most about `max_rows` labelled rows (a hash sample of the labelled ids), so it is bounded on the
-driver; scoring reads every document, whole, in Arrow batches on the executors, without a shuffle.
+The fit reads at most `max_rows` labelled documents (those of the smallest hashes of their ids), so it is bounded on
+the driver and the same on every run; scoring reads every document, whole, in Arrow batches on the executors, without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import free_name
+
 BUCKETS = 1 << 16
 #: Grades: 0 toxic, 1 poor, 2 good.
 GRADES = 3
@@ -36,14 +39,26 @@ def _buckets(word: str) -> tuple[int, ...]:
     return found
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of a text; none for null."""
+def _seen(words: list[str]) -> set[int]:
     seen: set[int] = set()
     get = _known.get
-    words = (text or "").split()
     for word in set(words):
         seen.update(get(word) or _buckets(word))
-    if words:  # how often a word follows itself, and how many words are new, in eighths
+    return seen
+
+
+def features(text: str | None) -> np.ndarray:
+    """Sorted distinct buckets of a text's word parts; none for null."""
+    seen = _seen((text or "").split())
+    return np.sort(np.fromiter(seen, np.int32, len(seen)))
+
+
+def all_features(text: str | None) -> np.ndarray:
+    """The buckets of the word parts and of two habits, in eighths: how often a word follows itself, and how many
+    words are new. None for null and empty texts."""
+    words = (text or "").split()
+    seen = _seen(words)
+    if words:
         again = sum(map(eq, words, words[1:]))
         seen.update(_buckets(f"again{8 * again // len(words)}"))
         seen.update(_buckets(f"fresh{8 * len(set(words)) // len(words)}"))
@@ -60,7 +75,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        return np.array([self.weights[features(t)].sum() for t in texts], float)
+        return np.array([self.weights[all_features(t)].sum() for t in texts], float)
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, rounds: int = 300, l2: float = 8.0, rate: float = 0.05, min_rows: int = 5) -> OrdinalModel:
@@ -68,36 +83,47 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, *, rounds: int = 300
     if not len(rows) or len(np.unique(grades)) < 2:  # nothing to tell apart: everything has the top grade
         return OrdinalModel(np.zeros(BUCKETS), np.full(GRADES - 1, -30.0))
     sizes = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    common = np.bincount(flat, minlength=BUCKETS)[flat] >= min_rows
-    flat, owner = flat[common], owner[common]
-    each = np.full(len(rows), 1 / len(rows))
+    flat = np.concatenate(rows)
+    common = np.bincount(flat, minlength=BUCKETS) >= min_rows
+    # only buckets of enough rows take part: entries by row, the same entries by bucket, each with where a run begins
+    used = np.flatnonzero(common)
+    column = np.zeros(BUCKETS, np.int32)
+    column[used] = np.arange(len(used), dtype=np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[common[flat]]
+    flat = column[flat[common[flat]]]
+    by_bucket = owner[np.argsort(flat, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(used)))[:-1]]).astype(np.int64)
+    own, row_starts = np.unique(owner, return_index=True)
+    n, width = len(rows), len(used)
     # thresholds: the first, then steps that are kept positive
-    p = np.zeros(BUCKETS + GRADES - 1)
-    p[BUCKETS] = -2.0
+    p = np.zeros(width + GRADES - 1)
+    p[width] = -2.0
     m, v = np.zeros_like(p), np.zeros_like(p)
     logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for k in range(1, rounds + 1):
-        steps = np.exp(p[BUCKETS + 1 :])
-        theta = p[BUCKETS] + np.concatenate([[0.0], np.cumsum(steps)])
-        score = np.bincount(owner, p[flat], minlength=len(rows))
+        steps = np.exp(p[width + 1 :])
+        theta = p[width] + np.concatenate([[0.0], np.cumsum(steps)])
+        score = np.zeros(n)
+        if width:
+            score[own] = np.add.reduceat(p[:width].astype(np.float32)[flat], row_starts, dtype=np.float64)
         ends = np.concatenate([[-np.inf], theta, [np.inf]])
         high, low = ends[grades + 1] - score, ends[grades] - score
         ph, pl = np.where(np.isinf(high), 1.0, logistic(high)), np.where(np.isinf(low), 0.0, logistic(low))
         mass = np.maximum(ph - pl, 1e-9)
-        dh, dl = np.where(np.isinf(high), 0, ph * (1 - ph)) / mass, np.where(np.isinf(low), 0, pl * (1 - pl)) / mass
+        dh, dl = np.where(np.isinf(high), 0, ph * (1 - ph)) / mass / n, np.where(np.isinf(low), 0, pl * (1 - pl)) / mass / n
         # of the negative log likelihood: by score it is dh - dl, by the upper end -dh, by the lower end dl
-        by_end = np.zeros(GRADES + 1)
-        np.add.at(by_end, grades + 1, -each * dh)
-        np.add.at(by_end, grades, each * dl)
+        by_end = np.bincount(grades, dl, GRADES + 1) - np.bincount(grades + 1, dh, GRADES + 1)
         by_theta = by_end[1:-1]
         g = np.zeros_like(p)
-        g[:BUCKETS] = np.bincount(flat, (each * (dh - dl))[owner], minlength=BUCKETS) + l2 / len(rows) * p[:BUCKETS]
-        g[BUCKETS] = by_theta.sum()
-        g[BUCKETS + 1 :] = np.cumsum(by_theta[::-1])[::-1][1:] * steps
+        if width:
+            g[:width] = np.add.reduceat((dh - dl).astype(np.float32)[by_bucket], starts, dtype=np.float64) + l2 / n * p[:width]
+        g[width] = by_theta.sum()
+        g[width + 1 :] = np.cumsum(by_theta[::-1])[::-1][1:] * steps
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return OrdinalModel(p[:BUCKETS], p[BUCKETS] + np.concatenate([[0.0], np.cumsum(np.exp(p[BUCKETS + 1 :]))]))
+    weights = np.zeros(BUCKETS)
+    weights[used] = p[:width]
+    return OrdinalModel(weights, p[width] + np.concatenate([[0.0], np.cumsum(np.exp(p[width + 1 :]))]))
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -109,17 +135,23 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> OrdinalModel:
-    """Fit on a hash sample of the labelled documents, of about `max_rows` rows and never more."""
-    share = min(1.0, max_rows / max(labels.count(), 1))
-    sample = graded(labels, id_col).filter(F.pmod(F.xxhash64("_rated"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(max_rows)
+    """Fit on at most `max_rows` labelled documents: the rated ids of the smallest hashes, one row of each.
+
+    The same rows are taken on every run, however the tables are dealt. Of rows that repeat an id the smallest text
+    (by its hash) is read; a rated id without a document is not."""
+    rated = graded(labels, id_col).withColumn("_h", F.xxhash64("_rated"))
+    sample = rated.orderBy("_h", "_rated").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = texts.join(F.broadcast(sample), texts["_id"] == sample["_rated"])  # at most max_rows small rows
 
     @F.pandas_udf("array<int>")
     def buckets(text: pd.Series) -> pd.Series:
-        return text.map(features)
+        return text.map(all_features)
 
-    got = rows.select("_id", "_grade", buckets("_text").alias("_x")).toPandas().sort_values("_id", kind="stable")
+    # the whole text is cut down to its buckets before anything moves
+    found = rows.select("_id", "_grade", "_h", F.xxhash64("_text").alias("_t"), buckets("_text").alias("_x"))
+    one = found.groupBy("_id", "_h").agg(F.first("_grade").alias("_grade"), F.min_by("_x", "_t").alias("_x"))
+    got = one.toPandas().sort_values(["_h", "_id"], kind="stable")
     return fit_ordinal([np.asarray(x, np.int32) for x in got["_x"]], got["_grade"].to_numpy(np.int64))
 
 
@@ -147,6 +179,6 @@ def quality_grades(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_tail: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of `docs`, all columns, that the classifier keeps."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, max_rows=max_rows)
-    columns = docs.columns
-    scored = docs.withColumn("_quality_struct", graded_by(model, F.col(text_col)))
-    return scored.filter(F.col("_quality_struct.tail_prob") >= min_tail).select(*[F.col(f"`{c}`") for c in columns])
+    columns, mark = docs.columns, free_name(docs, "_quality")
+    scored = docs.withColumn(mark, graded_by(model, F.col(f"`{text_col}`")))
+    return scored.filter(F.col(f"{mark}.tail_prob") >= min_tail).select(*[F.col(f"`{c}`") for c in columns])
