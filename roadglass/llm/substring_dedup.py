@@ -8,9 +8,9 @@ others are sorted: Spark deals the distinct fragments by gram, each task sorts t
 stages (those smaller than their successor directly, the rest induced by bucket scans), and neighbours with a common
 prefix of 200 bytes are repeated. The result is whole: every window belongs to one anchor, and no group is cut.
 
-Grams that a large share of texts have never gather in one task: the heaviest, found by a sketch over all anchors,
-are counted with map-side combining and their verdicts broadcast; a gram with more distinct fragments than a task
-should sort has its windows counted one by one instead. Either way the answer is the same.
+No gram gathers in one task, however many texts have it: anchors are counted by gram with map-side combining, and the
+counts meet the anchors in a join whose hot keys adaptive execution can split. A gram with more distinct fragments than
+a task should sort has its windows counted one by one instead, by digest; the answer is the same.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import cut, skew_join, whole_text
 from .suffix_sort import common_prefixes, suffix_array, words_at
@@ -35,7 +35,6 @@ SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 19
 #: Distinct fragments of one gram that a task sorts; beyond, windows are counted.
 SORTED = 4_000
-HEAVY = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -241,18 +240,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key = ["id", "text_hash"]
     anchors = cut(slim.mapInArrow(_anchored, T.StructType([id_type, *(T.StructField(c, T.LongType()) for c in ("text_hash", "place", "gram", "digest"))])), "anchors")
 
-    total = anchors.count()
-    top = anchors.select(F.explode(F.expr(f"approx_top_k(gram, {HEAVY}, 10000)")).alias("t")).select("t.*")
-    heavy = [r["item"] for r in top.collect() if r["count"] > max(1000, total // 2048)]  # at most HEAVY numbers
-    is_heavy = F.col("gram").isin(heavy) if heavy else F.lit(False)
-    same = Window.partitionBy("gram")
-    light = anchors.filter(~is_heavy).select("*", F.count(F.lit(1)).over(same).alias("n"), (F.min("digest").over(same) != F.max("digest").over(same)).alias("mixed"))
-    found = light.filter("n > 1").drop("n")
-    if heavy:
-        hot = anchors.filter(is_heavy)
-        verdicts = hot.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") != F.max("digest")).alias("mixed"))
-        found = found.unionByName(hot.join(F.broadcast(verdicts.filter("n > 1").drop("n")), "gram").select(found.columns))  # HEAVY rows at most
-    found = cut(found, "candidates")
+    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") != F.max("digest")).alias("mixed")).filter("n > 1")
+    found = cut(skew_join(anchors, grams.drop("n"), ["gram"]), "candidates")  # a row for each anchor at most
 
     # one text stands for each distinct fragment of a mixed gram and lends its bytes
     parts = found.filter("mixed").groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*key, "place")).alias("at"))
