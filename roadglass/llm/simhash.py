@@ -1,19 +1,26 @@
-"""SimHash near-duplicates: exact links between fingerprints that differ in few bits.
-
-Distinct fingerprints are dealt into shards by their Hamming distance to vantage points on parts of the 64 bits:
-with five parts and at most four differing bits, two linked fingerprints are at distance zero from the same vantage
-value on at least one part, so each fingerprint goes to the five shards (part, value) whose ball holds it. (Balls of
-the full 64-bit distance would not do: random fingerprints lie 32 +- 4 bits from any vantage point, so a boundary of
-4 bits on either side takes in most of them and nearly every shard would hold nearly everything.) A shard that is
-still large is split once more in the same way on its remaining bits. Within a shard a vantage-point tree halves the
-fingerprints at the median distance; by the triangle bound only those within 4 bits of the boundary are compared
-across it, and a clump within the radius of its vantage point is linked to that point as a whole. Each task returns a
-spanning forest of its links, never all pairs; components over these forests are found by Spark joins.
+"""SimHash near-duplicates: exact links between fingerprints that differ in few bits, by vantage-point trees.
+
+A vantage-point tree parts points by their Hamming distance to a vantage point, and the triangle bound says which
+other side a near point can lie on: if two points are within r, their distances to any point differ by r at most. On
+all 64 bits that bound parts next to nothing: random fingerprints lie 32 +- 4 bits from any vantage point, so those
+within 4 bits of a boundary, which both sides would have to hold, are most of them. The trees therefore stand on the
+distance over parts of the bits. Of five parts one is equal in two fingerprints that differ in at most four bits; on
+that part r is 0, so both lie in the same shell around every vantage point and no shard overlaps another.
+
+Fingerprints go to five shards each: for every part the shell numbers around some vantage points, the more points the
+more fingerprints there are. A shard that is still large goes on: rows that agree in its part are dealt again by five
+parts of the bits that are left, as often as needed. Within a shard, tree nodes halve the fingerprints at the median
+distance over the part, where the bound with r = 0 cuts off the other half; fingerprints that agree in the part meet in
+a tree over all 64 bits with r = 4, whose boundary rows go to both sides. Each task returns a spanning forest of its
+links, never all pairs; components over these forests are found by Spark joins.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -26,12 +33,16 @@ from .components import connected_components
 
 SEED = 42
 MAX_BITS = 4
-#: Widths of the parts, from the top bit.
-PARTS = (13, 13, 13, 13, 12)
-#: Fingerprints compared at once: a tile is LEAF x LEAF.
-LEAF = 512
-#: A shard with more fingerprints is split again.
+#: Widths of the five parts, from the top bit: of all bits, then of those that are left after each dealing.
+LEVELS = ((13, 13, 13, 13, 12), (11, 10, 10, 10, 11), (9, 8, 8, 8, 9), (7, 7, 7, 7, 6))
+#: Vantage points on a part. Any two differ in half of the bits, so that distances to them tell different things.
+VANTAGES = (0x0000, 0x5555, 0x3333, 0x6666, 0x0F0F, 0x5A5A, 0x3C3C, 0x6969, 0x00FF, 0x55AA, 0x33CC, 0x6699)
+#: Fingerprints of a shard, about, for which vantage points are chosen; a shard of more than SPLIT is dealt again.
+SHARD = 4_096
 SPLIT = 20_000
+#: Fingerprints in a leaf of a tree, and most of those that are compared at once.
+LEAF = 32
+TILE = 512
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -80,20 +91,47 @@ class _Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def shard_links(fps: np.ndarray, radius: int = MAX_BITS) -> np.ndarray:
-    """For each of the distinct fingerprints the index of the one that stands for its linked set."""
-    forest = _Forest(len(fps))
+def shard_links(fps: np.ndarray, codes: np.ndarray | None = None, radius: int = MAX_BITS, tally: Counter | None = None) -> np.ndarray:
+    """For each of the distinct fingerprints the index of the one that stands for its linked set.
+
+    With `codes` (the part of each) only links between equal codes are asked for; others may be found as well. `tally`
+    counts tree nodes, the times that the bound cut off a side, the pairs that this left out and the pairs compared."""
+    forest, told = _Forest(len(fps)), Counter() if tally is None else tally
 
     def tiles(a: np.ndarray, b: np.ndarray, own: bool) -> None:
-        for s in range(0, len(a), LEAF):
-            for t in range(s if own else 0, len(b), LEAF):
-                x, y = a[s : s + LEAF], b[t : t + LEAF]
+        for s in range(0, len(a), TILE):
+            for t in range(s if own else 0, len(b), TILE):
+                x, y = a[s : s + TILE], b[t : t + TILE]
+                told["compared"] += len(x) * len(y)
                 i, j = np.nonzero(np.bitwise_count(fps[x][:, None] ^ fps[y][None, :]) <= radius)
                 forest.link(x[i], y[j])
 
-    todo = [(np.arange(len(fps)), None)]
-    while todo:
+    def cut_off(pairs: int) -> None:
+        told["pruned"] += 1
+        told["left out"] += pairs
+
+    todo: list[tuple] = []
+    parted = [np.arange(len(fps))] if codes is not None else []
+    if codes is None:
+        todo.append((np.arange(len(fps)), None))
+    while parted:  # the tree over the part
+        a = parted.pop()
+        told["nodes"] += 1
+        if len(a) <= LEAF:
+            tiles(a, a, True)
+            continue
+        d = np.bitwise_count(codes[a] ^ codes[a[0]])
+        if not d.any():
+            todo.append((a, None))
+            continue
+        inner = d <= np.median(d)
+        if inner.all():
+            inner = d < d.max()
+        cut_off(int(inner.sum()) * int((~inner).sum()))  # with r = 0 nothing on one side links to the other
+        parted += [a[inner], a[~inner]]
+    while todo:  # the tree over all bits
         a, b = todo.pop()
+        told["nodes"] += 1
         if b is None:
             if len(a) <= LEAF:
                 tiles(a, a, True)
@@ -102,7 +140,9 @@ def shard_links(fps: np.ndarray, radius: int = MAX_BITS) -> np.ndarray:
             ball = d <= radius
             if 8 * ball.sum() >= len(a):  # a clump: linked through its vantage point
                 forest.link(a[ball], np.full(ball.sum(), a[0]))
-                todo += [(a[~ball], None), (a[ball], a[~ball & (d <= 2 * radius)])]
+                rim = ~ball & (d <= 2 * radius)
+                cut_off(int(ball.sum()) * int((~ball & ~rim).sum()))
+                todo += [(a[~ball], None), (a[ball], a[rim])]
                 continue
             cut_at = np.median(d)
             inner = d <= cut_at
@@ -112,7 +152,9 @@ def shard_links(fps: np.ndarray, radius: int = MAX_BITS) -> np.ndarray:
                 tiles(a, a, True)
                 continue
             edge = d[inner].max()
-            todo += [(a[inner], None), (a[~inner], None), (a[inner & (d > edge - radius)], a[~inner & (d <= edge + radius)])]
+            near, far = inner & (d > edge - radius), ~inner & (d <= edge + radius)
+            cut_off(int(inner.sum()) * int((~inner).sum()) - int(near.sum()) * int(far.sum()))
+            todo += [(a[inner], None), (a[~inner], None), (a[near], a[far])]
         elif len(a) and len(b):
             if len(a) * len(b) <= LEAF * LEAF:
                 tiles(a, b, False)
@@ -122,9 +164,11 @@ def shard_links(fps: np.ndarray, radius: int = MAX_BITS) -> np.ndarray:
             at = int(np.median(np.concatenate([da, db])))
             ai, bi = da <= at, db <= at
             parts = [(a[ai], b[bi]), (a[~ai], b[~bi]), (a[ai & (da > at - radius)], b[~bi & (db <= at + radius)]), (a[~ai & (da <= at + radius)], b[bi & (db > at - radius)])]
-            if sum(len(x) * len(y) for x, y in parts) > 0.9 * len(a) * len(b):  # the bound prunes nothing here
+            rest = sum(len(x) * len(y) for x, y in parts)
+            if rest > 0.9 * len(a) * len(b):  # the bound prunes nothing here
                 tiles(a, b, False)
             else:
+                cut_off(len(a) * len(b) - rest)
                 todo += parts
     return forest.find(np.arange(len(fps)))
 
@@ -132,27 +176,32 @@ def shard_links(fps: np.ndarray, radius: int = MAX_BITS) -> np.ndarray:
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the shards, which arrive one after another; a shard may run over several batches."""
 
-    def forests(shards: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        edges = [np.empty((2, 0), np.uint64)]
-        bounds = np.flatnonzero(np.diff(shards)) + 1
-        for own in np.split(fps, bounds):
-            if len(own) > 1:
-                root = shard_links(own)
-                more = root != np.arange(len(own))
-                if more.any():
-                    edges.append(np.stack([own[more], own[root[more]]]))
-        a, b = np.concatenate(edges, axis=1).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    shards, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+    def forest(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        codes, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(fps) < 2:
+            return None
+        root = shard_links(fps, codes)
+        more = root != np.arange(len(fps))
+        if not more.any():
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(fps[more].view(np.int64)), pa.array(fps[root[more]].view(np.int64))], ["a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = None
     for batch in batches:
-        shards = np.concatenate([shards, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-        last = np.searchsorted(shards, shards[-1]) if len(shards) else 0
-        if last:
-            yield forests(shards[:last], fps[:last])
-            shards, fps = shards[last:], fps[last:]
-    yield forests(shards, fps)
+        shards, codes, fps = (batch.column(k).to_numpy() for k in range(3))
+        if not len(shards):
+            continue
+        bounds = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if held and shards[lo] != last:
+                if (found := forest(held)) is not None:
+                    yield found
+                held = []
+            last = shards[lo]
+            held.append((codes[lo:hi].view(np.uint64), fps[lo:hi].view(np.uint64)))
+    if held and (found := forest(held)) is not None:
+        yield found
 
 
 def _bits(fp: Column, top: int, width: int) -> Column:
@@ -166,20 +215,39 @@ def _rest(fp: Column, start: int, width: int) -> Column:
     return below.bitwiseOR(F.shiftleft(_bits(fp, 0, start), width)) if start else below
 
 
-def hamming_links(nodes: DataFrame, *, split: int = SPLIT) -> DataFrame:
+def _dealt(rows: DataFrame, level: int, vantages: int) -> DataFrame:
+    """`rows` (fp, rest, path) five times: code, the part; shard, from the code's shells; and the rest without the part."""
+    rest, widths, out = F.col("rest"), LEVELS[level], []
+    for k, w in enumerate(widths):
+        start = sum(widths[:k])
+        code = _bits(rest, start, w)
+        shells = [F.bit_count(code.bitwiseXOR(F.lit(v & ((1 << w) - 1)))) for v in VANTAGES[:vantages]]
+        shard = F.xxhash64(F.col("path"), F.lit(5 * level + k), *shells)
+        out.append(F.struct(shard.alias("shard"), code.alias("code"), _rest(rest, start, w).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*out)).alias("p")).select("fp", "p.*")
+
+
+def hamming_links(nodes: DataFrame, *, split: int = SPLIT, shard: int = SHARD) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints `fp` of `nodes` exactly as all pairs within MAX_BITS do."""
-    fp = F.col("fp")
-    starts = [sum(PARTS[:k]) for k in range(len(PARTS))]
-    own = [F.struct((F.lit(k * 8192).cast("long") + _bits(fp, starts[k], w)).alias("shard"), _rest(fp, starts[k], w).alias("rest")) for k, w in enumerate(PARTS)]
-    first = nodes.select("fp", F.explode(F.array(*own)).alias("p")).select("fp", "p.*")
-    big = first.groupBy("shard").count().filter(F.col("count") > split).select(F.col("shard").alias("big"))
-    # only 5 x 8192 shard numbers exist here, so this side is bounded whatever the input
-    marked = first.join(F.broadcast(big), first["shard"] == big["big"], "left")
-    # four differing bits among the rest leave one of five stretches equal, again
-    cuts = (11, 10, 10, 10, 11)
-    again = F.array(*[(F.col("shard") * 5 + k) * 2048 + _bits(F.col("rest"), sum(cuts[:k]), c) + F.lit(1 << 40) for k, c in enumerate(cuts)])
-    dealt = marked.select("fp", F.explode(F.when(F.col("big").isNull(), F.array("shard")).otherwise(again)).alias("shard"))
-    return dealt.repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp").mapInArrow(_linked, "a long, b long")
+    rows, ready = nodes.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("path")), []
+    n = rows.count()
+    for level in range(len(LEVELS)):
+        # a vantage point leaves about a fifth of the rows in a shell
+        vantages = min(len(VANTAGES), math.ceil(math.log(max(n / shard, 1.0), 4.5))) if not level else len(VANTAGES)
+        dealt = _dealt(rows, level, vantages)
+        if level == len(LEVELS) - 1:  # 40 of 64 bits are the same by now: what is left are clumps
+            ready.append(dealt)
+            break
+        dealt = dealt if not level else cut(dealt, f"dealt-{level}")
+        big = cut(dealt.groupBy("shard").count().filter(F.col("count") > split).select("shard", F.lit(True).alias("big")), f"big-{level}")
+        if big.isEmpty():
+            ready.append(dealt)
+            break
+        marked = skew_join(dealt, big, ["shard"], "left")
+        ready.append(marked.filter("big IS NULL").drop("big"))
+        rows = cut(marked.filter("big").select("fp", "rest", F.xxhash64("shard", "code").alias("path")), f"again-{level}")
+    shards = reduce(DataFrame.unionByName, [r.select("shard", "code", "fp") for r in ready])
+    return shards.repartition("shard").sortWithinPartitions("shard", "code", "fp").mapInArrow(_linked, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadglass.llm.exact_dedup import exact_dedup
 from roadglass.llm.line_dedup import line_dedup
-from roadglass.llm.simhash import fingerprint, hamming_links, shard_links, simhash_components
+from roadglass.llm.simhash import LEVELS, fingerprint, hamming_links, shard_links, simhash_components
 from roadglass.llm.substring_dedup import LENGTH, substring_dedup
 from roadglass.llm.suffix_sort import suffix_array
 
@@ -205,14 +206,46 @@ def test_hamming_links_with_split_shards(spark):
     values = clouds(random.Random(6), 300)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     want = brute_components(signed_to_unsigned := values)
-    for split in (20_000, 3):
+    for split, shard in ((20_000, 4096), (20_000, 20), (20, 20), (3, 4096)):
         nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
-        found = {r["node"]: r["root"] for r in connected_components(hamming_links(nodes, split=split)).collect()}
+        found = {r["node"]: r["root"] for r in connected_components(hamming_links(nodes, split=split, shard=shard)).collect()}
         roots = [found.get(v, v) for v in signed]
         assert len(set(zip(roots, want, strict=True))) == len(set(want)) == len(set(roots))
     assert signed_to_unsigned
 
 
+def test_vantage_trees_prune_on_the_documents(spark):
+    """On the fingerprints of sf0.1 the trees decide what is compared, and the links are those of all pairs."""
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").distinct()
+    fps = np.unique(np.array([fingerprint(r["text"]) for r in texts.toLocalIterator()], np.uint64))
+    want = np.arange(len(fps))
+    forest = list(range(len(fps)))
+
+    def find(i):
+        while forest[i] != i:
+            i = forest[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 4).tolist():
+            a, b = find(i), find(j)
+            forest[max(a, b)] = min(a, b)
+    want = [find(i) for i in range(len(fps))]
+    tally, linked, start = Counter(), set(), 0
+    for w in LEVELS[0]:
+        codes = fps >> np.uint64(64 - start - w) & np.uint64((1 << w) - 1)
+        start += w
+        root = shard_links(fps, codes, tally=tally)
+        linked |= {(i, r) for i, r in enumerate(root.tolist()) if i != r}
+    forest = list(range(len(fps)))
+    for i, j in linked:
+        a, b = find(i), find(j)
+        forest[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(len(fps))] == want
+    assert tally["nodes"] > 1000 and tally["pruned"] > 500
+    assert tally["compared"] < 0.02 * 5 * len(fps) ** 2 < tally["left out"]
+
+
 def test_fingerprints_use_the_hash_of_spark(spark):
     assert spark.sql("select xxhash64('a b c d') as h").first()["h"] & (2**64 - 1) == xxhash.xxh64_intdigest(b"a b c d", 42)
     assert fingerprint("A b\tC\n d") == xxhash.xxh64_intdigest(b"a b c d", 42)
