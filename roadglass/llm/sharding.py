@@ -1,10 +1,11 @@
 """Sharding by longest-processing-time scheduling.
 
-Documents of equal text form a group and stay together. Groups are sorted by size and each goes to the least-loaded
-shard, which a heap gives. The heap sees a bounded number of units: every group that holds at least 1/UNITS of all
-bytes (there can be no more than UNITS of these) is a unit of its own; the smaller groups are pooled by hash into
-UNITS pools, each a unit. So the schedule is the plain one at any input size, and a shard's load is off by at most
-about one pool, 16 / UNITS of a shard's share. A group that is larger than a shard's share is not split.
+Documents of equal text form a group and stay together. Groups are taken by size, largest first, and each goes to the
+least-loaded shard, which a heap gives. Groups of one size are alike to the schedule, so the heap sees how many groups
+there are of each size and not the groups: there are at most sqrt(2 x bytes) sizes, as distinct sizes add up. Where many
+groups have the same size the heap's picks repeat in rounds, which are handed out at once; Spark then deals the
+groups of a size to its picks by their number. The schedule is the plain one for every group at any input size.
+A group that is larger than a shard's share is not split.
 """
 
 from __future__ import annotations
@@ -13,53 +14,86 @@ import heapq
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut
+from .common import cut, skew_join
 
-UNITS = 4096
-#: Slots are dealt within this many hash classes of each shard and made gapless by the classes' counts.
+#: Groups of a size, and rows of a shard, are numbered within this many hash classes, whose counts link the numbers.
 CLASSES = 1024
 
 
+def rounds(heap: list[tuple[int, int]], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Put `count` groups of `size` on the shards of `heap` (load, shard), each on the least-loaded one.
+
+    The picks as (first, shards): from group `first` on the shards take one group each in this order, over and over."""
+    if count == 1:
+        load, shard = heap[0]
+        heapq.heapreplace(heap, (load + size, shard))
+        return [(0, [shard])]
+    order, out, done = sorted(heap), [], 0
+    active = 1
+    while done < count:
+        low, first = order[0]
+        # all that the first shard does not overtake with its next group take part in the round
+        while active < len(order) and order[active] < (low + size, first):
+            active += 1
+        turns, extra = divmod(count - done, active)
+        if active < len(order):  # whole rounds until the next shard takes part
+            load, shard = order[active]
+            wait = max(1, -(-(load - low) // size) - 1)
+            while (load, shard) > (low + (wait + 1) * size, first):
+                wait += 1
+            if wait <= turns:
+                turns, extra = wait, 0
+        out.append((done, [s for _, s in order[:active]]))
+        order = sorted([(load + size * (turns + (k < extra)), s) for k, (load, s) in enumerate(order[:active])] + order[active:])
+        done += turns * active + extra
+        active = 1
+    heap[:] = order
+    return out
+
+
+def schedule_sizes(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+    """(size, picks) of every (size, how many groups), largest first."""
+    heap = [(0, s) for s in range(shards)]
+    return [(size, rounds(heap, size, count)) for size, count in sorted(sizes, reverse=True)]
+
+
 def schedule(units: list[tuple[object, int]], shards: int) -> dict[object, int]:
     """Largest unit first, each to the shard with the least load; ties go to the smaller unit name and shard."""
-    heap = [(0, s) for s in range(shards)]
+    by_size: dict[int, list] = {}
+    for name, size in sorted(units):
+        by_size.setdefault(size, []).append(name)
     placed = {}
-    for name, size in sorted(units, key=lambda u: (-u[1], u[0])):
-        load, shard = heapq.heappop(heap)
-        placed[name] = shard
-        heapq.heappush(heap, (load + size, shard))
+    for size, picks in schedule_sizes([(size, len(names)) for size, names in by_size.items()], shards):
+        names = by_size[size]
+        for (first, turn), end in zip(picks, [*(p for p, _ in picks[1:]), len(names)], strict=True):
+            placed |= {names[k]: turn[(k - first) % len(turn)] for k in range(first, end)}
     return placed
 
 
-def shard_by_size(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS) -> DataFrame:
+def _numbered(rows: DataFrame, within: str, name: str, by: list[str]) -> DataFrame:
+    """`rows` (with `class`) and `nth`: 0, 1, ... in each value of `within`, by class and then `by`; `class` goes."""
+    counts = cut(rows.groupBy(within, "class").count(), f"{name}-classes")
+    before = Window.partitionBy(within).orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(within, "class", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(within, "class").orderBy(*by)) - 1
+    ranked = rows.withColumn("_nth", nth)
+    return skew_join(ranked, starts, [within, "class"]).withColumn("nth", F.col("_start") + F.col("_nth")).drop("class", "_start", "_nth")
+
+
+def shard_by_size(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, size (UTF-8 bytes plus 1), text_crc32, shard, slot (0, 1, ... in each shard).
 
     Null text has no bytes and is grouped with the empty text. Null and repeated ids are rows like any other.
     An empty table gives an empty result. Other columns of `docs` are not read."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = cut(
-        docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"))
-        .withColumn("pool", F.pmod(F.xxhash64("group"), F.lit(units)).cast("int")),
-        "sizes",
-    )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("pool", "group").agg(F.sum("size").alias("bytes"))
-    is_large = F.col("bytes") * units >= total
-    large = cut(groups.filter(is_large).select("group", "bytes"), "large-groups")  # at most `units` rows, by arithmetic
-    pools = groups.filter(~is_large).groupBy("pool").agg(F.sum("bytes").alias("bytes"))
-    todo = [(f"g{bytes(r['group']).hex()}", r["bytes"]) for r in large.collect()] + [(f"p{r['pool']:08d}", r["bytes"]) for r in pools.collect()]
-    placed = schedule(todo, shards)
-    of_group = [(bytes.fromhex(k[1:]), s) for k, s in placed.items() if k[0] == "g"]
-    of_pool = [(int(k[1:]), s) for k, s in placed.items() if k[0] == "p"]
-    by_group = F.broadcast(spark.createDataFrame(of_group, "group binary, own_shard int"))
-    by_pool = F.broadcast(spark.createDataFrame(of_pool, "pool int, pool_shard int"))
-    put = rows.join(by_group, "group", "left").join(by_pool, "pool", "left")
-    put = put.select("id", "size", "text_crc32", F.coalesce("own_shard", "pool_shard").alias("shard"), F.pmod(F.xxhash64("id", "group"), F.lit(CLASSES)).cast("int").alias("class"), "group")
-    counts = put.groupBy("shard", "class").count()
-    before = Window.partitionBy("shard").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.select("shard", "class", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start")), "slots")  # shards x CLASSES rows at most
-    nth = F.row_number().over(Window.partitionBy("shard", "class").orderBy("id", "group"))
-    return put.withColumn("nth", nth).join(F.broadcast(starts), ["shard", "class"]).select(
-        F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).alias("slot")
-    )
+    rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group")), "sizes")
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
+    groups = cut(groups.withColumn("class", F.pmod(F.xxhash64("group"), F.lit(CLASSES)).cast("int")), "groups")
+    sizes = [(r["bytes"], r["count"]) for r in groups.groupBy("bytes").count().toLocalIterator()]  # at most sqrt(2 x bytes) rows
+    picks = cut(spark.createDataFrame(schedule_sizes(sizes, shards), "bytes long, picks array<struct<first:long,turn:array<int>>>"), "picks")
+    placed = skew_join(_numbered(groups, "bytes", "group", ["group"]), picks, ["bytes"])
+    pick = F.element_at(F.filter("picks", lambda p: p["first"] <= F.col("nth")), -1)
+    own = placed.withColumn("pick", pick).select("group", F.get("pick.turn", ((F.col("nth") - F.col("pick.first")) % F.size("pick.turn")).cast("int")).alias("shard"))
+    put = skew_join(rows, own, ["group"]).withColumn("class", F.pmod(F.xxhash64("id", "group"), F.lit(CLASSES)).cast("int"))
+    return _numbered(cut(put, "put"), "shard", "shard", ["id", "group"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", F.col("nth").alias("slot"))

@@ -13,6 +13,7 @@ from roadglass.llm import registry
 from roadglass.llm.quality_model import train
 
 from .test_dedup import brute_components, brute_fingerprint, brute_lines, brute_spans, lower
+from .test_selection import plain_schedule
 
 SF = "/root/testdata/sf0.01"
 
@@ -75,6 +76,10 @@ def test_shards(spark, texts):
     for r in got:
         load[r["shard"]] += r["size"]
     assert len(load) == 16 and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16
+    groups = Counter()
+    for _, t in texts:
+        groups[t] += len(t.encode()) + 1
+    assert sorted(load.values()) == plain_schedule(list(groups.items()), 16)[1]
 
 
 def test_pipeline(spark, texts):

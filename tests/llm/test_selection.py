@@ -1,5 +1,6 @@
 """Filtering, mixing, sharding and tokenising against brute force."""
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from roadglass.llm.license_scan import license_scan
@@ -61,9 +63,40 @@ def test_schedule():
     assert placed == plain
 
 
+def plain_schedule(units, shards):
+    heap, placed = [(0, s) for s in range(shards)], {}
+    for name, size in sorted(units, key=lambda u: (-u[1], u[0])):
+        load, shard = heap[0]
+        placed[name] = shard
+        heapq.heapreplace(heap, (load + size, shard))
+    return placed, sorted(load for load, _ in heap)
+
+
+@given(st.lists(st.one_of(st.integers(1, 5), st.integers(1, 400)), max_size=150), st.integers(1, 17))
+@settings(max_examples=300, deadline=None)
+def test_rounds_are_the_picks_of_the_heap(sizes, shards):
+    units = list(enumerate(sizes))
+    assert schedule(units, shards) == plain_schedule(units, shards)[0]
+
+
+def test_shards_have_the_loads_of_the_plain_schedule(spark):
+    rows = [(k, "x" * (k % 7) + chr(97 + k % 26)) for k in range(4000)] + [(9000 + k, "hot " * 30) for k in range(700)] + [(None, "one text larger than a shard " * 2000)]
+    got = shard_by_size(table(spark, rows)).collect()
+    groups, load = Counter(), Counter()
+    for _, t in rows:
+        groups[t] += len(t) + 1
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert sorted(load[s] for s in range(16)) == plain_schedule(list(groups.items()), 16)[1]
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_shard_by_size(spark):
     rows = [(k, f"text {k} " + "é" * (k % 97)) for k in range(3000)] + [(5000 + k, "copy") for k in range(300)] + [(None, None), (None, ""), (7000, "copy"), (7000, "copy")]
-    got = shard_by_size(table(spark, rows), units=256).collect()
+    got = shard_by_size(table(spark, rows)).collect()
     assert len(got) == len(rows)
     size = lambda t: len((t or "").encode()) + 1
     assert Counter((r[0], r[1], r[2]) for r in got) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t in rows)
