@@ -82,8 +82,9 @@ def test_line_dedup(spark):
     pool = [f"Shared line number {k} of the pool" for k in range(12)] + ["short", "", "  Padded shared line of the pool\t", "é" * 20]
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"own line {k} {j} {rng.random()}" for j in range(rng.randrange(1, 150)))) for k in range(40)]
     rows += [(50, None), (51, ""), (52, "\n\n"), (None, pool[0] + "\n" + pool[1]), (None, pool[0]), (53, pool[2]), (53, pool[2] + "\nmore")]
-    got = sorted((tuple(r) for r in line_dedup(table(spark, rows)).collect()), key=str)
-    assert got == brute_lines(rows)
+    for run in (50_000, 40, 1):  # with runs of one line every repeated line competes in the second round
+        got = sorted((tuple(r) for r in line_dedup(table(spark, rows), run=run).collect()), key=str)
+        assert got == brute_lines(rows)
 
 
 def test_line_dedup_of_a_line_that_most_documents_hold(spark):
