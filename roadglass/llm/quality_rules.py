@@ -2,7 +2,9 @@
 
 Each document gets counts from its whole text and fails or passes some rules. Failures are added up by host, each
 host's failure rate is shrunk towards the fleet of hosts by a beta prior fitted to all hosts, and the verdict on
-the host is joined back to its documents. A document stays if it passes the base rules and its host is not rejected.
+the host is joined back to its documents. The verdict is how strictly the host's failing documents are judged: the more
+its shrunk rate is over the prior's mean, the less a document may be over a rule. A document stays if it passes the base
+rules, its host is not rejected as a whole and it is not over the rules by its host's measure.
 """
 
 from __future__ import annotations
@@ -64,9 +66,10 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row for each input row: id, the counts, base_failed, kept, host_rate (shrunk) and host_rejected.
 
     base_failed: under 50 words, or over half the words in repeated three-word windows. Besides these, a document
-    fails at over one symbol in ten words or over 30 % repeated lines; such a failure counts against its host only in
-    `kept`. host_rejected judges it by how far it is over the limit times host_rate over the prior's mean: over 1 it
-    goes, and a document that fails no rule stays on any host.
+    fails at over one symbol in ten words or over 30 % repeated lines. host_rejected judges such a failure by how far it
+    is over the limit times host_rate over the prior's mean: over 1 it goes, so a failure twice the limit goes on a
+    host of more than half the mean rate, and one just over it only on hosts about as bad as the mean or worse. A
+    document that fails no rule goes only with a host of over `max_host_rate`. `kept` is false for all of these.
     Null text counts as empty. A null host gives no verdict, so only the base rules judge such rows. Repeated rows
     count each; an empty table gives an empty result. Other columns of `docs` are not read."""
     from pyspark.sql import types as T
@@ -84,8 +87,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     strength = min(max(mean * (1 - mean) / max(var or 0.0, 1e-9) - 1, 1.0), 1e6)
     verdicts = hosts.select("host", ((F.col("f") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
     out = skew_join(judged, verdicts, ["host"], "left")
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))
     # how far a failing document is over a rule, 1 at the limit, against how much worse its host is than the prior
-    excess = F.greatest(F.try_divide(10.0 * F.col("n_symbols"), F.col("n_words")), F.try_divide(10.0 * F.col("n_dup_lines"), 3.0 * F.col("n_lines")), F.when(F.col("n_symbols") > 10 * F.col("n_words"), F.lit(float("inf"))))
+    excess = F.greatest(F.try_divide(10.0 * F.col("n_symbols"), F.col("n_words")), F.try_divide(10.0 * F.col("n_dup_lines"), 3.0 * F.col("n_lines")))
     rejected = (F.col("failed") == 1) & F.coalesce(F.col("base_failed") | (excess * F.col("host_rate") > mean), F.lit(False))
+    kept = ~F.col("base_failed") & ~rejected & ~F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate", rejected.alias("host_rejected"))

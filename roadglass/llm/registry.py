@@ -63,7 +63,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir)).drop("host_rate", "host_rejected")
+    judged = quality_rules(documents(spark, sf_dir))
+    return judged.withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +178,14 @@ WITH base AS (
 ), prior AS (
   SELECT mean, least(greatest(mean * (1 - mean) / greatest(var, 1e-9) - 1, 1.0), 1e6) AS strength FROM moments
 ), verdicts AS (
-  SELECT source, (f + mean * strength) / (n + strength) AS rate FROM hosts, prior
+  SELECT source, (f + mean * strength) / (n + strength) AS rate, mean FROM hosts, prior
+), told AS (
+  SELECT j.*, rate, failed AND coalesce(base_failed OR greatest(10e0 * n_symbols / nullif(n_words, 0), 10e0 * n_dup_lines / (3e0 * n_lines)) * rate > mean, false) AS host_rejected
+  FROM judged j LEFT JOIN verdicts v ON j.source = v.source
 )
-SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept
-FROM judged j LEFT JOIN verdicts v ON j.source = v.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_rate, host_rejected,
+       NOT base_failed AND NOT host_rejected AND NOT coalesce(rate > 0.5, false) AS kept
+FROM told
 """
 
 

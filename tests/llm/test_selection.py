@@ -141,6 +141,24 @@ def test_host_rate_sets_how_strictly_failures_are_judged(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     gone = {r["doc_id"] for r in quality_rules(docs).filter("host_rejected").collect()}
     assert gone == {*range(80), 2001}
+    assert {r["doc_id"] for r in quality_rules(docs).filter("NOT kept").collect()} == gone
+
+
+def test_a_planted_bad_host_loses_its_failing_documents(spark):
+    """The rules fail as often on twenty hosts; the documents of one more that fail slightly go for its rate alone."""
+    clean, slight = " ".join(map(str, range(90))), " ".join(map(str, range(90))) + " ##########"
+    rows = [(h * 100 + k, slight if k < 5 else clean, f"host{h}") for h in range(20) for k in range(100)]
+    rows += [(9000 + k, slight if k < 60 else clean, "planted") for k in range(100)]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"] for r in got if r["base_failed"]} == set()
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(9000, 9060)) | {r["doc_id"] for r in got if r["doc_id"] >= 9000 and r["host_rate"] > 0.5}
+
+
+def test_no_host_and_empty_texts_and_long_ones(spark):
+    long = "word " * 300_000
+    rows = [(1, None, None), (2, "", "a"), (3, long, "a"), (3, long, "a"), (None, "# " * 80, None)]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 5 and not any(r["kept"] for r in got if r["doc_id"] is not None)  # a word repeated is all repeats
 
 
 def test_ordinal_regression_on_held_out_rows(spark):
