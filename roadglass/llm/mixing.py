@@ -2,13 +2,15 @@
 
 A classifier fitted on labelled rows (a bounded sample for each domain) gives each document's posterior over domains.
 A document's tokens count towards every domain by its posterior. Nonnegative document rates are then fitted by
-projected-gradient least squares so that the expected domain token totals match the targets: each step is one
-distributed aggregate that returns as many sums as there are domains, and the rate after any number of steps is a
-column expression over a document's posterior, so rates are never collected, stored or joined.
+projected-gradient least squares so that the expected domain token totals match the targets, each domain's error
+counted in its own tokens: a step is one distributed aggregate that returns as many sums as there are domains. The rate
+after any number of steps is one column expression over a document's posterior, a fold over the steps' gradients, so
+rates are never collected or joined; while fitting they are written with the posteriors every FOLD steps.
 """
 
 from __future__ import annotations
 
+import json
 import warnings
 from dataclasses import dataclass, field
 
@@ -19,7 +21,7 @@ from pyspark.ml.feature import HashingTF, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, hash128, whole_text
+from .common import cut, free_name, hash128, whole_text
 
 #: Distinct texts of each domain that the classifier is fitted on, at most.
 ROWS_EACH = 2_000
@@ -28,6 +30,8 @@ MAX_DOMAINS = 256
 FEATURES = 1 << 12
 #: So many steps that together take less than a hundredth off the largest gap end the fit.
 STALL = 5
+#: Steps after which the rates are written, so that later steps start from there.
+FOLD = 8
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -64,17 +68,18 @@ class Mixture:
         # given out by a generator: what is computed from it above does not pull the classifier in once more
         return scored.select("*", F.explode(F.array(vector_to_array("_mix_prob"))).alias("_mix_p")).drop("_mix_prob")
 
-    def rate(self) -> Column:
-        """The rate after all steps, from _mix_p: a fold over the steps' gradients, of one size however many there are."""
-        start = F.lit(self.start())
-        if not self.steps:
+    def rate(self, done: int = 0) -> Column:
+        """The rate after all steps, from _mix_p; with `done` from _mix_rate, the rate after that many."""
+        start, steps = F.col("_mix_rate") if done else F.lit(self.start()), self.steps[done:]
+        if not steps:
             return start
 
         def step(rate: Column, g: Column) -> Column:
             move = F.aggregate(F.zip_with("_mix_p", g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
             return self.bounded(rate - move)
 
-        return F.aggregate(F.array(*[F.lit(g) for g in self.steps]), start, step)
+        # one literal, however many domains and steps there are
+        return F.aggregate(F.from_json(F.lit(json.dumps(steps)), "array<array<double>>"), start, step)
 
     def copies(self, id_col: str) -> Column:
         """How often a document is taken: the rate, its fraction settled by a hash of id and token count."""
@@ -146,11 +151,15 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     mixture = Mixture(names, fit_classifier(docs, domains, domain_col=domain_col, text_col=text_col), {}, min_rate, max_rate)
     known = cut(mixture.posteriors(docs.select(F.col(id_col), F.col(text_col)), text_col).select(id_col, "_mix_tokens", "_mix_p"), "posteriors")
 
-    many = range(len(names))
-    share = [F.col("_mix_p")[k] * F.col("_mix_tokens") for k in many]
-    first = known.select(*[F.sum(x) for x in share], *[F.sum(share[k] * F.col("_mix_p")[j]) for k in many for j in many]).first()
-    totals = np.array([x or 0.0 for x in first[: len(names)]])
-    gram = np.array([x or 0.0 for x in first[len(names) :]]).reshape(len(names), -1)
+    def sums(rate: Column) -> np.ndarray:
+        """Expected tokens of every domain at these rates. The plan is of one size for any number of domains."""
+        shares = known.select((rate * F.col("_mix_tokens")).alias("w"), F.posexplode("_mix_p").alias("k", "p"))
+        out = np.zeros(len(names))
+        for r in shares.groupBy("k").agg(F.sum(F.col("p") * F.col("w")).alias("s")).collect():  # a row for each domain
+            out[r["k"]] = r["s"] or 0.0
+        return out
+
+    totals = sums(F.lit(1.0))
     if not totals.sum():
         return mixture, known
     wanted = np.array([float(targets.get(d, 0.0)) for d in names]) if targets else tempered(totals, power)
@@ -160,10 +169,10 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     goal = wanted * scale * totals.sum()
     mixture.targets = dict(zip(names, goal.tolist(), strict=True))
 
-    # least squares in the domains' relative errors: rows scaled to unit length, variables by the root of their tokens
-    unit = 1 / np.maximum(np.diag(gram), 1e-9)
-    size = np.linalg.eigvalsh(np.sqrt(unit)[:, None] * gram * np.sqrt(unit)[None, :]).max()
-    reached, gaps = totals * mixture.start(), []
+    # Least squares in errors counted in a domain's tokens, variables scaled by the root of theirs. What a step does to
+    # the errors has columns that sum to one (posteriors do), so no eigenvalue is over 1 and a whole step is safe.
+    unit = 1 / np.maximum(totals, 1e-9)
+    reached, gaps, done = totals * mixture.start(), [], 0
     for _ in range(max_steps + 1):
         off = np.abs(reached - goal)
         if (off <= tolerance * goal).all():
@@ -171,14 +180,16 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         gaps.append(float((off / np.maximum(goal, 1e-9)).max()))
         if len(mixture.steps) == max_steps or len(gaps) > STALL and gaps[-1] > 0.99 * gaps[-1 - STALL]:
             break
-        mixture.steps.append(((reached - goal) * unit / size).tolist())
-        sums = known.select(mixture.rate().alias("_r"), *[x.alias(f"s{k}") for k, x in enumerate(share)]).select(*[F.sum(F.col("_r") * F.col(f"s{k}")) for k in many]).first()
-        reached = np.array(sums)
+        if len(mixture.steps) - done == FOLD:
+            rated = mixture.rate(done)
+            known, done = cut(known.withColumn("_mix_rate", rated), "rated"), len(mixture.steps)
+        mixture.steps.append(((reached - goal) * unit).tolist())
+        reached = sums(mixture.rate(done))
     mixture.reached = dict(zip(names, reached.tolist(), strict=True))
     missed = {d: (mixture.reached[d], mixture.targets[d]) for d, o, g in zip(names, off, goal, strict=True) if o > tolerance * g}
     if missed:
         warnings.warn(f"targets not met after {len(mixture.steps)} steps (reached, wanted): {missed}", stacklevel=2)
-    return mixture, known
+    return mixture, known.select(id_col, "_mix_tokens", "_mix_p")
 
 
 def mixing_rates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -199,6 +210,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **op
     """`docs`, all columns, each row as often as its rate says. Posterior and rate are computed in place, so the
     texts are neither shuffled nor joined."""
     mixture, _ = fit_mixture(docs, id_col=id_col, text_col=text_col, **options)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rated = mixture.posteriors(docs, text_col).withColumn("_mix_rate", mixture.rate()).withColumn("_mix_copies", mixture.copies(id_col))
-    return rated.select(*columns, F.explode(F.array_repeat(F.lit(True), F.col("_mix_copies"))).alias("_mix_nth")).drop("_mix_nth")
+    # columns of the caller's that bear the names used here step aside
+    names = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c.lower().startswith("_mix_")}
+    own = docs.withColumnsRenamed(names)
+    columns = [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
+    rated = mixture.posteriors(own, names.get(text_col, text_col)).withColumn("_mix_rate", mixture.rate()).withColumn("_mix_copies", mixture.copies(names.get(id_col, id_col)))
+    turn = free_name(docs, "_mix_turn")
+    return rated.select(*columns, F.explode(F.array_repeat(F.lit(True), F.col("_mix_copies"))).alias(turn)).drop(turn)

@@ -20,6 +20,9 @@ from .substring_dedup import substring_dedup
 #: The tokenizer of the production queries; it stays where it is installed.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Shares of tokens that the mixed corpus shall have.
+TARGETS = {"de": 0.18, "en": 0.5, "es": 0.14, "fr": 0.18}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -59,7 +62,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_rates(documents(spark, sf_dir), min_rate=1.0)
+    return mixing_rates(documents(spark, sf_dir), targets=TARGETS, min_rate=1.0)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from roadglass.llm.mixing import fit_mixture, mix, mixing_rates, training_sample
 from roadglass.llm.pieces import Pieces, decode_pieces, encode_pieces
 from roadglass.llm.quality_model import fit_ordinal, features, keep_good, quality_grades, train
 from roadglass.llm.quality_rules import quality_rules, text_counts
-from roadglass.llm.registry import PIECE_MODEL
+from roadglass.llm.registry import PIECE_MODEL, TARGETS
 from roadglass.llm.sharding import schedule, shard_by_size
 
 SF = "/root/testdata/sf0.1"
@@ -213,6 +213,53 @@ def test_mixture_meets_its_targets(spark):
     assert same[0] > 0.97 and same[1] >= 1 and same[2] >= 1
 
 
+def brute_rates(p, tokens, targets, min_rate, tolerance=1e-3):
+    """Projected gradient in numpy on collected posteriors, every step from the rates themselves."""
+    totals = (p * tokens[:, None]).sum(0)
+    scale = max(t / w for t, w in zip(totals, targets, strict=True))
+    goal, rate, gaps = np.array(targets) * scale, np.full(len(p), max(1.0, min_rate)), []
+    for _ in range(100):
+        reached = (p * (tokens * rate)[:, None]).sum(0)
+        off = np.abs(reached - goal)
+        gaps.append((off / goal).max())
+        if (off <= tolerance * goal).all() or len(gaps) > 5 and gaps[-1] > 0.99 * gaps[-6]:
+            break
+        rate = np.maximum(rate - p @ ((reached - goal) / totals), min_rate)
+    return rate, reached, goal
+
+
+def test_rates_are_those_of_plain_projected_gradient(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixture, known = fit_mixture(docs, targets=TARGETS, min_rate=1.0)
+    rows = known.withColumn("rate", mixture.rate()).collect()
+    p, tokens = np.array([r["_mix_p"] for r in rows]), np.array([r["_mix_tokens"] for r in rows], float)
+    rate, reached, goal = brute_rates(p, tokens, [TARGETS[d] for d in mixture.domains], 1.0)
+    assert np.allclose([r["rate"] for r in rows], rate, rtol=1e-9)
+    assert np.allclose(reached, goal, rtol=0.01) and np.allclose(reached, [mixture.reached[d] for d in mixture.domains])
+
+
+def test_mixture_of_as_many_domains_as_are_allowed(spark):
+    rows = [(k, f"only{k % 256} " * (1 + k % 5), f"d{k % 256:03d}") for k in range(1024)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixture, known = fit_mixture(docs, min_rate=1.0, max_steps=10)
+    assert len(mixture.domains) == 256 and known.count() == 1024 and mixture.reached
+    with pytest.raises(ValueError, match="domains"):
+        fit_mixture(docs.union(spark.createDataFrame([(1, "x", "more")], docs.schema)))
+
+
+def test_mixing_keeps_columns_that_bear_its_own_names(spark):
+    rows = [(k, f"{'the road and' if k % 3 else 'och det att'} {k}", "en" if k % 3 else "sv", f"p{k}", k, -k) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _mix_p string, _mix_tokens long, _mix_turn long")
+    mixed = mix(docs, min_rate=1.0)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) == {tuple(r) for r in rows}
+
+
+def test_mixture_of_very_long_and_tied_texts(spark):
+    rows = [(1, "och det " * 200_000, "sv"), (2, "the road " * 200_000, "en"), (3, "the road " * 200_000, "en"), (4, "", "en")]
+    got = {r["doc_id"]: r for r in mixing_rates(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_rate=1.0).collect()}
+    assert got[2]["rate"] == got[3]["rate"] and got[1]["tokens"] == 400_000 and got[4]["tokens"] == 0
+
+
 def test_mixture_edges(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "a b"), (3, "a b")]
     one = mixing_rates(table(spark, rows))
