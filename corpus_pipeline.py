@@ -13,7 +13,7 @@ from roadglass.llm.exact_dedup import exact_dedup
 from roadglass.llm.mixing import mix
 from roadglass.llm.pieces import encode_pieces
 from roadglass.llm.quality_model import keep_good
-from roadglass.llm.registry import PIECE_MODEL
+from roadglass.llm.registry import PIECE_MODEL, TARGETS
 from roadglass.llm.simhash import simhash_components
 
 
@@ -40,9 +40,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small languages more often, so that the expected token totals are in
-    proportion to the natural ones to the power 0.7."""
-    return mix(docs, domain_col="lang", min_rate=1.0)
+    """Every document at least once, those of small languages more often, so that the expected token totals have the
+    stated shares."""
+    return mix(docs, domain_col="lang", targets=TARGETS, min_rate=1.0)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
