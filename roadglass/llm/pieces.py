@@ -14,17 +14,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
+from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 SPACE = "▁"
-#: Units longer than this are walked alone, character by character, with the same steps.
-LONG = 48
+#: Characters of the units that advance together, at most.
+TOGETHER = 1 << 20
+#: A unit of more characters than this is walked alone, character by character, with the same steps in little memory.
+LONG = 1 << 16
+#: Units whose ids a worker keeps, but for those of the texts at hand.
+KNOWN = 400_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Characters outside the pieces are numbered from here on, by code point.
 UNKNOWN = 1 << 21
@@ -34,6 +38,18 @@ class Pieces:
     """A loaded model with what encoding needs; built once in each Python worker."""
 
     def __init__(self, model: bytes):
+        spec = model_pb2.ModelProto.FromString(model)
+        kinds = {spec.trainer_spec.UNIGRAM: False, spec.trainer_spec.BPE: True}
+        if spec.trainer_spec.model_type not in kinds:
+            raise ValueError("only unigram and merge (BPE) models are encoded")
+        rules = spec.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
+            raise ValueError(f"the model rewrites its input ({rules.name}); only models that keep it are encoded")
+        if spec.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("models that put the space mark at a word's end are not encoded")
+        #: Merge models score pieces by rank, unigram models by log probability.
+        self.merges = kinds[spec.trainer_spec.model_type]
+        self.dummy = rules.add_dummy_prefix
         m = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = m.get_piece_size()
         self.text = [m.id_to_piece(i) for i in range(n)]
@@ -41,16 +57,18 @@ class Pieces:
         self.normal = {self.text[i]: i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         self.score = np.array([m.get_score(i) for i in range(n)])
         self.unknown = m.unk_id()
-        self.dummy = m.encode("a", out_type=str)[0].startswith(SPACE)
-        #: Merge models score pieces by rank, as whole numbers; unigram models by log probability.
-        self.merges = all(s == int(s) for s in self.score[-100:].tolist())
         self.longest = max(map(len, self.normal))
         self.inner = any(SPACE in p.lstrip(SPACE) for p in self.normal)
         self._index()
         self.raw = {i: bytes([b]) for b, i in self.bytes_at.items()}
-        self.out = [self.raw.get(i, t.replace(SPACE, " ").encode() if self.normal.get(t) == i else b"") for i, t in enumerate(self.text)]
+        out = [self.raw.get(i, t.replace(SPACE, " ").encode() if self.normal.get(t) == i else b"") for i, t in enumerate(self.text)]
+        #: The pieces' bytes end to end, with where each begins and how long it is.
+        self.bytes_of = np.frombuffer(b"".join(out), np.uint8)
+        self.n_bytes = np.array([len(b) for b in out])
+        self.begins = np.cumsum(self.n_bytes) - self.n_bytes
         self.agree, self.new = (np.zeros(1, np.int64), np.zeros(1, bool)), {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Units met before, with their ids as the bytes of 32-bit numbers.
+        self.cache: dict[str, bytes] = {}
 
     def _index(self) -> None:
         """Sorted hash keys of all pieces and their beginnings; each knows its piece, the entry it extends and its
@@ -161,11 +179,11 @@ class Pieces:
             go = np.flatnonzero(hit & (start + width < size))
             row, start, h, entry = row[go], start[go], h[go], at[go]
         end, row, width, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(end.astype(np.int16), kind="stable")
+        order = np.argsort(end.astype(np.int16 if size < 1 << 15 else np.int32), kind="stable")
         return end[order], row[order], width[order], piece[order]
 
-    def viterbi(self, units: list[str]) -> list[tuple[int, ...]]:
-        """Ids of units that all have the same length."""
+    def viterbi(self, units: list[str]) -> list[bytes]:
+        """Ids of units that all have the same length, as the bytes of 32-bit numbers."""
         n, size = len(units), len(units[0])
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
         end, row, width, piece = self.matches(chars)
@@ -192,13 +210,16 @@ class Pieces:
             steps.append(np.where(at > 0, last[at, rows], -1))
             at = at - np.where(at > 0, back[at, rows], 0)
         path = np.array(steps[::-1]).T if steps else np.full((n, 0), -1)
-        flat, ends = path[path >= 0].tolist(), np.cumsum((path >= 0).sum(1)).tolist()
-        out = [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        there = path >= 0
+        data, ends = path[there].astype(np.int32).tobytes(), (4 * np.cumsum(there.sum(1))).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in np.flatnonzero((path >= UNKNOWN).any(1)).tolist():
+            out[k] = self.spelled(path[k][there[k]].tolist())
         for k in np.flatnonzero(lost).tolist():  # no path of agreeing neighbours: merge the unit itself
-            out[k] = tuple(self.merged(units[k]))
+            out[k] = self.spelled(self.merged(units[k]))
         return out
 
-    def alone(self, unit: str) -> tuple[int, ...]:
+    def alone(self, unit: str) -> bytes:
         """The same walk for one long unit."""
         size, get = len(unit), self.normal.get
         best, last, back = [0.0] + [-np.inf] * size, [-1] * (size + 1), [0] * (size + 1)
@@ -221,17 +242,15 @@ class Pieces:
                 if score > best[end]:
                     best[end], last[end], back[end] = score, piece, width
         if best[size] == -np.inf:
-            return tuple(self.merged(unit))
+            return self.spelled(self.merged(unit))
         ids, end = [], size
         while end:
             ids.append(last[end])
             end -= back[end]
-        return tuple(ids[::-1])
+        return self.spelled(ids[::-1])
 
-    def spelled(self, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def spelled(self, ids: list[int]) -> bytes:
         """Characters outside the pieces become their bytes' ids, or the unknown id if the model has no bytes."""
-        if not ids or max(ids) < UNKNOWN:
-            return ids
         out: list[int] = []
         for i in ids:
             if i < UNKNOWN:
@@ -240,7 +259,7 @@ class Pieces:
                 out += [self.bytes_at[b] for b in chr(i - UNKNOWN).encode()]
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -250,32 +269,32 @@ class Pieces:
 
     def learn(self, units: set[str]) -> None:
         """Encode units that are not known yet, batch by equal length."""
-        if len(self.cache) > 200_000:
-            self.cache.clear()
         by_size: dict[int, list[str]] = {}
         for u in units:
             by_size.setdefault(len(u), []).append(u)
         for size, own in by_size.items():
             own.sort()
-            for k in range(0, len(own), 20_000):
-                part = own[k : k + 20_000]
-                ids = map(self.alone, part) if size > LONG else self.viterbi(part)
-                self.cache.update(zip(part, map(self.spelled, ids), strict=True))
+            some = max(1, min(20_000, TOGETHER // size))
+            for k in range(0, len(own), some):
+                part = own[k : k + some]
+                self.cache.update(zip(part, map(self.alone, part) if size > LONG else self.viterbi(part), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.units(t) for t in texts]
         every = set().union(*cut)
         missing = every.difference(self.cache)
         if missing:
-            if len(self.cache) + len(missing) > 200_000:
-                self.cache.clear()
-                missing = every
+            if len(self.cache) + len(missing) > KNOWN:  # what these texts use stays
+                self.cache = {u: self.cache[u] for u in every if u in self.cache}
             self.learn(missing)
         get = self.cache.__getitem__
-        return [np.array(list(chain.from_iterable(map(get, own))), np.int32) for own in cut]
+        return [np.frombuffer(b"".join(map(get, own)), np.int32) for own in cut]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.out.__getitem__, ids.tolist())).decode(errors="replace")
+        sizes = self.n_bytes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - (ends - sizes), sizes)
+        text = self.bytes_of[at].tobytes().decode(errors="replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from roadglass.llm.exact_dedup import exact_dedup
 from roadglass.llm.line_dedup import line_dedup
 from roadglass.llm.simhash import LEVELS, fingerprint, hamming_links, shard_links, simhash_components
-from roadglass.llm.substring_dedup import LENGTH, substring_dedup
+from roadglass.llm.substring_dedup import CHUNK, LENGTH, substring_dedup
 from roadglass.llm.suffix_sort import suffix_array
 
 SCHEMA = "doc_id long, text string, kept boolean, level string, name string, row int, _text string"
@@ -158,6 +158,17 @@ def test_substring_dedup_of_a_passage_that_most_documents_hold(spark):
     assert got == brute_spans(rows)
 
 
+def test_substring_dedup_across_pieces_of_a_long_text(spark):
+    """A text of more than one piece; a shared passage lies across the end of the first."""
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage = draw(700)
+    rows = [(1, draw(CHUNK - 300) + passage + draw(9000)), (2, draw(100) + passage + draw(100)), (3, draw(CHUNK + 50))]
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substring_dedup(table(spark, rows)).collect()), key=str)
+    assert got == brute_spans(rows)
+    assert [g[2] for g in got] == [700, 700, 0]
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup(table(spark, [])).count() == 0
 
@@ -263,6 +274,12 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprint_of_a_very_long_text():
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(70_000))
+    assert fingerprint(text) == brute_fingerprint(text)
+
+
 def test_simhash_components(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(500)]

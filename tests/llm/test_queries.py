@@ -82,6 +82,14 @@ def test_shards(spark, texts):
     assert sorted(load.values()) == plain_schedule(list(groups.items()), 16)[1]
 
 
+def test_pieces_of_every_document(spark, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_MODEL)
+    got = {r["doc_id"]: r for r in registry.op6_sentencepiece(spark, SF).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts:
+        assert got[i]["ids"] == library.encode(t) and got[i]["n_ids"] == len(got[i]["ids"]) and got[i]["round_trip"]
+
+
 def test_pipeline(spark, texts):
     docs, labels = registry.documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
     model = train(docs, labels)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from roadglass.llm.license_scan import license_scan
 from roadglass.llm.mixing import fit_mixture, mix, mixing_rates, training_sample
 from roadglass.llm.pieces import Pieces, decode_pieces, encode_pieces
-from roadglass.llm.quality_model import fit_ordinal, features, keep_good, quality_grades, train
+from roadglass.llm.quality_model import BUCKETS, MAX_ROWS, all_features, features, fit_ordinal, keep_good, quality_grades, train
 from roadglass.llm.quality_rules import quality_rules, text_counts
-from roadglass.llm.registry import PIECE_MODEL, TARGETS
+from roadglass.llm.registry import PIECE_MODEL, TARGETS, op10_quality_classifier
 from roadglass.llm.sharding import schedule, shard_by_size
 
 SF = "/root/testdata/sf0.1"
@@ -188,6 +188,60 @@ def test_ordinal_model():
     assert len(features("Aa aa, b%%% b")) == 4
 
 
+def test_tails_are_those_of_a_plain_refit(spark):
+    """The registered query against a dense refit of the same rows, over every document."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    grade = {r["doc_id"]: 0 if r["toxic"] == 1 else 1 if r["quality"] == 0 else 2 for r in labels.collect() if r["doc_id"] in texts}
+    assert len(grade) <= MAX_ROWS
+    y, seen = np.array(list(grade.values())), [all_features(texts[i]) for i in grade]
+    used = np.flatnonzero(np.bincount(np.concatenate(seen), minlength=BUCKETS) >= 5)
+    x = np.array([np.isin(used, s) for s in seen], float)
+    n, w, cuts = len(y), np.zeros(len(used)), np.array([-2.0, 0.0])  # the first threshold and the logarithm of the step
+    m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for k in range(1, 301):
+        t0, t1 = cuts[0], cuts[0] + np.exp(cuts[1])
+        a, b = sigmoid(t0 - x @ w), sigmoid(t1 - x @ w)
+        da, db = a * (1 - a), b * (1 - b)
+        mass = np.where(y == 0, a, np.where(y == 1, b - a, 1 - b))
+        # of -log mass by each threshold; the score moves both the other way
+        g0 = np.where(y == 0, -da, np.where(y == 1, da, 0)) / mass / n
+        g1 = np.where(y == 1, -db, np.where(y == 2, db, 0)) / mass / n
+        g = np.concatenate([-x.T @ (g0 + g1) + 8.0 / n * w, [(g0 + g1).sum(), g1.sum() * np.exp(cuts[1])]])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w, cuts = w - step[:-2], cuts - step[-2:]
+    full = np.zeros(BUCKETS)
+    full[used] = w
+    want = {i: sigmoid(full[all_features(t)].sum() - cuts[0] - np.exp(cuts[1])) for i, t in texts.items()}
+    got = {r["doc_id"]: r for r in op10_quality_classifier(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i]["tail_prob"] - want[i]) for i in want) < 0.01
+    assert all(r["kept"] == (r["tail_prob"] >= 0.5) for r in got.values())
+    again = {r["doc_id"]: r["tail_prob"] for r in quality_grades(docs.repartition(7), labels.repartition(5)).collect()}
+    assert again == {i: r["tail_prob"] for i, r in got.items()}
+
+
+def test_sample_is_bounded_and_has_one_row_of_an_id(spark, monkeypatch):
+    from roadglass.llm import quality_model as module
+
+    sizes = []
+    monkeypatch.setattr(module, "fit_ordinal", lambda rows, grades: sizes.append(len(rows)) or fit_ordinal(rows, grades))
+    docs = spark.createDataFrame([(k % 40, f"text {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    train(docs, labels)
+    train(docs, labels, max_rows=10)
+    assert sizes[0] == 40 and sizes[1] <= 10
+
+
+def test_keep_good_keeps_a_column_of_its_own_name(spark):
+    docs = spark.createDataFrame([(1, "fine words", "mine", 5)], "doc_id long, text string, _quality string, `a.b` int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert keep_good(docs, none).collect() == docs.collect()
+
+
 def test_quality_edges(spark):
     docs = table(spark, [(1, None), (2, ""), (3, "fine words"), (None, "words"), (3, "x" * 100_000)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -311,6 +365,41 @@ def test_pieces_are_those_of_the_library(spark, library):
         assert pieces.decode(ids) == text
 
 
+def test_long_units_take_the_same_steps(library, monkeypatch):
+    from roadglass.llm import pieces as module
+
+    with open(PIECE_MODEL, "rb") as f:
+        model = f.read()
+    units = ["ab" * 400, "straßenbahn" * 90, "漢字" * 300, "x" * 5000, "the" * 1700 + "é"]
+    for long in (1 << 16, 100):  # batched, and one at a time
+        monkeypatch.setattr(module, "LONG", long)
+        got = Pieces(model).encode(units)
+        assert [i.tolist() for i in got] == [library.encode(u) for u in units]
+
+
+def test_models_that_rewrite_their_input_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as model_pb2
+
+    with open(PIECE_MODEL, "rb") as f:
+        plain = f.read()
+    for k, v in (("precompiled_charsmap", b"x"), ("remove_extra_whitespaces", True), ("escape_whitespaces", False)):
+        spec = model_pb2.ModelProto.FromString(plain)
+        setattr(spec.normalizer_spec, k, v)
+        with pytest.raises(ValueError, match="rewrites"):
+            Pieces(spec.SerializeToString())
+    spec = model_pb2.ModelProto.FromString(plain)
+    spec.trainer_spec.model_type = spec.trainer_spec.WORD
+    with pytest.raises(ValueError, match="models"):
+        Pieces(spec.SerializeToString())
+
+
+def test_a_text_of_more_characters_than_one_group(spark, library):
+    text = " ".join(f"word{k % 977} road" for k in range(180_000))
+    assert len(text) > 2_000_000
+    got = encode_pieces(table(spark, [(1, text), (2, "short")]), PIECE_MODEL).orderBy("doc_id").collect()
+    assert got[0]["ids"] == library.encode(text) and got[0]["round_trip"] and got[1]["ids"] == library.encode("short")
+
+
 def test_encode_and_decode(spark):
     rows = [(1, None), (2, ""), (3, "Hello  world\n"), (None, "x"), (3, "Hello  world\n"), (4, "long " * 20_000)]
     coded = encode_pieces(table(spark, rows), PIECE_MODEL)
