@@ -34,9 +34,9 @@ GEOHASH_LETTERS = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 def vin_check_digit(vin: Column) -> Column:
     """The digit that belongs at the ninth place of a 17-character VIN."""
-    digits = F.translate(F.upper(vin), VIN_LETTERS, VIN_VALUES)
-    total = reduce(lambda a, b: a + b, [F.substring(digits, k + 1, 1).try_cast("int") * w for k, w in enumerate(VIN_WEIGHTS) if w])
-    return F.when(total % 11 == 10, F.lit("X")).otherwise((total % 11).cast("string"))
+    digits = F.split(F.translate(F.upper(vin), VIN_LETTERS, VIN_VALUES), "").try_cast("array<int>")
+    total = F.aggregate(F.zip_with(digits, F.lit(list(VIN_WEIGHTS)), lambda d, w: d * w), F.lit(0), lambda a, b: a + b)
+    return F.element_at(F.lit([*"0123456789X"]), total % 11 + 1)
 
 
 def is_valid_vin(vin: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import count
 
@@ -11,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..session import shared_folder
+
 SWITCH = 2.5
 
 
@@ -78,10 +78,9 @@ def nearest_target(edges: DataFrame, sources: DataFrame, targets: DataFrame, *,
     path), and what costs more than a source's best target so far is dropped. Rounds go on until no path grows; a bound on them raises when it is hit. Each round is a table in the shared
     checkpoint folder."""
     spark = edges.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}").rstrip("/")
 
     def cut(df: DataFrame) -> DataFrame:
-        path = f"{root}/paths-{uuid.uuid4().hex}"
+        path = shared_folder(spark, "paths")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: How each measure of two partial rollups of a key and day is merged.
 MERGE = {"events": F.sum, "min_odo": F.min, "max_odo": F.max, "sum_speed": F.sum, "max_coolant": F.max, "min_batt_v": F.min, "harsh_brakes": F.sum, "idle_samples": F.sum, "dtc_events": F.sum}
@@ -19,7 +19,7 @@ def daily_rollup(telemetry: DataFrame, key: str = "vin") -> DataFrame:
         F.max("coolant_c").alias("max_coolant"),
         F.min("batt_v").alias("min_batt_v"),
         when(F.col("evt") == "HARSH_BRAKE").alias("harsh_brakes"),
-        when(F.col("evt") == "IDLE").alias("idle_samples"),
+        when(F.col("speed_kmh") < 1).alias("idle_samples"),
         when(F.col("dtcs").isNotNull()).alias("dtc_events"),
     )
 
@@ -48,3 +48,19 @@ def retention_plan(telemetry: DataFrame, now, keep_hours: int) -> DataFrame:
     ends = F.col("hour") + F.expr("interval 1 hour")
     parts = telemetry.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("rows"))
     return parts.withColumn("dropped", ends <= F.lit(now).cast("timestamp") - F.expr(f"interval {keep_hours} hours"))
+
+
+def retained(telemetry: DataFrame, now, keep_hours: int) -> DataFrame:
+    """The rows that stay: those of hours that end after now - keep_hours, rows without a time too. The bound is a
+    literal on the hour, so a table that is partitioned by day and hour is pruned by it."""
+    cutoff = F.lit(now).cast("timestamp") - F.expr(f"interval {keep_hours + 1} hours")
+    return telemetry.filter(F.col("ts").isNull() | (F.date_trunc("hour", F.col("ts").cast("timestamp")) > cutoff))
+
+
+def apply_retention(spark: SparkSession, path: str, to: str, now, keep_hours: int) -> int:
+    """Write the retained part of the table at `path` (as `write_by_hour` lays it out) to `to`; the number of hour
+    partitions that were dropped. The caller swaps the folders, so a run that fails half-way has dropped nothing."""
+    table = spark.read.parquet(path)
+    gone = retention_plan(table, now, keep_hours).filter("dropped").count()
+    retained(table, now, keep_hours).write.mode("overwrite").partitionBy("d", "h").parquet(to)
+    return gone

@@ -78,11 +78,27 @@ def estimate_savings(risks: DataFrame, top: int = 50) -> DataFrame:
     return sums.select("vehicles", F.round("expected", 1).alias("expected_breakdowns"), F.round(avoided).cast("long").alias("avoided_usd"), F.round(spend).cast("long").alias("planned_usd"), F.round(avoided - spend).cast("long").alias("net_usd"))
 
 
-def vehicle_summary(vehicles: DataFrame, risks: DataFrame, alerts: DataFrame, last: int = 5) -> DataFrame:
-    """Each vehicle with its risk and last alerts. Alerts are cut to the last few per vehicle before anything is gathered."""
+def vehicle_summary(vehicles: DataFrame, risks: DataFrame, alerts: DataFrame, last: int = 10) -> DataFrame:
+    """Each vehicle with its risk, what drives it and its last alerts with their codes. Alerts are cut to the last few
+    per vehicle before anything is gathered. `risks` may carry factors, an array of structs with a label."""
     few = top_per_group(alerts, group="vin", score="alert_id", tie="alert_id", limit=last)
-    gathered = few.groupBy("vin").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "rule", "severity"))), lambda a: F.concat_ws("/", a["rule"], a["severity"])).alias("recent"))
-    return vehicles.join(risks.select("vin", "score"), "vin", "left").join(gathered, "vin", "left").withColumn("recent", F.array_join("recent", ","))
+    gathered = few.groupBy("vin").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "rule", "severity", "code"))), lambda a: F.concat_ws("/", a["rule"], a["severity"], a["code"])).alias("recent"))
+    drivers = F.array_join(F.transform("factors", lambda x: x["label"]), ",").alias("drivers") if "factors" in risks.columns else F.lit(None).cast("string").alias("drivers")
+    told = risks.select("vin", "score", drivers)
+    return vehicles.join(told, "vin", "left").join(gathered, "vin", "left").withColumn("recent", F.array_join("recent", ","))
+
+
+def vehicle_series(telemetry: DataFrame, *, until, minutes: int = 30, limit: int = 60) -> DataFrame:
+    """(vin, series, live): each vehicle's last samples of the minutes before `until`, oldest first, and its newest row.
+
+    Samples are cut to `limit` per vehicle before they are gathered; the time bound reaches the scan."""
+    end = F.lit(until)
+    now = telemetry.filter((F.col("ts") > end - F.expr(f"interval {minutes} minutes")) & (F.col("ts") <= end)).select("vin", "ts", "seq", "speed_kmh", "batt_v")
+    few = now.withColumn("_nth", F.row_number().over(Window.partitionBy("vin").orderBy(F.desc("ts"), F.desc("seq")))).filter(F.col("_nth") <= limit)
+    series = few.groupBy("vin").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "speed_kmh", "batt_v"))).alias("series"))
+    rest = ["seq", "ts", "lat", "lon", "speed_kmh"]
+    live = telemetry.filter(F.col("ts") <= end).groupBy("vin").agg(F.max_by(F.struct(*rest), "seq").alias("live"))
+    return live.join(series, "vin", "left").select("vin", "series", "live")
 
 
 def radius_search(points: DataFrame, *, lat: float, lon: float, radius_km: float) -> DataFrame:
@@ -105,32 +121,44 @@ def interval_join(events: DataFrame, assignments: DataFrame, *, key: str, ts: st
 
 
 def acknowledge(alerts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Alerts after (alert_id, tenant_id, user_id) requests: open alerts of the request's tenant get acked_by.
+    """Alerts after (alert_id, tenant_id, user_id, at) requests: open alerts of the request's tenant get acked_by and acked_at.
 
-    Of several requests for an alert the smallest user is recorded."""
-    asked = requests.groupBy("alert_id", "tenant_id").agg(F.min("user_id").alias("_user"))
-    hit = F.col("_user").isNotNull() & F.col("acked_by").isNull()
-    return alerts.join(asked, ["alert_id", "tenant_id"], "left").withColumn("changed", hit).withColumn("acked_by", F.when(hit, F.col("_user")).otherwise(F.col("acked_by"))).drop("_user")
+    Of several requests for an alert the earliest is recorded (ties: the smallest user)."""
+    asked = requests.groupBy("alert_id", "tenant_id").agg(F.min(F.struct("at", "user_id")).alias("_asked"))
+    hit = F.col("_asked").isNotNull() & F.col("acked_by").isNull()
+    out = alerts.join(asked, ["alert_id", "tenant_id"], "left").withColumn("changed", hit)
+    return out.withColumns({"acked_by": F.when(hit, F.col("_asked.user_id")).otherwise(F.col("acked_by")), "acked_at": F.when(hit, F.col("_asked.at")).otherwise(F.col("acked_at"))}).drop("_asked")
 
 
 def decide(orders: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Work orders after (work_order_id, tenant_id, approve) decisions; only proposed ones move."""
-    said = decisions.groupBy("work_order_id", "tenant_id").agg(F.bool_and("approve").alias("_ok"))
+    """Work orders after (work_order_id, tenant_id, approve, user_id) decisions; only proposed ones move, and who decided
+    is recorded in approved_by. Of several decisions on an order one refusal is enough; of those that agree with the
+    outcome the smallest user is recorded."""
+    said = decisions.groupBy("work_order_id", "tenant_id").agg(
+        F.bool_and("approve").alias("_ok"), F.min(F.when(F.col("approve"), F.col("user_id"))).alias("_yes"), F.min(F.when(~F.col("approve"), F.col("user_id"))).alias("_no")
+    )
     hit = F.col("_ok").isNotNull() & (F.col("status") == "proposed")
     moved = F.when(hit, F.when(F.col("_ok"), "approved").otherwise("rejected")).otherwise(F.col("status"))
-    return orders.join(said, ["work_order_id", "tenant_id"], "left").withColumn("status", moved).drop("_ok")
+    by = F.when(hit, F.when(F.col("_ok"), F.col("_yes")).otherwise(F.col("_no"))).otherwise(F.col("approved_by"))
+    return orders.join(said, ["work_order_id", "tenant_id"], "left").withColumns({"status": moved, "approved_by": by}).drop("_ok", "_yes", "_no")
 
 
 def propose(vehicles: DataFrame, requests: DataFrame) -> DataFrame:
-    """New work orders for (vin, tenant_id, reason) requests on vehicles of that tenant; the reason is cut at 300."""
-    own = requests.join(vehicles.select("vin", "tenant_id"), ["vin", "tenant_id"], "left_semi")
-    return own.select("tenant_id", "vin", F.left("reason", F.lit(300)).alias("reason"), F.lit(float(PLANNED_USD)).alias("est_cost_usd"), F.lit("proposed").alias("status"))
+    """New work orders for (vin, tenant_id, reason, user_id) requests on vehicles of that tenant; vins are read in upper
+    case, the reason is cut at 300. An order's id is a hash of what it asks for, so the same request twice is one order."""
+    asked = requests.select(F.upper("vin").alias("vin"), "tenant_id", F.left("reason", F.lit(300)).alias("reason"), F.col("user_id").alias("proposed_by"))
+    own = asked.join(vehicles.select("vin", "tenant_id"), ["vin", "tenant_id"], "left_semi").dropDuplicates(["tenant_id", "vin", "reason", "proposed_by"])
+    return own.select(
+        F.xxhash64("tenant_id", "vin", "reason", "proposed_by").alias("work_order_id"), "tenant_id", "vin", "reason", "proposed_by",
+        F.lit(float(PLANNED_USD)).alias("est_cost_usd"), F.lit("proposed").alias("status"),
+    )
 
 
 def erase(people: DataFrame, requests: DataFrame, *, id_col: str, at, columns: list[str]) -> DataFrame:
-    """People with personal columns nulled where asked; who is erased already keeps the first time."""
-    asked = requests.select(F.col(id_col)).distinct().withColumn("_asked", F.lit(True))
+    """People with personal columns nulled where their own tenant asks, by (id, tenant_id) requests; who is erased already
+    keeps the first time."""
+    asked = requests.select(id_col, "tenant_id").distinct().withColumn("_asked", F.lit(True))
     hit = F.coalesce("_asked", F.lit(False))
-    out = people.join(asked, id_col, "left")
+    out = people.join(asked, [id_col, "tenant_id"], "left")
     blank = {c: F.when(hit, F.lit(None)).otherwise(F.col(c)) for c in columns}
     return out.withColumns(blank | {"erased_at": F.coalesce("erased_at", F.when(hit, F.lit(at)))}).drop("_asked")

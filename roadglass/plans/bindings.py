@@ -48,6 +48,7 @@ ALERTS = {
     "is_open": "o_orderstatus = 'O'",
     "severity": "cast(6 - cast(substring(o_orderpriority, 1, 1) as int) as int)",
     "rule": "concat('R', substring(o_orderpriority, 1, 1))",
+    "code": "case o_orderkey % 4 when 0 then 'P0301' when 1 then 'U0100' else null end",
     "created_at": "o_orderdate",
 }
 

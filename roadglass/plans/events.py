@@ -209,7 +209,7 @@ coded AS (
 _KEY = "concat_ws(':', vin, rule, code, cast(epoch_us(ts) // 3600000000 AS varchar))"
 _ROLLUP = """SELECT vin, cast(ts AS date) AS day, count(*) AS events, round(min(odo_km), 4) AS min_odo, round(max(odo_km), 4) AS max_odo, round(sum(speed_kmh), 4) AS sum_speed,
  round(max(coolant_c), 4) AS max_coolant, round(min(batt_v), 4) AS min_batt_v, count(*) FILTER (WHERE evt = 'HARSH_BRAKE') AS harsh_brakes,
- count(*) FILTER (WHERE evt = 'IDLE') AS idle_samples, count(*) FILTER (WHERE fault_string IS NOT NULL) AS dtc_events FROM telemetry"""
+ count(*) FILTER (WHERE speed_kmh < 1) AS idle_samples, count(*) FILTER (WHERE fault_string IS NOT NULL) AS dtc_events FROM telemetry"""
 #: Rejects after enrichment: what parsing leaves, then malformed numbers, then unknown ones.
 _REASON = f"""CASE WHEN k <> 'ok' THEN k WHEN event_id % 250 = 200 THEN 'vin' WHEN user_id % 10 = 9 THEN 'unknown vin' END"""
 

@@ -59,7 +59,15 @@ def recent_series(spark, sf):
 
 
 def vehicle_summary(spark, sf):
-    return serving.vehicle_summary(vehicles(spark, sf).select("vin", "model", "powertrain"), risks(spark, sf), alerts(spark, sf))
+    """Vehicles with risk, drivers (here the model and whether the risk is high) and the last ten alerts."""
+    drivers = F.array(F.struct(F.col("model").alias("label")), F.struct(F.when(F.col("score") >= 0.3, "high").otherwise("low").alias("label")))
+    return serving.vehicle_summary(vehicles(spark, sf).select("vin", "model", "powertrain"), risks(spark, sf).withColumn("factors", drivers), alerts(spark, sf))
+
+
+def vehicle_series(spark, sf):
+    """Every vehicle's samples of two days and its newest row."""
+    s = serving.vehicle_series(telemetry(spark, sf), until=dt.datetime(2024, 1, 20), minutes=2880, limit=5)
+    return s.select("vin", F.array_join(F.transform("series", lambda x: x["seq"].cast("string")), ",").alias("series"), F.col("live.seq").alias("live_seq"))
 
 
 def fleet_kpis(spark, sf):
@@ -83,26 +91,32 @@ def interval_join(spark, sf):
 
 
 def ack_alerts(spark, sf):
-    a = alerts(spark, sf).select("alert_id", "tenant_id", F.when(~F.col("is_open"), F.lit(0)).alias("acked_by"))
-    asked = a.filter("alert_id % 5 = 0").select("alert_id", F.expr("cast(case when alert_id % 10 = 0 then tenant_id else (tenant_id + 1) % 5 end as int)").alias("tenant_id"), F.expr("cast(alert_id % 7 + 1 as int)").alias("user_id"))
-    return serving.acknowledge(a, asked).groupBy("changed", "acked_by").agg(F.count(F.lit(1)).alias("n"))
+    """Every fifth alert is asked for twice, half of them by another tenant; the earlier request is recorded."""
+    a = alerts(spark, sf).select("alert_id", "tenant_id", F.when(~F.col("is_open"), F.lit(0)).alias("acked_by"), F.lit(None).cast("string").alias("acked_at"))
+    tenant = F.expr("cast(case when alert_id % 10 = 0 then tenant_id else (tenant_id + 1) % 5 end as int)").alias("tenant_id")
+    asked = a.filter("alert_id % 5 = 0").select("alert_id", tenant, F.expr("cast(alert_id % 7 + 1 as int)").alias("user_id"), F.lit("2024-02-02").alias("at"))
+    again = asked.withColumns({"user_id": F.col("user_id") + 10, "at": F.lit("2024-02-01")}).filter("alert_id % 20 = 0")
+    return serving.acknowledge(a, asked.unionByName(again)).groupBy("changed", "acked_by", "acked_at").agg(F.count(F.lit(1)).alias("n"))
 
 
 def decide_work_orders(spark, sf):
-    o = alerts(spark, sf).select(F.col("alert_id").alias("work_order_id"), "tenant_id", F.when(F.col("is_open"), "proposed").otherwise("done").alias("status"))
-    said = o.filter("work_order_id % 3 = 0").select("work_order_id", "tenant_id", (F.col("work_order_id") % 2 == 0).alias("approve"))
-    return serving.decide(o, said).select("work_order_id", "status")
+    o = alerts(spark, sf).select(F.col("alert_id").alias("work_order_id"), "tenant_id", F.when(F.col("is_open"), "proposed").otherwise("done").alias("status"), F.lit(None).cast("int").alias("approved_by"))
+    said = o.filter("work_order_id % 3 = 0").select("work_order_id", "tenant_id", (F.col("work_order_id") % 2 == 0).alias("approve"), F.expr("cast(work_order_id % 5 as int)").alias("user_id"))
+    return serving.decide(o, said).select("work_order_id", "status", "approved_by")
 
 
 def propose_work_orders(spark, sf):
+    """Requests in lower case, a quarter of them by another tenant, each made twice."""
     v = vehicles(spark, sf)
-    asked = v.select("vin", F.expr("cast(case when id % 4 = 0 then tenant_id + 1 else tenant_id end as int)").alias("tenant_id"), F.expr("repeat(concat('check ', vin, ' '), 30)").alias("reason"))
-    return serving.propose(v, asked).select("vin", "tenant_id", F.char_length("reason").cast("int").alias("reason_chars"), "est_cost_usd", "status")
+    asked = v.select(F.lower("vin").alias("vin"), F.expr("cast(case when id % 4 = 0 then tenant_id + 1 else tenant_id end as int)").alias("tenant_id"), F.expr("repeat(concat('check ', vin, ' '), 30)").alias("reason"), F.expr("cast(id % 9 as int)").alias("user_id"))
+    return serving.propose(v, asked.unionByName(asked)).select("vin", "tenant_id", F.char_length("reason").cast("int").alias("reason_chars"), "proposed_by", "est_cost_usd", "status")
 
 
 def erase_pii(spark, sf):
-    people = read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 9 == 0, F.lit("2024-01-01")).alias("erased_at"))
-    return serving.erase(people, people.filter("c_custkey % 3 = 0"), id_col="c_custkey", at="2024-06-01", columns=["c_name"])
+    """Every third person is asked for, every sixth of these by a tenant that is not theirs."""
+    people = read(spark, sf, "customer").select("c_custkey", F.expr("cast(c_nationkey % 5 as int)").alias("tenant_id"), "c_name", "c_acctbal", F.when(F.col("c_custkey") % 9 == 0, F.lit("2024-01-01")).alias("erased_at"))
+    asked = people.filter("c_custkey % 3 = 0").select("c_custkey", F.expr("cast(case when c_custkey % 6 = 0 then (tenant_id + 1) % 5 else tenant_id end as int)").alias("tenant_id"))
+    return serving.erase(people, asked, id_col="c_custkey", at="2024-06-01", columns=["c_name"])
 
 
 def _features(spark, sf):
@@ -176,7 +190,7 @@ def nearest_target(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    list_vehicles, tenant_scope, mask_location, role_permissions, dq_report, keyset_page, list_alerts, top_risk, recent_series, vehicle_summary, fleet_kpis, estimate_savings, radius_search,
+    list_vehicles, tenant_scope, mask_location, role_permissions, dq_report, keyset_page, list_alerts, top_risk, recent_series, vehicle_summary, vehicle_series, fleet_kpis, estimate_savings, radius_search,
     interval_join, ack_alerts, decide_work_orders, propose_work_orders, erase_pii, features, baseline_score, feature_medians, explain_factors, train_risk, score_risk, feature_importance, nearest_target,
 )}
 
@@ -218,8 +232,12 @@ SQL = {
     "top_risk": f"WITH {VEHICLES_SQL} SELECT tenant_id, cast(row_number() OVER w AS int) AS rank, vin, model, score FROM risks WINDOW w AS (PARTITION BY tenant_id ORDER BY score DESC, vin) QUALIFY row_number() OVER w <= 25",
     "recent_series": f"WITH {TELEMETRY_SQL} SELECT ts, seq, value, batt_v FROM telemetry WHERE vin = 'VH00000007' AND ts >= TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts DESC, seq DESC LIMIT 60",
     "vehicle_summary": f"""WITH {ALERTS_SQL}, few AS (
-          SELECT vin, string_agg(concat(rule, '/', severity), ',' ORDER BY alert_id DESC) AS recent FROM (SELECT * FROM alerts QUALIFY row_number() OVER (PARTITION BY vin ORDER BY alert_id DESC) <= 5) GROUP BY vin)
-        SELECT v.vin, v.model, powertrain, score, recent FROM vehicles v LEFT JOIN risks USING (vin) LEFT JOIN few USING (vin)""",
+          SELECT vin, string_agg(concat_ws('/', rule, severity, code), ',' ORDER BY alert_id DESC) AS recent FROM (SELECT * FROM alerts QUALIFY row_number() OVER (PARTITION BY vin ORDER BY alert_id DESC) <= 10) GROUP BY vin)
+        SELECT v.vin, v.model, powertrain, score, concat(v.model, ',', CASE WHEN score >= 0.3 THEN 'high' ELSE 'low' END) AS drivers, recent FROM vehicles v LEFT JOIN risks USING (vin) LEFT JOIN few USING (vin)""",
+    "vehicle_series": f"""WITH {TELEMETRY_SQL}, few AS (
+          SELECT vin, ts, seq FROM telemetry WHERE ts > TIMESTAMP '2024-01-18 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' QUALIFY row_number() OVER (PARTITION BY vin ORDER BY ts DESC, seq DESC) <= 5
+        ), s AS (SELECT vin, string_agg(cast(seq AS varchar), ',' ORDER BY ts, seq) AS series FROM few GROUP BY vin)
+        SELECT l.vin, series, live_seq FROM (SELECT vin, max(seq) AS live_seq FROM telemetry WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY vin) l LEFT JOIN s USING (vin)""",
     "fleet_kpis": f"""WITH {ALERTS_SQL} SELECT (SELECT count(*) FROM vehicles) AS vehicles, (SELECT count(*) FROM alerts WHERE is_open) AS open_alerts,
           (SELECT count(*) FROM alerts WHERE is_open AND severity >= 4) AS critical_alerts, (SELECT count(*) FROM risks WHERE score >= 0.3) AS high_risk""",
     "estimate_savings": f"""WITH {VEHICLES_SQL}, s AS (SELECT coalesce(sum(score), 0) AS e, count(*) AS n FROM (SELECT score FROM risks WHERE tenant_id = {TENANT} ORDER BY score DESC, vin LIMIT 50))
@@ -229,11 +247,14 @@ SQL = {
     "interval_join": f"""WITH {TELEMETRY_SQL}, o AS (SELECT o_custkey AS user_id, o_orderkey AS assignment, o_orderdate + INTERVAL 9 YEAR AS valid_from FROM orders),
         a AS (SELECT *, lead(valid_from) OVER (PARTITION BY user_id ORDER BY valid_from, assignment) AS valid_to FROM o)
         SELECT seq, assignment FROM telemetry t JOIN a ON t.user_id = a.user_id AND ts >= valid_from AND (valid_to IS NULL OR ts < valid_to)""",
-    "ack_alerts": f"""WITH {ALERTS_SQL} SELECT is_open AND alert_id % 10 = 0 AS changed, CASE WHEN NOT is_open THEN 0 WHEN alert_id % 10 = 0 THEN cast(alert_id % 7 + 1 AS int) END AS acked_by, count(*) AS n FROM alerts GROUP BY 1, 2""",
-    "decide_work_orders": f"""WITH {ALERTS_SQL} SELECT alert_id AS work_order_id, CASE WHEN NOT is_open THEN 'done' WHEN alert_id % 6 = 0 THEN 'approved' WHEN alert_id % 3 = 0 THEN 'rejected' ELSE 'proposed' END AS status FROM alerts""",
-    "propose_work_orders": f"WITH {VEHICLES_SQL} SELECT vin, cast(tenant_id AS int) AS tenant_id, 300 AS reason_chars, 650::double AS est_cost_usd, 'proposed' AS status FROM vehicles WHERE id % 4 <> 0",
-    "erase_pii": """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS c_name, c_acctbal,
-        CASE WHEN c_custkey % 9 = 0 THEN '2024-01-01' WHEN c_custkey % 3 = 0 THEN '2024-06-01' END AS erased_at FROM customer""",
+    "ack_alerts": f"""WITH {ALERTS_SQL} SELECT is_open AND alert_id % 10 = 0 AS changed,
+          CASE WHEN NOT is_open THEN 0 WHEN alert_id % 20 = 0 THEN cast(alert_id % 7 + 11 AS int) WHEN alert_id % 10 = 0 THEN cast(alert_id % 7 + 1 AS int) END AS acked_by,
+          CASE WHEN NOT is_open THEN NULL WHEN alert_id % 20 = 0 THEN '2024-02-01' WHEN alert_id % 10 = 0 THEN '2024-02-02' END AS acked_at, count(*) AS n FROM alerts GROUP BY 1, 2, 3""",
+    "decide_work_orders": f"""WITH {ALERTS_SQL} SELECT alert_id AS work_order_id, CASE WHEN NOT is_open THEN 'done' WHEN alert_id % 6 = 0 THEN 'approved' WHEN alert_id % 3 = 0 THEN 'rejected' ELSE 'proposed' END AS status,
+          CASE WHEN is_open AND alert_id % 3 = 0 THEN cast(alert_id % 5 AS int) END AS approved_by FROM alerts""",
+    "propose_work_orders": f"WITH {VEHICLES_SQL} SELECT vin, cast(tenant_id AS int) AS tenant_id, 300 AS reason_chars, cast(id % 9 AS int) AS proposed_by, 650::double AS est_cost_usd, 'proposed' AS status FROM vehicles WHERE id % 4 <> 0",
+    "erase_pii": """SELECT c_custkey, cast(c_nationkey % 5 AS int) AS tenant_id, CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 6 = 0 THEN c_name END AS c_name, c_acctbal,
+        CASE WHEN c_custkey % 9 = 0 THEN '2024-01-01' WHEN c_custkey % 3 = 0 AND c_custkey % 6 <> 0 THEN '2024-06-01' END AS erased_at FROM customer""",
     "features": f"{_FEATURES} SELECT vin, tenant_id, " + ", ".join(f"round({c}, 5) AS {c}" for c in _NAMES) + " FROM f",
     "baseline_score": f"{_FEATURES} SELECT vin, round(least(greatest(service_overdue_ratio / 1.5e0, 0), 1), 5) AS baseline FROM f",
     "feature_medians": f"{_FEATURES} SELECT " + ", ".join(f"round(median({c}), 5) AS {c}" for c in _NAMES) + " FROM f",

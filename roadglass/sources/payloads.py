@@ -148,7 +148,9 @@ def enrich(events: DataFrame, tenants: DataFrame, check_vin: bool = True) -> Dat
     joined = events.join(tenants.select("vin", "tenant_id"), "vin", "left")
     bad = (F.when(~is_valid_vin(F.col("vin")), "vin") if check_vin else F.lit(None).cast("string"))
     unknown = F.when(F.col("tenant_id").isNull(), "unknown vin")
-    return joined.withColumn("reject_reason", F.coalesce("reject_reason", bad, unknown))
+    # in a generator, as in normalise: a filter on the reason does not work it out again
+    columns = [F.col(f"`{c}`") for c in joined.columns if c != "reject_reason"]
+    return joined.select(*columns, F.explode(F.array(F.coalesce("reject_reason", bad, unknown))).alias("reject_reason"))
 
 
 def split_rejects(events: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
