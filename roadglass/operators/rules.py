@@ -62,6 +62,11 @@ def pattern_alerts(events: DataFrame, limits: Limits = Limits(), event: str = "H
 def alerts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """All rules' alerts, with their dedup key."""
     found = row_alerts(events, limits).unionByName(overheat_alerts(events, limits)).unionByName(pattern_alerts(events, limits))
+    return keyed(found)
+
+
+def keyed(found: DataFrame) -> DataFrame:
+    """Alerts with their dedup key."""
     return found.withColumn("dedup_key", dedup_key(F.col("vin"), F.col("rule"), F.col("code"), F.col("ts_ms")))
 
 

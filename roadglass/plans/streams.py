@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vehicle import fault_codes
+from ..functions.vehicle import FAULT_CODES, fault_codes
+from ..operators import rules
 from ..streaming import jobs
 from .bindings import TELEMETRY, TELEMETRY_SQL, payloads, read, view
 from .events import LIMITS, SQL as EVENT_SQL, _tenants
@@ -58,16 +59,32 @@ def stream_rollup(spark, sf):
 
 
 def stream_ingest(spark, sf):
-    """Raw payloads of both makers through the whole job; rows of each table it wrote."""
+    """Raw payloads of both makers, in several files and batches, through the whole job: rows of the tables it wrote.
+
+    Every 89th payload is delivered twice, in another file."""
     at = jobs.folder(spark, "payloads")
-    payloads(spark, sf).select("value").write.parquet(at)
+    raw = payloads(spark, sf)
+    raw.unionByName(raw.filter("event_id % 89 = 0")).repartition(6).select("value").write.parquet(at)
     stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).parquet(at)
     wrote = jobs.ingest(stream, _tenants(spark, sf))
-    good, dead = (spark.read.parquet(wrote[t]) for t in ("telemetry", "dead"))
-    return good.groupBy(F.col("oem").alias("outcome")).agg(F.count(F.lit(1)).alias("n")).unionByName(dead.groupBy(F.col("reject_reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
+    good, found = (spark.read.parquet(wrote[t]) for t in ("telemetry", "alerts"))
+    count = lambda df, what: df.groupBy(what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    live = jobs.live_table(spark, wrote["live"]).agg(F.lit("live").alias("what"), F.count(F.lit(1)).alias("n"))
+    single = found.filter("rule IN ('CRITICAL_DTC', 'DTC', 'LOW_12V', 'LOW_SOC')")
+    written = spark.read.parquet(wrote["outcomes"]).filter("outcome = 'written'").groupBy(F.col("outcome").alias("what")).agg(F.sum("n").alias("n"))
+    return count(good, F.col("oem")).unionByName(count(single, F.col("rule"))).unionByName(live).unionByName(written)
+
+
+def stream_alert_dedup(spark, sf):
+    """Row alerts as they come, one for each vehicle, rule, code and hour."""
+    def job(s):
+        return jobs.alert_dedup(rules.keyed(rules.row_alerts(s, LIMITS)))
+
+    t = _table(spark, sf).select("vin", "ts_ms", "seq", "dtcs", "batt_v", "soc_pct")
+    return jobs.run_in_order(t, "ts_ms", "alerts", job).select("dedup_key", "rule", "vin")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_late_flags, stream_rules, stream_tumbling, stream_live_state, stream_rollup, stream_ingest)}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_late_flags, stream_rules, stream_tumbling, stream_live_state, stream_rollup, stream_ingest, stream_alert_dedup)}
 
 SQL = {
     "stream_dedup": f"WITH {TELEMETRY_SQL} SELECT vin, seq FROM telemetry",
@@ -76,6 +93,14 @@ SQL = {
     "stream_tumbling": "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1",
     "stream_live_state": f"WITH {TELEMETRY_SQL} SELECT vin, seq, speed_kmh FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin ORDER BY seq DESC) = 1",
     "stream_rollup": EVENT_SQL["daily_rollup"],
-    "stream_ingest": """SELECT CASE WHEN k <> 'ok' THEN k WHEN event_id % 250 = 200 THEN 'vin' WHEN user_id % 10 = 9 THEN 'unknown vin' WHEN event_id % 2 = 0 THEN 'aurora' ELSE 'borealis' END AS outcome, count(*) AS n
-        FROM (SELECT *, CASE WHEN event_id % 250 = 0 THEN 'json' WHEN event_id % 250 = 50 THEN 'format' WHEN event_id % 250 = 100 THEN 'schema:seq' WHEN event_id % 250 = 150 THEN 'type:lat' ELSE 'ok' END AS k FROM events) GROUP BY 1""",
+    "stream_ingest": f"""WITH {TELEMETRY_SQL}, faults(code, severity) AS (VALUES {", ".join(f"('{c}', {n})" for c, _, n in FAULT_CODES)}),
+        good AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'aurora' ELSE 'borealis' END AS oem FROM telemetry WHERE seq % 50 <> 0 AND user_id % 10 <> 9),
+        coded AS (SELECT vin, ts, unnest(CASE WHEN seq % 7 = 0 THEN ['P0301', 'C0035'] WHEN seq % 7 = 3 AND seq % 2 = 1 THEN ['P0217', 'U0100'] END) AS code FROM good),
+        found AS (
+          SELECT vin, ts, code, CASE WHEN coalesce(severity, 2) >= 4 THEN 'CRITICAL_DTC' ELSE 'DTC' END AS rule FROM coded LEFT JOIN faults USING (code)
+          UNION ALL SELECT vin, ts, '', 'LOW_12V' FROM good WHERE batt_v < 11.8e0 UNION ALL SELECT vin, ts, '', 'LOW_SOC' FROM good WHERE oem = 'aurora' AND soc_pct < 10)
+        SELECT oem AS what, count(*) AS n FROM good GROUP BY 1
+        UNION ALL SELECT rule, count(DISTINCT concat(vin, code, epoch_us(ts) // 3600000000)) FROM found GROUP BY 1
+        UNION ALL SELECT 'live', count(DISTINCT vin) FROM good UNION ALL SELECT 'written', count(*) FROM good""",
+    "stream_alert_dedup": EVENT_SQL["alert_rules"].split(" SELECT vin, seq, rule, severity, code,")[0] + " SELECT DISTINCT concat_ws(':', vin, rule, code, cast(epoch_us(ts) // 3600000000 AS varchar)) AS dedup_key, rule, vin FROM row_alerts",
 }

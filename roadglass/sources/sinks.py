@@ -25,13 +25,14 @@ def audit_rows(actions: DataFrame, *, actor: Column, action: str, resource: Colu
     return actions.select("tenant_id", actor.alias("actor"), F.lit(action).alias("action"), resource.alias("resource"), detail.alias("detail"))
 
 
-def write_by_hour(events: DataFrame, path: str, ts: str = "ts") -> None:
+def write_by_hour(events: DataFrame, path: str, ts: str = "ts", drop: bool = False) -> None:
     """Append telemetry partitioned by day and hour; within a partition files are sorted for row-group skipping.
 
-    A hot hour is spread over tasks by vehicle, not gathered in one."""
+    A hot hour is spread over tasks by vehicle, not gathered in one. With `drop` the time itself is not written."""
     t = F.col(ts).cast("timestamp")
     placed = events.withColumn("d", F.to_date(t)).withColumn("h", F.hour(t))
-    placed.repartition("d", "h", F.pmod(F.xxhash64("vin"), F.lit(8))).sortWithinPartitions("d", "h", "vin", ts).write.mode("append").partitionBy("d", "h").parquet(path)
+    placed = placed.repartition("d", "h", F.pmod(F.xxhash64("vin"), F.lit(8))).sortWithinPartitions("d", "h", "vin", ts)
+    (placed.drop(ts) if drop else placed).write.mode("append").partitionBy("d", "h").parquet(path)
 
 
 def write_fan_out(alerts: DataFrame, path: str) -> None:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
+from ..operators import rules
 from ..operators.rollup import daily_rollup
-from ..operators.rules import Limits, dedup_key, row_alerts
-from ..session import configured
+from ..operators.rules import Limits
+from ..operators.windows import latest
+from ..session import configured, shared_folder
+from ..sources import sinks
 from ..sources.payloads import enrich, normalise, split_rejects
-from ..sources.sinks import fresh_rows
 
 
 #: Rows of one range of run_in_order, about.
@@ -24,8 +25,7 @@ ROWS_PER_RANGE = 5_000_000
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}-{name}"
+    return shared_folder(spark, f"stream-{name}")
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:
@@ -35,9 +35,10 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
-    """Run to the end with `each` called for every micro-batch; returns the folder."""
-    at = folder(stream.sparkSession, name)
+def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int, str], None], mode: str = "append", at: str | None = None) -> str:
+    """Run to the end with `each` called for every micro-batch; returns the folder. With `at` a run goes on where the
+    one before it in that folder ended or failed."""
+    at = at or folder(stream.sparkSession, name)
     stream.writeStream.foreachBatch(lambda batch, k: each(batch, k, at)).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return at
 
@@ -114,69 +115,155 @@ def late_flags(stream: DataFrame) -> DataFrame:
 
 
 class WindowRules(StatefulProcessor):
-    """Sliding readings of each vehicle for the window rules; what has left the window is dropped as rows come."""
+    """Sliding readings of each vehicle for the window rules. What has left the window goes when rows come; the state of
+    a vehicle that falls silent expires."""
 
-    def __init__(self, limits: Limits):
-        self.limits = limits
+    def __init__(self, limits: Limits, expire_seconds: int | None):
+        self.limits, self.expire = limits, None if expire_seconds is None else expire_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = {k: handle.getListState(k, "ts_ms long, value double") for k in ("coolant", "brake")}
+        self.held = {k: handle.getListState(k, "ts_ms long, value double", self.expire) for k in ("coolant", "brake")}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf, lim = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable"), self.limits
-        held = {k: [(int(t), float(v)) for t, v in s.get()] if s.exists() else [] for k, s in self.held.items()}
-        out = []
-        for ts_ms, same in groupby(pdf.itertuples(index=False), lambda r: r.ts_ms):  # rows of equal time see each other
-            same = list(same)
-            hot, brakes = [r for r in same if pd.notna(r.coolant_c)], [r for r in same if r.evt == "HARSH_BRAKE"]
-            if hot:
-                w = held["coolant"] = [x for x in held["coolant"] if x[0] >= ts_ms - lim.overheat_window * 1000] + [(ts_ms, r.coolant_c) for r in hot]
-                if len(w) >= 2 and sum(v for _, v in w) / len(w) > lim.overheat_c:
-                    out += [(r.vin, ts_ms, r.seq, "OVERHEAT_TREND", 4) for r in hot]
-            if brakes:
-                w = held["brake"] = [x for x in held["brake"] if x[0] >= ts_ms - lim.brake_window * 1000] + [(ts_ms, 1.0)] * len(brakes)
-                if len(w) >= lim.brakes:
-                    out += [(r.vin, ts_ms, r.seq, "HARSH_BRAKE_PATTERN", 2) for r in brakes]
-        for k, s in self.held.items():
-            if held[k]:
-                s.put(held[k])
-        yield pd.DataFrame(out, columns=["vin", "ts_ms", "seq", "rule", "severity"]).astype({"ts_ms": "int64", "seq": "int64", "severity": "int32"})
+
+        def window(name: str, own: pd.DataFrame, values: np.ndarray, span_ms: int) -> tuple[np.ndarray, np.ndarray]:
+            """Count and mean of the window of each of `own`; rows of equal time see each other."""
+            state = self.held[name]
+            old = np.array([tuple(x) for x in state.get()] if state.exists() else [], float).reshape(-1, 2)
+            t, v = np.concatenate([old[:, 0].astype(np.int64), own["ts_ms"].to_numpy()]), np.concatenate([old[:, 1], values])
+            order = np.argsort(t, kind="stable")
+            t, v = t[order], v[order]
+            low, high = np.searchsorted(t, own["ts_ms"].to_numpy() - span_ms, "left"), np.searchsorted(t, own["ts_ms"].to_numpy(), "right")
+            sums = np.concatenate([[0.0], np.cumsum(v)])
+            kept = slice(np.searchsorted(t, t[-1] - span_ms, "left"), None)
+            state.put(list(zip(t[kept].tolist(), v[kept].tolist(), strict=True)))
+            return high - low, np.round((sums[high] - sums[low]) / (high - low), 9)
+
+        hot, brakes, out = pdf[pdf["coolant_c"].notna()], pdf[pdf["evt"] == "HARSH_BRAKE"], []
+        if len(hot):
+            n, mean = window("coolant", hot, hot["coolant_c"].to_numpy(float), lim.overheat_window * 1000)
+            out.append(hot[(n >= 2) & (mean > lim.overheat_c)].assign(rule="OVERHEAT_TREND", severity=4))
+        if len(brakes):
+            n, _ = window("brake", brakes, np.ones(len(brakes)), lim.brake_window * 1000)
+            out.append(brakes[n >= lim.brakes].assign(rule="HARSH_BRAKE_PATTERN", severity=2))
+        columns = ["vin", "ts_ms", "seq", "rule", "severity"]
+        found = pd.concat(out)[columns] if out else pd.DataFrame([], columns=columns)
+        yield found.astype({"ts_ms": "int64", "seq": "int64", "severity": "int32"})
 
     def close(self) -> None:
         pass
 
 
-def window_rules(stream: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Alerts of the window rules. On input that arrives in event-time order they are those of the batch rules."""
+def window_rules(stream: DataFrame, limits: Limits = Limits(), expire_seconds: int | None = None) -> DataFrame:
+    """Alerts of the window rules. On input that arrives in event-time order they are those of the batch rules.
+
+    In a job that runs on, `expire_seconds` (the longest window at least) drops the state of a vehicle that has had no
+    rows for so long in running time. A run to the end of what is there must go without: Spark does not end one
+    while it has times to watch."""
     slim = stream.select("vin", "ts_ms", "seq", "coolant_c", "evt")
-    return slim.groupBy("vin").transformWithStateInPandas(WindowRules(limits), "vin string, ts_ms long, seq long, rule string, severity int", "Append", "None")
+    mode = "None" if expire_seconds is None else "ProcessingTime"
+    return slim.groupBy("vin").transformWithStateInPandas(WindowRules(limits, expire_seconds), "vin string, ts_ms long, seq long, rule string, severity int", "Append", mode)
+
+
+def alert_dedup(alerts: DataFrame, *, delay: str = "2 hours") -> DataFrame:
+    """One alert for each dedup key of a stream of alerts (with ts_ms). A key holds for an hour, so a delay of two keeps
+    state for as long as a key can come again in order."""
+    timed = alerts.withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark(["dedup_key"]).drop("_at")
+
+
+HOUR_MS = 3_600_000
+
+
+def _hours(column: str = "ts_ms") -> Column:
+    return F.floor(F.col(column) / HOUR_MS)
+
+
+class Tables:
+    """The tables of one ingest job. Telemetry and alerts are partitioned by day and hour of the event."""
 
+    def __init__(self, spark: SparkSession, at: str, schemas: dict[str, StructType]):
+        self.spark, self.at = spark, at
+        self.schemas = {t: StructType([*s.fields, StructField("d", DateType()), StructField("h", IntegerType())]) for t, s in schemas.items()}
+        for t, s in self.schemas.items():
+            spark.createDataFrame([], s).write.mode("ignore").partitionBy("d", "h").parquet(f"{at}/{t}")
 
-def ingest(stream: DataFrame, tenants: DataFrame, name: str = "ingest") -> dict[str, str]:
-    """Raw payloads to alerts, telemetry and dead letters, with the paths of the three tables.
+    def read(self, table: str, hours: set[int]) -> DataFrame:
+        """The rows of some hours (since 1970); other partitions are not read."""
+        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.at}/{table}").filter((F.unix_date("d") * 24 + F.col("h")).isin(sorted(hours)))
 
-    Within a batch alerts are written before telemetry. Every write replaces its own batch's folder, so a batch that
-    runs again after a failure writes the same rows once; keys of earlier batches are not written again."""
+
+def ingest(stream: DataFrame, tenants: DataFrame, name: str = "ingest", *, at: str | None = None, limits: Limits = Limits()) -> dict[str, str]:
+    """Raw payloads to alerts, telemetry, live state, outcome counts and dead letters; the paths of the five tables.
+
+    Within a batch alerts are written first, then telemetry, then the rest. A batch writes only rows whose keys are not
+    in the tables yet, and looks for these only in the hours that it touches: a key has one event time, so it can be
+    nowhere else. A batch that runs again after a failure thus adds what is missing and nothing twice, and its cost does
+    not grow with what was written before. The window rules see the new rows with those of the windows before them;
+    alerts are raised on rows of the touched hours. Live state is one row of each vehicle, a version for each batch."""
     spark = configured(stream.sparkSession)
+    judged = enrich(normalise(stream), tenants)
+    timed = judged.withColumn("ts", F.timestamp_millis("ts_ms"))
+    good_schema = split_rejects(timed)[0].schema
+    alert_schema = rules.alerts(spark.createDataFrame([], good_schema), limits).schema
+    live_columns = ["vin", "tenant_id", "seq", "ts_ms", "lat", "lon", "speed_kmh"]
+    at = at or folder(spark, name)
+    tables = Tables(spark, at, {"telemetry": good_schema, "alerts": alert_schema})
+    reach = -(-max(limits.overheat_window, limits.brake_window) // 3600)
 
     def each(batch: DataFrame, k: int, to: str) -> None:
-        kept = enrich(normalise(batch), tenants).persist()
+        kept = batch.persist()
         good, dead = split_rejects(kept)
-
-        def written(table: str, schema) -> DataFrame:
-            found = [f"{to}/{table}/batch={j}" for j in range(k)]
-            return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
-
-        fresh = fresh_rows(good, written("telemetry", good.schema), ["vin", "seq", "ts_ms"])
-        found = row_alerts(fresh)
-        keyed = found.withColumn("dedup_key", dedup_key(F.col("vin"), F.col("rule"), F.col("code"), F.col("ts_ms")))
-        fresh_rows(keyed, written("alerts", keyed.schema), ["dedup_key"]).write.mode("overwrite").parquet(f"{to}/alerts/batch={k}")
-        fresh.write.mode("overwrite").parquet(f"{to}/telemetry/batch={k}")
+        touched = {r["hour"] for r in good.select(_hours().alias("hour")).distinct().collect()}  # hours in a batch
+        # written once: a cached frame would be worked out again when the table that it was read from grows
+        sinks.fresh_rows(good, tables.read("telemetry", touched), ["vin", "seq", "ts_ms"]).write.mode("overwrite").parquet(f"{to}/fresh/batch={k}")
+        fresh = spark.read.schema(good_schema).parquet(f"{to}/fresh/batch={k}")
+
+        before = tables.read("telemetry", {x - j for x in touched for j in range(reach + 1)}).select(fresh.columns)
+        seen = fresh.unionByName(before.join(fresh.select("vin").distinct(), "vin", "left_semi"))
+        found = rules.row_alerts(fresh, limits).unionByName(rules.overheat_alerts(seen, limits)).unionByName(rules.pattern_alerts(seen, limits))
+        found = rules.keyed(found.filter(_hours().isin(sorted(touched))))
+        new = sinks.fresh_rows(rules.first_of_each(found).select(alert_schema.names), tables.read("alerts", touched), ["dedup_key"])
+        sinks.write_by_hour(new.withColumn("_ts", F.timestamp_millis("ts_ms")), f"{to}/alerts", "_ts", drop=True)
+        sinks.write_by_hour(fresh, f"{to}/telemetry")
+
+        state = good.select(live_columns)
+        if k:
+            state = state.unionByName(spark.read.schema(state.schema).parquet(f"{to}/live/version={k - 1}"))
+        latest(state, key="vin", seq="seq").select(live_columns).write.mode("overwrite").parquet(f"{to}/live/version={k}")
+        reason = F.col("reject_reason")
+        outcome = F.when(reason.isNull(), "processed").when(reason.isin("vin", "unknown vin"), "unknown").otherwise("malformed")
+        counts = kept.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+        counts.unionByName(fresh.agg(F.lit("written").alias("outcome"), F.count(F.lit(1)).alias("n"))).write.mode("overwrite").parquet(f"{to}/outcomes/batch={k}")
         dead.write.mode("overwrite").parquet(f"{to}/dead/batch={k}")
         kept.unpersist()
 
-    at = run_batches(stream, name, each)
-    return {t: f"{at}/{t}" for t in ("alerts", "telemetry", "dead")}
+    run_batches(timed, name, each, at=at)
+    return {t: f"{at}/{t}" for t in ("alerts", "telemetry", "live", "outcomes", "dead")}
+
+
+def live_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of an ingest job's live state."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
+def batch_sizes(spark: SparkSession, path: str, edges: tuple[int, ...] = (1, 10, 100, 1_000, 10_000, 100_000)) -> DataFrame:
+    """(at_most, batches): how many of an ingest job's batches had at most so many rows; a last row for all."""
+    outcomes = spark.read.parquet(path).filter("outcome <> 'written'").groupBy("batch").agg(F.sum("n").alias("n"))
+    sums = outcomes.agg(*[F.count_if(F.col("n") <= e).alias(f"le{e}") for e in edges], F.count(F.lit(1)).alias("every"))
+    rows = [F.struct(F.lit(e).cast("long").alias("at_most"), F.col(f"le{e}").alias("batches")) for e in edges] + [F.struct(F.lit(None).cast("long").alias("at_most"), F.col("every").alias("batches"))]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def open_kafka(spark: SparkSession, servers: str, topic: str, rows_per_batch: int = 2_000) -> DataFrame:
+    """Raw payloads of a Kafka topic from its beginning on, as `ingest` takes them. Needs Spark's Kafka package on the
+    class path, which the test machine does not have, so this reader is not tested there."""
+    source = configured(spark).readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    stream = source.option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", rows_per_batch).load()
+    return stream.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived"))
 
 
 def open_parquet(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
