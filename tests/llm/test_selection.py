@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from roadglass.llm.license_scan import license_scan
-from roadglass.llm.mixing import fit_mixture, mix, mixing_rates, training_sample
+from roadglass.llm.mixing import HEADROOM, fit_mixture, mix, mixing_rates, training_sample
 from roadglass.llm.pieces import Pieces, decode_pieces, encode_pieces
 from roadglass.llm.quality_model import BUCKETS, MAX_ROWS, all_features, features, fit_ordinal, keep_good, quality_grades, train
 from roadglass.llm.quality_rules import quality_rules, text_counts
@@ -270,7 +270,7 @@ def test_mixture_meets_its_targets(spark):
 def brute_rates(p, tokens, targets, min_rate, tolerance=1e-3):
     """Projected gradient in numpy on collected posteriors, every step from the rates themselves."""
     totals = (p * tokens[:, None]).sum(0)
-    scale = max(t / w for t, w in zip(totals, targets, strict=True))
+    scale = HEADROOM * max(t / w for t, w in zip(totals, targets, strict=True))
     goal, rate, gaps = np.array(targets) * scale, np.full(len(p), max(1.0, min_rate)), []
     for _ in range(100):
         reached = (p * (tokens * rate)[:, None]).sum(0)
