@@ -32,7 +32,7 @@ FEATURES = 1 << 12
 STALL = 5
 #: Steps after which the rates are written, so that later steps start from there.
 FOLD = 8
-#: The default scale is this much over the least one. At the least one the largest domain's documents stand at their
+#: Where rates have a lower bound, the default scale is this much over the least one. At the least one the largest domain's documents stand at their
 #: bound, and the fit creeps along it.
 HEADROOM = 1.02
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -140,8 +140,8 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The mixture and the table it was fitted on: id, _mix_tokens, _mix_p for every document.
 
     `targets` are domain weights (default: the domains' expected token totals to the power `power`), scaled to sum to
-    one; expected totals shall be target x scale x all tokens. The default scale is a little over the least at which no
-    domain has to shrink, so with min_rate 1 no document is lost. Documents of null domain are not learnt from but take part.
+    one; expected totals shall be target x scale x all tokens. The default scale is the least at which no domain has to
+    shrink, a little over it where rates have a lower bound, so with min_rate 1 no document is lost. Documents of null domain are not learnt from but take part.
 
     Steps end when every domain is within `tolerance` of its own target, or when the largest of these gaps
     no longer shrinks; where targets are missed then, a warning names them. `reached` has the totals
@@ -168,7 +168,9 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     wanted = np.array([float(targets.get(d, 0.0)) for d in names]) if targets else tempered(totals, power)
     wanted = wanted / wanted.sum()
     if scale is None:
-        scale = HEADROOM * max(t / (w * totals.sum()) for t, w in zip(totals, wanted, strict=True) if w > 0)
+        scale = max(t / (w * totals.sum()) for t, w in zip(totals, wanted, strict=True) if w > 0)
+        if min_rate > 0 and len(names) > 1:
+            scale *= HEADROOM
     goal = wanted * scale * totals.sum()
     mixture.targets = dict(zip(names, goal.tolist(), strict=True))
 
