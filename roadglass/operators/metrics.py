@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 #: Upper edges of the latency histogram in seconds; one open bucket follows.
 EDGES = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0)
@@ -48,34 +49,34 @@ def quantiles(df: DataFrame, *, value: str, at: tuple[float, ...], group: str |
     return out.withColumnRenamed("_g", group) if group else out.agg(F.first("q").alias("q"))
 
 
-def running_total(counts: DataFrame, order: str, n: str, parts: int = 64, descending: bool = False, within: str | None = None) -> DataFrame:
-    """`counts` with `before`, the sum of `n` over all rows that come earlier in `order` (unique values).
+def running_total(counts: DataFrame, order: str, n: str | tuple[str, ...], parts: int = 64, descending: bool = False, within: str | None = None) -> DataFrame:
+    """`counts` with `before`, the sum of `n` over all rows that come earlier in `order`, a number with unique values.
 
     Values are dealt into ranges by quantiles; each range runs its own total and a table of `parts` range sums links
-    them, so nothing is sorted in one task. With `within`, each of its groups has its own total and its own ranges."""
+    them, so nothing is sorted in one task. With `within`, each of its groups has its own total and its own ranges.
+    Several columns in `n` are summed in one go, into before_<column>."""
+    if not isinstance(counts.schema[order].dataType, NumericType):
+        raise TypeError(f"{order} is not a number: {counts.schema[order].dataType.simpleString()}")
+    summed = {n: "before"} if isinstance(n, str) else {c: f"before_{c}" for c in n}
     if within:
         edges = counts.groupBy(F.col(within).alias("_of_g")).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("_edges"))
         ranged = counts.join(edges, counts[within].eqNullSafe(edges["_of_g"])).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges", "_of_g")
-        by, sign = (F.desc(order), -1) if descending else (F.asc(order), 1)
-        sums = ranged.groupBy(F.col(within).alias("_of_g"), F.col("_part").alias("_of_part")).agg(F.sum(n).alias("_sum"))
-        before = Window.partitionBy("_of_g").orderBy(F.col("_of_part") * sign).rowsBetween(Window.unboundedPreceding, -1)
-        starts = sums.select("_of_g", "_of_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-        own = Window.partitionBy(within, "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        run = ranged.withColumn("_run", F.coalesce(F.sum(n).over(own), F.lit(0)))
-        linked = run.join(starts, run[within].eqNullSafe(starts["_of_g"]) & (run["_part"] == starts["_of_part"]))
-        return linked.withColumn("before", F.col("_run") + F.col("_start")).drop("_part", "_run", "_start", "_of_g", "_of_part")
-    edges = sorted(set(counts.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.005))) if dict(counts.dtypes)[order] in ("double", "bigint", "int") else []
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col(order) > e).cast("int")
-    ranged = counts.withColumn("_part", part)
+        group = F.col(within)
+    else:
+        part = F.lit(0)
+        for e in sorted(set(counts.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.005))):
+            part = part + (F.col(order) > e).cast("int")
+        ranged, group = counts.withColumn("_part", part), F.lit(0)
     by, sign = (F.desc(order), -1) if descending else (F.asc(order), 1)
-    sums = ranged.groupBy("_part").agg(F.sum(n).alias("_sum"))
-    before = Window.partitionBy(F.lit(0)).orderBy(F.col("_part") * sign).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    run = ranged.withColumn("_run", F.coalesce(F.sum(n).over(own), F.lit(0)))
-    return run.join(F.broadcast(starts), "_part").withColumn("before", F.col("_run") + F.col("_start")).drop("_part", "_run", "_start")
+    sums = ranged.groupBy(group.alias("_of_g"), F.col("_part").alias("_of_part")).agg(*[F.sum(c).alias(f"_sum_{c}") for c in summed])
+    before = Window.partitionBy("_of_g").orderBy(F.col("_of_part") * sign).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_of_g", "_of_part", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in summed])
+    own = Window.partitionBy(*([within] if within else []), "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    run = ranged.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"_run_{c}") for c in summed])
+    # without groups there are at most `parts` sums
+    same = run["_part"] == starts["_of_part"]
+    linked = run.join(starts, run[within].eqNullSafe(starts["_of_g"]) & same) if within else run.join(F.broadcast(starts), same)
+    return linked.select(*counts.columns, *[(F.col(f"_run_{c}") + F.col(f"_start_{c}")).alias(out) for c, out in summed.items()])
 
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -93,9 +94,8 @@ def roc_auc(df: DataFrame, *, score: str, label: str) -> DataFrame:
 def average_precision(df: DataFrame, *, score: str, label: str) -> DataFrame:
     """Sum over distinct thresholds of recall step times precision. Null without positives."""
     g = _by_score(df, score, label).withColumn("n", F.col("pos") + F.col("neg"))
-    g = running_total(g, "s", "pos", descending=True).withColumnRenamed("before", "pos_before")
-    g = running_total(g, "s", "n", descending=True)
-    precision = (F.col("pos_before") + F.col("pos")) / (F.col("before") + F.col("n"))
+    g = running_total(g, "s", ("pos", "n"), descending=True)
+    precision = (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n"))
     return g.agg(F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("average_precision"))
 
 

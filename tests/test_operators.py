@@ -230,6 +230,34 @@ def test_approximate_neighbours(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_cells_of_clustered_vectors(spark):
+    """Clusters far apart: a small share of the cells finds every neighbour; nulls and an empty table are no error."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 10)) * 10
+    rows = [(k, (centres[k % 8] + rng.normal(size=10) * 0.1).tolist()) for k in range(400)] + [(400, None)]
+    v = spark.createDataFrame(rows, "id int, v array<double>")
+    names = {"id_col": "id", "vec_col": "v", "query_id": "id"}
+    pick = lambda df: {(r[0], r[1], r[2]) for r in df.select("query_id", "rank", "similarity").collect()}
+    q = v.filter("id % 20 = 0")
+    assert pick(similarity.knn_lsh(v, q, **names, share=1.0)) == pick(similarity.knn_exact(v, q, **names))
+    found = similarity.knn_lsh(v, q, **names, share=0.5).select("query_id", "neighbour_id").collect()
+    assert len(found) == 60 and all(a % 8 == b % 8 for a, b in found)
+    assert similarity.knn_lsh(v.filter("false"), q, **names).count() == 0 == similarity.knn_lsh(v, q.filter("false"), **names).count()
+
+
+def test_running_total_of_any_number(spark):
+    rows = [(k * 7 % 300, k % 5) for k in range(300)]
+    want = {v: (sum(n for w, n in rows if w < v), sum(1 for w, _ in rows if w < v)) for v, _ in rows}
+    for kind in ("float", "decimal(12,2)", "smallint", "bigint"):
+        df = spark.createDataFrame(rows, "v int, n int").selectExpr(f"cast(v AS {kind}) AS v", "n", "1 AS one")
+        got = metrics.running_total(df, "v", ("n", "one"), parts=8)
+        assert got.columns == ["v", "n", "one", "before_n", "before_one"]
+        assert {int(r["v"]): (r["before_n"], r["before_one"]) for r in got.collect()} == want
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+    with pytest.raises(TypeError):
+        metrics.running_total(spark.createDataFrame([("a", 1)], "v string, n int"), "v", "n")
+
+
 @pytest.mark.parametrize("limit", [40, 7, 1000])
 def test_stride_sample(spark, limit):
     df = spark.createDataFrame([(f"v{k}",) for k in range(150)], "vin string")
