@@ -53,7 +53,8 @@ def stride_sample(df: DataFrame, *, key: str, limit: int, cells: int = 64) -> Da
     if total <= limit:
         return df
     step = ceil(total / limit)
-    celled = df.withColumn("_cell", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(cells)))
+    digits = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 6)
+    celled = df.withColumn("_cell", F.pmod(F.conv(F.coalesce(digits, F.lit("0")), 16, 10).cast("int"), F.lit(cells)))
     counts = celled.groupBy("_cell").count()  # `cells` rows at most
     starts = counts.select("_cell", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     nth = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1

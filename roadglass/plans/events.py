@@ -256,6 +256,22 @@ SQL = {
     "rolling_median": f"""WITH {TELEMETRY_SQL} SELECT seq, list_sort(l)[len(l) // 2 + 1] AS rolling_median FROM (
           SELECT seq, list(value) OVER (PARTITION BY vin ORDER BY seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM telemetry)""",
     "live_state": f"WITH {TELEMETRY_SQL} SELECT vin, seq, ts, round(lat, 5) AS lat, round(lon, 5) AS lon, speed_kmh FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin ORDER BY seq DESC) = 1",
+    "stride_sample": f"""WITH {TELEMETRY_SQL}, n AS (
+          SELECT vin, row_number() OVER (ORDER BY ('0x' || substr(md5(vin), 1, 6))::INT % 64, vin) - 1 AS nth, count(*) OVER () AS total FROM (SELECT DISTINCT vin FROM telemetry)
+        ), s AS (SELECT *, CASE WHEN total <= 40 THEN 1 ELSE (total + 39) // 40 END AS step FROM n)
+        SELECT vin FROM s WHERE nth % step = 0""",
+    # lead: the cost of standing so far less that of moving; back from the last sample a label changes where its step came from the other
+    "trip_segments": f"""WITH RECURSIVE {TELEMETRY_SQL}, m AS (
+          SELECT vin, ts::DATE AS day, row_number() OVER (PARTITION BY vin, ts::DATE ORDER BY seq) - 1 AS position, coalesce(value / 10, 0) / 5 - greatest(0, (5 - coalesce(value / 10, 0)) / 5) AS gain
+          FROM telemetry
+        ), f AS (
+          SELECT vin, day, position, gain AS lead, false AS from_moving, false AS from_standing FROM m WHERE position = 0
+          UNION ALL SELECT vin, day, m.position, least(greatest(lead, -2.5e0), 2.5e0) + m.gain, lead > 2.5, lead < -2.5 FROM f JOIN m USING (vin, day) WHERE m.position = f.position + 1
+        ), b AS (
+          SELECT vin, day, position, from_moving, from_standing, (lead > 0)::INT AS moving FROM f QUALIFY position = max(position) OVER (PARTITION BY vin, day)
+          UNION ALL SELECT vin, day, p.position, p.from_moving, p.from_standing, CASE WHEN CASE b.moving WHEN 1 THEN b.from_standing ELSE b.from_moving END THEN 1 - b.moving ELSE b.moving END
+          FROM b JOIN f AS p USING (vin, day) WHERE p.position = b.position - 1
+        ) SELECT vin, day, position, moving FROM b""",
     "trip_islands": f"""WITH {TELEMETRY_SQL}, p AS (SELECT vin, row_number() OVER (PARTITION BY vin ORDER BY seq) - 1 AS position, speed_kmh > 20 AS moving FROM telemetry),
         c AS (SELECT *, sum(CASE WHEN moving THEN 0 ELSE 1 END) OVER (PARTITION BY vin ORDER BY position) AS run FROM p)
         SELECT vin, min(position) AS first, max(position) AS last FROM c WHERE moving GROUP BY vin, run""",
