@@ -99,6 +99,57 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), parts AS (
+  SELECT r, p, substr(h, 2 * p + 1, 1422) AS part FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199, 512)) AS p FROM d)
+), starts AS (
+  SELECT r, p + j AS i, md5(substr(part, 2 * j + 1, 400)) AS k
+  FROM (SELECT r, p, part, unnest(range(0, least(512, len(part) // 2 - 199))) AS j FROM parts)
+), again AS (
+  SELECT r, i FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1
+), marked AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM again
+), runs AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM marked
+), spans AS (
+  SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM runs GROUP BY r, run
+), pieces AS (
+  SELECT r, 0 AS lo, min(lo) AS hi FROM spans GROUP BY r
+  UNION ALL SELECT r, hi, lead(lo) OVER (PARTITION BY r ORDER BY lo) FROM spans
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, len(h) // 2) - lo)), '' ORDER BY lo) AS rest FROM pieces JOIN d USING (r) GROUP BY r
+), summed AS (
+  SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)
+"""
+
+# the plain schedule, one group at a time; CRC-32 by its polynomial, byte by byte
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, sha256(coalesce(text, '')) AS g FROM documents
+), polynomial AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), bytes AS (
+  SELECT doc_id, h, g, list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::BIGINT) AS b FROM d
+), sized AS (
+  SELECT doc_id, g, len(h) // 2 + 1 AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM bytes, polynomial
+), groups AS (
+  SELECT g, sum(size)::BIGINT AS bytes, row_number() OVER (ORDER BY sum(size) DESC, g) AS k FROM sized GROUP BY g
+), put AS (
+  SELECT 0::BIGINT AS k, -1 AS shard, list_transform(range(16), lambda s: 0::BIGINT) AS loads
+  UNION ALL
+  SELECT k, shard, list_transform(loads, lambda x, s: CASE WHEN s = shard + 1 THEN x + bytes ELSE x END)
+  FROM (SELECT groups.k, bytes, loads, (list_position(loads, list_min(loads)) - 1)::INT AS shard FROM put JOIN groups ON groups.k = put.k + 1)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat(doc_id, upper(g))), 1, 3), doc_id, g) - 1 AS slot, NULL::INT AS grown_shard
+FROM sized JOIN groups USING (g) JOIN put USING (k)
+"""
 
 _TEMPLATES = ", ".join(f"({k}, '{label}', {str(base).lower()}, {n}, {at}, '{a}', '{b}')" for k, label, base, n, at, a, b in templates())
 
@@ -195,7 +246,9 @@ FROM told
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op2_substring_dedup": OP2_SQL,
         "op3_license_scan": OP3_SQL,
+        "op5_sharding": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_quality_rules": OP9_SQL,
     }

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, skew_join
 
-#: Groups of a size, and rows of a shard, are numbered within this many hash classes, whose counts link the numbers.
-CLASSES = 1024
+#: Groups of a size, and rows of a shard, are numbered within hash classes, whose counts link the numbers; a class is so many leading hex digits of the hash.
+CLASS_DIGITS = 3
 
 
 def rounds(heap: list[tuple[int, int]], size: int, count: int) -> list[tuple[int, list[int]]]:
@@ -89,11 +89,12 @@ def shard_by_size(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group")), "sizes")
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    groups = cut(groups.withColumn("class", F.pmod(F.xxhash64("group"), F.lit(CLASSES)).cast("int")), "groups")
+    groups = cut(groups.withColumn("class", F.substring(F.hex("group"), 1, CLASS_DIGITS)), "groups")
     sizes = [(r["bytes"], r["count"]) for r in groups.groupBy("bytes").count().toLocalIterator()]  # at most sqrt(2 x bytes) rows
     picks = cut(spark.createDataFrame(schedule_sizes(sizes, shards), "bytes long, picks array<struct<first:long,turn:array<int>>>"), "picks")
     placed = skew_join(_numbered(groups, "bytes", "group", ["group"]), picks, ["bytes"])
     pick = F.element_at(F.filter("picks", lambda p: p["first"] <= F.col("nth")), -1)
     own = placed.withColumn("pick", pick).select("group", F.get("pick.turn", ((F.col("nth") - F.col("pick.first")) % F.size("pick.turn")).cast("int")).alias("shard"))
-    put = skew_join(rows, own, ["group"]).withColumn("class", F.pmod(F.xxhash64("id", "group"), F.lit(CLASSES)).cast("int"))
+    spread = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.hex("group")).cast("binary"))  # the copies of one text fall into all classes
+    put = skew_join(rows, own, ["group"]).withColumn("class", F.substring(spread, 1, CLASS_DIGITS))
     return _numbered(cut(put, "put"), "shard", "shard", ["id", "group"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", F.col("nth").alias("slot"))
