@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_in_middle, restore_middle
 from .license_scan import MAX_SHIFT, MIN_COVER, license_scan, templates
 from .line_dedup import line_dedup
 from .mixing import mixing_rates
+from .passage_dedup import passage_dedup
 from .pieces import encode_pieces
 from .quality_model import quality_grades
 from .quality_rules import quality_rules
 from .sharding import shard_by_size
 from .simhash import simhash_components
+from .source_audit import source_divergence
 from .substring_dedup import substring_dedup
 
 #: The tokenizer of the production queries; it stays where it is installed.
@@ -74,6 +77,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grades(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
+def op12_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleared = passage_dedup(documents(spark, sf_dir))
+    return cleared.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(documents(spark, sf_dir)).drop("pieces")
+    return restore_middle(made).drop("restored")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -86,6 +103,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_source_audit": op11_source_audit,
+        "op12_passage_dedup": op12_passage_dedup,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -243,6 +263,80 @@ FROM told
 """
 
 
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents
+), found AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM found GROUP BY lang, source, term
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n::HUGEINT AS lang_n
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 1) // (sum(n) OVER g + count(*) OVER g) AS p,
+         1 + 1000000000 * (lang_n + 1) // (sum(lang_n) OVER g + count(*) OVER g) AS q
+  FROM cells WINDOW g AS (PARTITION BY lang, source)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), starts AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)
+), later AS (
+  SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS least FROM starts) WHERE least < doc_id
+), gone AS (
+  SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(range(i, i + 13)) AS p FROM later) GROUP BY r
+), words AS (
+  SELECT r, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS rest FROM words
+  ANTI JOIN (SELECT r, unnest(p) AS i FROM gone) g USING (r, i) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         [('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT FOR k IN range(4)] AS h
+  FROM d
+), cuts AS (
+  SELECT *, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS lo, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(w[1 : lo], '') AS a, array_to_string(w[lo + 1 : hi], '') AS b, array_to_string(w[hi + 1 :], '') AS c FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(a || b || c) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
@@ -251,4 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_sharding": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_quality_rules": OP9_SQL,
+        "op11_source_audit": OP11_SQL,
+        "op12_passage_dedup": OP12_SQL,
+        "op13_fill_middle": OP13_SQL,
     }
