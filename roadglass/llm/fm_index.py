@@ -102,14 +102,20 @@ class WaveletTree:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by at least their first `depth` symbols, by doubling."""
-    rank, size = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    while size < depth:
-        after = np.zeros(len(rank), np.int64)
-        after[:-size] = rank[size:] + 1
-        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64)
-        size *= 2
-    return np.argsort(rank, kind="stable")
+    """Suffixes sorted by their first `depth` symbols: ranks of ever longer beginnings, as many side by side in one key as
+    63 bits hold. The last one may overlap the one before; where that is equal the overlap is, too."""
+    rank, size = text.astype(np.int64) + 1, 1
+    while True:
+        bits = int(rank.max(initial=1)).bit_length()
+        places = [min(k * size, depth - size) for k in range(min(63 // bits, -(-depth // size)))]
+        key = np.zeros(len(rank), np.int64)
+        for at in places:
+            key <<= bits
+            key[: len(rank) - at] |= rank[at:]
+        size += places[-1]
+        if size >= depth:
+            return np.argsort(key)
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
 
 
 class FMIndex:
@@ -127,11 +133,11 @@ class FMIndex:
         # words that neighbours in suffix order have in common, `depth` at most
         padded = np.concatenate([text, np.zeros(depth, text.dtype)])
         self.common = np.zeros(len(text), np.uint8)
-        alive = np.ones(max(len(text) - 1, 0), bool)
+        alive = np.arange(1, len(text))
         for k in range(depth):
-            ours, theirs = padded[self.order[1:] + k], padded[self.order[:-1] + k]
-            alive &= (ours == theirs) & (ours != 0)
-            self.common[1:] += alive
+            ours, theirs = padded[self.order[alive] + k], padded[self.order[alive - 1] + k]
+            alive = alive[(ours == theirs) & (ours != 0)]
+            self.common[alive] += 1
         self._classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def classes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +153,8 @@ class FMIndex:
         new_low, new_high = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
         known = np.flatnonzero(self.occurs[np.minimum(symbols, len(self.occurs) - 1)])
         s = symbols[known]
-        new_low[known] = self.first[s] + self.tree.rank(s, low[known])
-        new_high[known] = self.first[s] + self.tree.rank(s, high[known])
+        before = self.tree.rank(np.concatenate([s, s]), np.concatenate([low[known], high[known]]))
+        new_low[known], new_high[known] = self.first[s] + before[: len(s)], self.first[s] + before[len(s) :]
         return new_low, new_high
 
     def shortened(self, length: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:

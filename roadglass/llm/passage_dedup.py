@@ -34,7 +34,7 @@ SPAN = WINDOW - GRAM + 1
 #: Bytes handled at once in a task, about.
 BLOCK = 1 << 20
 #: Words of one index, about: a shard ends with the gram that reaches it.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Distinct fragments of one gram in one shard; beyond, its windows are dealt one by one.
 CROWDED = 10_000
 
@@ -73,11 +73,11 @@ def word_blocks(text: str | None, block: int = BLOCK) -> Iterator[tuple[int, lis
         place, at = place + len(words) - len(carried), end
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments: id, text_hash, place (first word x 16 + further windows), gram, digest of the words."""
+def _anchored(batches: Iterator[pa.RecordBatch], digested: bool = True) -> Iterator[pa.RecordBatch]:
+    """Fragments: id, text_hash, place (first word x 16 + further windows), gram, digest of the words (else 0)."""
 
     def fragments(pieces: list[tuple[int, int, list[bytes]]], ids: pa.Array, hashes: np.ndarray) -> pa.RecordBatch:
-        data = b" ".join(w for p in pieces for w in p[2])
+        data = b" ".join([b" ".join(p[2]) for p in pieces])
         buffer = np.frombuffer(data, np.uint8)
         spaces = np.flatnonzero(buffer == 32)
         starts, stops = np.concatenate([[0], spaces + 1]), np.append(spaces, len(buffer))
@@ -101,8 +101,10 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last[:-1] &= fresh[1:] | ~valid[1:]
         first, last = np.flatnonzero(fresh), np.flatnonzero(last)
         owner = np.searchsorted(begins, first, side="right") - 1
-        view, digest = memoryview(data), xxhash.xxh3_64_intdigest
-        digests = np.fromiter((digest(view[a:b]) for a, b in zip(starts[first].tolist(), stops[last + WINDOW - 1].tolist(), strict=True)), np.uint64, len(first))
+        digests = np.zeros(len(first), np.uint64)
+        if digested:
+            view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+            digests[:] = [digest(view[a:b]) for a, b in zip(starts[first].tolist(), stops[last + WINDOW - 1].tolist(), strict=True)]
         rows, base = np.array([p[0] for p in pieces])[owner], np.array([p[1] for p in pieces])[owner]
         place = (first - begins[owner] + base) * 16 + (last - first)
         grams = gram[(least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
@@ -123,6 +125,12 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield fragments(pieces, ids, hashes)
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors alone: id and gram."""
+    for batch in _anchored(batches, digested=False):
+        yield batch.select(["id", "gram"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each text, one space between, compressed: joins by document move fewer bytes."""
     packer = zstandard.ZstdCompressor(level=3)
@@ -138,14 +146,18 @@ def _bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the fragments that were asked for."""
-    unpacker = zstandard.ZstdDecompressor()
+    """The words of the fragments that were asked for; rows that repeat lie side by side and lend theirs once."""
+    unpacker, last = zstandard.ZstdDecompressor(), None
     for batch in batches:
         gram, digest, least, data = [], [], [], []
         for packed, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            text = unpacker.decompress(packed.as_py())
+            packed, wanted = packed.as_py(), wanted.as_py()
+            if (packed, wanted) == last:
+                continue
+            last = packed, wanted
+            text = unpacker.decompress(packed)
             starts, stops = _bounds(text)
-            for w in wanted.as_py():
+            for w in wanted:
                 first, more = divmod(w["place"], 16)
                 gram.append(w["gram"])
                 digest.append(w["digest"])
@@ -154,12 +166,12 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(digest, pa.int64()), pa.array(least, pa.int64()), pa.array(data, pa.binary())], ["gram", "digest", "least", "data"])
 
 
-def least_documents(fragments: pa.Array, documents: np.ndarray) -> list[list[int]]:
+def least_documents(fragments: pa.Array, documents: np.ndarray) -> pa.ListArray:
     """For each window of each fragment the least document that holds it: all fragments are indexed together, each is
     streamed through the index, and the intervals of whole windows tell."""
     words = pc.split_pattern(fragments, b" ")
     sizes = np.diff(words.offsets.to_numpy())
-    names = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    names = words.flatten().dictionary_encode().indices.to_numpy() + 1
     stops = np.cumsum(sizes + 1) - 1
     text = np.zeros(int(stops[-1]) + 1, np.int64)
     text[np.delete(np.arange(len(text)), stops)] = names  # a 0 after each fragment
@@ -169,19 +181,21 @@ def least_documents(fragments: pa.Array, documents: np.ndarray) -> list[list[int
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     least = np.minimum.reduceat(documents[owner[index.order]], bounds[:-1])
     reported = np.flatnonzero(length >= WINDOW)
-    found = least[number[low[reported]]]
-    cuts = np.searchsorted(reported, stops)
-    return [x.tolist() for x in np.split(found, cuts[:-1])]
+    offsets = np.append(0, np.searchsorted(reported, stops)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(least[number[low[reported]]]))
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verdicts on fragments that come sorted by key; the fragments of a key are indexed together."""
+    """Verdicts on fragments that come sorted by key and digest; the fragments of a key are indexed together."""
 
     def judged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
+        key, digest = table["key"].to_numpy(), table["digest"].to_numpy()
+        fresh = np.ones(len(key), bool)  # a repeated row may have lent its words twice
+        fresh[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+        table = table.filter(pa.array(fresh)).combine_chunks()
         least = least_documents(table["data"].combine_chunks(), table["least"].to_numpy())
-        columns = [table[c].combine_chunks() for c in ("gram", "digest", "nth")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(least, pa.list_(pa.int64()))], ["gram", "digest", "nth", "least"])
+        return pa.RecordBatch.from_arrays([table["gram"].combine_chunks(), table["digest"].combine_chunks(), least], ["gram", "digest", "least"])
 
     held, size = [], 0
     for batch in batches:
@@ -249,10 +263,11 @@ def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if not isinstance(id_type.dataType, T.IntegralType):
         raise TypeError(f"{id_col} holds {id_type.dataType.simpleString()}; documents are ordered by whole numbers")
     rank: Column = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
-    # worked out twice: cheaper than writing every anchor
-    anchors = slim.mapInArrow(_anchored, T.StructType([id_type, *(T.StructField(c, T.LongType()) for c in ("text_hash", "place", "gram", "digest"))]))
-    shared = anchors.select("gram", rank.alias("rank")).groupBy("gram").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    # anchors are worked out twice: cheaper than writing every one
+    grams = slim.mapInArrow(_grams, T.StructType([id_type, T.StructField("gram", T.LongType())]))
+    shared = grams.select("gram", rank.alias("rank")).groupBy("gram").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
     shared = cut(shared.filter("low < high").select(F.col("gram").alias("_gram")), "grams")
+    anchors = slim.mapInArrow(_anchored, T.StructType([id_type, *(T.StructField(c, T.LongType()) for c in ("text_hash", "place", "gram", "digest"))]))
     found = cut(anchors.join(shared, anchors["gram"] == shared["_gram"]).drop("_gram"), "candidates")
 
     # the least document that holds a fragment lends its words
@@ -261,19 +276,19 @@ def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     wanted = parts.groupBy("_i", "_t").agg(F.collect_list(F.struct("gram", "digest", "least", "place")).alias("wanted"))
     packed = slim.mapInArrow(_packed, T.StructType([id_type, T.StructField("text_hash", T.LongType()), T.StructField("packed", T.BinaryType())]))
     same = F.col("id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_t"))
-    fragments = cut(packed.join(wanted, same).select("packed", "wanted").mapInArrow(_fetched, "gram long, digest long, least long, data binary").dropDuplicates(["gram", "digest"]), "fragments")
+    fragments = cut(packed.join(wanted, same).select("packed", "wanted").mapInArrow(_fetched, "gram long, digest long, least long, data binary"), "fragments")
 
-    verdict = "gram long, digest long, nth int, least array<long>"
+    verdict = "gram long, digest long, least array<long>"
     many = cut(fragments.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("gram"), "crowded")
-    dealt = fragments.join(many, "gram", "left_anti").select(F.col("gram").alias("key"), "gram", "digest", F.lit(0).alias("nth"), "least", "data")
-    searched = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_searched, verdict).select("gram", "digest", "least")
+    dealt = fragments.join(many, "gram", "left_anti").select(F.col("gram").alias("key"), "gram", "digest", "least", "data")
+    searched = dealt.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_searched, verdict)
     if not many.isEmpty():
         windows = cut(fragments.join(many, "gram", "left_semi").select("gram", "digest", "least", "data").mapInArrow(_windowed, "gram long, digest long, nth int, window long, least long, data binary"), "windows")
         single = windows.groupBy("gram", "window").agg(F.min("least").alias("least"), F.min("data").alias("data"))
-        by_window = single.select(F.col("window").alias("key"), "gram", F.col("window").alias("digest"), F.lit(0).alias("nth"), "least", "data")
-        told = cut(by_window.repartition("key").sortWithinPartitions("key").mapInArrow(_searched, verdict).select("gram", F.col("digest").alias("window"), F.col("least")[0].alias("told")), "window-verdicts")
+        by_window = single.select(F.col("window").alias("key"), F.col("window").alias("gram"), F.col("gram").alias("digest"), "least", "data")
+        told = cut(by_window.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(_searched, verdict).select(F.col("digest").alias("gram"), F.col("gram").alias("window"), F.col("least")[0].alias("told")), "window-verdicts")
         per_window = skew_join(windows.drop("data", "least"), told, ["gram", "window"])
-        regrouped = per_window.groupBy("gram", "digest").agg(F.sort_array(F.collect_list(F.struct("nth", "told"))).alias("told"))
+        regrouped = per_window.groupBy("gram", "digest").agg(F.sort_array(F.collect_set(F.struct("nth", "told"))).alias("told"))
         searched = searched.unionByName(regrouped.select("gram", "digest", F.col("told.told").alias("least")))
     verdicts = cut(searched, "verdicts")
 
