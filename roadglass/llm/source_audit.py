@@ -163,8 +163,9 @@ def shares(n: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 def _paired(key: tuple, rows: pa.Table) -> pa.Table:
     """The sums of one block of terms for all pairs of a source of side `a` and one of side `b`. Rows without a term tell
-    which sources there are, with the total of each."""
-    lang, a, b, _ = (k.as_py() for k in key)
+    which sources there are, with the total of each. Terms that none of them has add the same each; the first block adds
+    that for all terms, and every block takes back what its own terms would have added."""
+    lang, a, b, block = (k.as_py() for k in key)
     is_source = rows["term"].is_null().combine_chunks().to_numpy(zero_copy_only=False)
     told, counts = rows.filter(pa.array(is_source)), rows.filter(pa.array(~is_source))
     sources = {s: k for k, s in enumerate(told["source"].to_pylist())}
@@ -172,12 +173,14 @@ def _paired(key: tuple, rows: pa.Table) -> pa.Table:
     term = counts["term"].combine_chunks().dictionary_encode()
     n = np.zeros((len(term.dictionary), len(sources)), np.int64)
     n[term.indices.to_numpy(), [sources[s] for s in counts["source"].to_pylist()]] = counts["n"].to_numpy()
-    p = shares(n, total) if len(n) else n
+    p, none = (shares(x, np.maximum(total, 1)) for x in (n, np.zeros(len(sources), np.int64)))
+    absent = (told["v"].to_numpy()[0] if block == 0 else 0) - len(n)
     names, out = list(sources), ([], [], [], [])
     theirs = np.flatnonzero(side == b)
     for k in np.flatnonzero(side == a).tolist():
         gap = p[:, [k]] - p[:, theirs]
-        sums = (gap * gap // p[:, theirs]).sum(axis=0)
+        base = (none[k] - none[theirs]) ** 2 // none[theirs]
+        sums = (gap * gap // p[:, theirs]).sum(axis=0) + absent * base
         for other, value in zip(theirs.tolist(), sums.tolist(), strict=True):
             if other != k:
                 for column, x in zip(out, (lang, names[k], names[other], value), strict=True):
@@ -204,7 +207,7 @@ def source_divergence(docs: DataFrame, *, text_col: str = "text", lang_col: str
     langs = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("lang_total"))
     groups = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["n", "v", "lang_total"])
     numbered = Window.partitionBy("lang").orderBy("source")
-    groups = groups.select("lang", "source", (F.col("n") + F.col("v")).alias("total"), (F.col("lang_total") + F.col("v")).alias("lang_total"), F.floor((F.row_number().over(numbered) - 1) / SIDE).alias("side"), F.greatest(F.ceil(F.col("v") / TERMS), F.lit(1)).alias("blocks"))
+    groups = groups.select("lang", "source", (F.col("n") + F.col("v")).alias("total"), (F.col("lang_total") + F.col("v")).alias("lang_total"), "v", F.floor((F.row_number().over(numbered) - 1) / SIDE).alias("side"), F.greatest(F.ceil(F.col("v") / TERMS), F.lit(1)).alias("blocks"))
     groups = groups.withColumn("sides", F.max("side").over(Window.partitionBy("lang")) + 1)
     groups = cut(groups, "groups")  # one row a source; how it joins is left to its size
 
@@ -216,13 +219,13 @@ def source_divergence(docs: DataFrame, *, text_col: str = "text", lang_col: str
     terms = over.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
     # every block of terms meets the sources of two sides
-    side = ["lang", "source", "total", "side"]
+    side = ["lang", "source", "total", "v", "side"]
     every = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(*side, "sides", "block", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"))
     rows = told.select(*side, "sides", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "term", "n").unionByName(every)
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))
     as_a = rows.withColumn("b", others).withColumn("a", F.col("side"))
     as_b = rows.withColumn("a", others).withColumn("b", F.col("side")).filter("a <> b")
-    dealt = as_a.unionByName(as_b).select("lang", "a", "b", "block", "source", "total", "side", "term", "n")
+    dealt = as_a.unionByName(as_b).select("lang", "a", "b", "block", "source", "total", "v", "side", "term", "n")
     summed = dealt.groupBy("lang", "a", "b", "block").applyInArrow(_paired, "lang string, source string, item string, value long")
     pairs = summed.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(best).alias("rank"))
