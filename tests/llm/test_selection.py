@@ -267,10 +267,10 @@ def test_mixture_meets_its_targets(spark):
     assert same[0] > 0.97 and same[1] >= 1 and same[2] >= 1
 
 
-def brute_rates(p, tokens, targets, min_rate, tolerance=1e-3):
+def brute_rates(p, tokens, targets, min_rate, tolerance=1e-3, headroom=HEADROOM):
     """Projected gradient in numpy on collected posteriors, every step from the rates themselves."""
     totals = (p * tokens[:, None]).sum(0)
-    scale = HEADROOM * max(t / w for t, w in zip(totals, targets, strict=True))
+    scale = headroom * max(t / w for t, w in zip(totals, targets, strict=True))
     goal, rate, gaps = np.array(targets) * scale, np.full(len(p), max(1.0, min_rate)), []
     for _ in range(100):
         reached = (p * (tokens * rate)[:, None]).sum(0)
@@ -339,6 +339,40 @@ def test_mixture_meets_the_target_of_a_rare_language(spark):
         fit_mixture(docs, min_rate=1.0, max_rate=8.0)
 
 
+def test_rates_that_stand_at_a_bound_are_those_of_plain_projected_gradient(spark):
+    # documents between two languages: those of the large one would have to shrink, so they stay at their bound
+    rng = np.random.default_rng(2)
+    en, sv = ["the", "and", "of", "road"], ["och", "att", "det", "en"]
+    rows = [(k, _speech(rng, en, 300), "en") for k in range(300)] + [(1000 + k, _speech(rng, sv, 100), "sv") for k in range(60)]
+    rows += [(2000 + k, _speech(rng, en + sv, 60), "sv" if k % 2 else "en") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    mixture, known = fit_mixture(docs, targets={"en": 0.5, "sv": 0.5}, min_rate=1.0, headroom=1.0, tolerance=1e-4)
+    found = known.withColumn("rate", mixture.rate()).collect()
+    p, tokens = np.array([r["_mix_p"] for r in found]), np.array([r["_mix_tokens"] for r in found], float)
+    rate, reached, _ = brute_rates(p, tokens, [0.5, 0.5], 1.0, 1e-4, 1.0)
+    assert np.allclose([r["rate"] for r in found], rate, rtol=1e-9) and np.allclose(reached, [mixture.reached[d] for d in mixture.domains])
+    assert (rate == 1.0).sum() > 100 and (rate > 1.5).sum() > 20
+
+
+def test_mixture_of_languages_with_and_without_targets(spark):
+    def docs(langs):
+        return spark.createDataFrame([(k, f"text {lang} of some words {lang}", lang) for k, lang in enumerate(langs)], "doc_id long, text string, lang string")
+
+    options = {"targets": TARGETS, "min_rate": 1.0}
+    for langs in ([None] * 6, []):
+        got = mixing_rates(docs(langs), **options).collect()
+        assert len(got) == len(langs) and all(r["rate"] == 1 and r["copies"] == 1 and r["absent_targets"] == "de,en,es,fr" for r in got)
+        assert mix(docs(langs), **options).count() == len(langs)
+    with pytest.warns(UserWarning, match="none of the domains"):
+        got = mixing_rates(docs(["it", "pt"] * 4), **options).collect()
+    assert len(got) == 8 and all(r["rate"] == 1 for r in got)
+    with pytest.warns(UserWarning, match="no documents"):
+        got = mixing_rates(docs(["en"] * 20 + ["fr"] * 5 + ["it"] * 5 + [None] * 3), **options).collect()
+    assert len(got) == 33 and min(r["rate"] for r in got) >= 1 and {r["absent_targets"] for r in got} == {"de,es"}
+    by = {r["domain"]: r for r in got}
+    assert abs(by["fr"]["reached_tokens"] / by["en"]["reached_tokens"] - 0.36) < 0.02
+
+
 def test_training_sample_with_a_hot_text_and_a_language_of_few_texts(spark):
     rows = [(k, f"own words {k}", "en") for k in range(2000)] + [(5000 + k, "hot", "en") for k in range(1000)] + [(9000 + k, f"kopia {k % 2}", "sv") for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
