@@ -18,7 +18,8 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, free_name, hash128, whole_text
@@ -53,6 +54,8 @@ class Mixture:
     max_rate: float | None = None
     steps: list[list[float]] = field(default_factory=list)
     reached: dict[str, float] = field(default_factory=dict)
+    #: Domains that have a target but no document.
+    absent: list[str] = field(default_factory=list)
 
     def bounded(self, rate: Column) -> Column:
         low = F.greatest(rate, F.lit(float(self.min_rate)))
@@ -136,12 +139,15 @@ def tempered(totals: np.ndarray, power: float) -> np.ndarray:
     return w / w.sum() if w.sum() else w
 
 
-def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", targets: dict[str, float] | None = None, power: float = 0.7, min_rate: float = 0.0, max_rate: float | None = None, scale: float | None = None, max_steps: int = 100, tolerance: float = 1e-3) -> tuple[Mixture, DataFrame]:
+def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", targets: dict[str, float] | None = None, power: float = 0.7, min_rate: float = 0.0, max_rate: float | None = None, scale: float | None = None, headroom: float = HEADROOM, max_steps: int = 100, tolerance: float = 1e-3) -> tuple[Mixture, DataFrame]:
     """The mixture and the table it was fitted on: id, _mix_tokens, _mix_p for every document.
 
     `targets` are domain weights (default: the domains' expected token totals to the power `power`), scaled to sum to
-    one; expected totals shall be target x scale x all tokens. The default scale is the least at which no domain has to
-    shrink, a little over it where rates have a lower bound, so with min_rate 1 no document is lost. Documents of null domain are not learnt from but take part.
+    one over the domains that there are; expected totals shall be target x scale x all tokens. The default scale is the
+    least at which no domain has to shrink, `headroom` times that where rates have a lower bound, so with min_rate 1 no
+    document is lost. Documents of null domain are not learnt from but take part; if all are null, rates stay where they
+    start. A domain without a target is wanted at its lower bound. If no domain has a target, rates stay where they
+    start, too, and a warning says so; targets of domains without documents are named in `absent` and in a warning.
 
     Steps end when every domain is within `tolerance` of its own target, or when the largest of these gaps
     no longer shrinks; where targets are missed then, a warning names them. `reached` has the totals
@@ -155,34 +161,41 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     known = cut(mixture.posteriors(docs.select(F.col(id_col), F.col(text_col)), text_col).select(id_col, "_mix_tokens", "_mix_p"), "posteriors")
 
     def sums(rate: Column) -> np.ndarray:
-        """Expected tokens of every domain at these rates. The plan is of one size for any number of domains."""
-        shares = known.select((rate * F.col("_mix_tokens")).alias("w"), F.posexplode("_mix_p").alias("k", "p"))
-        out = np.zeros(len(names))
-        for r in shares.groupBy("k").agg(F.sum(F.col("p") * F.col("w")).alias("s")).collect():  # a row for each domain
-            out[r["k"]] = r["s"] or 0.0
-        return out
+        """Expected tokens of every domain at these rates: weighted vector sums, one row for each document, and a plan of
+        one size for any number of domains."""
+        weighed = known.select(array_to_vector("_mix_p").alias("p"), (rate * F.col("_mix_tokens")).alias("w")).filter("w > 0")
+        total, mean = weighed.select(F.sum("w"), Summarizer.mean(F.col("p"), F.col("w"))).first() if not weighed.isEmpty() else (0.0, None)
+        return total * mean.toArray() if mean is not None else np.zeros(len(names))
 
     totals = sums(F.lit(1.0))
-    if not totals.sum():
+    if targets:
+        mixture.absent = sorted(set(targets) - {d for d, _ in domains}) if counts else sorted(targets)
+    if mixture.absent:
+        warnings.warn(f"no documents of {mixture.absent}, which have targets; the others share their part", stacklevel=2)
+    if not totals.sum() or targets and not counts:
         return mixture, known
     wanted = np.array([float(targets.get(d, 0.0)) for d in names]) if targets else tempered(totals, power)
+    if not wanted.sum():
+        warnings.warn(f"none of the domains {names} has a target; rates stay at {mixture.start()}", stacklevel=2)
+        return mixture, known
     wanted = wanted / wanted.sum()
     if scale is None:
         scale = max(t / (w * totals.sum()) for t, w in zip(totals, wanted, strict=True) if w > 0)
         if min_rate > 0 and len(names) > 1:
-            scale *= HEADROOM
-    goal = wanted * scale * totals.sum()
+            scale *= headroom
+    goal = np.where(wanted > 0, wanted * scale * totals.sum(), min_rate * totals)
     mixture.targets = dict(zip(names, goal.tolist(), strict=True))
 
     # Least squares in errors counted in a domain's tokens, variables scaled by the root of theirs. What a step does to
     # the errors has columns that sum to one (posteriors do), so no eigenvalue is over 1 and a whole step is safe.
     unit = 1 / np.maximum(totals, 1e-9)
     reached, gaps, done = totals * mixture.start(), [], 0
+    measure = np.maximum(np.where(goal > 0, goal, totals), 1e-9)
     for _ in range(max_steps + 1):
         off = np.abs(reached - goal)
-        if (off <= tolerance * goal).all():
+        if (off <= tolerance * measure).all():
             break
-        gaps.append(float((off / np.maximum(goal, 1e-9)).max()))
+        gaps.append(float((off / measure).max()))
         if len(mixture.steps) == max_steps or len(gaps) > STALL and gaps[-1] > 0.99 * gaps[-1 - STALL]:
             break
         if len(mixture.steps) - done == FOLD:
@@ -191,24 +204,27 @@ def fit_mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         mixture.steps.append(((reached - goal) * unit).tolist())
         reached = sums(mixture.rate(done))
     mixture.reached = dict(zip(names, reached.tolist(), strict=True))
-    missed = {d: (mixture.reached[d], mixture.targets[d]) for d, o, g in zip(names, off, goal, strict=True) if o > tolerance * g}
+    missed = {d: (mixture.reached[d], mixture.targets[d]) for d, o, m in zip(names, off, measure, strict=True) if o > tolerance * m}
     if missed:
         warnings.warn(f"targets not met after {len(mixture.steps)} steps (reached, wanted): {missed}", stacklevel=2)
     return mixture, known.select(id_col, "_mix_tokens", "_mix_p")
 
 
 def mixing_rates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row for each input row: id, tokens, domain (the likeliest), rate, copies, and the token totals that were
-    wanted for that domain and that the rates reach in expectation.
-
-    Null text has no tokens. Null ids are rows like any other; repeated rows get the same rate and copies. Without any
-    token every rate is 1. An empty table gives an empty result. Options are those of fit_mixture."""
+    """One row for each input row: id, tokens, domain (the likeliest), rate, copies, the token totals that were wanted
+    for that domain and that the rates reach in expectation, and the domains with a target but no document
+    (absent_targets, comma-joined).
+
+    Null text has no tokens, very long texts have all of theirs. Null ids are rows like any other; repeated rows get the
+    same rate and copies, and of posteriors that tie the first domain is named. Without any token, any domain or any
+    target that fits a domain every rate is 1, or the bound nearest to 1. An empty table gives an empty result. Columns
+    other than id, text and domain, whatever their names, are not read. Options are those of fit_mixture."""
     mixture, known = fit_mixture(docs, id_col=id_col, **options)
     best = F.array_position("_mix_p", F.array_max("_mix_p")).cast("int")
     rated = known.withColumn("_mix_rate", mixture.rate())
     named = lambda values: F.element_at(F.array(*map(F.lit, values)), best)
     totals = [named([float(t.get(d, 0.0)) for d in mixture.domains]).alias(c) for c, t in (("wanted_tokens", mixture.targets), ("reached_tokens", mixture.reached))]
-    return rated.select(id_col, F.col("_mix_tokens").alias("tokens"), named(mixture.domains).alias("domain"), F.round("_mix_rate", 9).alias("rate"), mixture.copies(id_col).alias("copies"), *totals)
+    return rated.select(id_col, F.col("_mix_tokens").alias("tokens"), named(mixture.domains).alias("domain"), F.round("_mix_rate", 9).alias("rate"), mixture.copies(id_col).alias("copies"), *totals, F.lit(",".join(mixture.absent)).alias("absent_targets"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
