@@ -111,7 +111,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = np.zeros(len(rank), np.int64)
         for at in places:
             key <<= bits
-            key[: len(rank) - at] |= rank[at:]
+            key[: max(len(rank) - at, 0)] |= rank[at:]
         size += places[-1]
         if size >= depth:
             return np.argsort(key)
