@@ -40,7 +40,7 @@ def stream_late_flags(spark, sf):
 
 def stream_rules(spark, sf):
     t = _table(spark, sf).select("vin", "ts_ms", "seq", "coolant_c", "evt")
-    return jobs.run_in_order(t, "ts_ms", "rules", lambda s: jobs.window_rules(s, LIMITS)).select("vin", "seq", "rule", "severity")
+    return jobs.run_in_order(t, "ts_ms", "rules", lambda s: jobs.window_rules(s, LIMITS, silent_seconds=LIMITS.brake_window)).select("vin", "seq", "rule", "severity")
 
 
 def stream_tumbling(spark, sf):
@@ -53,11 +53,28 @@ def stream_live_state(spark, sf):
     return jobs.run_latest(jobs.live_state(s), "live", ["vin"]).select("vin", "seq", "speed_kmh")
 
 
+def _rolled(spark, table, **options):
+    """The rollup job over a table, in its order of arrival."""
+    job = jobs.RollupJob(spark, jobs.folder(spark, "rollup"))
+    for files in jobs.in_order(table, "arrival", jobs.folder(spark, "rollup-in"), **options):
+        job.run(spark.readStream.schema(table.schema).parquet(files))
+    return job
+
+
 def stream_rollup(spark, sf):
-    r = jobs.run_latest(jobs.rollup(_stream(spark, sf)), "rollup", ["vin", "day"])
+    t = _table(spark, sf).withColumn("arrival", F.col("ts_ms"))
+    r = _rolled(spark, t).table()
     return r.select("vin", "day", "events", F.round("min_odo", 4).alias("min_odo"), F.round("max_odo", 4).alias("max_odo"), F.round("sum_speed", 4).alias("sum_speed"), F.round("max_coolant", 4).alias("max_coolant"), F.round("min_batt_v", 4).alias("min_batt_v"), "harsh_brakes", "idle_samples", "dtc_events")
 
 
+def stream_rollup_late(spark, sf):
+    """Telemetry comes ten days at a time, every 50th row ten days late: what is rolled up and what was too late for that."""
+    t = _table(spark, sf).withColumn("arrival", F.expr("datediff(to_date(ts), DATE '2024-01-01') div 10 + case when seq % 50 = 0 then 1 else 0 end"))
+    job = _rolled(spark, t, each=True)
+    late = job.late(t.schema).groupBy("vin", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("events"))
+    return job.table().select(F.lit("rolled").alias("what"), "vin", "day", "events").unionByName(late.withColumn("what", F.lit("late")))
+
+
 def stream_ingest(spark, sf):
     """Raw payloads of both makers, in several files and batches, through the whole job: rows of the tables it wrote.
 
@@ -84,7 +101,7 @@ def stream_alert_dedup(spark, sf):
     return jobs.run_in_order(t, "ts_ms", "alerts", job).select("dedup_key", "rule", "vin")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_late_flags, stream_rules, stream_tumbling, stream_live_state, stream_rollup, stream_ingest, stream_alert_dedup)}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_late_flags, stream_rules, stream_tumbling, stream_live_state, stream_rollup, stream_rollup_late, stream_ingest, stream_alert_dedup)}
 
 SQL = {
     "stream_dedup": f"WITH {TELEMETRY_SQL} SELECT vin, seq FROM telemetry",
@@ -93,6 +110,12 @@ SQL = {
     "stream_tumbling": "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1",
     "stream_live_state": f"WITH {TELEMETRY_SQL} SELECT vin, seq, speed_kmh FROM telemetry QUALIFY row_number() OVER (PARTITION BY vin ORDER BY seq DESC) = 1",
     "stream_rollup": EVENT_SQL["daily_rollup"],
+    "stream_rollup_late": f"""WITH {TELEMETRY_SQL}, t AS (
+          SELECT vin, ts, cast(ts AS date) AS day, (cast(ts AS date) - DATE '2024-01-01') // 10 + CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END AS b FROM telemetry
+        ), tops AS (SELECT b, max(ts) AS top FROM t GROUP BY b), marks AS (
+          SELECT x.b, max(y.top) - INTERVAL 20 SECOND AS mark FROM tops x LEFT JOIN tops y ON y.b < x.b GROUP BY x.b
+        )
+        SELECT CASE WHEN day + INTERVAL 1 DAY <= mark THEN 'late' ELSE 'rolled' END AS what, vin, day, count(*) AS events FROM t JOIN marks USING (b) GROUP BY 1, 2, 3""",
     "stream_ingest": f"""WITH {TELEMETRY_SQL}, faults(code, severity) AS (VALUES {", ".join(f"('{c}', {n})" for c, _, n in FAULT_CODES)}),
         good AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'aurora' ELSE 'borealis' END AS oem FROM telemetry WHERE seq % 50 <> 0 AND user_id % 10 <> 9),
         coded AS (SELECT vin, ts, unnest(CASE WHEN seq % 7 = 0 THEN ['P0301', 'C0035'] WHEN seq % 7 = 3 AND seq % 2 = 1 THEN ['P0217', 'U0100'] END) AS code FROM good),

@@ -6,16 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from ..operators import rules
-from ..operators.rollup import daily_rollup
+from ..operators.rollup import measures
 from ..operators.rules import Limits
 from ..operators.windows import latest
 from ..session import configured, shared_folder
 from ..sources import sinks
+from ..sources.ledger import Ledger, exists, make, move, names, put_part, read_parts, remove
 from ..sources.payloads import enrich, normalise, split_rejects
 
 
@@ -51,19 +52,37 @@ def run_latest(stream: DataFrame, name: str, keys: list[str], mode: str = "updat
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
+def in_order(table: DataFrame, order: str, at: str, rows_per_range: int | None = None, *, each: bool = False) -> Iterator[str]:
+    """Lay a table out in ranges of the number `order` and hand them over one by one: each time the pattern of files that
+    a stream is to read has a range more. Rows of equal `order` are in one range, nulls last; with `each` every value of
+    `order`, a whole number that is never null then, is a range.
+
+    The table is counted, sampled for its bounds and written once; a range is handed over by renaming its folder."""
+    spark = table.sparkSession
+    if each:
+        ranged = table.withColumn("_range", F.col(order).cast("long"))
+    else:
+        parts = max(1, -(-table.count() // (rows_per_range or ROWS_PER_RANGE)))
+        ranged = table.repartitionByRange(parts, F.col(order).asc_nulls_last()).withColumn("_range", F.spark_partition_id())
+    ranged.write.partitionBy("_range").parquet(f"{at}/ranges")
+    make(spark, f"{at}/in/none")
+    numbers = sorted(int(n.split("=")[1]) for n in names(spark, f"{at}/ranges") if n.startswith("_range="))
+    for k in numbers:
+        move(spark, f"{at}/ranges/_range={k}", f"{at}/in/{k:09d}")
+        yield f"{at}/in/*"
+    if not numbers:
+        yield f"{at}/in/*"
+
+
 def run_in_order(table: DataFrame, order: str, name: str, job: Callable[[DataFrame], DataFrame], rows_per_range: int | None = None) -> DataFrame:
     """Feed a table to a job in ranges of the number `order` and return the appended rows.
 
-    A file source takes files as they were modified, which need not be their order of events. Each range is written and
-    run to its end, as one micro-batch, before the next is written; rows of equal `order` are in one range, nulls last."""
+    A file source takes files as they were modified, which need not be their order of events. Each range is
+    run to its end, as one micro-batch, before the next is handed over."""
     spark = configured(table.sparkSession)
-    at, parts = folder(spark, name), -(-table.count() // (rows_per_range or ROWS_PER_RANGE))
-    edges = sorted(set(table.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    by, stream = F.col(order), None
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        above = F.lit(True) if low is None else F.coalesce(by > low, F.lit(True))
-        table.filter(above if high is None else above & by.isNotNull() & (by <= high)).write.mode("append").parquet(f"{at}/in")
-        stream = job(spark.readStream.schema(table.schema).parquet(f"{at}/in")) if stream is None else stream
+    at, stream = folder(spark, name), None
+    for files in in_order(table, order, at, rows_per_range):
+        stream = job(spark.readStream.schema(table.schema).parquet(files)) if stream is None else stream
         stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
@@ -88,8 +107,83 @@ def live_state(stream: DataFrame, *, key: str = "vin", seq: str = "seq") -> Data
 
 
 def rollup(stream: DataFrame, *, delay: str = "20 seconds") -> DataFrame:
-    """The daily rollup in update mode."""
-    return daily_rollup(stream.withWatermark("ts", delay))
+    """The daily rollup in update mode. The group is an event-time window, so a day's state goes when the watermark
+    has passed its end; rows that come for it later are dropped by Spark."""
+    day = F.window("ts", "1 day").alias("w")
+    return stream.withWatermark("ts", delay).groupBy("vin", day).agg(*measures()).withColumn("day", F.to_date("w.start")).drop("w")
+
+
+def _newest(keys: list[str], order: str) -> Callable[[DataFrame], DataFrame]:
+    """The row of each key with the largest `order`; the same however often a row is there."""
+    def merge(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+    return merge
+
+
+_ROLLED = "vin string, events long, min_odo double, max_odo double, sum_speed double, max_coolant double, min_batt_v double, harsh_brakes long, idle_samples long, dtc_events long, day date, batch long"
+
+
+class RollupJob:
+    """The daily rollup of a stream with rows that come too late set aside. All it has is in one folder.
+
+    A micro-batch is parted by the watermark as it stood before: rows of days that had closed go to `late`, the others to
+    the rollup, whose state Spark drops day by day. The ledger notes the batch once its rows are written, and only then
+    the rollup takes them, as one micro-batch of its own; it therefore drops none, and each row is either rolled up once
+    or late. A run that failed goes on from the ledger."""
+
+    def __init__(self, spark: SparkSession, at: str, delay_seconds: int = 20):
+        self.spark, self.at, self.delay = configured(spark), at, delay_seconds
+        self.ledger = Ledger(spark, f"{at}/ledger")
+
+    def _part(self, batch: DataFrame, k: int) -> dict:
+        """Write a batch in its two parts; the ledger's entry of it."""
+        before = self.ledger.read(k - 1)["watermark_ms"] if k else None
+        ends = (F.unix_seconds(F.date_trunc("day", "ts")) + 86_400) * 1000
+        late = F.coalesce(ends <= F.lit(before), F.lit(False)) if before is not None else F.lit(False)
+        seen = Observation()
+        marked = batch.withColumn("is_late", late).observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.count_if("is_late"), F.lit(0)).alias("late"), F.max(F.unix_millis("ts")).alias("top"))
+        marked.write.mode("overwrite").partitionBy("is_late").parquet(f"{self.at}/rows/batch={k}")
+        found = seen.get
+        times = [t for t in (before, found["top"] - 1000 * self.delay if found["top"] is not None else None) if t is not None]
+        entry = {"rows": found["rows"], "late": found["late"], "watermark_ms": max(times, default=None)}
+        self.ledger.put(k, entry)
+        return entry
+
+    def _each(self, batch: DataFrame, k: int) -> None:
+        if k:  # rolled up by now
+            remove(self.spark, f"{self.at}/rows/batch={k - 1}/is_late=false")
+        entry = self.ledger.read(k) or self._part(batch, k)
+        if entry["rows"] > entry["late"]:
+            stream = rollup(self.spark.readStream.schema(batch.schema).parquet(f"{self.at}/rows/*/is_late=false"), delay=f"{self.delay} seconds")
+
+            def put(changed: DataFrame, j: int) -> None:
+                put_part(changed.select(*[F.col(c).cast(t) for c, t in (x.split(" ") for x in _ROLLED.split(", ")[:-1])], F.lit(j).cast("long").alias("batch")), f"{self.at}/rollup", j, _newest(["vin", "day"], "batch"))
+
+            query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{self.at}/rollup-state").outputMode("update").trigger(availableNow=True).start()
+            query.awaitTermination()
+            states = [s for p in query.recentProgress for s in p["stateOperators"]]
+            told = [(k, states[-1]["numRowsTotal"] if states else 0, sum(s["numRowsRemoved"] for s in states), sum(s["numRowsDroppedByWatermark"] for s in states))]
+            self.spark.createDataFrame(told, "batch long, held long, removed long, dropped long").write.mode("overwrite").parquet(f"{self.at}/progress/batch={k}")
+
+    def run(self, stream: DataFrame) -> None:
+        """Run to the end of what is there."""
+        stream.writeStream.foreachBatch(self._each).option("checkpointLocation", f"{self.at}/state").trigger(availableNow=True).start().awaitTermination()
+
+    def table(self) -> DataFrame:
+        """The rollup, a row for each vehicle and day."""
+        schema = self.spark.createDataFrame([], _ROLLED).schema
+        return read_parts(self.spark, f"{self.at}/rollup", schema, _newest(["vin", "day"], "batch")).drop("batch")
+
+    def late(self, schema: StructType) -> DataFrame:
+        """The rows that came after their day had closed."""
+        found = [f"{self.at}/rows/{b}/is_late=true" for b in names(self.spark, f"{self.at}/rows") if exists(self.spark, f"{self.at}/rows/{b}/is_late=true")]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def progress(self) -> DataFrame:
+        """(batch, held, removed, dropped): rows of state after each batch and those that went, and rows Spark dropped."""
+        return self.spark.read.parquet(f"{self.at}/progress").select("batch", "held", "removed", "dropped")
 
 
 class LateFlags(StatefulProcessor):
@@ -115,14 +209,30 @@ def late_flags(stream: DataFrame) -> DataFrame:
 
 
 class WindowRules(StatefulProcessor):
-    """Sliding readings of each vehicle for the window rules. What has left the window goes when rows come; the state of
-    a vehicle that falls silent expires."""
+    """Sliding readings of each vehicle for the window rules. What has left the window goes when rows come; a timer in
+    event time clears the state of a vehicle that has fallen silent."""
 
-    def __init__(self, limits: Limits, expire_seconds: int | None):
-        self.limits, self.expire = limits, None if expire_seconds is None else expire_seconds * 1000
+    def __init__(self, limits: Limits, silent_seconds: int | None):
+        self.limits, self.silent = limits, None if silent_seconds is None else silent_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = {k: handle.getListState(k, "ts_ms long, value double", self.expire) for k in ("coolant", "brake")}
+        self.handle = handle
+        self.held = {k: handle.getListState(k, "ts_ms long, value double") for k in ("coolant", "brake")}
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in self.held.values():
+            state.clear()
+        yield pd.DataFrame([], columns=["vin", "ts_ms", "seq", "rule", "severity"]).astype({"vin": "str", "ts_ms": "int64", "seq": "int64", "rule": "str", "severity": "int32"})
+
+    def _wait(self, last_ms: int) -> None:
+        """One timer, after the newest row."""
+        waiting = [t[0] if isinstance(t, (tuple, list)) else t for t in self.handle.listTimers()]
+        due = max([last_ms + self.silent, *waiting])
+        for t in waiting:
+            if t != due:
+                self.handle.deleteTimer(t)
+        if due not in waiting:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf, lim = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable"), self.limits
@@ -149,21 +259,27 @@ class WindowRules(StatefulProcessor):
             out.append(brakes[n >= lim.brakes].assign(rule="HARSH_BRAKE_PATTERN", severity=2))
         columns = ["vin", "ts_ms", "seq", "rule", "severity"]
         found = pd.concat(out)[columns] if out else pd.DataFrame([], columns=columns)
+        if self.silent is not None:
+            self._wait(int(pdf["ts_ms"].max()))
         yield found.astype({"ts_ms": "int64", "seq": "int64", "severity": "int32"})
 
     def close(self) -> None:
         pass
 
 
-def window_rules(stream: DataFrame, limits: Limits = Limits(), expire_seconds: int | None = None) -> DataFrame:
+def window_rules(stream: DataFrame, limits: Limits = Limits(), silent_seconds: int | None = None, *, delay: str = "0 seconds") -> DataFrame:
     """Alerts of the window rules. On input that arrives in event-time order they are those of the batch rules.
 
-    In a job that runs on, `expire_seconds` (the longest window at least) drops the state of a vehicle that has had no
-    rows for so long in running time. A run to the end of what is there must go without: Spark does not end one
-    while it has times to watch."""
+    `silent_seconds` (the longest window at least) drops the state of a vehicle once the watermark, `delay` behind the
+    newest row, is so far past its last row. These timers run in event time, so a run to the end ends; rows behind the
+    watermark are dropped then. Without it all vehicles' windows are kept and no row is late."""
     slim = stream.select("vin", "ts_ms", "seq", "coolant_c", "evt")
-    mode = "None" if expire_seconds is None else "ProcessingTime"
-    return slim.groupBy("vin").transformWithStateInPandas(WindowRules(limits, expire_seconds), "vin string, ts_ms long, seq long, rule string, severity int", "Append", mode)
+    mode = "None"
+    if silent_seconds is not None:
+        if silent_seconds < max(limits.overheat_window, limits.brake_window):
+            raise ValueError("silent_seconds is shorter than a window")
+        slim, mode = slim.withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", delay), "EventTime"
+    return slim.groupBy("vin").transformWithStateInPandas(WindowRules(limits, silent_seconds), "vin string, ts_ms long, seq long, rule string, severity int", "Append", mode)
 
 
 def alert_dedup(alerts: DataFrame, *, delay: str = "2 hours") -> DataFrame:

@@ -37,7 +37,7 @@ def test_query(spark, db, name):
         assert sorted(got, key=str) == sorted((tuple(plain(r[c]) for c in sorted(columns)) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["stream_tumbling", "stream_dedup", "stream_rules", "stream_late_flags"])
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_dedup", "stream_rules", "stream_late_flags", "stream_rollup", "stream_rollup_late", "stream_live_state", "stream_alert_dedup"])
 def test_streams_over_files_in_shuffled_order(spark, db, name, tmp_path, monkeypatch):
     from roadglass.streaming import jobs
 
@@ -53,12 +53,12 @@ def test_streams_over_files_in_shuffled_order(spark, db, name, tmp_path, monkeyp
     db.execute(f"SET search_path = '{name},main'")
     try:
         want = db.execute(plans.SQL[name])
-        columns = sorted(c[0] for c in want.description)
-        rows = want.df()[columns]
+        columns = [c[0] for c in want.description]
+        rows = [tuple(map(plain, r)) for r in want.fetchall()]
     finally:
         db.execute("SET search_path = 'main'")
-    got = plans.QUERIES[name](spark, str(tmp_path)).select(*columns).toPandas()
-    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, rows.itertuples(index=False, name=None)))
+    got = [tuple(map(plain, r)) for r in plans.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
 
 
 @pytest.mark.parametrize("name", ["train_risk", "score_risk", "feature_importance"])
