@@ -88,8 +88,9 @@ def stream_ingest(spark, sf):
     count = lambda df, what: df.groupBy(what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
     live = jobs.live_table(spark, wrote["live"]).agg(F.lit("live").alias("what"), F.count(F.lit(1)).alias("n"))
     single = found.filter("rule IN ('CRITICAL_DTC', 'DTC', 'LOW_12V', 'LOW_SOC')")
-    written = spark.read.parquet(wrote["outcomes"]).filter("outcome = 'written'").groupBy(F.col("outcome").alias("what")).agg(F.sum("n").alias("n"))
-    return count(good, F.col("oem")).unionByName(count(single, F.col("rule"))).unionByName(live).unionByName(written)
+    outcomes = spark.read.parquet(wrote["outcomes"]).filter("outcome NOT IN ('ok', 'late')").groupBy(F.col("outcome").alias("what")).agg(F.sum("n").alias("n"))
+    pushed = count(spark.read.parquet(wrote["fanout"]).filter("rule IN ('CRITICAL_DTC', 'DTC', 'LOW_12V', 'LOW_SOC')"), F.concat(F.lit("tenant "), F.col("tenant_id").cast("string")))
+    return count(good, F.col("oem")).unionByName(count(single, F.col("rule"))).unionByName(live).unionByName(outcomes).unionByName(pushed)
 
 
 def stream_alert_dedup(spark, sf):
@@ -118,12 +119,15 @@ SQL = {
         SELECT CASE WHEN day + INTERVAL 1 DAY <= mark THEN 'late' ELSE 'rolled' END AS what, vin, day, count(*) AS events FROM t JOIN marks USING (b) GROUP BY 1, 2, 3""",
     "stream_ingest": f"""WITH {TELEMETRY_SQL}, faults(code, severity) AS (VALUES {", ".join(f"('{c}', {n})" for c, _, n in FAULT_CODES)}),
         good AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'aurora' ELSE 'borealis' END AS oem FROM telemetry WHERE seq % 50 <> 0 AND user_id % 10 <> 9),
-        coded AS (SELECT vin, ts, unnest(CASE WHEN seq % 7 = 0 THEN ['P0301', 'C0035'] WHEN seq % 7 = 3 AND seq % 2 = 1 THEN ['P0217', 'U0100'] END) AS code FROM good),
+        coded AS (SELECT vin, user_id, ts, unnest(CASE WHEN seq % 7 = 0 THEN ['P0301', 'C0035'] WHEN seq % 7 = 3 AND seq % 2 = 1 THEN ['P0217', 'U0100'] END) AS code FROM good),
         found AS (
-          SELECT vin, ts, code, CASE WHEN coalesce(severity, 2) >= 4 THEN 'CRITICAL_DTC' ELSE 'DTC' END AS rule FROM coded LEFT JOIN faults USING (code)
-          UNION ALL SELECT vin, ts, '', 'LOW_12V' FROM good WHERE batt_v < 11.8e0 UNION ALL SELECT vin, ts, '', 'LOW_SOC' FROM good WHERE oem = 'aurora' AND soc_pct < 10)
+          SELECT vin, user_id, ts, code, CASE WHEN coalesce(severity, 2) >= 4 THEN 'CRITICAL_DTC' ELSE 'DTC' END AS rule FROM coded LEFT JOIN faults USING (code)
+          UNION ALL SELECT vin, user_id, ts, '', 'LOW_12V' FROM good WHERE batt_v < 11.8e0 UNION ALL SELECT vin, user_id, ts, '', 'LOW_SOC' FROM good WHERE oem = 'aurora' AND soc_pct < 10),
+        sent AS (SELECT *, CASE WHEN event_id % 250 IN (0, 50, 100, 150) THEN 'malformed' WHEN event_id % 250 = 200 OR user_id % 10 = 9 THEN 'unknown' ELSE 'processed' END AS outcome, 1 + (event_id % 89 = 0)::INT AS times FROM events)
         SELECT oem AS what, count(*) AS n FROM good GROUP BY 1
         UNION ALL SELECT rule, count(DISTINCT concat(vin, code, epoch_us(ts) // 3600000000)) FROM found GROUP BY 1
-        UNION ALL SELECT 'live', count(DISTINCT vin) FROM good UNION ALL SELECT 'written', count(*) FROM good""",
+        UNION ALL SELECT 'live', count(DISTINCT vin) FROM good UNION ALL SELECT 'written', count(*) FROM good
+        UNION ALL SELECT outcome, sum(times)::BIGINT FROM sent GROUP BY 1 UNION ALL SELECT 'duplicate', count(*) FROM sent WHERE outcome = 'processed' AND times = 2
+        UNION ALL SELECT concat('tenant ', user_id % 5), count(DISTINCT concat(vin, rule, code, epoch_us(ts) // 3600000000)) FROM found GROUP BY 1""",
     "stream_alert_dedup": EVENT_SQL["alert_rules"].split(" SELECT vin, seq, rule, severity, code,")[0] + " SELECT DISTINCT concat_ws(':', vin, rule, code, cast(epoch_us(ts) // 3600000000 AS varchar)) AS dedup_key, rule, vin FROM row_alerts",
 }

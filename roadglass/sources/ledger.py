@@ -115,7 +115,7 @@ def put_part(part: DataFrame, at: str, number: int, merge: Callable[[DataFrame],
         number, level = number // fan, level + 1
 
 
-def read_parts(spark: SparkSession, at: str, schema: StructType, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def read_parts(spark: SparkSession, at: str, schema: StructType | str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The table that `put_part` keeps: its parts of all levels, merged."""
     found = [f"{at}/{level}/{part}" for level in names(spark, at) for part in names(spark, f"{at}/{level}") if is_whole(spark, f"{at}/{level}/{part}")]
     return merge(spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from ..operators.rules import Limits
 from ..operators.windows import latest
 from ..session import configured, shared_folder
 from ..sources import sinks
-from ..sources.ledger import Ledger, exists, make, move, names, put_part, read_parts, remove
+from ..sources.ledger import Ledger, exists, is_whole, make, move, names, put_part, read_parts, remove
 from ..sources.payloads import enrich, normalise, split_rejects
 
 
@@ -303,72 +304,109 @@ class Tables:
         self.spark, self.at = spark, at
         self.schemas = {t: StructType([*s.fields, StructField("d", DateType()), StructField("h", IntegerType())]) for t, s in schemas.items()}
         for t, s in self.schemas.items():
-            spark.createDataFrame([], s).write.mode("ignore").partitionBy("d", "h").parquet(f"{at}/{t}")
+            if not exists(spark, f"{at}/{t}"):
+                spark.createDataFrame([], s).write.mode("ignore").partitionBy("d", "h").parquet(f"{at}/{t}")
 
     def read(self, table: str, hours: set[int]) -> DataFrame:
-        """The rows of some hours (since 1970); other partitions are not read."""
-        return self.spark.read.schema(self.schemas[table]).parquet(f"{self.at}/{table}").filter((F.unix_date("d") * 24 + F.col("h")).isin(sorted(hours)))
+        """The rows of some hours (since 1970). Only their folders are opened and listed."""
+        day = lambda h: dt.date(1970, 1, 1) + dt.timedelta(days=h // 24)
+        paths = [f"{self.at}/{table}/d={day(h)}/h={h % 24}" for h in sorted(hours)]
+        paths = [p for p in paths if exists(self.spark, p)]
+        reader = self.spark.read.schema(self.schemas[table]).option("basePath", f"{self.at}/{table}")
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schemas[table])
 
 
-def ingest(stream: DataFrame, tenants: DataFrame, name: str = "ingest", *, at: str | None = None, limits: Limits = Limits()) -> dict[str, str]:
-    """Raw payloads to alerts, telemetry, live state, outcome counts and dead letters; the paths of the five tables.
+LIVE = "vin string, tenant_id int, seq long, ts_ms long, lat double, lon double, speed_kmh double"
+_newest_of_vehicle = _newest(["vin"], "seq")
+#: Edges of the latency histogram in seconds.
+LATENCY_EDGES = (0.1, 0.5, 1, 5, 30, 300)
+
 
-    Within a batch alerts are written first, then telemetry, then the rest. A batch writes only rows whose keys are not
-    in the tables yet, and looks for these only in the hours that it touches: a key has one event time, so it can be
-    nowhere else. A batch that runs again after a failure thus adds what is missing and nothing twice, and its cost does
-    not grow with what was written before. The window rules see the new rows with those of the windows before them;
-    alerts are raised on rows of the touched hours. Live state is one row of each vehicle, a version for each batch."""
+def ingest(stream: DataFrame, tenants: DataFrame, name: str = "ingest", *, at: str | None = None, limits: Limits = Limits()) -> dict[str, str]:
+    """Raw payloads to alerts, telemetry, live state, outcome counts and dead letters; the paths of the tables.
+
+    Within a batch alerts come first, then telemetry, then the rest. New alerts are set out by tenant in a folder of the
+    batch (`fanout`) before they enter the alert table, with the tenant and an id that follows from their key. A batch
+    writes only rows whose keys (vehicle, sequence number, time) are not in the tables yet, and opens these only in the
+    hours that it touches: a key has one event time, so it can be nowhere else; a redelivery under another time is another
+    row. What a batch has settled on is written before it is acted on, so one that runs again after a failure adds what is
+    missing and nothing twice, and counts alike. The window rules see the new rows with those of the windows before
+    them; alerts are raised on rows of the touched hours. Live state is kept in levels: a batch writes its own vehicles only.
+
+    Outcomes of a batch: `processed`, `unknown` and `malformed` part its payloads; processed ones are `duplicate` or
+    written, and written ones `late` (not over the vehicle's last number before the batch) or `ok`. They are observed
+    while the tables are written; with a column `arrived` in the stream, latencies too (`latency<=` edges, in seconds)."""
     spark = configured(stream.sparkSession)
     judged = enrich(normalise(stream), tenants)
     timed = judged.withColumn("ts", F.timestamp_millis("ts_ms"))
     good_schema = split_rejects(timed)[0].schema
-    alert_schema = rules.alerts(spark.createDataFrame([], good_schema), limits).schema
-    live_columns = ["vin", "tenant_id", "seq", "ts_ms", "lat", "lon", "speed_kmh"]
+    empty = rules.alerts(spark.createDataFrame([], good_schema), limits)
+    alert_schema = empty.withColumns({"tenant_id": F.lit(0).cast("int"), "alert_id": F.lit(0).cast("long")}).schema
     at = at or folder(spark, name)
     tables = Tables(spark, at, {"telemetry": good_schema, "alerts": alert_schema})
     reach = -(-max(limits.overheat_window, limits.brake_window) // 3600)
+    reason = F.col("reject_reason")
+    unknown = F.coalesce(reason.isin("vin", "unknown vin"), F.lit(False))
+
+    def settled(rows: Callable[[], DataFrame], path: str, schema: StructType, **options) -> tuple[DataFrame, bool]:
+        """What a batch has settled on: written the first time, read again after a failure."""
+        again = is_whole(spark, path)
+        if not again:
+            rows().write.mode("overwrite").parquet(path, **options)
+        return spark.read.schema(schema).parquet(path), again
 
     def each(batch: DataFrame, k: int, to: str) -> None:
+        remove(spark, f"{to}/fresh/batch={k - 1}")
         kept = batch.persist()
-        good, dead = split_rejects(kept)
+        seen_all = Observation()
+        metrics = [F.count(F.lit(1)).alias("all"), F.coalesce(F.count_if(reason.isNull()), F.lit(0)).alias("processed"), F.coalesce(F.count_if(unknown), F.lit(0)).alias("unknown")]
+        if "arrived" in kept.columns:
+            waited = F.unix_millis(F.col("arrived").cast("timestamp")) - F.col("ts_ms")
+            metrics += [F.coalesce(F.count_if(waited <= 1000 * e), F.lit(0)).alias(f"latency<={e:g}") for e in LATENCY_EDGES]
+        split_rejects(kept.observe(seen_all, *metrics))[1].write.mode("overwrite").parquet(f"{to}/dead/batch={k}")
+        good, _ = split_rejects(kept)
         touched = {r["hour"] for r in good.select(_hours().alias("hour")).distinct().collect()}  # hours in a batch
-        # written once: a cached frame would be worked out again when the table that it was read from grows
-        sinks.fresh_rows(good, tables.read("telemetry", touched), ["vin", "seq", "ts_ms"]).write.mode("overwrite").parquet(f"{to}/fresh/batch={k}")
-        fresh = spark.read.schema(good_schema).parquet(f"{to}/fresh/batch={k}")
-
-        before = tables.read("telemetry", {x - j for x in touched for j in range(reach + 1)}).select(fresh.columns)
-        seen = fresh.unionByName(before.join(fresh.select("vin").distinct(), "vin", "left_semi"))
-        found = rules.row_alerts(fresh, limits).unionByName(rules.overheat_alerts(seen, limits)).unionByName(rules.pattern_alerts(seen, limits))
-        found = rules.keyed(found.filter(_hours().isin(sorted(touched))))
-        new = sinks.fresh_rows(rules.first_of_each(found).select(alert_schema.names), tables.read("alerts", touched), ["dedup_key"])
-        sinks.write_by_hour(new.withColumn("_ts", F.timestamp_millis("ts_ms")), f"{to}/alerts", "_ts", drop=True)
-        sinks.write_by_hour(fresh, f"{to}/telemetry")
-
-        state = good.select(live_columns)
-        if k:
-            state = state.unionByName(spark.read.schema(state.schema).parquet(f"{to}/live/version={k - 1}"))
-        latest(state, key="vin", seq="seq").select(live_columns).write.mode("overwrite").parquet(f"{to}/live/version={k}")
-        reason = F.col("reject_reason")
-        outcome = F.when(reason.isNull(), "processed").when(reason.isin("vin", "unknown vin"), "unknown").otherwise("malformed")
-        counts = kept.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-        counts.unionByName(fresh.agg(F.lit("written").alias("outcome"), F.count(F.lit(1)).alias("n"))).write.mode("overwrite").parquet(f"{to}/outcomes/batch={k}")
-        dead.write.mode("overwrite").parquet(f"{to}/dead/batch={k}")
+        key = ["vin", "seq", "ts_ms"]
+        fresh, again = settled(lambda: sinks.fresh_rows(good, tables.read("telemetry", touched), key), f"{to}/fresh/batch={k}", good_schema)
+
+        def alerts() -> DataFrame:
+            before = tables.read("telemetry", {x - j for x in touched for j in range(reach + 1)}).select(fresh.columns)
+            seen = fresh.unionByName(before.join(fresh.select("vin").distinct(), "vin", "left_semi").join(fresh.select(*key), key, "left_anti").select(fresh.columns))
+            found = rules.row_alerts(fresh, limits).unionByName(rules.overheat_alerts(seen, limits)).unionByName(rules.pattern_alerts(seen, limits))
+            found = rules.keyed(found.filter(_hours().isin(sorted(touched))))
+            owners = good.groupBy("vin").agg(F.max("tenant_id").alias("tenant_id"))
+            named = rules.first_of_each(found).join(owners, "vin").withColumn("alert_id", F.xxhash64("dedup_key"))
+            return sinks.fresh_rows(named.select(alert_schema.names), tables.read("alerts", touched), ["dedup_key"])
+
+        new, told = settled(alerts, f"{to}/fanout/batch={k}", alert_schema, partitionBy=["tenant_id"])
+        missing = sinks.fresh_rows(new, tables.read("alerts", touched), ["dedup_key"]) if told else new
+        sinks.write_by_hour(missing.select(alert_schema.names).withColumn("_ts", F.timestamp_millis("ts_ms")), f"{to}/alerts", "_ts", drop=True)
+
+        last = read_parts(spark, f"{to}/live", LIVE, _newest_of_vehicle).select("vin", F.col("seq").alias("_last"))
+        by_order = fresh.join(last, "vin", "left").agg(F.count(F.lit(1)).alias("written"), F.count_if(F.col("seq") <= F.col("_last")).alias("late"))
+        orders = settled(lambda: by_order, f"{to}/orders/batch={k}", by_order.schema)[0].first().asDict()  # the live state moves on below
+        missing = sinks.fresh_rows(fresh, tables.read("telemetry", touched), key) if again else fresh
+        sinks.write_by_hour(missing, f"{to}/telemetry")
+
+        put_part(_newest_of_vehicle(good.selectExpr(*[f"CAST({c} AS {t}) AS {c}" for c, t in (x.split(" ") for x in LIVE.split(", "))])), f"{to}/live", k, _newest_of_vehicle)
+        found = seen_all.get | orders
+        n = {"processed": found["processed"], "unknown": found["unknown"], "malformed": found["all"] - found["processed"] - found["unknown"], "written": found["written"], "late": found["late"]}
+        n |= {"ok": n["written"] - n["late"], "duplicate": n["processed"] - n["written"]} | {m: v for m, v in found.items() if m.startswith("latency")}
+        spark.createDataFrame(sorted(n.items()), "outcome string, n long").coalesce(1).write.mode("overwrite").parquet(f"{to}/outcomes/batch={k}")
         kept.unpersist()
 
     run_batches(timed, name, each, at=at)
-    return {t: f"{at}/{t}" for t in ("alerts", "telemetry", "live", "outcomes", "dead")}
+    return {t: f"{at}/{t}" for t in ("alerts", "fanout", "telemetry", "live", "outcomes", "dead")}
 
 
 def live_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of an ingest job's live state."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    """An ingest job's live state: the newest row of each vehicle."""
+    return read_parts(spark, path, LIVE, _newest_of_vehicle)
 
 
 def batch_sizes(spark: SparkSession, path: str, edges: tuple[int, ...] = (1, 10, 100, 1_000, 10_000, 100_000)) -> DataFrame:
     """(at_most, batches): how many of an ingest job's batches had at most so many rows; a last row for all."""
-    outcomes = spark.read.parquet(path).filter("outcome <> 'written'").groupBy("batch").agg(F.sum("n").alias("n"))
+    outcomes = spark.read.parquet(path).filter("outcome IN ('processed', 'unknown', 'malformed')").groupBy("batch").agg(F.sum("n").alias("n"))
     sums = outcomes.agg(*[F.count_if(F.col("n") <= e).alias(f"le{e}") for e in edges], F.count(F.lit(1)).alias("every"))
     rows = [F.struct(F.lit(e).cast("long").alias("at_most"), F.col(f"le{e}").alias("batches")) for e in edges] + [F.struct(F.lit(None).cast("long").alias("at_most"), F.col("every").alias("batches"))]
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

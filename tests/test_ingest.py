@@ -65,6 +65,78 @@ def test_ingest_fails_and_goes_on(spark, tmp_path, monkeypatch):
     assert run() == wrote and spark.read.parquet(wrote["telemetry"]).count() == before
 
 
+def test_alerts_go_out_by_tenant_once_whatever_fails(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    source.mkdir()
+    write_batches(source)
+    tenants = spark.createDataFrame([(v, k) for k, v in enumerate(VIN)], "vin string, tenant_id int")
+
+    def run():
+        stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).json(str(source))
+        return jobs.ingest(stream, tenants, at=str(tmp_path / "job"))
+
+    write, put, calls = sinks.write_by_hour, jobs.put_part, []
+
+    def failing(df, path, *args, **options):
+        calls.append("write")
+        if calls.count("write") == 3:  # alerts of the second batch are set out, not yet in the table
+            raise RuntimeError("lost")
+        write(df, path, *args, **options)
+
+    def failing_put(*args, **options):
+        calls.append("put")
+        if calls.count("put") == 3:  # telemetry is written, live state is not
+            raise RuntimeError("lost")
+        put(*args, **options)
+
+    monkeypatch.setattr(sinks, "write_by_hour", failing)
+    monkeypatch.setattr(jobs, "put_part", failing_put)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            run()
+    wrote = run()
+    alerts, pushed = (spark.read.parquet(wrote[t]) for t in ("alerts", "fanout"))
+    key = lambda df: sorted((r["tenant_id"], r["alert_id"], r["dedup_key"], r["seq"]) for r in df.collect())
+    assert key(alerts) == key(pushed) and len({r[1] for r in key(alerts)}) == len(key(alerts)) > 20
+    assert all(k[0] == VIN.index(k[2].split(":")[0]) for k in key(alerts))
+    outcomes = {}
+    for r in spark.read.parquet(wrote["outcomes"]).collect():
+        outcomes[r["outcome"]] = outcomes.get(r["outcome"], 0) + r["n"]
+    # 160 rows, the last 20 of each of three files again in the next one
+    assert outcomes == {"processed": 220, "unknown": 0, "malformed": 4, "written": 160, "duplicate": 60, "late": 0, "ok": 160}
+
+
+def test_a_batch_costs_the_same_whatever_was_written_before(spark, tmp_path, monkeypatch):
+    """Late and live rows over many batches: folders opened, parts held and rows written by each."""
+    source = tmp_path / "in"
+    source.mkdir()
+    at0 = dt.datetime(2024, 5, 1)
+    for b in range(18):
+        rows = [{"vin": VIN[k % 2], "ts": (at0 + dt.timedelta(hours=b, minutes=k)).isoformat(timespec="milliseconds") + "Z", "seq": 100 * b + k if b != 16 else 5 + k, "lat": 1.0, "lon": 2.0, "speed_kmh": 1.0, "odo_km": 1.0, "batt_v": 12.5} for k in range(4)]
+        (source / f"{b:02d}.json").write_text("".join(json.dumps({"value": json.dumps(r)}) + "\n" for r in rows))
+        time.sleep(0.01)
+    opened, read = [], jobs.Tables.read
+
+    def counting(self, table, hours):
+        df = read(self, table, hours)
+        opened.append(len(df.inputFiles()))
+        return df
+
+    monkeypatch.setattr(jobs.Tables, "read", counting)
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).json(str(source))
+    tenants = spark.createDataFrame([(v, k) for k, v in enumerate(VIN)], "vin string, tenant_id int")
+    wrote = jobs.ingest(stream, tenants, at=str(tmp_path / "job"))
+    per_batch = [sum(opened[i : i + len(opened) // 18]) for i in range(0, len(opened), len(opened) // 18)]
+    assert max(per_batch[10:]) <= max(per_batch[2:10])
+    from roadglass.sources import ledger
+
+    assert sum(len(ledger.names(spark, f"{wrote['live']}/{level}")) for level in ledger.names(spark, wrote["live"])) == 1 + 18 % 16
+    assert len(ledger.names(spark, str(tmp_path / "job/fresh"))) == 1
+    late = {r["batch"]: r["n"] for r in spark.read.parquet(wrote["outcomes"]).filter("outcome = 'late'").collect()}
+    assert late == {b: 4 if b == 16 else 0 for b in range(18)}
+    assert {r["vin"]: r["seq"] for r in jobs.live_table(spark, wrote["live"]).collect()} == {VIN[0]: 1702, VIN[1]: 1703}
+
+
 def test_window_state_keeps_only_the_window(spark):
     """What a vehicle's state holds after a batch is what later rows can still see."""
     class Held:
