@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -74,9 +75,11 @@ def trip_segments(df: DataFrame, *, key: str, day: str, order: str, speed: str)
 def nearest_target(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, max_cost: float, max_rounds: int | None = None) -> DataFrame:
     """For every source the nearest target within `max_cost` (equal allowed): source, target, cost, path.
 
-    Edges (src, dst, cost >= 0) relax a frontier of (source, node) in rounds; a node keeps its cheapest path (ties by
-    path), and what costs more than a source's best target so far is dropped. Rounds go on until no path grows; a bound on them raises when it is hit. Each round is a table in the shared
-    checkpoint folder."""
+    A wave starts from all targets at once and runs against the edges (src, dst, cost >= 0). A node has one label, however
+    many sources there are: what the way to its nearest target costs, which target that is, how many edges, and the next
+    node. Ties go to the smaller target, then to fewer edges, then to the smaller next node. Only nodes whose label
+    got better pass it on; when none does, the sources' paths are read off by following the next nodes. A bound on the rounds
+    of the wave raises when it is hit. Each round is a table in the shared checkpoint folder."""
     spark = edges.sparkSession
 
     def cut(df: DataFrame) -> DataFrame:
@@ -84,19 +87,27 @@ def nearest_target(edges: DataFrame, sources: DataFrame, targets: DataFrame, *,
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    goal = targets.select(F.col("node").alias("_goal")).distinct()
-    best = cut(sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("cost"), F.array(F.col("node")).alias("path"), F.lit(0).alias("round")))
+    goals = targets.select("node").filter("node IS NOT NULL").distinct()
+    label = ["cost", "target", "hops", "next"]
+    labels = cut(goals.select("node", F.lit(0.0).alias("cost"), F.col("node").alias("target"), F.lit(0).alias("hops"), F.lit(None).cast(goals.schema["node"].dataType).alias("next"), F.lit(0).alias("round")))
     for k in count(1):
-        frontier = best.filter(F.col("round") == k - 1)
-        if frontier.isEmpty():
+        front = labels.filter(F.col("round") == k - 1).select(F.col("node").alias("_to"), *[F.col(c).alias(f"_{c}") for c in label])
+        if front.isEmpty():
             break
         if max_rounds is not None and k > max_rounds:
-            raise RuntimeError(f"paths still grow after {max_rounds} rounds")
-        reached = best.join(goal, best["node"] == goal["_goal"], "left_semi").groupBy("source").agg(F.min("cost").alias("_cap"))
-        step = frontier.join(edges.select(F.col("src"), F.col("dst"), F.col("cost").alias("_w")), frontier["node"] == F.col("src"))
-        grown = step.select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("_w")).alias("cost"), F.concat("path", F.array("dst")).alias("path"), F.lit(k).alias("round"))
-        grown = grown.join(reached, "source", "left").filter((F.col("cost") <= max_cost) & (F.col("_cap").isNull() | (F.col("cost") <= F.col("_cap")))).drop("_cap")
-        both = best.unionByName(grown)
-        best = cut(both.groupBy("source", "node").agg(F.min_by(F.struct("cost", "path", "round"), F.struct("cost", "round", "path")).alias("b")).select("source", "node", "b.*"))
-    ends = best.join(goal, best["node"] == goal["_goal"], "left_semi")
-    return ends.groupBy("source").agg(F.min_by(F.struct("node", "cost", "path"), F.struct("cost", "node")).alias("b")).select("source", F.col("b.node").alias("target"), "b.cost", F.array_join("b.path", "-").alias("path"))
+            raise RuntimeError(f"labels still get better after {max_rounds} rounds")
+        offered = edges.join(front, edges["dst"] == front["_to"]).select(F.col("src").alias("node"), (F.col("cost") + F.col("_cost")).alias("cost"), F.col("_target").alias("target"), (F.col("_hops") + 1).alias("hops"), F.col("dst").alias("next"))
+        offered = offered.filter(F.col("cost") <= max_cost).groupBy("node").agg(F.min(F.struct(*label)).alias("l")).select("node", "l.*", F.lit(k).alias("round"))
+        # on a tie of all but the round the older label stays, so that it is not passed on again
+        labels = cut(labels.unionByName(offered).groupBy("node").agg(F.min(F.struct(*label, "round")).alias("l")).select("node", "l.*"))
+
+    asked = sources.select(F.col("node").alias("source")).distinct()
+    at = labels.select(F.col("node").alias("_at"), "next")
+    ways = asked.join(labels, asked["source"] == labels["node"]).select("source", "target", "cost", F.array("source").alias("path"), F.col("next").alias("_next"))
+    done, ways = [], cut(ways)
+    while not ways.isEmpty():
+        done.append(ways.filter("_next IS NULL").drop("_next"))
+        ways = ways.filter("_next IS NOT NULL").withColumn("path", F.concat("path", F.array("_next")))
+        ways = cut(ways.join(at, ways["_next"] == at["_at"]).select("source", "target", "cost", "path", F.col("next").alias("_next")))
+    empty = ways.drop("_next")
+    return reduce(DataFrame.unionByName, done, empty).select("source", "target", "cost", F.array_join("path", "-").alias("path"))

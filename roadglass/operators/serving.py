@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import cursor
-from ..functions.vehicle import haversine_km, masked_position
+from ..functions.vehicle import EARTH_KM, haversine_km, masked_position
 
 #: What each role may do.
 ROLES = {
@@ -113,6 +113,90 @@ def radius_search(points: DataFrame, *, lat: float, lon: float, radius_km: float
     return near.withColumn("km", haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))).filter(F.col("km") <= radius_km)
 
 
+#: Points of one cell that meet its centres in one group of rows.
+CELL_POINTS = 50_000
+
+
+def _reach(lat: Column, km: Column) -> tuple[Column, Column]:
+    """Half height and half width in degrees of a box around the circle; a circle with a pole inside has all longitudes."""
+    dlat = F.degrees(km / EARTH_KM)
+    wide = F.sin(F.radians(F.least(dlat, F.lit(90.0)))) / F.cos(F.radians(F.abs(lat)))
+    return dlat, F.when((F.abs(lat) + dlat >= 90) | (wide >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(wide, F.lit(1.0)))))
+
+
+def radius_join(points: DataFrame, centres: DataFrame, *, cell_points: int = CELL_POINTS) -> DataFrame:
+    """Every pair of a point (lat, lon) and a centre (centre, lat, lon, radius_km) within the centre's radius: the point's
+    columns, centre and km.
+
+    A centre takes a grid whose cells are about as large as its circle (level l has 2^l rows and columns), so at
+    most three by three cells cover it, and points meet it through these cells only: an equi-join, with the exact distance
+    behind. A point is placed once on every level that centres use. A cell with more than `cell_points` points is split, and its
+    centres go to every part. Points or centres without a place, and negative or null radii, match nothing."""
+    rows = lambda level: F.pow(F.lit(2.0), level)
+    placed = centres.filter("lat IS NOT NULL AND lon IS NOT NULL AND radius_km >= 0").select("centre", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), F.col("radius_km").cast("double").alias("_km"))
+    dlat, dlon = _reach(F.col("_lat"), F.col("_km") + 1e-6)
+    fits = F.floor(F.log2(F.least(180 / dlat, 360 / dlon)))
+    placed = placed.withColumns({"_dlat": dlat, "_dlon": dlon, "_level": F.greatest(F.lit(0), F.least(F.lit(20), fits)).cast("int")})
+    row = lambda lat: F.floor((lat + 90) / 180 * rows(F.col("_level")))
+    column = lambda lon: F.floor((lon + 180) / 360 * rows(F.col("_level")))
+    most = rows(F.col("_level")) - 1
+    low, high = F.greatest(row(F.col("_lat") - F.col("_dlat")), F.lit(0)), F.least(row(F.col("_lat") + F.col("_dlat")), most.cast("long"))
+    west = column(F.col("_lon") - F.col("_dlon"))
+    east = F.least(column(F.col("_lon") + F.col("_dlon")), west + most.cast("long"))
+    covered = placed.withColumn("_row", F.explode(F.sequence(low, high))).withColumn("_column", F.explode(F.sequence(west, east)))
+    covered = covered.withColumn("_column", F.pmod("_column", rows(F.col("_level")).cast("long"))).drop("_dlat", "_dlon")
+
+    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())  # 21 at most
+    own = points.filter("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    own = own.withColumn("_row", F.least(row(F.col("lat").cast("double")), most.cast("long"))).withColumn("_column", F.pmod(column(F.col("lon").cast("double")), rows(F.col("_level")).cast("long")))
+    cell = ["_level", "_row", "_column"]
+    asked = covered.select(*cell).distinct()
+    hot = own.join(asked, cell, "left_semi").groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell_points).select(*cell, F.ceil(F.col("_n") / cell_points).alias("_parts"))
+    part = F.coalesce("_parts", F.lit(1).cast("long"))
+    left = own.join(hot, cell, "left").withColumn("_part", F.pmod(F.xxhash64(*points.columns), part)).drop("_parts")
+    right = covered.join(hot, cell, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), part - 1))).drop("_parts")
+    met = left.join(right, [*cell, "_part"]).withColumn("km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
+    return met.filter(F.col("km") <= F.col("_km")).select(*points.columns, "centre", "km")
+
+
+#: Events and assignments of one key that one task merges, about, and the most slices of a key.
+MERGED = 1_000_000
+CUTS = 1_000
+
+
+def assignment_at(events: DataFrame, assignments: DataFrame, *, key: str, ts: str, merged: int = MERGED) -> DataFrame:
+    """Events with the assignment of their key that began last at or before them, if it still holds (t < valid_to, an open
+    end allowed). Where intervals do not overlap these are the rows of `interval_join`; where they do, only the newest counts.
+
+    Both tables are merged in one sort by key and time, and the last assignment is carried forward, so a key with many of
+    both makes no product. A key with over `merged` rows is cut by time into slices of about that many, each of which
+    begins with what the slices before it carry. Of assignments that begin together the largest counts. Events without
+    key or time match nothing."""
+    held = [c for c in assignments.columns if c != key]
+    rest = [c for c in events.columns if c != key]
+    e = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.struct(*rest).alias("_e"))
+    a = assignments.filter(F.col(key).isNotNull() & F.col("valid_from").isNotNull()).select(key, F.col("valid_from").cast(e.schema["_t"].dataType).alias("_t"), F.lit(0).alias("_kind"), F.struct("valid_from", *[c for c in held if c != "valid_from"]).alias("_a"))
+    both = e.unionByName(a, allowMissingColumns=True)
+    sizes = both.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > merged)
+    micros = F.unix_micros(F.col("_t").cast("timestamp"))
+    # an even number of cuts for each long key; a table of long keys only
+    cuts = both.join(sizes, key).groupBy(key).agg(F.percentile_approx(micros, F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)]), 10_000).alias("_cuts"), F.first("_n").alias("_n"))
+    step = F.greatest(F.lit(1), F.floor(CUTS * F.lit(merged) / F.col("_n"))).cast("int")
+    cuts = cuts.select(key, F.array_distinct(F.filter("_cuts", lambda c, i: (i + 1) % step == 0)).alias("_cuts"))
+    sliced = both.join(cuts, key, "left").withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= micros)), F.lit(0)))
+
+    ends = sliced.filter("_kind = 0 AND _cuts IS NOT NULL").groupBy(key, "_slice").agg(F.max(F.struct("_t", "_a")).alias("_end"))
+    every = cuts.select(key, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_slice")).join(ends, [key, "_slice"], "left")
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    carried = every.select(key, "_slice", F.last("_end._a", ignorenulls=True).over(before).alias("_carried"))
+
+    forward = Window.partitionBy(key, "_slice").orderBy("_t", "_kind", "_a").rowsBetween(Window.unboundedPreceding, 0)
+    merged_rows = sliced.drop("_cuts").withColumn("_last", F.last("_a", ignorenulls=True).over(forward)).filter("_kind = 1")
+    told = merged_rows.join(carried, [key, "_slice"], "left").withColumn("_now", F.coalesce("_last", "_carried"))
+    holds = F.col("_now").isNotNull() & (F.col("_now.valid_to").isNull() | (F.col("_t") < F.col("_now.valid_to")))
+    return told.filter(holds).select(key, "_e.*", *[F.col(f"_now.{c}").alias(c) for c in held]).select(*events.columns, *held)
+
+
 def interval_join(events: DataFrame, assignments: DataFrame, *, key: str, ts: str) -> DataFrame:
     """Events with the assignment that holds at their time: valid_from <= t < valid_to, open end allowed."""
     e, a = events.alias("e"), assignments.alias("a")

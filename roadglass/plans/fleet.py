@@ -82,6 +82,13 @@ def radius_search(spark, sf):
     return serving.radius_search(telemetry(spark, sf).select("seq", "lat", "lon"), lat=13.0827, lon=80.2707, radius_km=250).select("seq", F.round("km", 3).alias("km"))
 
 
+def radius_join(spark, sf):
+    """Around every 53rd sample, within 5 to 105 km: how many samples lie there, and how far the farthest is."""
+    t = telemetry(spark, sf).select("seq", "lat", "lon")
+    centres = t.filter("seq % 53 = 0").select(F.col("seq").alias("centre"), "lat", "lon", F.expr("5e0 + seq % 5 * 25").alias("radius_km"))
+    return serving.radius_join(t, centres).groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), F.round(F.max("km"), 3).alias("farthest"))
+
+
 def interval_join(spark, sf):
     """Orders of a customer as assignments, each until the next: which one holds at each event of that user."""
     o = read(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("assignment"), F.expr("o_orderdate + interval 9 years").alias("valid_from"))
@@ -90,6 +97,14 @@ def interval_join(spark, sf):
     return serving.interval_join(e, o.withColumn("valid_to", after), key="user_id", ts="ts").select("seq", "assignment")
 
 
+def assignment_at(spark, sf):
+    """Orders as short assignments within the time of the events, by a merge: which one holds at each event, if any."""
+    begins = F.expr("cast(date_add(DATE '2023-12-25', cast(o_orderkey % 37 as int)) as timestamp_ntz)")
+    o = read(spark, sf, "orders").groupBy(F.expr("o_custkey % 200").alias("user_id"), begins.alias("valid_from")).agg(F.max("o_orderkey").alias("assignment"))
+    e = telemetry(spark, sf).select("user_id", "seq", "ts")
+    return serving.assignment_at(e, o.withColumn("valid_to", F.expr("valid_from + interval 60 hours")), key="user_id", ts="ts").select("seq", "assignment", "valid_from")
+
+
 def ack_alerts(spark, sf):
     """Every fifth alert is asked for twice, half of them by another tenant; the earlier request is recorded."""
     a = alerts(spark, sf).select("alert_id", "tenant_id", F.when(~F.col("is_open"), F.lit(0)).alias("acked_by"), F.lit(None).cast("string").alias("acked_at"))
@@ -180,18 +195,18 @@ def _edges(spark, sf):
     li = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
     o, c, s = read(spark, sf, "orders"), read(spark, sf, "customer"), read(spark, sf, "supplier")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("n").alias("n")).filter("src <> dst").select("src", "dst", F.round(1000.0 / F.col("n"), 3).alias("cost"))
+    return j.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("n").alias("n")).filter("src <> dst").select("src", "dst", F.round(1_000_000.0 / F.col("n")).alias("cost"))  # whole, so sums are exact
 
 
 def nearest_target(spark, sf):
     nations = read(spark, sf, "nation")
     sources, targets = nations.filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("node")), nations.filter("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("node"))
-    return journeys.nearest_target(_edges(spark, sf), sources, targets, max_cost=60.0).select("source", F.round("cost", 3).alias("cost"))
+    return journeys.nearest_target(_edges(spark, sf), sources, targets, max_cost=60_000.0).select("source", "target", (F.col("cost") / 1000).alias("cost"), "path")
 
 
 QUERIES = {f.__name__: f for f in (
     list_vehicles, tenant_scope, mask_location, role_permissions, dq_report, keyset_page, list_alerts, top_risk, recent_series, vehicle_summary, vehicle_series, fleet_kpis, estimate_savings, radius_search,
-    interval_join, ack_alerts, decide_work_orders, propose_work_orders, erase_pii, features, baseline_score, feature_medians, explain_factors, train_risk, score_risk, feature_importance, nearest_target,
+    radius_join, interval_join, assignment_at, ack_alerts, decide_work_orders, propose_work_orders, erase_pii, features, baseline_score, feature_medians, explain_factors, train_risk, score_risk, feature_importance, nearest_target,
 )}
 
 _ROLES = "roles(role, perm) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r, perms in serving.ROLES.items() for p in perms) + ")"
@@ -244,6 +259,13 @@ SQL = {
         SELECT n AS vehicles, round(e, 1) AS expected_breakdowns, cast(round(e * 2400) AS bigint) AS avoided_usd, cast(round(n * 650 * 0.35) AS bigint) AS planned_usd, cast(round(e * 2400 - n * 650 * 0.35) AS bigint) AS net_usd FROM s""",
     "radius_search": f"""WITH {TELEMETRY_SQL}, d AS (SELECT seq, 2 * 6371 * asin(sqrt(pow(sin(radians(lat - 13.0827e0) / 2), 2) + cos(radians(lat)) * cos(radians(13.0827e0)) * pow(sin(radians(lon - 80.2707e0) / 2), 2))) AS km FROM telemetry)
         SELECT seq, round(km, 3) AS km FROM d WHERE km <= 250""",
+    "radius_join": f"""WITH {TELEMETRY_SQL}, c AS (SELECT seq AS centre, lat AS clat, lon AS clon, 5e0 + seq % 5 * 25 AS r FROM telemetry WHERE seq % 53 = 0),
+        d AS (SELECT centre, seq, r, 2 * 6371 * asin(sqrt(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(lon - clon) / 2), 2))) AS km FROM telemetry, c)
+        SELECT centre, count(*) AS n, sum(seq)::BIGINT AS seqs, round(max(km), 3) AS farthest FROM d WHERE km <= r GROUP BY centre""",
+    "assignment_at": f"""WITH {TELEMETRY_SQL}, o AS (
+          SELECT o_custkey % 200 AS user_id, (DATE '2023-12-25' + (o_orderkey % 37)::INT)::TIMESTAMP AS valid_from, max(o_orderkey) AS assignment FROM orders GROUP BY 1, 2
+        )
+        SELECT seq, assignment, valid_from FROM telemetry t ASOF JOIN o ON t.user_id = o.user_id AND t.ts >= o.valid_from WHERE ts < valid_from + INTERVAL 60 HOUR""",
     "interval_join": f"""WITH {TELEMETRY_SQL}, o AS (SELECT o_custkey AS user_id, o_orderkey AS assignment, o_orderdate + INTERVAL 9 YEAR AS valid_from FROM orders),
         a AS (SELECT *, lead(valid_from) OVER (PARTITION BY user_id ORDER BY valid_from, assignment) AS valid_to FROM o)
         SELECT seq, assignment FROM telemetry t JOIN a ON t.user_id = a.user_id AND ts >= valid_from AND (valid_to IS NULL OR ts < valid_to)""",
@@ -262,13 +284,16 @@ SQL = {
         best AS (SELECT * FROM pushes QUALIFY row_number() OVER (PARTITION BY vin ORDER BY push DESC, feature DESC, value DESC) <= 3)
         SELECT f.vin, coalesce(string_agg(feature, ',' ORDER BY push DESC, feature DESC, value DESC), '') AS factors FROM f LEFT JOIN best USING (vin) GROUP BY f.vin""",
     "nearest_target": """WITH RECURSIVE edges AS (
-          SELECT c_nationkey AS src, s_nationkey AS dst, round(1000.0 / count(*), 3)::double AS cost
+          SELECT c_nationkey AS src, s_nationkey AS dst, round(1000000e0 / count(*)) AS cost
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
           WHERE c_nationkey <> s_nationkey GROUP BY 1, 2
         ), walk AS (
-          SELECT n_nationkey AS source, n_nationkey AS node, 0::double AS cost, 0 AS hops FROM nation WHERE n_nationkey % 5 <> 0
+          SELECT n_nationkey AS source, n_nationkey AS node, {'cost': 0e0, 'path': [n_nationkey]} AS best, 0 AS hops FROM nation WHERE n_nationkey % 5 <> 0
           UNION ALL
-          SELECT source, dst, min(walk.cost + edges.cost), hops + 1 FROM walk JOIN edges ON node = src WHERE hops < 6 AND walk.cost + edges.cost <= 60 GROUP BY source, dst, hops
+          SELECT source, dst, min({'cost': best.cost + edges.cost, 'path': list_append(best.path, dst)}), hops + 1
+          FROM walk JOIN edges ON node = src WHERE hops < 6 AND best.cost + edges.cost <= 60000 GROUP BY source, dst, hops
+        ), ends AS (
+          SELECT source, min({'cost': best.cost, 'target': node, 'hops': hops, 'path': best.path}) AS e FROM walk WHERE node % 5 = 0 GROUP BY source
         )
-        SELECT source, round(min(cost), 3) AS cost FROM walk WHERE node % 5 = 0 GROUP BY source""",
+        SELECT source, e.target AS target, e.cost / 1000 AS cost, array_to_string(e.path, '-') AS path FROM ends""",
 }
