@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: What marks a question that must not be answered.
@@ -78,3 +81,13 @@ def cursor_key(text: Column) -> Column:
     """The key of a cursor; null for an empty one or one that can't be read."""
     plain = F.try_to_binary(F.translate(text, "-_", "+/"), F.lit("base64"))
     return F.get_json_object(plain.cast("string"), "$.k")
+
+
+def read_cursor(text: str | None) -> str | None:
+    """The key of a cursor that a caller hands in: none for none or an empty one; ValueError for one that can't be read."""
+    if not text:
+        return None
+    try:
+        return str(json.loads(base64.urlsafe_b64decode(text.encode("ascii")))["k"])
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError(f"not a cursor: {text[:80]!r}") from e

@@ -46,8 +46,8 @@ def is_valid_vin(vin: Column) -> Column:
 
 
 def with_check_digit(vin: Column) -> Column:
-    """The VIN with its ninth place made right."""
-    return F.concat(F.substring(vin, 1, 8), vin_check_digit(vin), F.substring(vin, 10, 8))
+    """The VIN in upper case with its ninth place made right."""
+    return F.concat(F.upper(F.substring(vin, 1, 8)), vin_check_digit(vin), F.upper(F.substring(vin, 10, 8)))
 
 
 def fault_codes(raw: Column) -> Column:

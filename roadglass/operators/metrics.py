@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from .ordering import in_ranges, numbered
+
 #: Upper edges of the latency histogram in seconds; one open bucket follows.
 EDGES = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0)
 
@@ -49,33 +51,26 @@ def quantiles(df: DataFrame, *, value: str, at: tuple[float, ...], group: str |
     return out.withColumnRenamed("_g", group) if group else out.agg(F.first("q").alias("q"))
 
 
-def running_total(counts: DataFrame, order: str, n: str | tuple[str, ...], parts: int = 64, descending: bool = False, within: str | None = None) -> DataFrame:
+def running_total(counts: DataFrame, order: str, n: str | tuple[str, ...], parts: int | None = None, descending: bool = False, within: str | None = None) -> DataFrame:
     """`counts` with `before`, the sum of `n` over all rows that come earlier in `order`, a number with unique values.
 
-    Values are dealt into ranges by quantiles; each range runs its own total and a table of `parts` range sums links
-    them, so nothing is sorted in one task. With `within`, each of its groups has its own total and its own ranges.
+    Rows are dealt into as many ranges as there are rows for (or about `parts`); each range runs its own total and a table
+    of range sums links them, so nothing is sorted in one task. With `within`, each of its groups has its own total.
     Several columns in `n` are summed in one go, into before_<column>."""
     if not isinstance(counts.schema[order].dataType, NumericType):
         raise TypeError(f"{order} is not a number: {counts.schema[order].dataType.simpleString()}")
     summed = {n: "before"} if isinstance(n, str) else {c: f"before_{c}" for c in n}
-    if within:
-        edges = counts.groupBy(F.col(within).alias("_of_g")).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 1000).alias("_edges"))
-        ranged = counts.join(edges, counts[within].eqNullSafe(edges["_of_g"])).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges", "_of_g")
-        group = F.col(within)
-    else:
-        part = F.lit(0)
-        for e in sorted(set(counts.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.005))):
-            part = part + (F.col(order) > e).cast("int")
-        ranged, group = counts.withColumn("_part", part), F.lit(0)
+    keys = [within] if within else []
+    ranged = in_ranges(counts, *keys, order, rows_each=None if parts is None else max(1, counts.count() // parts))
     by, sign = (F.desc(order), -1) if descending else (F.asc(order), 1)
+    group = F.col(within) if within else F.lit(0)
     sums = ranged.groupBy(group.alias("_of_g"), F.col("_part").alias("_of_part")).agg(*[F.sum(c).alias(f"_sum_{c}") for c in summed])
     before = Window.partitionBy("_of_g").orderBy(F.col("_of_part") * sign).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_of_g", "_of_part", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in summed])
-    own = Window.partitionBy(*([within] if within else []), "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*keys, "_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     run = ranged.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"_run_{c}") for c in summed])
-    # without groups there are at most `parts` sums
     same = run["_part"] == starts["_of_part"]
-    linked = run.join(starts, run[within].eqNullSafe(starts["_of_g"]) & same) if within else run.join(F.broadcast(starts), same)
+    linked = run.join(starts, run[within].eqNullSafe(starts["_of_g"]) & same if within else same)
     return linked.select(*counts.columns, *[(F.col(f"_run_{c}") + F.col(f"_start_{c}")).alias(out) for c, out in summed.items()])
 
 
@@ -102,7 +97,8 @@ def average_precision(df: DataFrame, *, score: str, label: str) -> DataFrame:
 def precision_at_k(df: DataFrame, *, score: str, label: str, tie: str, fraction: float = 0.02) -> DataFrame:
     """Share of positives among the best max(1, floor(n x fraction)) rows, and the positive rate of all.
 
-    The k-th best score comes from counts by score; only the rows tied at that score are put in order."""
+    The k-th best score comes from counts by score. Rows tied at that score are put in order of `tie` range by range, so that
+    neither a task nor the driver holds all of them."""
     n = df.count()
     k = max(1, int(n * fraction))
     g = running_total(_by_score(df, score, label).withColumn("n", F.col("pos") + F.col("neg")), "s", "n", descending=True)
@@ -110,7 +106,8 @@ def precision_at_k(df: DataFrame, *, score: str, label: str, tie: str, fraction:
     if edge is None:
         return df.agg(F.lit(None).cast("double").alias("precision_at_k"), F.avg(label).alias("positive_rate"))
     above = df.filter(F.col(score) > edge["s"]).agg(F.coalesce(F.sum(label), F.lit(0)).alias("a"))
-    tied = df.filter(F.col(score) == edge["s"]).orderBy(tie).limit(k - edge["before"]).agg(F.coalesce(F.sum(label), F.lit(0)).alias("b"))
+    placed = numbered(df.filter(F.col(score) == edge["s"]).select(F.col(tie).alias("_tie"), F.col(label).alias("_label")), "_tie")
+    tied = placed.filter(F.col("_at") < k - edge["before"]).agg(F.coalesce(F.sum("_label"), F.lit(0)).alias("b"))
     rate = df.agg(F.avg(label).alias("positive_rate"))
     return above.join(tied).join(rate).select(((F.col("a") + F.col("b")) / F.lit(float(k))).alias("precision_at_k"), "positive_rate")
 

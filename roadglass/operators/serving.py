@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegralType
 
-from ..functions.text import cursor
+from ..functions.text import cursor, read_cursor
 from ..functions.vehicle import EARTH_KM, haversine_km, masked_position
 
 #: What each role may do.
@@ -41,6 +42,15 @@ def mask_positions(df: DataFrame, role: Column | str) -> DataFrame:
     return seen.drop("lat", "lon").select("*", "_seen.*").drop("_seen")
 
 
+def page_after(df: DataFrame, *, key: str, cursor: str | None, limit: int, descending: bool = False) -> DataFrame:
+    """The page after a cursor, from the beginning without one; a cursor that can't be read or whose key is not of the
+    column's type is an error before any job runs."""
+    after = read_cursor(cursor)
+    if after is not None and isinstance(df.schema[key].dataType, IntegralType):
+        after = int(after)
+    return keyset_page(df, key=key, after=after, limit=limit, descending=descending)
+
+
 def keyset_page(df: DataFrame, *, key: str, after, limit: int, descending: bool = False) -> DataFrame:
     """The next page in key order. next_cursor is the last key's cursor if the page is full, else null."""
     if after is not None:

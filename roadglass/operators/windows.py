@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ordering import numbered
+
 
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -43,10 +45,9 @@ def latest(df: DataFrame, *, key: str, seq: str) -> DataFrame:
 
 
 def stride_sample(df: DataFrame, *, key: str, limit: int, cells: int = 64) -> DataFrame:
-    """About every k-th row in key order, at most `limit`, where k = ceil(rows / limit).
+    """About every k-th row in the order of (hash cell, key), at most `limit`, where k = ceil(rows / limit).
 
-    Rows are numbered within hash cells and the cells' counts make the numbers global, so no task sorts the table;
-    order is by (cell, key)."""
+    Rows are numbered range by range, with as many ranges as the table asks for; no task sorts a cell or the table."""
     from math import ceil
 
     total = df.count()
@@ -55,8 +56,4 @@ def stride_sample(df: DataFrame, *, key: str, limit: int, cells: int = 64) -> Da
     step = ceil(total / limit)
     digits = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 6)
     celled = df.withColumn("_cell", F.pmod(F.conv(F.coalesce(digits, F.lit("0")), 16, 10).cast("int"), F.lit(cells)))
-    counts = celled.groupBy("_cell").count()  # `cells` rows at most
-    starts = counts.select("_cell", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
-    numbered = celled.withColumn("_nth", nth).join(F.broadcast(starts), "_cell").withColumn("_at", F.col("_start") + F.col("_nth"))
-    return numbered.filter((F.col("_at") % step == 0) & (F.col("_at") < step * limit)).drop("_cell", "_nth", "_start", "_at")
+    return numbered(celled, "_cell", key).filter((F.col("_at") % step == 0) & (F.col("_at") < step * limit)).drop("_cell", "_at")

@@ -15,9 +15,13 @@ def fresh_rows(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFram
     return single.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
 
 
-def upserted(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The snapshot after an upsert: rows of `new` replace rows of `existing` with their key (copy on write)."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new)
+def upserted(existing: DataFrame, new: DataFrame, key: str, newest: str | None = None) -> DataFrame:
+    """The snapshot after an upsert: rows of `new` replace rows of `existing` with their key (copy on write). Of several new
+    rows of a key the one with the largest `newest` is taken, by default the largest in column order."""
+    rest = [c for c in new.columns if c != key]
+    by = F.struct(*([newest] if newest else []), *rest)
+    single = new.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(key, "_r.*").select(*new.columns)
+    return existing.join(new.select(key), key, "left_anti").unionByName(single)
 
 
 def audit_rows(actions: DataFrame, *, actor: Column, action: str, resource: Column, detail: Column) -> DataFrame:

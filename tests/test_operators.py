@@ -288,3 +288,71 @@ def test_quantiles(spark):
     soak = metrics.soak_summary(df.withColumn("o", F.monotonically_increasing_id()), order="o", value="v")
     for plan in (grouped, every, soak):  # no buffer that holds all values
         assert " percentile(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_and_totals_do_not_depend_on_the_ranges(spark, monkeypatch):
+    from roadglass.operators import ordering
+
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), k * 37 % 500, rng.randrange(5), f"t{k * 7 % 500:03d}") for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v long, n long, tie string").repartition(4)
+    for each in (1_000_000, 40):
+        monkeypatch.setattr(ordering, "ROWS_EACH", each)
+        got = sorted((r["_at"], r["v"]) for r in ordering.numbered(df, "v").collect())
+        assert got == [(k, v) for k, v in enumerate(sorted(r[1] for r in rows))]
+        for descending in (False, True):
+            total = {(r["g"], r["v"]): r["before"] for r in metrics.running_total(df, "v", "n", descending=descending, within="g").collect()}
+            assert total == {(g, v): sum(n for h, w, n, _ in rows if h == g and (w > v if descending else w < v)) for g, v, _, _ in rows}
+        scored = df.select((F.col("v") % 3).alias("s"), (F.col("n") % 2).alias("label"), "tie")
+        best = sorted(((-(v % 3), t, n % 2) for _, v, n, t in rows))[:100]
+        got = metrics.precision_at_k(scored, score="s", label="label", tie="tie", fraction=0.2).first()
+        assert got["precision_at_k"] == sum(b[2] for b in best) / 100
+        assert windows.stride_sample(df.select("tie"), key="tie", limit=40).count() == 39  # every 13th of 500
+    parts = ordering.in_ranges(df, "v", rows_each=40).groupBy("_part").count().collect()
+    assert len(parts) > 8 and max(p["count"] for p in parts) < 120
+
+
+def test_stored_sketches_of_any_span(spark, tmp_path):
+    rng = random.Random(9)
+    day0 = dt.datetime(2024, 1, 1)
+    rows = [(day0 + dt.timedelta(minutes=rng.randrange(600)), f"P{min(int(rng.expovariate(0.2)), 40):04d}") for _ in range(3_000)] + [(None, "P1"), (day0, None)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, code string")
+    store = sketches.StoredSketches(spark, str(tmp_path / "s"), width=64)
+    for low in (0, 5):  # two loads of five hours each
+        store.add(df.filter(F.hour("ts").between(low, low + 4)), ts="ts", item="code")
+    store.add(df.filter("hour(ts) = 3"), ts="ts", item="code")  # an hour again
+    for a, b in ((0, 9), (2, 6), (7, 7)):
+        first, last = day0 + dt.timedelta(hours=a), day0 + dt.timedelta(hours=b)
+        own = df.filter(F.hour("ts").between(a, b) & F.col("code").isNotNull())
+        true = {r["code"]: r["count"] for r in own.groupBy("code").count().collect()}
+        fresh = {r["item"]: r["estimate"] for r in sketches.estimate(sketches.count_min(own, "code", width=64), own, "code", width=64).collect()}
+        got = {r["item"]: r["estimate"] for r in sketches.estimate(store.count_min(first, last), own, "code", width=64).collect()}
+        assert got == fresh and all(got[c] >= n for c, n in true.items())
+        top = [(r["item"], r["n"]) for r in store.top(first, last, 5).collect()]
+        assert [n for _, n in top] == sorted(true.values(), reverse=True)[:5] and all(true[c] == n for c, n in top)
+    plan = store.count_min(day0, day0)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(hour" in plan
+
+
+def test_upsert_takes_one_row_of_a_key(spark):
+    old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "k string, v int, at int")
+    new = spark.createDataFrame([("a", 9, 2), ("a", 3, 5), ("c", 4, 1), ("c", 4, 1)], "k string, v int, at int")
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(sinks.upserted(old, new, "k", "at")) == [("a", 3, 5), ("b", 1, 1), ("c", 4, 1)]
+    assert got(sinks.upserted(old, new, "k")) == [("a", 9, 2), ("b", 1, 1), ("c", 4, 1)]
+
+
+def test_pages_by_cursor(spark):
+    df = spark.createDataFrame([(k, f"v{k:03d}") for k in range(25)], "id long, vin string")
+    for key, first in (("id", 0), ("vin", "v000")):
+        seen, cursor = [], None
+        while True:
+            rows = serving.page_after(df, key=key, cursor=cursor, limit=10).collect()
+            seen += [r[key] for r in rows]
+            cursor = rows[-1]["next_cursor"] if rows else None
+            if cursor is None:
+                break
+        assert len(seen) == len(set(seen)) == 25 and seen[0] == first
+    for bad in ("%%%", "bm8=", "e30=", "é"):
+        with pytest.raises(ValueError, match="not a cursor"):
+            serving.page_after(df, key="vin", cursor=bad, limit=10)
