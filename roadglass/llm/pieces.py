@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
+from .common import trimmed
+
 SPACE = "▁"
 #: Characters of the units that advance together, at most.
 TOGETHER = 1 << 20
@@ -353,7 +355,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
     an empty result. Other columns of `docs` are not read."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([slim.schema["id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    coded = slim.mapInArrow(_encoder(read_model(model_path)), schema)
+    coded = slim.mapInArrow(trimmed(_encoder(read_model(model_path))), schema)
     return coded.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 

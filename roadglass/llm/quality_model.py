@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import free_name
+from .common import give_back, free_name
 
 BUCKETS = 1 << 16
 #: Grades: 0 toxic, 1 poor, 2 good.
@@ -161,6 +161,7 @@ def graded_by(model: OrdinalModel, text: Column, *, wanted: int = GRADES - 1) ->
     @F.pandas_udf("expected_grade double, tail_prob double")
     def score(texts: pd.Series) -> pd.DataFrame:
         tails = model.tails(model.scores(texts))
+        give_back()
         return pd.DataFrame({"expected_grade": tails.sum(1), "tail_prob": tails[:, wanted - 1]})
 
     return score(text.cast("string"))

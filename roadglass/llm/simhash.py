@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import LOWER, UPPER, cut, skew_join
+from .common import LOWER, UPPER, cut, skew_join, trimmed
 from .components import connected_components
 
 SEED = 42
@@ -247,7 +247,7 @@ def hamming_links(nodes: DataFrame, *, split: int = SPLIT, shard: int = SHARD) -
         ready.append(marked.filter("big IS NULL").drop("big"))
         rows = cut(marked.filter("big").select("fp", "rest", F.xxhash64("shard", "code").alias("path")), f"again-{level}")
     shards = reduce(DataFrame.unionByName, [r.select("shard", "code", "fp") for r in ready])
-    return shards.repartition("shard").sortWithinPartitions("shard", "code", "fp").mapInArrow(_linked, "a long, b long")
+    return shards.repartition("shard").sortWithinPartitions("shard", "code", "fp").mapInArrow(trimmed(_linked), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT) -> DataFrame:
@@ -258,7 +258,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of nulls only has a null component_id. Repeated rows count each. An empty table gives an empty result. Copies
     are one fingerprint and are never expanded into pairs; no limit is put on links. Other columns are not read."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(slim.mapInArrow(_fingerprinted, T.StructType([slim.schema["id"], T.StructField("fp", T.LongType())])), "fingerprints")
+    rows = cut(slim.mapInArrow(trimmed(_fingerprinted), T.StructType([slim.schema["id"], T.StructField("fp", T.LongType())])), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     comps = connected_components(hamming_links(nodes, split=split))
     rooted = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
