@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .metrics import quantiles
+from .metrics import average_precision, precision_at_k, quantiles, roc_auc
+from .ordering import numbered, written
 
 #: The features in order, with what they are called in explanations.
 LABELS = {
@@ -75,15 +78,19 @@ def explain_factors(df: DataFrame, middle: dict[str, float], importance: dict[st
 
 
 def split(df: DataFrame, *, label: str, key: str, held_out: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """Stratified split by a hash of the key: the same share of each class is held out, in expectation."""
-    test = F.pmod(F.xxhash64(F.lit(1), key, F.col(label)), F.lit(10_000)) < int(held_out * 10_000)
-    return df.filter(~test), df.filter(test)
+    """(train, test), stratified: of n rows of a class exactly round(n x held_out) are held out, those first by a hash of
+    the key (ties by the key). Places in that order are found range by range; the table is written once."""
+    own = df.columns
+    placed = numbered(df.withColumn("_hash", F.xxhash64(F.lit(1), key)), label, "_hash", key)
+    sizes = placed.groupBy(F.col(label).alias("_class")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each class
+    told = placed.join(sizes, placed[label].eqNullSafe(sizes["_class"])).withColumn("_test", F.col("_at") - F.col("_first") < F.round(F.col("_n") * held_out))
+    return told.filter(~F.col("_test")).select(*own), told.filter("_test").select(*own)
 
 
-def train_risk(df: DataFrame, *, label: str, trees: int = 20, depth: int = 4) -> PipelineModel:
+def train_risk(df: DataFrame, *, label: str, trees: int = 20, depth: int = 4, step: float = 0.1) -> PipelineModel:
     """Gradient-boosted trees over the features."""
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="_features", handleInvalid="keep")
-    learner = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=7, predictionCol="_prediction")
+    learner = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, seed=7, predictionCol="_prediction")
     return PipelineModel([assembled, learner.fit(assembled.transform(df))])
 
 
@@ -102,3 +109,12 @@ def feature_importance(model: PipelineModel, df: DataFrame, middle: dict[str, fl
     return score_risk(model, copies).groupBy("feature").agg(F.avg(F.abs(F.col("score") - F.col("_own"))).alias("importance"))
 
 
+def quality(scored: DataFrame, *, label: str, scores: list[str], key: str) -> DataFrame:
+    """(score, roc_auc, average_precision, precision_at_2pct, positive_rate) of each score column on the same rows."""
+    held = written(scored.select(key, label, *scores), "scored")
+    rows = []
+    for c in scores:
+        auc, ap = roc_auc(held, score=c, label=label), average_precision(held, score=c, label=label)
+        best = precision_at_k(held, score=c, label=label, tie=key).withColumnRenamed("precision_at_k", "precision_at_2pct")
+        rows.append(auc.join(ap).join(best).select(F.lit(c).alias("score"), "*"))  # one row each
+    return reduce(DataFrame.unionByName, rows)

@@ -77,10 +77,11 @@ def apply_retention(spark: SparkSession, path: str, to: str, now, keep_hours: in
     return gone
 
 
-def hours_table(telemetry: DataFrame, table: str, *, path: str | None = None, ts: str = "ts") -> None:
-    """Append telemetry to a catalog table with a partition for each hour of the event, in `path` if it is new."""
+def hours_table(telemetry: DataFrame, table: str, *, path: str | None = None, ts: str = "ts", spread: int = 8) -> None:
+    """Append telemetry to a catalog table with a partition for each hour of the event, in `path` if it is new. An hour is
+    written by `spread` tasks, parted by vehicle."""
     spark, t = telemetry.sparkSession, F.col(ts).cast("timestamp")
-    placed = telemetry.withColumn("d", F.to_date(t)).withColumn("h", F.hour(t)).repartition("d", "h", F.pmod(F.xxhash64("vin"), F.lit(8)))
+    placed = telemetry.withColumn("d", F.to_date(t)).withColumn("h", F.hour(t)).repartition("d", "h", F.pmod(F.xxhash64("vin"), F.lit(spread)))
     if spark.catalog.tableExists(table):
         placed.select(*spark.table(table).columns).write.insertInto(table)
     else:
@@ -96,8 +97,9 @@ def drop_old_hours(spark: SparkSession, table: str, now: dt.datetime, keep_hours
     parts = [dict(x.split("=", 1) for x in r[0].split("/")) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]  # a name for each hour
     gone = [p for p in parts if p["d"][:1].isdigit() and dt.datetime.fromisoformat(p["d"]) + dt.timedelta(hours=int(p["h"]) + 1) <= bound]
     location = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
+    for at in range(0, len(gone), 500):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS " + ", ".join(f"PARTITION (d = DATE '{p['d']}', h = {p['h']})" for p in gone[at : at + 500]))
     for p in gone:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (d = DATE '{p['d']}', h = {p['h']})")
         remove(spark, f"{location}/d={p['d']}/h={p['h']}")  # an external table leaves it
     return len(gone)
 

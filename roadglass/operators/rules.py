@@ -11,6 +11,12 @@ from .windows import sliding_window
 
 ALERT = "struct<rule:string,severity:int,code:string,detail:string>"
 
+#: What each rule tells beside its name: the fields of the JSON in `detail`, as a DDL type for from_json.
+DETAILS = {
+    "CRITICAL_DTC": "code string, description string", "DTC": "code string, description string", "LOW_12V": "volts double", "LOW_SOC": "soc_pct double",
+    "OVERHEAT_TREND": "mean_c double, max_c double", "HARSH_BRAKE_PATTERN": "count_1h long",
+}
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -36,10 +42,11 @@ def dedup_key(vin: Column, rule: Column, code: Column, ts_ms: Column) -> Column:
 def row_alerts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Alerts of single events: a fault code each, low 12 V battery, low charge. Needs vin, ts_ms, seq, dtcs, batt_v, soc_pct."""
     text = F.lit(None).cast("string")
-    coded = F.transform(F.coalesce("dtcs", F.array().cast("array<string>")), lambda c: _alert(F.when(fault_severity(c) >= 4, "CRITICAL_DTC").otherwise("DTC"), fault_severity(c), c, fault_description(c)))
+    told = lambda c: F.to_json(F.struct(c.alias("code"), fault_description(c).alias("description")))
+    coded = F.transform(F.coalesce("dtcs", F.array().cast("array<string>")), lambda c: _alert(F.when(fault_severity(c) >= 4, "CRITICAL_DTC").otherwise("DTC"), fault_severity(c), c, told(c)))
     single = F.array(
-        F.when(F.col("batt_v") < limits.low_12v, _alert(F.lit("LOW_12V"), F.lit(3), text, F.round("batt_v", 3))),
-        F.when(F.col("soc_pct") < limits.low_soc, _alert(F.lit("LOW_SOC"), F.lit(2), text, F.round("soc_pct", 3))),
+        F.when(F.col("batt_v") < limits.low_12v, _alert(F.lit("LOW_12V"), F.lit(3), text, F.to_json(F.struct(F.round("batt_v", 3).alias("volts"))))),
+        F.when(F.col("soc_pct") < limits.low_soc, _alert(F.lit("LOW_SOC"), F.lit(2), text, F.to_json(F.struct(F.round("soc_pct", 3).alias("soc_pct"))))),
     )
     found = events.select("vin", "ts_ms", "seq", F.explode(F.concat(coded, F.filter(single, lambda a: a.isNotNull()))).alias("a"))
     return found.select("vin", "ts_ms", "seq", "a.*")
@@ -49,14 +56,21 @@ def overheat_alerts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Mean coolant temperature over the window above the limit, with at least two readings."""
     w = sliding_window(events.withColumn("ts", F.timestamp_millis("ts_ms")), key="vin", ts="ts", value="coolant_c", seconds=limits.overheat_window)
     hot = w.filter((F.col("win_count") >= 2) & (F.col("win_mean") > limits.overheat_c))
-    return hot.select("vin", "ts_ms", "seq", F.lit("OVERHEAT_TREND").alias("rule"), F.lit(4).alias("severity"), F.lit(None).cast("string").alias("code"), F.concat_ws(";", F.round("win_mean", 1), F.round("win_max", 3)).alias("detail"))
+    # halves go up whatever the sum's last bits are
+    detail = F.to_json(F.struct(F.round(F.col("win_mean") + 1e-9, 1).alias("mean_c"), F.round("win_max", 3).alias("max_c")))
+    return hot.select("vin", "ts_ms", "seq", F.lit("OVERHEAT_TREND").alias("rule"), F.lit(4).alias("severity"), F.lit(None).cast("string").alias("code"), detail.alias("detail"))
 
 
 def pattern_alerts(events: DataFrame, limits: Limits = Limits(), event: str = "HARSH_BRAKE") -> DataFrame:
     """An event that recurs within the window; other events are filtered out before the shuffle."""
     w = Window.partitionBy("vin").orderBy("ts_ms").rangeBetween(-limits.brake_window * 1000, 0)
     counted = events.filter(F.col("evt") == event).withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("n") >= limits.brakes)
-    return counted.select("vin", "ts_ms", "seq", F.lit("HARSH_BRAKE_PATTERN").alias("rule"), F.lit(2).alias("severity"), F.lit(None).cast("string").alias("code"), F.col("n").cast("string").alias("detail"))
+    return counted.select("vin", "ts_ms", "seq", F.lit("HARSH_BRAKE_PATTERN").alias("rule"), F.lit(2).alias("severity"), F.lit(None).cast("string").alias("code"), F.to_json(F.struct(F.col("n").alias("count_1h"))).alias("detail"))
+
+
+def detail_of(found: DataFrame, rule: str) -> DataFrame:
+    """The alerts of one rule with the fields of their detail as columns."""
+    return found.filter(F.col("rule") == rule).withColumn("_d", F.from_json("detail", DETAILS[rule])).select(*[c for c in found.columns if c not in ("detail", "code") or c == "code" and "code " not in DETAILS[rule]], "_d.*")
 
 
 def alerts(events: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.types import IntegralType
 
 from ..functions.text import cursor, read_cursor
 from ..functions.vehicle import EARTH_KM, haversine_km, masked_position
+from ..sources.sinks import audit_rows
 
 #: What each role may do.
 ROLES = {
@@ -256,3 +257,12 @@ def erase(people: DataFrame, requests: DataFrame, *, id_col: str, at, columns: l
     out = people.join(asked, [id_col, "tenant_id"], "left")
     blank = {c: F.when(hit, F.lit(None)).otherwise(F.col(c)) for c in columns}
     return out.withColumns(blank | {"erased_at": F.coalesce("erased_at", F.when(hit, F.lit(at)))}).drop("_asked")
+
+
+def erase_audited(people: DataFrame, requests: DataFrame, *, id_col: str, at, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`erase` by (id, tenant_id, user_id) requests, and its audit rows: one for each person who is erased by this, with
+    who asked (the smallest user of several). Requests that change nothing leave no row."""
+    done = people.filter("erased_at IS NULL").join(requests.groupBy(id_col, "tenant_id").agg(F.min("user_id").alias("_by")), [id_col, "tenant_id"])
+    resource = F.concat(F.lit(f"{id_col}/"), F.col(id_col).cast("string"))
+    audit = audit_rows(done, actor=F.concat(F.lit("user"), F.col("_by").cast("string")), action="erase", resource=resource, detail=F.lit(",".join(columns)))
+    return erase(people, requests, id_col=id_col, at=at, columns=columns), audit

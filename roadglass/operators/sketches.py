@@ -33,31 +33,33 @@ def approx_top_codes(df: DataFrame, item: str, k: int = 10, tracked: int = 10_00
 
 
 class StoredSketches:
-    """Sketches of an item by hour, kept as a table in a folder: count-min rows and Spark's heavy-hitter sketches.
+    """Sketches of an item by slice of time (an hour by default), kept as a table in a folder: count-min rows and
+    Spark's heavy-hitter sketches.
 
-    An hour is sketched once, from its own rows; what any span of hours asks for is merged from the stored sketches and does
-    not read a row again. Count-min rows add up, so a span's estimates are those of one sketch over all its rows: never too
-    low, and too high by over 2 x rows / width with a probability of at most 2^-depth. Heavy hitters are exact while an hour and the span
+    A slice is sketched once, from its own rows; what any span of slices asks for is merged from the stored sketches and
+    does not read a row again. Count-min rows add up, so a span's estimates are those of one sketch over all its rows: never too
+    low, and too high by over 2 x rows / width with a probability of at most 2^-depth. Heavy hitters are exact while a slice and the span
     have at most `tracked` different items; beyond that a count may be short by as much as the sketch's error."""
 
-    def __init__(self, spark: SparkSession, at: str, *, width: int = 2048, depth: int = 4, tracked: int = 10_000):
-        self.spark, self.at, self.width, self.depth, self.tracked = spark, at, width, depth, tracked
+    def __init__(self, spark: SparkSession, at: str, *, width: int = 2048, depth: int = 4, tracked: int = 10_000, seconds: int = 3600):
+        self.spark, self.at, self.width, self.depth, self.tracked, self.seconds = spark, at, width, depth, tracked, seconds
 
     def add(self, df: DataFrame, *, ts: str, item: str) -> None:
-        """Sketch the hours of these rows. The rows of an hour come in one call; an hour that comes again is replaced."""
-        hour = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600)
-        slim = df.filter(F.col(ts).isNotNull() & F.col(item).isNotNull()).select(hour.alias("hour"), F.col(item).cast("string").alias("item"))
-        counts = slim.groupBy("hour", "item").agg(F.count(F.lit(1)).alias("n"))
+        """Sketch the slices of these rows. The rows of a slice come in one call; a slice that comes again is replaced."""
+        part = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / self.seconds)
+        slim = df.filter(F.col(ts).isNotNull() & F.col(item).isNotNull()).select(part.alias("slice"), F.col(item).cast("string").alias("item"))
+        counts = slim.groupBy("slice", "item").agg(F.count(F.lit(1)).alias("n"))
         row = F.explode(F.sequence(F.lit(0), F.lit(self.depth - 1)))
-        slots = counts.select("hour", "item", "n", row.alias("row")).groupBy("hour", "row", F.pmod(F.xxhash64("item", "row"), F.lit(self.width)).alias("slot")).agg(F.sum("n").alias("n"))
-        top = slim.groupBy("hour").agg(F.expr(f"approx_top_k_accumulate(item, {self.tracked})").alias("sketch"))
+        slots = counts.select("slice", "item", "n", row.alias("row")).groupBy("slice", "row", F.pmod(F.xxhash64("item", "row"), F.lit(self.width)).alias("slot")).agg(F.sum("n").alias("n"))
+        top = slim.groupBy("slice").agg(F.expr(f"approx_top_k_accumulate(item, {self.tracked})").alias("sketch"))
         for name, part in (("slots", slots), ("top", top)):
-            part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(f"{self.at}/{name}")
+            # a slice's sketch is at most width x depth rows, or one
+            part.repartition("slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice").parquet(f"{self.at}/{name}")
 
     def _between(self, name: str, first: dt.datetime, last: dt.datetime) -> DataFrame:
-        """The sketches of the hours from that of `first` to that of `last`; other hours' files are not opened."""
-        low, high = (int(t.replace(tzinfo=dt.timezone.utc).timestamp() // 3600) for t in (first, last))
-        return self.spark.read.parquet(f"{self.at}/{name}").filter(F.col("hour").between(low, high))
+        """The sketches of the slices from that of `first` to that of `last`; the files of others are not opened."""
+        low, high = (int(t.replace(tzinfo=dt.timezone.utc).timestamp() // self.seconds) for t in (first, last))
+        return self.spark.read.parquet(f"{self.at}/{name}").filter(F.col("slice").between(low, high))
 
     def count_min(self, first: dt.datetime, last: dt.datetime) -> DataFrame:
         """(row, slot, n) of a span, as `estimate` takes it."""

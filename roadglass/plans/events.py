@@ -89,11 +89,19 @@ def alert_rules(spark, sf):
 
 
 def rule_overheat(spark, sf):
-    return rules.overheat_alerts(telemetry(spark, sf), LIMITS).select("vin", "seq", "severity")
+    return rules.detail_of(rules.overheat_alerts(telemetry(spark, sf), LIMITS), "OVERHEAT_TREND").select("vin", "seq", "severity", "mean_c", "max_c")
 
 
 def rule_event_pattern(spark, sf):
-    return rules.pattern_alerts(telemetry(spark, sf), LIMITS).select("vin", "seq", F.col("detail").cast("long").alias("count_in_window"))
+    return rules.detail_of(rules.pattern_alerts(telemetry(spark, sf), LIMITS), "HARSH_BRAKE_PATTERN").select("vin", "seq", F.col("count_1h").alias("count_in_window"))
+
+
+def alert_details(spark, sf):
+    """What row alerts tell, by rule."""
+    found = rules.row_alerts(telemetry(spark, sf), LIMITS)
+    coded = rules.detail_of(found, "CRITICAL_DTC").unionByName(rules.detail_of(found, "DTC")).select("rule", F.concat_ws(": ", "code", "description").alias("told"))
+    low = [rules.detail_of(found, rule).select("rule", F.format_string("%.1f", c).alias("told")) for rule, c in (("LOW_12V", "volts"), ("LOW_SOC", "soc_pct"))]
+    return coded.unionByName(low[0]).unionByName(low[1]).groupBy("rule", "told").agg(F.count(F.lit(1)).alias("n"))
 
 
 def alert_dedup(spark, sf):
@@ -145,6 +153,29 @@ def incremental_rollup(spark, sf):
     return _rounded(merged)
 
 
+def stored_rollup(spark, sf):
+    """The rollup as a stored table, after three steps, the second of them asked for twice."""
+    from ..streaming.jobs import folder
+
+    t, store = telemetry(spark, sf), rollup.StoredRollup(spark, folder(spark, "stored-rollup"))
+    for now in (LOW, HIGH, HIGH, HIGH + dt.timedelta(days=2)):
+        store.advance(t, now, start=dt.datetime(2024, 1, 3))
+    return _rounded(store.table())
+
+
+def retained_hours(spark, sf):
+    """What is left of an hourly catalog table after its old partitions are dropped."""
+    from ..streaming.jobs import folder
+
+    at = folder(spark, "hours")
+    table = f"hours_{at[-32:]}"
+    rollup.hours_table(telemetry(spark, sf).select("vin", "seq", "ts"), table, path=at, spread=1)
+    gone = rollup.drop_old_hours(spark, table, dt.datetime(2024, 1, 20), 48)
+    spark.sql(f"DROP TABLE {table}")
+    left = spark.read.parquet(at).groupBy("d", "h").agg(F.count(F.lit(1)).alias("rows"))
+    return left.select("d", F.col("h").cast("int").alias("h"), "rows").unionByName(spark.range(1).select(F.lit(None).cast("date").alias("d"), F.lit(-1).alias("h"), F.lit(gone).cast("long").alias("rows")))
+
+
 def retention_plan(spark, sf):
     plan = rollup.retention_plan(telemetry(spark, sf), dt.datetime(2024, 1, 20), 48)
     return plan.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "rows", "dropped")
@@ -183,8 +214,8 @@ def audit_append(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     parse_payloads, normalise, dlq_split, dim_tenant_of, outcome_counts, vin_quality, vin_synthesise, dtc_extract, dtc_enrich, haversine, geohash, sliding_window, alert_rules,
-    rule_overheat, rule_event_pattern, alert_dedup, late_flags, rolling_median, live_state, stride_sample, trip_segments, trip_islands, daily_rollup, incremental_rollup,
-    retention_plan, sink_idempotent_append, sink_new_alerts, alert_fanout, upsert_snapshot, audit_append,
+    rule_overheat, rule_event_pattern, alert_details, alert_dedup, late_flags, rolling_median, live_state, stride_sample, trip_segments, trip_islands, daily_rollup, incremental_rollup,
+    stored_rollup, retained_hours, retention_plan, sink_idempotent_append, sink_new_alerts, alert_fanout, upsert_snapshot, audit_append,
 )}
 
 _KIND = "CASE WHEN event_id % 250 = 0 THEN 'json' WHEN event_id % 250 = 50 THEN 'format' WHEN event_id % 250 = 100 THEN 'schema:seq' WHEN event_id % 250 = 150 THEN 'type:lat' ELSE 'ok' END"
@@ -199,8 +230,8 @@ coded AS (
   UNION ALL SELECT vin, seq, ts, 'LOW_12V', 3, '' FROM telemetry WHERE batt_v < 11.8e0
   UNION ALL SELECT vin, seq, ts, 'LOW_SOC', 2, '' FROM telemetry WHERE soc_pct < 10
 ), hot AS (
-  SELECT vin, seq, ts, 'OVERHEAT_TREND' AS rule, 4 AS severity, '' AS code FROM (
-    SELECT *, avg(coolant_c) OVER w AS m, count(*) OVER w AS n FROM telemetry WHERE coolant_c IS NOT NULL
+  SELECT vin, seq, ts, 'OVERHEAT_TREND' AS rule, 4 AS severity, '' AS code, m, top FROM (
+    SELECT *, avg(coolant_c) OVER w AS m, max(coolant_c) OVER w AS top, count(*) OVER w AS n FROM telemetry WHERE coolant_c IS NOT NULL
     WINDOW w AS (PARTITION BY vin ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)) WHERE n >= 2 AND m > 100
 ), pattern AS (
   SELECT vin, seq, ts, 'HARSH_BRAKE_PATTERN' AS rule, 2 AS severity, '' AS code, n FROM (
@@ -248,9 +279,12 @@ SQL = {
     "sliding_window": f"""WITH {TELEMETRY_SQL} SELECT seq, round(avg(value) OVER w, 6) AS win_mean, max(value) OVER w AS win_max, count(*) OVER w AS win_count FROM telemetry
         WINDOW w AS (PARTITION BY vin ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""",
     "alert_rules": f"WITH {_ALERTS} SELECT vin, seq, rule, severity, code, {_KEY} AS dedup_key FROM row_alerts",
-    "rule_overheat": f"WITH {_ALERTS} SELECT vin, seq, severity FROM hot",
+    "rule_overheat": f"WITH {_ALERTS} SELECT vin, seq, severity, round(m + 1e-9, 1) AS mean_c, round(top, 3) AS max_c FROM hot",
+    "alert_details": f"""WITH {_ALERTS} SELECT rule, concat(code, ': ', coalesce(description, 'Unknown code')) AS told, count(*) AS n FROM coded LEFT JOIN (SELECT code, description FROM faults) USING (code) GROUP BY 1, 2
+        UNION ALL SELECT 'LOW_12V', printf('%.1f', batt_v), count(*) FROM telemetry WHERE batt_v < 11.8e0 GROUP BY 1, 2
+        UNION ALL SELECT 'LOW_SOC', printf('%.1f', soc_pct), count(*) FROM telemetry WHERE soc_pct < 10 GROUP BY 1, 2""",
     "rule_event_pattern": f"WITH {_ALERTS} SELECT vin, seq, n AS count_in_window FROM pattern",
-    "alert_dedup": f"""WITH {_ALERTS}, every AS (SELECT * FROM row_alerts UNION ALL SELECT * FROM hot UNION ALL SELECT vin, seq, ts, rule, severity, code FROM pattern)
+    "alert_dedup": f"""WITH {_ALERTS}, every AS (SELECT * FROM row_alerts UNION ALL SELECT vin, seq, ts, rule, severity, code FROM hot UNION ALL SELECT vin, seq, ts, rule, severity, code FROM pattern)
         SELECT dedup_key, seq, rule FROM (SELECT *, {_KEY} AS dedup_key FROM every) QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY ts, seq) = 1""",
     "late_flags": f"""WITH {TELEMETRY_SQL} SELECT seq, seq <= coalesce(max(seq) OVER (PARTITION BY vin ORDER BY seq + CASE WHEN seq % 50 = 0 THEN 1200 ELSE 0 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS is_late FROM telemetry""",
     "rolling_median": f"""WITH {TELEMETRY_SQL} SELECT seq, list_sort(l)[len(l) // 2 + 1] AS rolling_median FROM (
@@ -277,9 +311,12 @@ SQL = {
         SELECT vin, min(position) AS first, max(position) AS last FROM c WHERE moving GROUP BY vin, run""",
     "daily_rollup": f"WITH {TELEMETRY_SQL} {_ROLLUP} GROUP BY 1, 2",
     "incremental_rollup": f"WITH {TELEMETRY_SQL} {_ROLLUP} WHERE ts <= TIMESTAMP '2024-01-20 06:00:00' GROUP BY 1, 2",
+    "stored_rollup": f"WITH {TELEMETRY_SQL} {_ROLLUP} WHERE ts > TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-22 05:59:40' GROUP BY 1, 2",
+    "retained_hours": """SELECT cast(ts AS date) AS d, hour(ts)::INT AS h, count(*) AS rows FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR > TIMESTAMP '2024-01-18' GROUP BY 1, 2
+        UNION ALL SELECT NULL, -1, count(DISTINCT date_trunc('hour', ts)) FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-18'""",
     "retention_plan": f"""WITH {TELEMETRY_SQL} SELECT date_trunc('hour', ts) AS hour, count(*) AS rows, date_trunc('hour', ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-18 00:00:00' AS dropped FROM telemetry GROUP BY 1""",
     "sink_idempotent_append": f"WITH {TELEMETRY_SQL} SELECT vin, seq, ts, value FROM telemetry WHERE seq % 3 <> 0",
-    "sink_new_alerts": f"""WITH {_ALERTS}, every AS (SELECT * FROM row_alerts UNION ALL SELECT * FROM hot UNION ALL SELECT vin, seq, ts, rule, severity, code FROM pattern),
+    "sink_new_alerts": f"""WITH {_ALERTS}, every AS (SELECT * FROM row_alerts UNION ALL SELECT vin, seq, ts, rule, severity, code FROM hot UNION ALL SELECT vin, seq, ts, rule, severity, code FROM pattern),
         old AS (SELECT DISTINCT {_KEY} AS k FROM row_alerts WHERE seq % 2 = 0)
         SELECT rule, count(DISTINCT {_KEY}) AS n FROM every WHERE {_KEY} NOT IN (SELECT k FROM old) GROUP BY rule""",
     "alert_fanout": f"WITH {ALERTS_SQL} SELECT tenant_id, count(*) AS n, max(alert_id) AS last_alert FROM alerts WHERE is_open GROUP BY tenant_id",

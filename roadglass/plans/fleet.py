@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.text import cursor_key
 from ..operators import journeys, risk, rollup, serving
+from ..operators.ordering import written
 from .bindings import ALERTS_SQL, TELEMETRY_SQL, VEHICLES_SQL, alerts, read, risks, telemetry, vehicles
 
 TENANT = 2
@@ -134,6 +135,13 @@ def erase_pii(spark, sf):
     return serving.erase(people, asked, id_col="c_custkey", at="2024-06-01", columns=["c_name"])
 
 
+def erase_audit(spark, sf):
+    """The audit rows of the erasures of erase_pii, each asked for by two users."""
+    people = read(spark, sf, "customer").select("c_custkey", F.expr("cast(c_nationkey % 5 as int)").alias("tenant_id"), "c_name", F.when(F.col("c_custkey") % 9 == 0, F.lit("2024-01-01")).alias("erased_at"))
+    asked = people.filter("c_custkey % 3 = 0").select("c_custkey", F.expr("cast(case when c_custkey % 6 = 0 then (tenant_id + 1) % 5 else tenant_id end as int)").alias("tenant_id"), F.explode(F.array(F.lit(7), F.lit(4))).alias("user_id"))
+    return serving.erase_audited(people, asked, id_col="c_custkey", at="2024-06-01", columns=["c_name"])[1]
+
+
 def _features(spark, sf):
     v = vehicles(spark, sf).withColumn("tenant_id", F.col("tenant_id").cast("int"))
     return risk.features(rollup.daily_rollup(telemetry(spark, sf)), v, as_of="2024-01-30", as_of_year=2026)
@@ -157,19 +165,35 @@ IMPORTANCE = {c: w for c, w in zip(risk.FEATURES, (0.9, 0.1, 0.3, 0.5, 0.4, 0.6,
 
 
 def explain_factors(spark, sf):
-    f = _features(spark, sf)
+    f = written(_features(spark, sf), "features")  # for the medians and for the factors
     middle = risk.medians(f).first().asDict()
     told = risk.explain_factors(f, middle, IMPORTANCE)
     return told.select("vin", F.array_join(F.transform("factors", lambda x: x["feature"]), ",").alias("factors"))
 
 
 def _labelled(spark, sf):
-    """Breakdown labels from the features, with some noise by hash."""
+    """Breakdown labels from the features, with noise by hash that is about as large as what they tell."""
     f = _features(spark, sf)
-    push = F.col("dtc_events_7d") * 0.4 + F.col("harsh_brakes_7d") * 0.3 + (12.6 - F.col("min_batt_v_7d")) * 0.5 + F.pmod(F.xxhash64("vin"), F.lit(100)) / 100.0
+    push = F.col("dtc_events_7d") * 0.4 + F.col("harsh_brakes_7d") * 0.3 + (12.6 - F.col("min_batt_v_7d")) * 0.5 + F.conv(F.substring(F.md5(F.col("vin").cast("binary")), 1, 4), 16, 10).cast("double") / 65536.0
     return f.withColumn("label", (push > 3.0).cast("int"))
 
 
+def risk_split(spark, sf):
+    """How many of each class are trained on and held out."""
+    train, test = risk.split(_labelled(spark, sf), label="label", key="vin")
+    both = train.withColumn("held_out", F.lit(False)).unionByName(test.withColumn("held_out", F.lit(True)))
+    return both.groupBy("label", "held_out").agg(F.count(F.lit(1)).alias("n"))
+
+
+def risk_quality(spark, sf):
+    """A model trained on one part against the baseline on the other: which ranks breakdowns better."""
+    train, test = risk.split(_labelled(spark, sf), label="label", key="vin")
+    scored = risk.score_risk(risk.train_risk(train, label="label"), test).withColumn("baseline", risk.baseline_score(F.col("service_overdue_ratio")))
+    found = {r["score"]: r for r in risk.quality(scored, label="label", scores=["score", "baseline"], key="vin").collect()}
+    better = [found["score"][m] > found["baseline"][m] for m in ("roc_auc", "average_precision")]
+    return test.agg(F.count(F.lit(1)).alias("held_out"), F.sum("label").cast("long").alias("positives"), F.lit(better[0]).alias("better_auc"), F.lit(better[1]).alias("better_precision"))
+
+
 def train_risk(spark, sf):
     from ..operators import metrics
 
@@ -206,9 +230,12 @@ def nearest_target(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     list_vehicles, tenant_scope, mask_location, role_permissions, dq_report, keyset_page, list_alerts, top_risk, recent_series, vehicle_summary, vehicle_series, fleet_kpis, estimate_savings, radius_search,
-    radius_join, interval_join, assignment_at, ack_alerts, decide_work_orders, propose_work_orders, erase_pii, features, baseline_score, feature_medians, explain_factors, train_risk, score_risk, feature_importance, nearest_target,
+    radius_join, interval_join, assignment_at, ack_alerts, decide_work_orders, propose_work_orders, erase_pii, erase_audit, features, baseline_score, feature_medians, explain_factors, risk_split, risk_quality, train_risk, score_risk, feature_importance, nearest_target,
 )}
 
+#: The label of _labelled in SQL.
+_LABEL = "(dtc_events_7d * 0.4e0 + harsh_brakes_7d * 0.3e0 + (12.6e0 - min_batt_v_7d) * 0.5e0 + ('0x' || substr(md5(vin), 1, 4))::INT / 65536e0 > 3.0e0)::INT"
+
 _ROLES = "roles(role, perm) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r, perms in serving.ROLES.items() for p in perms) + ")"
 _FEATURES = f"""WITH {TELEMETRY_SQL}, {VEHICLES_SQL}, week AS (
   SELECT vin, max(odo_km) AS odo, max(coolant_c) AS hot, min(batt_v) AS volt, count(*) FILTER (WHERE fault_string IS NOT NULL) AS dtc, count(*) FILTER (WHERE evt = 'HARSH_BRAKE') AS brakes
@@ -277,6 +304,12 @@ SQL = {
     "propose_work_orders": f"WITH {VEHICLES_SQL} SELECT vin, cast(tenant_id AS int) AS tenant_id, 300 AS reason_chars, cast(id % 9 AS int) AS proposed_by, 650::double AS est_cost_usd, 'proposed' AS status FROM vehicles WHERE id % 4 <> 0",
     "erase_pii": """SELECT c_custkey, cast(c_nationkey % 5 AS int) AS tenant_id, CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 6 = 0 THEN c_name END AS c_name, c_acctbal,
         CASE WHEN c_custkey % 9 = 0 THEN '2024-01-01' WHEN c_custkey % 3 = 0 AND c_custkey % 6 <> 0 THEN '2024-06-01' END AS erased_at FROM customer""",
+    "erase_audit": """SELECT cast(c_nationkey % 5 AS int) AS tenant_id, 'user4' AS actor, 'erase' AS action, concat('c_custkey/', c_custkey) AS resource, 'c_name' AS detail
+        FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 6 <> 0 AND c_custkey % 9 <> 0""",
+    "risk_split": f"""{_FEATURES}, n AS (SELECT {_LABEL} AS label, count(*) AS n FROM f GROUP BY 1)
+        SELECT label, false AS held_out, n - round(n * 0.25)::BIGINT AS n FROM n UNION ALL SELECT label, true, round(n * 0.25)::BIGINT FROM n""",
+    "risk_quality": f"""{_FEATURES}, n AS (SELECT {_LABEL} AS label, count(*) AS n FROM f GROUP BY 1)
+        SELECT sum(round(n * 0.25))::BIGINT AS held_out, sum(label * round(n * 0.25))::BIGINT AS positives, true AS better_auc, true AS better_precision FROM n""",
     "features": f"{_FEATURES} SELECT vin, tenant_id, " + ", ".join(f"round({c}, 5) AS {c}" for c in _NAMES) + " FROM f",
     "baseline_score": f"{_FEATURES} SELECT vin, round(least(greatest(service_overdue_ratio / 1.5e0, 0), 1), 5) AS baseline FROM f",
     "feature_medians": f"{_FEATURES} SELECT " + ", ".join(f"round(median({c}), 5) AS {c}" for c in _NAMES) + " FROM f",

@@ -27,6 +27,17 @@ def top_codes(spark, sf):
     return sketches.top_codes(telemetry(spark, sf).select(F.explode("dtcs").alias("code")), "code", 10)
 
 
+def stored_top_codes(spark, sf):
+    """Fault codes by day in stored sketches: the most frequent of ten days, and what count-min says of them."""
+    from ..streaming.jobs import folder
+
+    store = sketches.StoredSketches(spark, folder(spark, "sketches"), seconds=86_400)
+    store.add(telemetry(spark, sf).select("ts", F.explode("dtcs").alias("code")), ts="ts", item="code")
+    span = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 14)
+    top = store.top(*span, 10)
+    return top.join(sketches.estimate(store.count_min(*span), top, "item"), "item")
+
+
 def approx_top_codes(spark, sf):
     return sketches.approx_top_codes(telemetry(spark, sf), "event_type", 5)
 
@@ -134,7 +145,7 @@ def grounded(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    events_per_second, freshness, top_codes, approx_top_codes, cms_frequency, rate_by_outcome, latency_histogram, latency_percentiles, soak_summary, reconcile, roc_auc, average_precision,
+    events_per_second, freshness, top_codes, stored_top_codes, approx_top_codes, cms_frequency, rate_by_outcome, latency_histogram, latency_percentiles, soak_summary, reconcile, roc_auc, average_precision,
     precision_at_k, knn_exact, knn_lsh, embed_text, screen_text, classify_intent, extract_mentions, grounded,
 )}
 
@@ -150,6 +161,8 @@ SQL = {
         SELECT list_sort(list(age))[len(list(age)) // 2 + 1] AS upper_median FROM a""",
     "top_codes": """SELECT item, count(*) AS n FROM (SELECT unnest(CASE event_id % 7 WHEN 0 THEN ['P0301', 'C0035'] WHEN 3 THEN ['P0217', 'U0100'] END) AS item FROM events)
         GROUP BY 1 ORDER BY n DESC, item LIMIT 10""",
+    "stored_top_codes": """WITH c AS (SELECT unnest(CASE event_id % 7 WHEN 0 THEN ['P0301', 'C0035'] WHEN 3 THEN ['P0217', 'U0100'] END) AS item, ts FROM events)
+        SELECT item, count(*) AS n, count(*) AS estimate FROM c WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1""",
     "approx_top_codes": "SELECT event_type AS item, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC LIMIT 5",
     "cms_frequency": "SELECT count(DISTINCT user_id) AS items, 0::bigint AS below_truth FROM events",
     "rate_by_outcome": "SELECT date_trunc('minute', ts) AS minute, event_type, round(count(*) / 60.0e0, 6) AS per_second FROM events GROUP BY 1, 2",

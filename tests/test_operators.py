@@ -331,7 +331,7 @@ def test_stored_sketches_of_any_span(spark, tmp_path):
         top = [(r["item"], r["n"]) for r in store.top(first, last, 5).collect()]
         assert [n for _, n in top] == sorted(true.values(), reverse=True)[:5] and all(true[c] == n for c, n in top)
     plan = store.count_min(day0, day0)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(hour" in plan
+    assert "PartitionFilters: [isnotnull(slice" in plan
 
 
 def test_upsert_takes_one_row_of_a_key(spark):
