@@ -1,7 +1,8 @@
 """A training corpus from raw documents: grade, deduplicate, mix, tokenise.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's documents. All but the last return the columns of `docs`.
+stage's documents. All but the last return the columns of `docs`, whatever their names. Every stage takes an empty table
+(and returns one), null and repeated ids, null, empty and very long texts, and nulls in any other column.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from roadglass.llm.simhash import simhash_components
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labels table, does not reject."""
+    """Documents that the quality classifier, trained on the labels table, does not reject.
+
+    Null and empty texts have no features and are judged by the model's intercept; equal texts are judged alike, repeated
+    rows each. Without labels, or with one grade only, all stay."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -41,12 +45,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small languages more often, so that the expected token totals have the
-    stated shares."""
+    stated shares.
+
+    Null languages are not learnt from, but such rows take part by their words. If no language of the table has a target
+    every row is taken once; a language without a target is too, and a warning names targets without documents. Null and
+    empty texts have no tokens and no words that tell a language; repeated rows are taken equally often."""
     return mix(docs, domain_col="lang", targets=TARGETS, min_rate=1.0)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every whole text, with the round trip through decoding checked."""
+    """Piece ids of every whole text, with the round trip through decoding checked. Null and empty texts have no ids;
+    repeated rows and null ids are rows like any other."""
     return encode_pieces(docs, PIECE_MODEL)
 
 
