@@ -1,7 +1,7 @@
 """Quality rules judged by host.
 
 Each document gets counts from its whole text and fails or passes some rules. Failures are added up by host, each
-host's failure rate is shrunk towards the fleet of hosts by a beta prior fitted to all hosts, and the verdict on
+host's failure rate is shrunk towards the fleet of hosts by a beta prior fitted to all hosts' documents, and the verdict on
 the host is joined back to its documents. The verdict is how strictly the host's failing documents are judged: the more
 its shrunk rate is over the prior's mean, the less a document may be over a rule. A document stays if it passes the base
 rules, its host is not rejected as a whole and it is not over the rules by its host's measure.
@@ -62,6 +62,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(len(COUNTS)))], ["id", "host", *COUNTS])
 
 
+def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+    """(mean, strength) of the beta prior of the failure rates of hosts with n documents, f of them failing.
+
+    Beta-binomial moments weighted by documents: the mean is that of all documents, and of the spread between hosts, counted
+    by documents, what sampling alone would give is taken off, so many small hosts of one true rate have a strong prior."""
+    n, f = F.col("n").cast("double"), F.col("f").cast("double")
+    k, docs, failed, squares, spread = hosts.select(F.count(F.lit(1)), F.sum(n), F.sum(f), F.sum(n * n), F.sum(f * f / n)).first()
+    if not k:
+        return 0.5, 1.0
+    mean = min(max(failed / docs, 1e-6), 1 - 1e-6)
+    between = (spread - failed * failed / docs) / (mean * (1 - mean)) - (k - 1)
+    room = docs - squares / docs - (k - 1)
+    share = between / room if room > 0 else 0.0  # of a rate's variance, that between hosts
+    return mean, min(max(1 / max(share, 1e-9) - 1, 1.0), 1e6)
+
+
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5) -> DataFrame:
     """One row for each input row: id, the counts, base_failed, kept, host_rate (shrunk) and host_rejected.
 
@@ -82,9 +98,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     judged = cut(counted.withColumn("base_failed", base).withColumn("failed", (base | other).cast("long")), "rules")
 
     hosts = judged.filter("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("failed").alias("f"))
-    mean, var = hosts.select(F.avg(F.col("f") / F.col("n")), F.var_pop(F.col("f") / F.col("n"))).first()
-    mean = min(max(mean or 0.0, 1e-6), 1 - 1e-6)
-    strength = min(max(mean * (1 - mean) / max(var or 0.0, 1e-9) - 1, 1.0), 1e6)
+    mean, strength = beta_prior(hosts)
     verdicts = hosts.select("host", ((F.col("f") + mean * strength) / (F.col("n") + strength)).alias("host_rate"))
     out = skew_join(judged, verdicts, ["host"], "left")
     # how far a failing document is over a rule, 1 at the limit, against how much worse its host is than the prior

@@ -247,10 +247,12 @@ WITH base AS (
   FROM counted
 ), hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source
+), sums AS (
+  SELECT count(*) AS k, sum(n) AS docs, least(greatest(sum(f) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(f * f / n) - sum(f) * sum(f) / sum(n) AS spread, sum(n * n) / sum(n) AS one FROM hosts
 ), moments AS (
-  SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mean, var_pop(f / n) AS var FROM hosts
+  SELECT mean, CASE WHEN docs - one - (k - 1) > 0 THEN (spread / (mean * (1 - mean)) - (k - 1)) / (docs - one - (k - 1)) ELSE 0 END AS share FROM sums
 ), prior AS (
-  SELECT mean, least(greatest(mean * (1 - mean) / greatest(var, 1e-9) - 1, 1.0), 1e6) AS strength FROM moments
+  SELECT mean, least(greatest(1 / greatest(share, 1e-9) - 1, 1.0), 1e6) AS strength FROM moments
 ), verdicts AS (
   SELECT source, (f + mean * strength) / (n + strength) AS rate, mean FROM hosts, prior
 ), told AS (

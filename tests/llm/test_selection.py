@@ -144,6 +144,18 @@ def test_host_rate_sets_how_strictly_failures_are_judged(spark):
     assert {r["doc_id"] for r in quality_rules(docs).filter("NOT kept").collect()} == gone
 
 
+def test_small_hosts_of_one_rate_shrink_to_it(spark):
+    """What differs between many hosts of three documents is chance alone; one large host differs truly."""
+    rng = np.random.default_rng(5)
+    clean, slight = " ".join(map(str, range(90))), " ".join(map(str, range(90))) + " ##########"
+    rows = [(h * 3 + k, slight if rng.random() < 0.2 else clean, f"h{h}") for h in range(500) for k in range(3)]
+    rates = {r["host_rate"] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert max(rates) - min(rates) < 0.12 and 0.15 < np.mean(list(rates)) < 0.28
+    rows += [(9000 + k, slight if k % 10 < 9 else clean, "large") for k in range(1000)]
+    got = {r["doc_id"]: r["host_rate"] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[9000] > 0.85
+
+
 def test_a_planted_bad_host_loses_its_failing_documents(spark):
     """The rules fail as often on twenty hosts; the documents of one more that fail slightly go for its rate alone."""
     clean, slight = " ".join(map(str, range(90))), " ".join(map(str, range(90))) + " ##########"
