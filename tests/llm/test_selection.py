@@ -17,7 +17,7 @@ from roadglass.llm.pieces import Pieces, decode_pieces, encode_pieces
 from roadglass.llm.quality_model import BUCKETS, MAX_ROWS, all_features, features, fit_ordinal, keep_good, quality_grades, train
 from roadglass.llm.quality_rules import quality_rules, text_counts
 from roadglass.llm.registry import PIECE_MODEL, TARGETS, op10_quality_classifier
-from roadglass.llm.sharding import schedule, shard_by_size
+from roadglass.llm.sharding import CLASS_DIGITS, CLASS_ROWS, class_digits, schedule, schedule_sizes, shard_by_size, size_picks
 
 SF = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, source string, lang string, failed int, shard string, hash string, host string"
@@ -79,6 +79,20 @@ def test_rounds_are_the_picks_of_the_heap(sizes, shards):
     assert schedule(units, shards) == plain_schedule(units, shards)[0]
 
 
+@pytest.mark.parametrize("batch", [1, 7, 4096])
+def test_sizes_stream_by_the_heap_largest_first(spark, batch):
+    sizes = [(k * k % 1009 + 1009 * (k % 5), 1 + k % 40) for k in range(300)]
+    sizes = sorted({b: n for b, n in sizes}.items(), reverse=True)
+    table = spark.createDataFrame(sizes[::2] + sizes[1::2], "bytes long, count long").repartition(5)
+    got = {r["bytes"]: [(p["first"], list(p["turn"])) for p in r["picks"]] for r in size_picks(table, 7, batch).collect()}
+    assert got == dict(schedule_sizes(sizes, 7))
+    assert size_picks(table.filter("false"), 7, batch).count() == 0
+
+
+def test_classes_grow_in_number_with_the_rows():
+    assert [class_digits(n) for n in (0, 1, CLASS_ROWS * 16**CLASS_DIGITS, CLASS_ROWS * 16**CLASS_DIGITS + 1, 10**13)] == [3, 3, 3, 4, 7]
+
+
 def test_shards_have_the_loads_of_the_plain_schedule(spark):
     rows = [(k, "x" * (k % 7) + chr(97 + k % 26)) for k in range(4000)] + [(9000 + k, "hot " * 30) for k in range(700)] + [(None, "one text larger than a shard " * 2000)]
     got = shard_by_size(table(spark, rows)).collect()
