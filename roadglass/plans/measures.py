@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import metrics, similarity, sketches
+from ..operators import codes, metrics, similarity, sketches
 from .bindings import TELEMETRY_SQL, read, telemetry
 
 UNTIL = dt.datetime(2024, 1, 15, 12, 0, 30)
@@ -109,6 +109,29 @@ def knn_lsh(spark, sf):
     return similarity.knn_lsh(v, v.filter("vec_id % 20 = 0"), id_col="vec_id", vec_col="v", query_id="vec_id")
 
 
+def _found_by_codes(spark, sf):
+    """The neighbours found by a freshly written index, and its folder."""
+    from ..streaming.jobs import folder
+
+    v, at = _vectors(spark, sf), folder(spark, "codes")
+    codes.write_codes(v, at, id_col="vec_id", vec_col="v")
+    return codes.knn_codes(v, v.filter("vec_id % 20 = 0"), at, id_col="vec_id", vec_col="v", query_id="vec_id"), at
+
+
+def knn_codes(spark, sf):
+    return _found_by_codes(spark, sf)[0]
+
+
+def knn_codes_recall(spark, sf):
+    """How many of the exact neighbours the codes find, and how long codes are beside the vectors' four bytes a number."""
+    v, (found, at) = _vectors(spark, sf), _found_by_codes(spark, sf)
+    exact = similarity.knn_exact(v, v.filter("vec_id % 20 = 0"), id_col="vec_id", vec_col="v", query_id="vec_id").select("query_id", "neighbour_id")
+    hits = exact.join(found.select("query_id", "neighbour_id", F.lit(1).alias("hit")), ["query_id", "neighbour_id"], "left")
+    recall = hits.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
+    length = spark.read.parquet(f"{at}/codes").agg(F.count(F.lit(1)).alias("coded"), F.sum(F.octet_length("code")).cast("long").alias("code_bytes"))
+    return recall.crossJoin(length)  # one row each
+
+
 def embed_text(spark, sf):
     return X.embed(read(spark, sf, "benchmark"), "item_id", "text").select("item_id", "bucket", "weight")
 
@@ -146,7 +169,7 @@ def grounded(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     events_per_second, freshness, top_codes, stored_top_codes, approx_top_codes, cms_frequency, rate_by_outcome, latency_histogram, latency_percentiles, soak_summary, reconcile, roc_auc, average_precision,
-    precision_at_k, knn_exact, knn_lsh, embed_text, screen_text, classify_intent, extract_mentions, grounded,
+    precision_at_k, knn_exact, knn_lsh, knn_codes, knn_codes_recall, embed_text, screen_text, classify_intent, extract_mentions, grounded,
 )}
 
 _TURNS = f"""turns AS (SELECT conv_id, turn, coalesce(text, '') AS question FROM conversations
@@ -184,6 +207,8 @@ SQL = {
     "knn_exact": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, v.vec_id AS n, round(list_cosine_similarity(q.v, v.v), 6) AS similarity FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
         SELECT query_id, cast(row_number() OVER w AS int) AS rank, similarity FROM s WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, n) QUALIFY row_number() OVER w <= 3""",
+    "knn_codes_recall": """SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS queries, count(*) FILTER (WHERE vec_id % 20 = 0) * least(3, count(*) - 1) AS neighbours, true AS recall_ok,
+        count(*) AS coded, 16 * count(*) AS code_bytes FROM embeddings""",
     "embed_text": """WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
         g AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], '_', w[i + 1])))) AS gram FROM t),
         h AS (SELECT item_id, cast(concat('0x', substring(md5(gram), 1, 2)) AS int) AS bucket, CASE WHEN cast(concat('0x', substring(md5(gram), 15, 2)) AS int) >= 128 THEN 1 ELSE -1 END AS sign FROM g),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadglass.operators import journeys, metrics, risk, rollup, rules, serving, similarity, sketches, windows
+from roadglass.operators import codes, journeys, metrics, risk, rollup, rules, serving, similarity, sketches, windows
 from roadglass.sources import payloads, sinks
 
 FLAT = '{"vin":"1M8GDM9AXKP042788","ts":"2025-03-04T05:06:07.890Z","seq":12,"lat":48.15,"lon":11.58,"speed_kmh":81.5,"odo_km":40210.4,"soc_pct":55,"dtc":["U0100"],"evt":"HARSH_BRAKE","coolant_c":88}'
@@ -245,6 +245,56 @@ def test_cells_of_clustered_vectors(spark):
     assert similarity.knn_lsh(v.filter("false"), q, **names).count() == 0 == similarity.knn_lsh(v, q.filter("false"), **names).count()
 
 
+def test_codes_of_vectors():
+    """A code is the nearest centroid of each part by plain distances, and parts of few distinct rows lose nothing."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(900, 10))
+    books = codes.fit_books(rows, 4)
+    got, low = codes.encode(rows, books), 0
+    assert [b.shape for b in books] == [(256, 3), (256, 3), (256, 2), (256, 2)]
+    for j, b in enumerate(books):
+        own = rows[:, low:low + b.shape[1]]
+        plain = ((own[:, None, :] - b[None]) ** 2).sum(2)
+        assert np.allclose(plain[np.arange(900), got[:, j]], plain.min(1), atol=1e-5)
+        low += b.shape[1]
+    few = np.repeat(rows[:50], 3, axis=0).astype(np.float32)
+    books = codes.fit_books(few, 4)
+    assert np.array_equal(codes.decode(codes.encode(few, books), books), few)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_neighbours_by_codes(spark, tmp_path, monkeypatch, block):
+    """Recall on the supplied vectors, in one block of queries and in several, with batches that are merged."""
+    monkeypatch.setattr(codes, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+        q, names = v.filter("vec_id % 20 = 0"), {"id_col": "vec_id", "vec_col": "v", "query_id": "vec_id"}
+        codes.write_codes(v, str(tmp_path), id_col="vec_id", vec_col="v", sample=300)  # not all rows are fitted on
+        pick = lambda df: {(r["query_id"], r["neighbour_id"], r["similarity"], r["rank"]) for r in df.collect()}
+        exact, near = pick(similarity.knn_exact(v, q, **names)), pick(codes.knn_codes(v, q, str(tmp_path), **names))
+        assert len(near) == len(exact) and len({x[:3] for x in exact} & {x[:3] for x in near}) >= 0.9 * len(exact)
+        assert pick(codes.knn_codes(v, q, str(tmp_path), keep=500, **names)) == exact
+        assert spark.read.parquet(f"{tmp_path}/codes").count() == 500
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_neighbours_by_codes_at_the_edges(spark, tmp_path):
+    """Names as ids, null and zero vectors, equal vectors, fewer numbers than parts, no rows, no queries."""
+    rows = [(f"n{k:02d}", [float(k % 5), 1.0, float(k % 3)]) for k in range(40)] + [("null", None), ("zero", [0.0, 0.0, 0.0])]
+    v, names = spark.createDataFrame(rows, "id string, v array<double>").repartition(3), {"id_col": "id", "vec_col": "v", "query_id": "id"}
+    codes.write_codes(v, f"{tmp_path}/a", id_col="id", vec_col="v")
+    pick = lambda df: {(r["query_id"], r["similarity"], r["rank"]) for r in df.collect()}
+    assert pick(codes.knn_codes(v, v, f"{tmp_path}/a", **names)) == pick(similarity.knn_exact(v, v, **names))
+    assert codes.knn_codes(v, v.filter("false"), f"{tmp_path}/a", **names).count() == 0
+    codes.write_codes(v.filter("false"), f"{tmp_path}/b", id_col="id", vec_col="v")
+    assert codes.knn_codes(v.filter("false"), v, f"{tmp_path}/b", **names).count() == 0
+    ragged = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "id string, v array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        codes.write_codes(ragged, f"{tmp_path}/c", id_col="id", vec_col="v")
+
+
 def test_running_total_of_any_number(spark):
     rows = [(k * 7 % 300, k % 5) for k in range(300)]
     want = {v: (sum(n for w, n in rows if w < v), sum(1 for w, _ in rows if w < v)) for v, _ in rows}
