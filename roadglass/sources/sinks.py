@@ -32,10 +32,12 @@ def audit_rows(actions: DataFrame, *, actor: Column, action: str, resource: Colu
 def write_by_hour(events: DataFrame, path: str, ts: str = "ts", drop: bool = False) -> None:
     """Append telemetry partitioned by day and hour; within a partition files are sorted for row-group skipping.
 
-    A hot hour is spread over tasks by vehicle, not gathered in one. With `drop` the time itself is not written."""
+    Rows are rebalanced by hour: adaptive execution splits a shuffle partition with a hot hour over several tasks and puts
+    small ones together. An hour has one file, but for hot hours and those that share their shuffle partition, which
+    have one for each task of it. With `drop` the time itself is not written."""
     t = F.col(ts).cast("timestamp")
     placed = events.withColumn("d", F.to_date(t)).withColumn("h", F.hour(t))
-    placed = placed.repartition("d", "h", F.pmod(F.xxhash64("vin"), F.lit(8))).sortWithinPartitions("d", "h", "vin", ts)
+    placed = placed.hint("rebalance", "d", "h").sortWithinPartitions("d", "h", "vin", ts)
     (placed.drop(ts) if drop else placed).write.mode("append").partitionBy("d", "h").parquet(path)
 
 

@@ -308,10 +308,11 @@ class Tables:
                 spark.createDataFrame([], s).write.mode("ignore").partitionBy("d", "h").parquet(f"{at}/{t}")
 
     def read(self, table: str, hours: set[int]) -> DataFrame:
-        """The rows of some hours (since 1970). Only their folders are opened and listed."""
-        day = lambda h: dt.date(1970, 1, 1) + dt.timedelta(days=h // 24)
-        paths = [f"{self.at}/{table}/d={day(h)}/h={h % 24}" for h in sorted(hours)]
-        paths = [p for p in paths if exists(self.spark, p)]
+        """The rows of some hours (since 1970). Only their folders are opened; the folder of each of their days is listed once."""
+        days: dict[str, set[str]] = {}
+        for x in hours:
+            days.setdefault(f"{self.at}/{table}/d={dt.date(1970, 1, 1) + dt.timedelta(days=x // 24)}", set()).add(f"h={x % 24}")
+        paths = [f"{day}/{h}" for day in sorted(days) for h in names(self.spark, day) if h in days[day]]
         reader = self.spark.read.schema(self.schemas[table]).option("basePath", f"{self.at}/{table}")
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schemas[table])
 

@@ -245,6 +245,23 @@ def test_cells_of_clustered_vectors(spark):
     assert similarity.knn_lsh(v.filter("false"), q, **names).count() == 0 == similarity.knn_lsh(v, q.filter("false"), **names).count()
 
 
+def test_a_hot_hour_is_split_and_hours_of_other_shuffle_partitions_have_one_file(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(60_000).selectExpr("concat('v', id % 500) AS vin", "sha2(string(id), 256) AS note", "timestamp_seconds(1704067200 + CASE WHEN id % 10 < 8 THEN 0 ELSE 3600 * (id % 97) END) AS ts")
+    spark.conf.set(size, "256k")
+    try:
+        sinks.write_by_hour(rows, str(tmp_path / "t"))
+    finally:
+        spark.conf.unset(size)
+    files = {f"{p.parent.parent.name}/{p.parent.name}": len(list(p.parent.glob("*.parquet"))) for p in (tmp_path / "t").glob("d=*/h=*/*.parquet")}
+    hot = files.pop("d=2024-01-01/h=0")
+    assert len(files) == 96 and hot > 2 and max(files.values()) <= hot  # four shuffle partitions: about a quarter of the hours lie with the hot one
+    assert sum(n == 1 for n in files.values()) > len(files) / 2
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == 60_000 and back.select("vin", "note", "ts").exceptAll(rows).count() == 0
+    assert back.filter("d <> to_date(ts) OR h <> hour(ts)").count() == 0
+
+
 def test_codes_of_vectors():
     """A code is the nearest centroid of each part by plain distances, and parts of few distinct rows lose nothing."""
     rng = np.random.default_rng(3)
