@@ -9,10 +9,12 @@ from .common import cut, skew_join
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (columns a, b, of one orderable type); root is the component's
-    smallest node. Every round is a table of its own, and the loop ends when a round changes nothing."""
+    smallest node. Every star is a table of its own, so that no plan holds another one several times over, and the loop
+    ends when a round of both changes nothing."""
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.select(F.explode(ends).alias("e")).select("e.a", "e.b")
         seen = both if large else both.filter("b < a")
         least = seen.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         joined = skew_join(seen.filter("b > a") if large else seen, least, ["a"])
@@ -29,7 +31,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for k in range(max_rounds):
         if not before[0]:
             break
-        current = cut(stars(stars(current, True), False), f"stars-{k}")
+        current = cut(stars(cut(stars(current, True), f"large-{k}"), False), f"stars-{k}")
         now = mark(current)
         if now == before:
             break

@@ -144,15 +144,18 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = texts.join(F.broadcast(sample), texts["_id"] == sample["_rated"])  # at most max_rows small rows
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def buckets(text: pd.Series) -> pd.Series:
-        return text.map(all_features)
+        return text.map(lambda t: all_features(t).astype("<i4").tobytes())
 
-    # the whole text is cut down to its buckets before anything moves
+    # the whole text is cut down to its buckets before anything moves; as bytes, so that the driver makes no object of each
     found = rows.select("_id", "_grade", "_h", F.xxhash64("_text").alias("_t"), buckets("_text").alias("_x"))
     one = found.groupBy("_id", "_h").agg(F.first("_grade").alias("_grade"), F.min_by("_x", "_t").alias("_x"))
-    got = one.toPandas().sort_values(["_h", "_id"], kind="stable")
-    return fit_ordinal([np.asarray(x, np.int32) for x in got["_x"]], got["_grade"].to_numpy(np.int64))
+    got = one.toArrow().sort_by([("_h", "ascending"), ("_id", "ascending")])
+    model = fit_ordinal([np.frombuffer(x.as_buffer(), "<i4") for x in got["_x"]], got["_grade"].to_numpy().astype(np.int64))
+    del got
+    give_back()  # the driver goes on to other stages
+    return model
 
 
 def graded_by(model: OrdinalModel, text: Column, *, wanted: int = GRADES - 1) -> Column:

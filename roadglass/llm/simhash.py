@@ -261,7 +261,7 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = cut(slim.mapInArrow(trimmed(_fingerprinted), T.StructType([slim.schema["id"], T.StructField("fp", T.LongType())])), "fingerprints")
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     comps = connected_components(hamming_links(nodes, split=split))
-    rooted = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = skew_join(rooted.select("fp", "root"), least, ["root"]).select("fp", "component_id")
     return skew_join(rows, of_fp, ["fp"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -226,6 +226,24 @@ def test_hamming_links_with_split_shards(spark):
     assert signed_to_unsigned
 
 
+def test_no_plan_of_the_components_holds_a_star_twice(spark, monkeypatch, capsys):
+    from roadglass.llm import components, simhash
+
+    told = []
+
+    def held(df, name, cut=components.cut):
+        df.explain()
+        told.append(capsys.readouterr().out.count("Exchange "))
+        return cut(df, name)
+
+    monkeypatch.setattr(components, "cut", held)
+    monkeypatch.setattr(simhash, "cut", held)
+    docs = table(spark, [(k, f"a b c d e{k // 3}") for k in range(60)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash_components(docs).collect()}
+    assert all(got[k] <= k - k % 3 for k in got)
+    assert len(told) > 4 and max(told) <= 6
+
+
 def test_vantage_trees_prune_on_the_documents(spark):
     """On the fingerprints of sf0.1 the trees decide what is compared, and the links are those of all pairs."""
     texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").distinct()

@@ -262,6 +262,25 @@ def test_sample_is_bounded_and_has_one_row_of_an_id(spark, monkeypatch):
     assert sizes[0] == 40 and sizes[1] <= 10
 
 
+def test_the_driver_makes_no_object_of_each_bucket(spark, monkeypatch):
+    import tracemalloc
+
+    from roadglass.llm import quality_model as module
+
+    told = []
+    monkeypatch.setattr(module, "fit_ordinal", lambda rows, grades: told.append((sum(map(len, rows)), tracemalloc.get_traced_memory()[1], rows[0].copy())))
+    docs = spark.range(1, 201).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 3000), k -> concat('w', k * id)), ' ') AS text")
+    tracemalloc.start()
+    try:
+        train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality", "0 AS toxic"))
+    finally:
+        tracemalloc.stop()
+    entries, peak, first = told[0]
+    texts = {tuple(all_features(r["text"]).tolist()) for r in docs.collect()}
+    assert entries > 500_000 and tuple(first.tolist()) in texts
+    assert peak < 16 * entries  # four bytes each and a copy; a list of numbers has 36
+
+
 def test_keep_good_keeps_a_column_of_its_own_name(spark):
     docs = spark.createDataFrame([(1, "fine words", "mine", 5)], "doc_id long, text string, _quality string, `a.b` int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
