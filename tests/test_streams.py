@@ -1,8 +1,11 @@
 """State that goes, rows that come too late, and tables that change in whole steps."""
 
 import datetime as dt
+import random
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +115,99 @@ def test_silent_vehicles_leave_the_state(spark, tmp_path):
         jobs.window_rules(spark.readStream.schema(schema).parquet(path), limits, silent_seconds=60)
 
 
+def test_window_rules_agree_with_the_batch_rules_at_the_limit(spark, tmp_path):
+    """Readings whose mean is the limit but for the last bits of their sum."""
+    rng, rows = random.Random(4), []
+    for v in range(300):
+        cents = [rng.randrange(16_000, 24_000) for _ in range(rng.randrange(2, 9))]
+        cents.append(20_000 * (len(cents) + 1) - sum(cents))
+        before = [rng.randrange(16_000, 24_000) for _ in range(20)]  # of other windows
+        rows += [(f"v{v}", 60_000 * k, 1000 * v + k, c * 0.005, None) for k, c in enumerate(before)]
+        rows += [(f"v{v}", 86_400_000 + 1000 * k, 1000 * v + 100 + k, c * 0.005, None) for k, c in enumerate(cents)]
+    schema, limits = "vin string, ts_ms long, seq long, coolant_c double, evt string", rules.Limits(overheat_c=100.0)
+    df = spark.createDataFrame(rows, schema)
+    want = {r["seq"] for r in rules.overheat_alerts(df, limits).collect()}
+    ends = {r[2]: r[2] // 1000 for r in rows if r[2] % 1000 >= 100}
+    last = {v: max(q for q in ends if ends[q] == v) for v in range(300)}  # its window's exact mean is the limit
+    assert 5 < len(want & set(last.values())) < 200
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for groups in (None, 7):
+        alerts = jobs.window_rules(jobs.configured(spark).readStream.schema(schema).parquet(str(tmp_path / "in")), limits, groups=groups)
+        assert {r["seq"] for r in jobs.run_append(alerts, "limit").collect()} == want
+
+
+def test_over_adds_up_what_is_near_the_limit():
+    values = np.array([99.995, 100.005, 100.0, 100.0, 1e300, -1e300, 100.0, 100.0, np.inf, 1.0])
+    low, high = np.array([0, 2, 4, 6, 8, 9, 3]), np.array([2, 4, 8, 8, 10, 10, 3])
+    assert jobs.over(values, low, high, 100.0).tolist() == [False, False, False, False, True, False, False]
+    assert jobs.over(values, low, high, 49.0).tolist() == [True, True, True, True, True, False, False]
+    thirds = np.full(9, 0.1)
+    assert jobs.over(thirds, np.array([0, 0]), np.array([3, 9]), 0.1).tolist() == [bool((0.1 + 0.1 + 0.1) / 3 > 0.1), bool(np.cumsum(thirds)[-1] / 9 > 0.1)]
+
+
+def test_vehicles_in_groups_give_the_same_alerts(spark, tmp_path):
+    limits = rules.Limits(overheat_window=60, brake_window=600, brakes=2)
+    schema, rng, found = "vin string, ts_ms long, seq long, coolant_c double, evt string", random.Random(5), []
+    rows = [(rng.choice(["a", "b", "c", "d", None]), rng.randrange(4) * 1_000_000 + 10_000 * rng.randrange(40), k, rng.choice([None, 90.0, 108.0, 108.5, 130.0]), rng.choice([None, "IDLE", "HARSH_BRAKE"])) for k in range(400)]
+    df = spark.createDataFrame(rows, schema)
+    want = sorted(tuple(r) for r in rules.overheat_alerts(df, limits).unionByName(rules.pattern_alerts(df, limits)).select("seq", "rule", "severity").collect())
+    for groups in (None, 1, 3):
+        got = jobs.run_in_order(df, "ts_ms", "grouped", lambda s: jobs.window_rules(s, limits, silent_seconds=600, groups=groups), 100)  # noqa: B023
+        found.append(sorted(tuple(r) for r in got.select("seq", "rule", "severity").collect()))
+    assert found == [want] * 3 and len(want) > 100
+
+
+def test_silent_vehicles_leave_an_active_group(monkeypatch):
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return State()
+
+        def listTimers(self):  # noqa: N802
+            return iter(self.timers)
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["vin", "ts_ms", "seq", "coolant_c", "evt"])])
+    job = jobs.WindowRules(rules.Limits(overheat_window=60, brake_window=600, brakes=2), 600)
+    job.init(Handle())
+    list(job.handleInputRows((1,), rows(("a", 0, 1, 120.0, "HARSH_BRAKE"), ("b", 1000, 2, 120.0, "HARSH_BRAKE")), At(0)))
+    assert sorted(job.held["coolant"].value[0]) == sorted(job.held["brake"].value[0]) == ["a", "b"]
+    found = pd.concat(job.handleInputRows((1,), rows(("a", 60_000, 3, 120.0, "HARSH_BRAKE")), At(1000)))
+    assert list(zip(found["seq"], found["rule"], strict=True)) == [(3, "OVERHEAT_TREND"), (3, "HARSH_BRAKE_PATTERN")]
+    list(job.handleInputRows((1,), rows(("a", 602_000, 4, 120.0, "HARSH_BRAKE")), At(601_001)))
+    assert job.held["brake"].value[0] == ["a"] and job.held["coolant"].value == (["a"], [1], [602_000], [120.0])
+    assert job.handle.timers == [1_202_000]
+
+
 def test_ranges_are_handed_over_in_order(spark, tmp_path):
     rows = [(k * 7919 % 501, k) for k in range(500)] + [(None, 1000)]
     table = spark.createDataFrame(rows, "at long, id long").repartition(5)
