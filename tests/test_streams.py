@@ -208,6 +208,17 @@ def test_silent_vehicles_leave_an_active_group(monkeypatch):
     assert job.handle.timers == [1_202_000]
 
 
+def test_a_large_range_lies_in_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "ROWS_PER_FILE", 10)
+    table, last = spark.range(1000).selectExpr("id * 7919 % 1000 AS at"), -1
+    for k, _ in enumerate(jobs.in_order(table, "at", str(tmp_path / "a"), 250)):
+        own = spark.read.parquet(str(tmp_path / "a" / "in" / f"{k:09d}"))
+        values = sorted(r["at"] for r in own.collect())
+        assert values[0] == last + 1 and values == list(range(values[0], values[-1] + 1)) and len(own.inputFiles()) > 4
+        last = values[-1]
+    assert k == 3 and last == 999
+
+
 def test_ranges_are_handed_over_in_order(spark, tmp_path):
     rows = [(k * 7919 % 501, k) for k in range(500)] + [(None, 1000)]
     table = spark.createDataFrame(rows, "at long, id long").repartition(5)
