@@ -126,6 +126,8 @@ def radius_search(points: DataFrame, *, lat: float, lon: float, radius_km: float
 
 #: Points of one cell that meet its centres in one group of rows.
 CELL_POINTS = 50_000
+#: Levels by which the grid of a circle is finer than the circle.
+FINER = 2
 
 
 def _reach(lat: Column, km: Column) -> tuple[Column, Column]:
@@ -139,15 +141,15 @@ def radius_join(points: DataFrame, centres: DataFrame, *, cell_points: int = CEL
     """Every pair of a point (lat, lon) and a centre (centre, lat, lon, radius_km) within the centre's radius: the point's
     columns, centre and km.
 
-    A centre takes a grid whose cells are about as large as its circle (level l has 2^l rows and columns), so at
-    most three by three cells cover it, and points meet it through these cells only: an equi-join, with the exact distance
-    behind. A point is placed once on every level that centres use. A cell with more than `cell_points` points is split, and its
+    A centre takes a grid whose cells are FINER levels smaller than its circle (level l has 2^l rows and columns), so at
+    most nine by nine cells cover it and these are about twice as large as it is, and points meet it through these cells
+    only: an equi-join, with the exact distance behind. A point is placed once on every level that centres use. A cell with more than `cell_points` points is split, and its
     centres go to every part. Points or centres without a place, and negative or null radii, match nothing."""
     rows = lambda level: F.pow(F.lit(2.0), level)
     placed = centres.filter("lat IS NOT NULL AND lon IS NOT NULL AND radius_km >= 0").select("centre", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), F.col("radius_km").cast("double").alias("_km"))
     dlat, dlon = _reach(F.col("_lat"), F.col("_km") + 1e-6)
     fits = F.floor(F.log2(F.least(180 / dlat, 360 / dlon)))
-    placed = placed.withColumns({"_dlat": dlat, "_dlon": dlon, "_level": F.greatest(F.lit(0), F.least(F.lit(20), fits)).cast("int")})
+    placed = placed.withColumns({"_dlat": dlat, "_dlon": dlon, "_level": F.greatest(F.lit(0), F.least(F.lit(20), fits + FINER)).cast("int")})
     row = lambda lat: F.floor((lat + 90) / 180 * rows(F.col("_level")))
     column = lambda lon: F.floor((lon + 180) / 360 * rows(F.col("_level")))
     most = rows(F.col("_level")) - 1
@@ -170,6 +172,22 @@ def radius_join(points: DataFrame, centres: DataFrame, *, cell_points: int = CEL
     return met.filter(F.col("km") <= F.col("_km")).select(*points.columns, "centre", "km")
 
 
+def radius_totals(points: DataFrame, centres: DataFrame, *, value: str, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(centre, n, total, farthest): how many points lie within each centre's radius, the sum of their `value` and the
+    largest distance in km; centres without points are left out.
+
+    Points at one place are added up first, and equal circles are asked once, so the pairs of `radius_join` are those of
+    places and circles, however many points and centres share them; no pair of a point and a centre is made."""
+    at = ["lat", "lon"]
+    places = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select(*[F.col(c).cast("double").alias(c) for c in at], value)
+    places = places.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_total"))
+    circle = F.struct(*[F.col(c).cast("double").alias(c) for c in (*at, "radius_km")])
+    named = centres.filter("lat IS NOT NULL AND lon IS NOT NULL AND radius_km >= 0").select("centre", circle.alias("_circle"))
+    circles = named.select("_circle").distinct().select(F.col("_circle").alias("centre"), "_circle.*")
+    sums = radius_join(places, circles, cell_points=cell_points).groupBy(F.col("centre").alias("_circle")).agg(F.sum("_n").alias("_n"), F.sum("_total").alias("_total"), F.max("km").alias("_km"))
+    return named.join(sums, "_circle").groupBy("centre").agg(F.sum("_n").alias("n"), F.sum("_total").alias("total"), F.max("_km").alias("farthest"))
+
+
 #: Events and assignments of one key that one task merges, about, and the most slices of a key.
 MERGED = 1_000_000
 CUTS = 1_000

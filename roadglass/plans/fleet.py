@@ -87,7 +87,7 @@ def radius_join(spark, sf):
     """Around every 53rd sample, within 5 to 105 km: how many samples lie there, and how far the farthest is."""
     t = telemetry(spark, sf).select("seq", "lat", "lon")
     centres = t.filter("seq % 53 = 0").select(F.col("seq").alias("centre"), "lat", "lon", F.expr("5e0 + seq % 5 * 25").alias("radius_km"))
-    return serving.radius_join(t, centres).groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"), F.round(F.max("km"), 3).alias("farthest"))
+    return serving.radius_totals(t, centres, value="seq").select("centre", "n", F.col("total").alias("seqs"), F.round("farthest", 3).alias("farthest"))
 
 
 def interval_join(spark, sf):

@@ -43,6 +43,32 @@ def test_radius_join(spark, cell_points):
     assert serving.radius_join(df.limit(0), around).count() == 0 and serving.radius_join(df, around.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell_points", [50_000, 20])
+def test_radius_totals(spark, monkeypatch, cell_points):
+    """Places and circles that many share: only places meet circles."""
+    rng, seen, join = random.Random(6), [], serving.radius_join
+
+    def counted(points, centres, **options):
+        seen.append((points.count(), centres.count()))
+        return join(points, centres, **options)
+
+    monkeypatch.setattr(serving, "radius_join", counted)
+    spots, middles = places(rng, 60), [(*p, rng.choice([0.0, 8.0, 300.0, 2500.0, 25_000.0])) for p in places(rng, 8)]
+    points = [(k, *rng.choice(spots)) for k in range(2000)] + [(7000, None, 1.0)]
+    centres = [(k, *rng.choice(middles)) for k in range(100)] + [(3, *middles[0]), (998, None, None, 5.0), (999, 48.0, 11.0, -1.0)]
+    got = serving.radius_totals(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(centres, "centre long, lat double, lon double, radius_km double"), value="id", cell_points=cell_points)
+    want = {}
+    for c, d, e, r in centres[:-2]:
+        for k, a, b in points[:-1]:
+            if km(a, b, d, e) <= r:
+                n, total, far = want.get(c, (0, 0, 0.0))
+                want[c] = (n + 1, total + k, max(far, km(a, b, d, e)))
+    rows = {r["centre"]: (r["n"], r["total"], r["farthest"]) for r in got.collect()}
+    assert {c: x[:2] for c, x in rows.items()} == {c: x[:2] for c, x in want.items()} and len(want) > 50
+    assert all(abs(rows[c][2] - want[c][2]) < 1e-6 for c in want)
+    assert seen[0][0] <= len(spots) and seen[0][1] <= len(middles)
+
+
 def test_small_circles_among_many_points(spark):
     """1,000 circles of 5 km among 20,000 points that lie evenly in a region."""
     rng = random.Random(1)
