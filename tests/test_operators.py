@@ -326,6 +326,15 @@ def test_neighbours_in_cells_are_compared_by_products(spark, monkeypatch):
     assert {(r["query_id"], r["neighbour_id"], r["rank"], r["similarity"]) for r in found.collect()} == want
 
 
+def test_recall_of_codes_is_taken_against_products(spark):
+    """The only product of rows left is that of two one-row tables."""
+    from roadglass import plans
+
+    plan = plans.QUERIES["knn_codes_recall"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "NestedLoop" in line or "Cartesian" in line]
+    assert len(joins) == 1
+
+
 def test_a_hot_hour_is_split_and_hours_of_other_shuffle_partitions_have_one_file(spark, tmp_path):
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     rows = spark.range(60_000).selectExpr("concat('v', id % 500) AS vin", "sha2(string(id), 256) AS note", "timestamp_seconds(1704067200 + CASE WHEN id % 10 < 8 THEN 0 ELSE 3600 * (id % 97) END) AS ts")
